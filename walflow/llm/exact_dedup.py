@@ -106,7 +106,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     once = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rows = flagged.filter("maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
-    groups = rows.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
+    groups = saved(rows.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")), "exact-groups")  # so that the join below can split a hot group
     again = rows.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
     return once.unionByName(again)
 
