@@ -11,7 +11,9 @@ from walflow.llm.jaccard_join import jaccard_components
 from walflow.llm.kd_search import nearest
 from walflow.llm.kd_shards import kd_shards
 from walflow.llm.licenses import license_scan
+from walflow.llm.line_dedup import line_report
 from walflow.llm.packing import packed
+from walflow.llm.pieces import encoded
 from walflow.llm.pii import find_pii
 
 QUERIES = {
@@ -22,6 +24,8 @@ QUERIES = {
     "op5_exact_dedup": lambda spark, d: exact_duplicates(table(spark, d, "documents")),
     "op6_jaccard_join": lambda spark, d: jaccard_components(table(spark, d, "documents")).drop("class_id"),
     "op7_kd_tree_search": lambda spark, d: nearest(table(spark, d, "embeddings")),
+    "op8_sentence_pieces": lambda spark, d: encoded(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids"),
+    "op9_line_dedup": lambda spark, d: line_report(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: find_pii(table(spark, d, "documents")),
 }
 
