@@ -1 +1 @@
-
+"""Column expressions and the few functions Spark lacks."""

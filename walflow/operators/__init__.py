@@ -1 +1 @@
-
+"""Batch operators over change logs."""

@@ -1 +1 @@
-
+"""Streams: stateful transaction assembly and idempotent ingestion."""
