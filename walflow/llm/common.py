@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,3 +100,48 @@ def numbered(df: DataFrame, group: str, spread: Column, order: list[Column], nam
     placed = cut.withColumn("_own", own)
     joined = placed.join(before, (placed[group].eqNullSafe(before["_g"])) & (placed["_block"] == before["_b"]))
     return joined.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_block", "_own", "_before", "_g", "_b")
+
+
+def group_pairs(rows: DataFrame, keys: list[str], order: list[str], passing: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """passing(rows, group numbers) over all rows of each group, many whole groups at a time: rows are dealt and sorted by keys and streamed.
+
+    Only the group at the end of a batch waits for the next one, so groups should be bounded (see blocks()).
+    """
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[keys].to_numpy()
+            last = (k == k[-1]).all(1)
+            if held and (held[0][keys].iloc[0].to_numpy() == k[0]).all() and last.all():
+                held.append(batch)
+                continue
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            yield from found(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+            held = [batch.iloc[cut:]]
+        if held:
+            yield from found(pd.concat(held, ignore_index=True))
+
+    def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(x) > 1:
+            k = x[keys].to_numpy()
+            yield passing(x, np.cumsum(np.r_[True, (k[1:] != k[:-1]).any(1)]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(meet, schema)
+
+
+def blocks(rows: DataFrame, key: str, member: str, most: int, check: int = 10_000) -> DataFrame:
+    """rows with lo, hi: keys with over `most` rows are cut into blocks, and each pair of blocks is a group of its own.
+
+    The heavy keys are broadcast if there are at most `check` of them, else joined by shuffle.
+    """
+    heavy = saved(rows.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_blocks")), "heavy-keys")
+    zero = F.lit(0)
+    if not heavy.head(1):
+        return rows.withColumn("lo", zero).withColumn("hi", zero)
+    met = rows.join(F.broadcast(heavy) if heavy.count() <= check else heavy, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"), F.explode(F.sequence(zero, F.col("_blocks") - 1))
+    placed = met.withColumn("_own", own).withColumn("_other", other)
+    return placed.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")

@@ -11,6 +11,7 @@ The noise comes from a hash of the row, so a task that runs again draws the same
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,10 @@ class _Words(dict):
         return out
 
 
+#: One store for all the tasks that a worker process runs.
+WORDS = _Words()
+
+
 def ngrams(texts: list[str], words: dict) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of each n-gram of the texts."""
     split = [t.split() for t in texts]
@@ -48,7 +53,7 @@ def ngrams(texts: list[str], words: dict) -> tuple[np.ndarray, np.ndarray]:
     n = int(lengths.sum())
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.array([words[w] for s in split for w in s], np.int64)
+    x = np.array(list(map(words.__getitem__, chain.from_iterable(split))), np.int64)
     h, shape, doc = x[:, 0].view(np.uint64), x[:, 1].copy(), np.repeat(np.arange(len(texts)), lengths)
     for back in (1, 2, 3):
         again = np.zeros(n, bool)
@@ -73,7 +78,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log p_target - log p_raw for each bucket; all zero without a good label."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, raw, target = _Words(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        words, raw, target = WORDS, np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]

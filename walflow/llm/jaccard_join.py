@@ -19,6 +19,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from walflow.llm.common import saved
+from walflow.llm.common import blocks, group_pairs, saved
 from walflow.llm.components import components
 from walflow.llm.exact_dedup import maybe_repeated
 
@@ -49,6 +50,10 @@ class _Hashes(dict):
         return h
 
 
+#: One store for all the tasks that a worker process runs.
+HASHES = _Hashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,7 +68,7 @@ def shingle_sets(texts: list[str | None], hashes: dict) -> list[np.ndarray]:
     """
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     counts = [len(w) for w in words]
-    flat = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, sum(counts))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
     if not len(flat):
         return [np.zeros(0, np.uint64) for _ in texts]
     with np.errstate(over="ignore"):
@@ -148,7 +153,7 @@ def parity(x: np.ndarray) -> bytes:
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = _Hashes()
+    hashes = HASHES
     for batch in batches:
         for at in range(0, len(batch), DOCS_AT_ONCE):
             part = batch.iloc[at : at + DOCS_AT_ONCE]
@@ -206,7 +211,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     texts = texts.join(need.withColumnRenamed("key", "h"), "h").select("cid", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
+        hashes = HASHES
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
@@ -227,35 +232,33 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return saved(left.join(held.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b").withColumn("ok", similar("set_a", "set_b")).select("a", "b", "ok"), "jaccard-verified")
 
 
-def _close(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a bucket that lie in different components and pass the bounds on sizes and parity bits."""
-    rows = rows.sort_values("cid")
-    cid, n, root, half = (rows[c].to_numpy() for c in ("cid", "n", "root", "half"))
-    bits = np.stack([np.frombuffer(p, np.uint64) for p in rows["parity"]])
-    left, right = np.flatnonzero(half != 1), np.flatnonzero(half != 0)
-    found = []
-    for i in left:
-        j = right[(right > i) | (half[right] == 1)]
-        j = j[(root[j] != root[i]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])]
-        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= (n[j] + n[i]) // 9] if len(j) else j
-        found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], 1))
+def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Pairs within groups that lie in different components and pass the bounds on sizes and parity bits, found offset by offset."""
+    cid, n, root = (rows[c].to_numpy() for c in ("cid", "n", "root"))
+    bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
+    found, step, left = [], 1, np.arange(len(rows) - 1)
+    while len(left):
+        left = left[left + step < len(rows)]
+        left = left[group[left + step] == group[left]]
+        i, j = left, left + step
+        ok = (root[i] != root[j]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])
+        i, j = i[ok], j[ok]
+        near = np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= (n[j] + n[i]) // 9 if len(i) else np.zeros(0, bool)
+        found.append(np.stack([np.minimum(cid[i], cid[j])[near], np.maximum(cid[i], cid[j])[near]], 1))
+        step += 1
     x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
 
 
 def _unsettled(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes that share a bucket but, so far, no component."""
-    info = shared.select("cid").distinct().join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    info = saved(shared.select("cid").distinct().join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "jaccard-rooted")
     placed = shared.select("entry", "cid").join(info, "cid")
-    spread = placed.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x <> y")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = placed.join(spread.select("entry", blocks.alias("blocks")), "entry").join(classes.select("cid", "n", "parity"), "cid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # a bucket of one block meets itself; of more, each pair of blocks is a group of its own
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o))
-    rows = rows.withColumn("other", other).withColumn("half", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    return rows.groupBy("entry", "lo", "hi").applyInPandas(_close, "a long, b long").distinct()
+    spread = placed.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("entry")
+    rows = saved(placed.join(spread, "entry", "left_semi"), "jaccard-unsettled")
+    facts = rows.select("cid").distinct().join(classes.select("cid", "n", "parity"), "cid")
+    full = blocks(rows, "entry", "cid", BLOCK).join(facts, "cid")
+    return group_pairs(full, ["entry", "lo", "hi"], ["cid"], _close, "a long, b long").distinct()
 
 
 def _thin_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -265,7 +268,7 @@ def _thin_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         return None
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
+        hashes = HASHES
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]

@@ -13,54 +13,41 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import saved
+from walflow.llm.common import blocks, group_pairs, saved
 from walflow.llm.exact_dedup import maybe_repeated
-from walflow.llm.jaccard_join import _Hashes, mixed
+from walflow.llm.jaccard_join import HASHES, mixed
 
 LEAST_SET = 4  # smaller sets are at 0.8 only if equal
 TABLE_BITS, CHUNK_BITS = 23, 16
-PARITY_BITS = 256
+PARITY_BITS = 128
 BLOCK = 2000
 DOCS_AT_ONCE = 200
 
 
-def _words(texts: list[str], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line: text number, line number and word hash, sorted by text and line; and the number of lines of each text."""
-    lines, counts, per_text = [], [], []
-    for t in texts:
-        own = [x.split() for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-        per_text.append(len(own))
-        lines += own
-    counts = np.array([len(x) for x in lines], np.int64)
-    flat = mixed(np.fromiter((hashes[w] for x in lines for w in x), np.uint64, int(counts.sum())))
-    line = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((flat, line))
-    flat, line = flat[order], line[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (line[1:] != line[:-1])
-    return flat[new], line[new], np.array(per_text, np.int64), counts
-
-
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines that hold a word, by hash into 2**TABLE_BITS counts; capped at 255 steps of a scale that is exact up to 200. 8 MB, whatever the corpus."""
+    """How often a word occurs, by hash into 2**TABLE_BITS counts; capped at 255 steps of a scale that is exact up to 200. 8 MB, whatever the corpus."""
     size, chunk = 1 << TABLE_BITS, 1 << CHUNK_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = _Hashes(), np.zeros(size, np.int32)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 4 * DOCS_AT_ONCE):
-                x, _, _, _ = _words([t or "" for t in batch["text"].iloc[at : at + 4 * DOCS_AT_ONCE]], hashes)
-                where, n = np.unique((x >> np.uint64(64 - TABLE_BITS)).astype(np.int64), return_counts=True)
-                total[where] += n.astype(np.int32)
+            for at in range(0, len(batch), 10 * DOCS_AT_ONCE):
+                seen: Counter[bytes] = Counter()
+                for t in batch["text"].iloc[at : at + 10 * DOCS_AT_ONCE]:
+                    seen.update((t or "").encode("utf-8", "surrogatepass").lower().split())
+                x = mixed(np.fromiter(map(HASHES.__getitem__, seen), np.uint64, len(seen)))
+                np.add.at(total, (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
         for k in range(size // chunk):
-            part = total[k * chunk : (k + 1) * chunk]
+            part = np.minimum(total[k * chunk : (k + 1) * chunk], 2**31 - 1).astype(np.int32)
             if part.any():
                 yield pd.DataFrame({"k": [k], "n": [zlib.compress(part.tobytes(), 1)]})
 
@@ -86,40 +73,54 @@ def _lines(docs: DataFrame, table) -> DataFrame:
     """A row for each line with words: doc_id, key, line, n, sid, parity, prefix (word hashes) and places (in the rarity order) that may meet another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = _Hashes(), table.value
+        counts = table.value
         for batch in batches:
-            for at in range(0, len(batch), DOCS_AT_ONCE):
-                part = batch.iloc[at : at + DOCS_AT_ONCE]
-                x, line, per_text, _ = _words(part["text"].tolist(), hashes)
-                if not len(x):
-                    continue
-                first = np.r_[0, np.cumsum(per_text)[:-1]]
-                starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                ends = np.r_[starts[1:], len(x)]
-                n = ends - starts
-                rare = counts[(x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                order = np.lexsort((x, rare, line))
-                y, r = x[order], rare[order]
-                place = np.arange(len(x)) - np.repeat(starts, n)
-                length = np.repeat(n, n)
-                use = (place < length - -(-4 * length // 5) + 1) & (length >= LEAST_SET) & (r > 1)
-                cut = np.r_[0, np.cumsum(use)]
-                kept, where = y[use].view(np.int64), place[use].astype(np.int32)
-                bits = (x & np.uint64(PARITY_BITS - 1)).astype(np.int64)
-                doc = np.searchsorted(first, line[starts], side="right") - 1
-                odd = np.zeros((len(starts), PARITY_BITS), np.uint8)
-                np.bitwise_xor.at(odd, (np.repeat(np.arange(len(starts)), n), bits), 1)
-                odd = np.packbits(odd, axis=1)
-                raw = x.tobytes()
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy()[doc], "key": part["key"].to_numpy()[doc], "line": line[starts] - first[doc], "n": n,
-                    "sid": [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)],
-                    "parity": [o.tobytes() for o in odd],
-                    "prefix": [kept[cut[a] : cut[b]].tobytes() for a, b in zip(starts, ends, strict=True)],
-                    "places": [where[cut[a] : cut[b]].tobytes() for a, b in zip(starts, ends, strict=True)],
-                })
-
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line long, n long, sid binary, parity binary, prefix binary, places binary")
+            at = 0
+            while at < len(batch):  # by the number of lines, as a line number has 16 bits below
+                own, upto, lines = [], at, 0
+                while upto < len(batch) and upto < at + DOCS_AT_ONCE and (upto == at or lines < 20_000):
+                    own.append([x.split() for x in batch["text"].iloc[upto].encode("utf-8", "surrogatepass").lower().split(b"\n")])
+                    lines += len(own[-1])
+                    upto += 1
+                part = batch.iloc[at:upto]
+                at = upto
+                first = np.r_[0, np.cumsum([len(x) for x in own])[:-1]].astype(np.int64)
+                every = list(chain.from_iterable(own))
+                for low in range(0, len(every), 60_000):
+                    yield from rows(part, first, every[low : low + 60_000], low, counts)
+
+    def rows(part: pd.DataFrame, first: np.ndarray, lines: list[list[bytes]], low: int, counts: np.ndarray) -> Iterator[pd.DataFrame]:
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        x = mixed(np.fromiter(map(HASHES.__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum())))
+        if not len(x):
+            return
+        line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+        rare = counts[(x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
+        order = np.argsort((line << np.uint64(48)) | (rare << np.uint64(40)) | (x & np.uint64((1 << 40) - 1)))
+        y, line, rare = x[order], line[order].astype(np.int64), rare[order]
+        new = np.r_[True, (y[1:] != y[:-1]) | (line[1:] != line[:-1])]
+        y, line, rare = y[new], line[new], rare[new]
+        starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        n = np.diff(np.r_[starts, len(y)])
+        length, place = np.repeat(n, n), np.arange(len(y)) - np.repeat(starts, n)
+        use = (place < length - -(-4 * length // 5) + 1) & (length >= LEAST_SET) & (rare > 1)
+        cut = np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8
+        kept, where = y[use].tobytes(), place[use].astype(np.int32).tobytes()
+        number = np.repeat(np.arange(len(starts)), n)
+        odd = np.bincount(number * PARITY_BITS + (y & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(starts) * PARITY_BITS) & 1
+        odd = np.packbits(odd.astype(np.uint8)).tobytes()
+        doc = np.searchsorted(first, line[starts] + low, side="right") - 1
+        raw, ends, wide = y.tobytes(), (np.r_[starts[1:], len(y)] * 8).tolist(), PARITY_BITS // 8
+        c = cut.tolist()
+        yield pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy()[doc], "key": part["key"].to_numpy()[doc], "line": line[starts] + low - first[doc], "n": n,
+            "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends, strict=False)],
+            "parity": [odd[wide * i : wide * (i + 1)] for i in range(len(starts))],
+            "prefix": [kept[a:b] for a, b in zip(c, c[1:], strict=False)],
+            "places": [where[a // 2 : b // 2] for a, b in zip(c, c[1:], strict=False)],
+        })
+
+    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, sid binary, parity binary, prefix binary, places binary")
 
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,14 +129,13 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), sizes) for c in ("cid", "doc_id", "line", "n", "parity")} | {"word": np.frombuffer(b"".join(b["prefix"]), np.int64), "place": np.frombuffer(b"".join(b["places"]), np.int32)})
 
 
-def _passing(rows: pd.DataFrame, first_only: bool) -> np.ndarray:
-    """Pairs (row of the earlier line, row of the later one) in rows sorted by group and position that pass all filters, found offset by offset."""
-    group, n, place = rows["group"].to_numpy(), rows["n"].to_numpy(), rows["place"].to_numpy()
-    own = rows["own"].to_numpy(bool)  # rows that ask for partners
+def _passing(rows: pd.DataFrame, group: np.ndarray, first_only: bool) -> pd.DataFrame:
+    """Pairs (earlier line a, later line b) within groups sorted by position that pass all filters; with first_only the earliest of each b."""
+    n, place = rows["n"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
     bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     begin = np.repeat(start, np.diff(np.r_[start, len(group)]))
-    asks, out, k = np.flatnonzero(own), [], 0
+    asks, out, k = np.flatnonzero(rows["ask"].to_numpy(bool)), [], 0
     while len(asks):
         i = begin[asks] + k  # the group's k-th line: the earliest first
         live = i < asks
@@ -149,44 +149,20 @@ def _passing(rows: pd.DataFrame, first_only: bool) -> np.ndarray:
         if first_only and len(w):
             asks = np.delete(asks, w)
         k += 1
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    cid = rows["cid"].to_numpy()
+    return pd.DataFrame({"a": cid[p[:, 0]], "b": cid[p[:, 1]], "doc": rows["doc_id"].to_numpy()[p[:, 0]], "line": rows["line"].to_numpy()[p[:, 0]]}).drop_duplicates()
 
 
 def _pairs(index: DataFrame, asking: DataFrame | None) -> DataFrame:
-    """Distinct (a, b): class b may go because of class a. The first passing partner in each group, or all partners of the classes in `asking`."""
-    heavy = index.groupBy("word").count().filter(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    rows = index.join(heavy, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    if asking is not None:
+    """Distinct (a, b): class b may go because of class a. The first passing partner of each class, or all partners of the classes in `asking`."""
+    first_only = asking is None
+    rows = index.withColumn("ask", F.lit(True))
+    if not first_only:
         wanted = index.join(asking, "cid", "left_semi").select("word").distinct()
-        rows = rows.join(wanted, "word", "left_semi").join(asking.withColumn("ask", F.lit(True)), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    else:
-        rows = rows.withColumn("ask", F.lit(True))
-    # a word with many lines is cut into blocks, each pair of blocks a group of its own
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
-    parts = rows.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "doc_id", "line", "cid")
-    every = asking is None
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (batch[["word", "lo", "hi"]] == batch[["word", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            held = batch.iloc[cut:].reset_index(drop=True)
-            yield from found(batch.iloc[:cut])
-        if held is not None:
-            yield from found(held)
-
-    def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(x):
-            key = x[["word", "lo", "hi"]].to_numpy()
-            p = _passing(pd.DataFrame({"group": np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(1)]), "n": x["n"].to_numpy(), "place": x["place"].to_numpy(), "own": x["ask"].to_numpy(), "parity": x["parity"].to_numpy()}), every)
-            cid, doc, line = (x[c].to_numpy() for c in ("cid", "doc_id", "line"))
-            yield pd.DataFrame({"a": cid[p[:, 0]], "b": cid[p[:, 1]], "doc": doc[p[:, 0]], "line": line[p[:, 0]]}).drop_duplicates()
-
-    met = parts.select("word", "lo", "hi", "cid", "doc_id", "line", "n", "place", "parity", "ask").mapInPandas(meet, "a long, b long, doc long, line long")
-    if every:  # one partner each, the earliest
+        rows = index.join(wanted, "word", "left_semi").join(asking.withColumn("ask", F.lit(True)), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    met = group_pairs(blocks(rows, "word", "cid", BLOCK), ["word", "lo", "hi"], ["doc_id", "line", "cid"], lambda x, g: _passing(x, g, first_only), "a long, b long, doc long, line int")
+    if first_only:  # one partner each, the earliest
         return met.groupBy("b").agg(F.min_by("a", F.struct("doc", "line", "a")).alias("a")).select("a", "b")
     return met.select("a", "b").distinct()
 
@@ -199,7 +175,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     texts = _keyed(docs).select(F.col("key").alias("h"), "text").filter(maybe_repeated(h.unionByName(h), 2 * keys.count())).join(keys.withColumnRenamed("key", "h"), "h")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
+        hashes = HASHES
         for batch in batches:
             cids, out = [], []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
@@ -233,16 +209,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
     rows = saved(_lines(docs, table).withColumn("uid", F.monotonically_increasing_id()), "lines-rows")
     hashed = rows.withColumn("h", F.xxhash64("sid"))
-    flags = hashed.withColumn("maybe", maybe_repeated(hashed.select("h"), rows.count())).select("uid", "doc_id", "key", "line", "sid", "maybe")
-    flags = saved(flags, "lines-flags")
+    marked = hashed.withColumn("maybe", maybe_repeated(hashed.select("h"), rows.count()))
+    flags = saved(marked.select("uid", "doc_id", "key", "line", "sid", "maybe"), "lines-flags")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
     groups = saved(flags.filter("maybe").groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
-    firsts = flags.filter("not maybe").select(F.col("uid").alias("cid")).unionByName(groups.select("cid"))
     later = flags.filter("maybe").join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line")
-    lines = rows.join(firsts.withColumnRenamed("cid", "uid"), "uid", "left_semi").withColumnRenamed("uid", "cid").filter(F.length("prefix") > 0)
-    big = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    classes = saved(lines.select("cid", big.alias("doc_id"), "key", "line", "n", "parity", "prefix", "places"), "lines-classes")
-    index = saved(classes.mapInPandas(_indexed, "cid long, doc_id long, line long, n long, parity binary, word long, place int"), "lines-index")
+    some = ["uid", "doc_id", "key", "line", "n", "parity", "prefix", "places"]
+    single = marked.filter("not maybe").select(*some)
+    shared = marked.filter("maybe").join(groups.select(F.col("cid").alias("uid")), "uid", "left_semi").select(*some)
+    classes = single.unionByName(shared).filter(F.length("prefix") > 0).withColumnRenamed("uid", "cid").withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    index = classes.mapInPandas(_indexed, "cid long, doc_id long, line int, n int, parity binary, word long, place int")
     tried = _verified(docs, classes, saved(_pairs(index, None), "lines-pairs"))
     failed = saved(tried.filter("not ok").select(F.col("b").alias("cid")).distinct(), "lines-failed")
     gone = tried.filter("ok").select(F.col("b").alias("cid"))

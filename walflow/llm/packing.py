@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from walflow.llm.common import numbered, saved
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 DOCS_AT_ONCE = 500
 #: Separators that Python splits at and the tokenizer does not; what is not plain Latin, where only the tokenizer's own lower-casing is used.
 _ODD, _FOREIGN = re.compile("[\x1c-\x1f]"), re.compile("[^\x00-\u024f]|\u0130|<\\|")
@@ -98,10 +99,11 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return runs
 
 
+@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text.
 
-    For plain Latin text each white-space-free stretch is encoded once and remembered, as this tokenizer never looks across white space.
+    Each white-space-free stretch is encoded once and remembered by the worker process, as this tokenizer never looks across white space.
     """
     from tokenizers import Tokenizer
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -206,6 +207,12 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One for all the tasks that a worker process runs."""
+    return Pieces(path)
+
+
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, ids (binary, little-endian unsigned 32-bit), n_ids, ids_crc32, round_trip.
 
@@ -214,7 +221,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
+        pieces = pieces_of(model_path)
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
@@ -230,7 +237,7 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     """rows (doc_id, ids) -> doc_id, text. Null ids are empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
+        pieces = pieces_of(model_path)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": pieces.decode([x or b"" for x in batch["ids"]])})
 
