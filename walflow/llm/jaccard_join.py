@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from walflow.llm.common import blocks, group_pairs, saved
+from walflow.llm.common import blocks, dropped, group_pairs, saved
 from walflow.llm.components import components
 from walflow.llm.exact_dedup import maybe_repeated
 
@@ -182,8 +182,8 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entry": e, "cid": cid, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), both saved; the classes' index entries (cid, entries)."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All that was parsed; rows (doc_id, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), both saved; the classes' index entries (cid, entries)."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
     keyed = docs.select(*cols).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = saved(keyed.mapInPandas(_parsed, "doc_id long, key long, n long, sid binary, parity binary, entries binary, thin boolean").withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
@@ -198,7 +198,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entered = flagged.filter("not maybe").select("uid", "entries").unionByName(flagged.filter("maybe").select("uid", "entries").join(twice.select("uid"), "uid", "left_semi"))
     single = flagged.filter("not maybe").select(*kept, F.col("doc_id").alias("least_doc"))
     shared = flagged.filter("maybe").select(*kept).join(twice, "uid").select(*kept, "least_doc")
-    return saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), entered.withColumnRenamed("uid", "cid")
+    return rows, saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), entered.withColumnRenamed("uid", "cid")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -217,7 +217,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
                 yield pd.DataFrame({"cid": part["cid"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist(), hashes)]})
 
-    held = saved(texts.mapInPandas(sets, "cid long, set binary"), "jaccard-sets").dropDuplicates(["cid"])
+    parsed = saved(texts.mapInPandas(sets, "cid long, set binary"), "jaccard-sets")
+    held = parsed.dropDuplicates(["cid"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -229,7 +230,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
         return pd.Series(out, dtype=bool)
 
     left = pairs.join(held.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
-    return saved(left.join(held.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b").withColumn("ok", similar("set_a", "set_b")).select("a", "b", "ok"), "jaccard-verified")
+    out = saved(left.join(held.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b").withColumn("ok", similar("set_a", "set_b")).select("a", "b", "ok"), "jaccard-verified")
+    dropped(parsed)
+    return out
 
 
 def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
@@ -288,11 +291,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Rows with equal shingle sets share class_id. Null text is empty; texts without words have n_shingles 0 and their own doc_id. Repeated rows are
     copies of each other. Empty tables give empty results; other columns are not read.
     """
-    members, classes, entered = _classes(docs)
-    index = entered.mapInPandas(_indexed, "entry long, cid long, up long")
-    w = Window.partitionBy("entry", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1)).orderBy("cid")
-    met = index.withColumn("before", F.lag("cid").over(w)).withColumn("after", F.lead("cid").over(w)).filter("up <> -1 or before is not null or after is not null")
+    rows, members, classes, entered = _classes(docs)
+    index = entered.mapInPandas(_indexed, "entry long, cid long, up long").withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
+    w = Window.partitionBy("entry", "salt").orderBy("cid")
+    met = index.select("entry", "cid", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after")).filter("up <> -1 or before is not null or after is not null")
     shared = saved(met.select("entry", "cid", "up"), "jaccard-shared")
+    dropped(rows)
     least = shared.filter("up < 0").groupBy("entry").agg(F.min("cid").alias("least"))
     star = shared.filter("up < 0").join(least, "entry").select("cid", F.col("least").alias("to")).unionByName(shared.filter("up >= 0").select("cid", F.col("up").alias("to"))).filter("cid <> to")
     best = star.groupBy("cid", "to").agg(F.count(F.lit(1)).alias("times")).groupBy("cid").agg(F.max_by("to", F.struct("times", -F.col("to"))).alias("to"))

@@ -154,13 +154,15 @@ def _passing(rows: pd.DataFrame, group: np.ndarray, first_only: bool) -> pd.Data
     return pd.DataFrame({"a": cid[p[:, 0]], "b": cid[p[:, 1]], "doc": rows["doc_id"].to_numpy()[p[:, 0]], "line": rows["line"].to_numpy()[p[:, 0]]}).drop_duplicates()
 
 
-def _pairs(index: DataFrame, asking: DataFrame | None) -> DataFrame:
+def _pairs(classes: DataFrame, asking: DataFrame | None) -> DataFrame:
     """Distinct (a, b): class b may go because of class a. The first passing partner of each class, or all partners of the classes in `asking`."""
     first_only = asking is None
+    schema = "cid long, doc_id long, line int, n int, parity binary, word long, place int"
+    index = classes.mapInPandas(_indexed, schema)
     rows = index.withColumn("ask", F.lit(True))
-    if not first_only:
-        wanted = index.join(asking, "cid", "left_semi").select("word").distinct()
-        rows = index.join(wanted, "word", "left_semi").join(asking.withColumn("ask", F.lit(True)), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+    if not first_only:  # a Bloom filter of the asking classes' words, so that the rest of the index stays where it is
+        words = saved(classes.join(asking, "cid", "left_semi").mapInPandas(_indexed, schema).select(F.col("word").alias("h")).distinct(), "lines-words")
+        rows = index.withColumn("h", F.col("word")).filter(maybe_repeated(words.unionByName(words), 2 * words.count())).drop("h").join(asking.withColumn("ask", F.lit(True)), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
     met = group_pairs(blocks(rows, "word", "cid", BLOCK), ["word", "lo", "hi"], ["doc_id", "line", "cid"], lambda x, g: _passing(x, g, first_only), "a long, b long, doc long, line int")
     if first_only:  # one partner each, the earliest
         return met.groupBy("b").agg(F.min_by("a", F.struct("doc", "line", "a")).alias("a")).select("a", "b")
@@ -218,12 +220,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     single = marked.filter("not maybe").select(*some)
     shared = marked.filter("maybe").join(groups.select(F.col("cid").alias("uid")), "uid", "left_semi").select(*some)
     classes = single.unionByName(shared).filter(F.length("prefix") > 0).withColumnRenamed("uid", "cid").withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    index = classes.mapInPandas(_indexed, "cid long, doc_id long, line int, n int, parity binary, word long, place int")
-    tried = _verified(docs, classes, saved(_pairs(index, None), "lines-pairs"))
+    tried = _verified(docs, classes, saved(_pairs(classes, None), "lines-pairs"))
     failed = saved(tried.filter("not ok").select(F.col("b").alias("cid")).distinct(), "lines-failed")
     gone = tried.filter("ok").select(F.col("b").alias("cid"))
     if failed.head(1):
-        rest = saved(_pairs(index, failed).join(tried, ["a", "b"], "left_anti"), "lines-pairs")
+        rest = saved(_pairs(classes, failed).join(tried, ["a", "b"], "left_anti"), "lines-pairs")
         gone = gone.unionByName(_verified(docs, classes, rest).filter("ok").select(F.col("b").alias("cid"))).distinct()
     near = rows.select(F.col("uid").alias("cid"), "doc_id", "key", "line").join(gone, "cid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
