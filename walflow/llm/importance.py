@@ -30,15 +30,15 @@ KEY_BITS, KEY_SCALE = 44, 1 << 16
 
 
 class _Words(dict):
-    """Word -> (hash, shape), kept for words seen before."""
+    """Word -> 55 bits of hash above 8 bits of shape, kept for words seen before."""
 
-    def __missing__(self, w: str) -> tuple[int, int]:
+    def __missing__(self, w: str) -> int:
         if len(self) > 400_000:
             self.clear()
         core = w.rstrip("".join({c for c in w[-4:] if not c.isalnum()}))
         case = "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core.islower() else "d" if core.isdigit() else "o"
         shape = xxhash.xxh32_intdigest(case + w[len(core) :][-1:]) & 255
-        out = self[w] = (xxhash.xxh64_intdigest(core.lower() or w) & 0x7FFFFFFFFFFFFFFF, shape)
+        out = self[w] = (xxhash.xxh64_intdigest(core.lower() or w) & 0x7FFFFFFFFFFFFF00) | shape
         return out
 
 
@@ -53,8 +53,8 @@ def ngrams(texts: list[str], words: dict) -> tuple[np.ndarray, np.ndarray]:
     n = int(lengths.sum())
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.array(list(map(words.__getitem__, chain.from_iterable(split))), np.int64)
-    h, shape, doc = x[:, 0].view(np.uint64), x[:, 1].copy(), np.repeat(np.arange(len(texts)), lengths)
+    x = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, n)
+    h, shape, doc = (x >> 8).view(np.uint64), x & 255, np.repeat(np.arange(len(texts)), lengths)
     for back in (1, 2, 3):
         again = np.zeros(n, bool)
         again[back:] = (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
@@ -129,30 +129,35 @@ def dividing_line(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[cut - 1] + w[cut]) / 2) if 0 < cut < len(w) else (-np.inf if cut == 0 else np.inf)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """docs' rows that are drawn, with all columns and n_ngrams, log_weight, sampling_key, kept (true).
-
-    Null text is empty and weighs 0, like a text of unknown worth. Rows with the same doc_id and text have the same key and are drawn together, as are rows
-    tied with the k-th. Without labels of both kinds every row is drawn. Empty tables give empty results. Only text, doc_id and labels are read for the decision.
-    """
+def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
+    """The score function, all rows' scores (saved), and the least sampling key that is drawn."""
     labelled = saved(label_sample(labels, sample), "importance-labels")
-    ratios = log_ratios(docs, labelled)
-    score = _scorer(docs, ratios, seed)
+    score = _scorer(docs, log_ratios(docs, labelled), seed)
     given = F.col("doc_id").cast("long")
     scores = saved(docs.select(given.alias("doc_id"), score(given, F.col("text")).alias("s")).select("doc_id", "s.*"), "importance-scores")
     fit = scores.join(F.broadcast(labelled), "doc_id").select("log_weight", "good").limit(4 * sample).toPandas()
     line = dividing_line(fit["log_weight"].to_numpy(float), fit["good"].to_numpy(bool))
-    k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count()
-    least = -np.inf
-    as_key = (F.lit(1 << (KEY_BITS - 1)) - F.greatest(F.least(F.floor(F.col("sampling_key") * KEY_SCALE), F.lit((1 << (KEY_BITS - 1)) - 1)), F.lit(-(1 << (KEY_BITS - 1)) + 1))).cast("long")
-    if k:
-        cut = weighted_cuts(scores, F.lit(0), as_key, F.lit(1), {0: k}, KEY_BITS + 1)[0][0]
-        least = ((1 << (KEY_BITS - 1)) - cut) / KEY_SCALE
-    named = docs.select(F.struct(*docs.columns).alias("row"))
-    drawn = named.withColumn("s", score(F.col("row.doc_id").cast("long"), F.col("row.text")))
-    return drawn.filter((F.col("s.sampling_key") >= least) if k else F.lit(False)).select("row", "s.n_ngrams", "s.log_weight", "s.sampling_key", F.lit(True).alias("kept"))
+    k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count() * int(line < 0)
+    if not k:
+        return score, scores, float("inf")
+    half = 1 << (KEY_BITS - 1)
+    whole = F.greatest(F.least(F.floor(F.col("sampling_key") * KEY_SCALE), F.lit(half - 1)), F.lit(1 - half))
+    cut = weighted_cuts(scores, F.lit(0), (F.lit(half) - whole).cast("long"), F.lit(1), {0: k}, KEY_BITS + 1)[0][0]
+    return score, scores, (half - cut) / KEY_SCALE
+
+
+def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are drawn: doc_id, n_ngrams, log_weight, sampling_key, kept (true).
+
+    Null text is empty and weighs 0, like a text of unknown worth. Rows with the same doc_id and text have the same key and are drawn together, as are rows
+    tied with the k-th. Without labels of both kinds every row is drawn. Empty tables give empty results. Only text, doc_id and labels are read.
+    """
+    _, scores, least = _drawing(docs, labels, seed, sample)
+    return scores.filter(F.col("sampling_key") >= least).withColumn("kept", F.lit(True))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' rows that are drawn, columns unchanged."""
-    return resampled(docs, labels).select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are drawn, all columns unchanged; scored again on the way, which spares a join by row."""
+    score, _, least = _drawing(docs, labels, seed, sample)
+    named = docs.select(F.struct(*docs.columns).alias("row"))
+    return named.filter(score(F.col("row.doc_id").cast("long"), F.col("row.text"))["sampling_key"] >= least).select("row.*")

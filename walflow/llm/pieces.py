@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 500_000
+CACHE = 1_000_000  # words that a worker remembers, some 200 bytes each
 WORDS_AT_ONCE = 20_000
-DOCS_AT_ONCE = 200
+DOCS_AT_ONCE = 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +99,7 @@ class Pieces:
             if ok is None:
                 a, b = self._name((key >> 24) - (1 << 23)), self._name((key & 0xFFFFFF) - (1 << 23))
                 ok = self._merged(a + b) == [a, b]
-                if len(self.fits) > 2 * CACHE:
+                if len(self.fits) > CACHE:
                     self.fits.clear()
                 self.fits[key] = ok
             out[j] = ok
@@ -172,7 +172,7 @@ class Pieces:
 
     def _learn(self, words: set[str], known: dict[str, bytes]) -> None:
         split = {w: self._split(SPACE + w) for w in words}
-        if len(self.parts) > CACHE:
+        if len(self.parts) > CACHE // 2:
             self.parts.clear()
         by_length: dict[int, list[str]] = {}
         for part in {p for ps in split.values() for p in ps if p not in self.parts}:

@@ -17,7 +17,7 @@ from walflow.llm.pieces import encoded
 from walflow.llm.pii import find_pii
 
 QUERIES = {
-    "op1_importance_resampling": lambda spark, d: resampled(table(spark, d, "documents"), table(spark, d, "labels")).select("row.doc_id", "n_ngrams", "log_weight", "sampling_key", "kept"),
+    "op1_importance_resampling": lambda spark, d: resampled(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_kd_tree_shards": lambda spark, d: kd_shards(table(spark, d, "documents"), 40),
     "op3_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op4_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
