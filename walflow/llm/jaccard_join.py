@@ -235,6 +235,19 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return out
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that the exact bounds on sizes and parity bits leave, before any text is read for them."""
+
+    @F.pandas_udf("boolean")
+    def near(p: pd.Series, q: pd.Series, most: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (p, q))
+        return pd.Series(np.bitwise_count(x ^ y).sum(1) <= most.to_numpy())
+
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    return both.filter(near("p_a", "p_b", F.floor((F.col("n_a") + F.col("n_b")) / 9))).select("a", "b")
+
+
 def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
     """Pairs within groups that lie in different components and pass the bounds on sizes and parity bits, found offset by offset."""
     cid, n, root = (rows[c].to_numpy() for c in ("cid", "n", "root"))
@@ -300,7 +313,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = shared.filter("up < 0").groupBy("entry").agg(F.min("cid").alias("least"))
     star = shared.filter("up < 0").join(least, "entry").select("cid", F.col("least").alias("to")).unionByName(shared.filter("up >= 0").select("cid", F.col("up").alias("to"))).filter("cid <> to")
     best = star.groupBy("cid", "to").agg(F.count(F.lit(1)).alias("times")).groupBy("cid").agg(F.max_by("to", F.struct("times", -F.col("to"))).alias("to"))
-    pairs = saved(best.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct(), "jaccard-pairs")
+    pairs = saved(_plausible(best.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct(), classes), "jaccard-pairs")
     tried = _verified(docs, classes, pairs)
     links = tried.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = _unsettled(shared, components(links), classes)
