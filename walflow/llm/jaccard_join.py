@@ -35,7 +35,7 @@ from walflow.llm.exact_dedup import maybe_repeated
 WORDS = 5
 LEAST_SET = 4  # smaller sets are at 0.8 only if equal
 GROWTH = 1.6
-PARITY_BITS = 1024
+LEAST_PARITY, MOST_PARITY = 512, 1 << 17
 BLOCK = 1000
 DOCS_AT_ONCE = 200
 
@@ -148,8 +148,32 @@ def entries(x: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def parity(x: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of shingles falls on i. Two sets differ in at least as many shingles as bits."""
-    return np.packbits((np.bincount((x & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+    """Bit i: whether an odd number of shingles falls on i, over as many bits as the set has shingles, rounded up to a power of two."""
+    bits = min(MOST_PARITY, max(LEAST_PARITY, 1 << (len(x) - 1).bit_length() if len(x) else 0))
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """Lower bounds on the differences of pairs of sets: the parity bits in which they differ, the wider one folded in half."""
+
+    def __init__(self, parities: list[bytes]) -> None:
+        self.width = np.array([len(p) for p in parities])
+        self.at, self.bits = {}, {}
+        for w in np.unique(self.width):
+            own, wide = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            x = np.frombuffer(b"".join(parities[i] for i in own), np.uint64).reshape(len(own), -1)
+            y = np.frombuffer(b"".join(parities[i] for i in wide), np.uint64).reshape(len(wide), 2, -1)
+            self.at[w] = np.zeros(len(parities), np.int64)
+            self.at[w][np.r_[own, wide]] = np.arange(len(own) + len(wide))
+            self.bits[w] = np.concatenate([x, (y[:, 0] ^ y[:, 1]).reshape(len(wide), x.shape[1])])
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs whose sizes differ by a factor below two."""
+        out, w = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for k in np.unique(w):
+            for some in np.array_split(np.flatnonzero(w == k), max(1, len(i) * int(k) >> 25)):  # some 32 MB at a time
+                out[some] = np.bitwise_count(self.bits[k][self.at[k][i[some]]] ^ self.bits[k][self.at[k][j[some]]]).sum(1)
+        return out
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,8 +264,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(p: pd.Series, q: pd.Series, most: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (p, q))
-        return pd.Series(np.bitwise_count(x ^ y).sum(1) <= most.to_numpy())
+        k = np.arange(len(p))
+        return pd.Series(Parities([*p, *q]).differ(k, k + len(p)) <= most.to_numpy())
 
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
@@ -251,7 +275,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
     """Pairs within groups that lie in different components and pass the bounds on sizes and parity bits, found offset by offset."""
     cid, n, root = (rows[c].to_numpy() for c in ("cid", "n", "root"))
-    bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
+    bits = Parities(rows["parity"].tolist())
     found, step, left = [], 1, np.arange(len(rows) - 1)
     while len(left):
         left = left[left + step < len(rows)]
@@ -259,7 +283,7 @@ def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         i, j = left, left + step
         ok = (root[i] != root[j]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])
         i, j = i[ok], j[ok]
-        near = np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= (n[j] + n[i]) // 9 if len(i) else np.zeros(0, bool)
+        near = bits.differ(i, j) <= (n[j] + n[i]) // 9
         found.append(np.stack([np.minimum(cid[i], cid[j])[near], np.maximum(cid[i], cid[j])[near]], 1))
         step += 1
     x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
