@@ -161,11 +161,11 @@ class Parities:
         self.at, self.bits = {}, {}
         for w in np.unique(self.width):
             own, wide = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
-            x = np.frombuffer(b"".join(parities[i] for i in own), np.uint64).reshape(len(own), -1)
-            y = np.frombuffer(b"".join(parities[i] for i in wide), np.uint64).reshape(len(wide), 2, -1)
+            x = np.frombuffer(b"".join(parities[i] for i in own), np.uint64).reshape(len(own), int(w) // 8)
+            y = np.frombuffer(b"".join(parities[i] for i in wide), np.uint64).reshape(len(wide), 2, int(w) // 8)
             self.at[w] = np.zeros(len(parities), np.int64)
             self.at[w][np.r_[own, wide]] = np.arange(len(own) + len(wide))
-            self.bits[w] = np.concatenate([x, (y[:, 0] ^ y[:, 1]).reshape(len(wide), x.shape[1])])
+            self.bits[w] = np.concatenate([x, y[:, 0] ^ y[:, 1]])
 
     def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For pairs whose sizes differ by a factor below two."""
