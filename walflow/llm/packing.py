@@ -26,9 +26,9 @@ END_ID = 0
 CACHE_WORDS = 900_000
 DOCS_AT_ONCE = 500
 #: Separators that Python splits at and the tokenizer does not; what is not plain Latin, where only the tokenizer's own lower-casing is used.
-_ODD, _FOREIGN = re.compile("[\x1c-\x1f]"), re.compile("[^\x00-\u024f]|\u0130|<\\|")
-#: A full stop or comma that ends a lower-case word and a stretch: a token of its own, so that the word is remembered once.
-_STOP = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u024f])([.,])(?!\\S)")
+_ODD, _FOREIGN = "\x1c\x1d\x1e\x1f", re.compile("[^\x00-\u024f]|\u0130")
+#: Lower-case letters, then signs other than the apostrophe, which begins parts of its own: each of the two is one part to the tokenizer.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class OpenBins:
@@ -103,25 +103,51 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
 def word_tokenizer(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text.
 
-    Each white-space-free stretch is encoded once and remembered by the worker process, as this tokenizer never looks across white space.
+    Each white-space-free stretch is encoded once and remembered by the worker process, as this tokenizer never looks across white space. Of a lower-case
+    Latin word with signs behind it the tokenizer makes two parts; these go to its merges directly and are remembered on their own too.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
+    merges, as_bytes = tok.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {"": b""}
+
+    def numbers(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def part(p: str) -> bytes:
+        ids = parts.get(p)
+        if ids is None:
+            ids = parts[p] = numbers([t.id for t in merges.tokenize(p if p.isascii() else as_bytes.pre_tokenize_str(p)[0][0])])
+        return ids
+
+    def learn(words: set[str]) -> None:
+        others = []
+        if len(parts) > CACHE_WORDS // 2:
+            parts.clear()
+            parts[""] = b""
+        for w in words:
+            if plain := _PLAIN.fullmatch(w):
+                known[w] = part(plain[1]) + part(plain[2])
+            else:
+                others.append(w)
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            known.update(zip(some, (numbers(e.ids) for e in tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
 
     def encode(text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split() if _FOREIGN.search(text) else _STOP.sub(r" \1", text.lower()).split()
-        if new := list({w for w in words if w not in known}):
-            if len(known) + len(new) > CACHE_WORDS:
+        if any(c in text for c in _ODD):
+            return numbers(tok.encode(text, add_special_tokens=False).ids)
+        plain = "<|" not in text and (text.isascii() or not _FOREIGN.search(text))
+        words = (text.lower() if plain else text).split()
+        ids = list(map(known.get, words))
+        if None in ids:
+            if len(known) > CACHE_WORDS:
                 known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return b"".join(map(known.__getitem__, words))
+            learn(set(words).difference(known))
+            ids = map(known.__getitem__, words)
+        return b"".join(ids)
 
     return encode
 
