@@ -10,8 +10,8 @@ The noise comes from a hash of the row, so a task that runs again draws the same
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,47 +25,94 @@ BUCKETS = 1 << 15
 SAMPLE = 20_000
 SMOOTHING = 0.5
 PRIOR = 100_000  # n-grams' worth of the raw model mixed into the target's counts, so that few labels say little about rare n-grams
-DOCS_AT_ONCE = 200
+PART_CHARS, WINDOW = 2_000_000, 1 << 18
 KEY_BITS, KEY_SCALE = 44, 1 << 16
 
 
-class _Words(dict):
-    """Word -> 55 bits of hash above 8 bits of shape, kept for words seen before."""
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_SPACE = re.compile(rb"[\x09-\x0D\x1C-\x20]")
+#: Of each byte: upper case 1, lower case 2 (and all of other scripts), digit 4, white space 8, anything else 0.
+_KIND = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b > 127 else 4 if 48 <= b <= 57 else 8 if _SPACE.match(bytes([b])) else 0 for b in range(256)], np.uint8)
+_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)  # one more than the lower-case byte, so that none is zero
+_SIGN = np.where(_KIND == 0, np.cumsum(_KIND == 0), 0)  # numbers the signs that may end a word, from 1
+_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
-    def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        core = w.rstrip("".join({c for c in w[-4:] if not c.isalnum()}))
-        case = "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core.islower() else "d" if core.isdigit() else "o"
-        shape = xxhash.xxh32_intdigest(case + w[len(core) :][-1:]) & 255
-        out = self[w] = (xxhash.xxh64_intdigest(core.lower() or w) & 0x7FFFFFFFFFFFFF00) | shape
-        return out
 
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
+    if len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, p, np.uint64)]) for p in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))]
+    return _powers
 
-#: One store for all the tasks that a worker process runs.
-WORDS = _Words()
 
+def words_of(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and shape of each word of a stretch of UTF-8 that no word crosses.
 
-def ngrams(texts: list[str], words: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of each n-gram of the texts."""
-    split = [t.split() for t in texts]
-    lengths = np.array([len(s) for s in split], np.int64)
-    n = int(lengths.sum())
-    if not n:
+    Words stand between ASCII white space. The hash is that of the word with A-Z lower-cased and without up to four ASCII signs at its end (all of it, if
+    nothing else is left); the shape, below 256, is made of its case and the sign it ends in.
+    """
+    raw = np.frombuffer(window, np.uint8)
+    kind = _KIND[raw]
+    edge = np.diff(np.r_[True, kind == 8, True].astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return start, np.zeros(0, np.uint64), start
+    core = end.copy()
+    for _ in range(4):
+        core -= (core > start) & (kind[core - 1] == 0)
+    kinds = np.bitwise_or.reduceat(kind & 7, start)
+    case = np.select([(kinds & 3 == 1) & (core - start > 1), kind[start] == 1, kinds & 3 == 2, kinds == 4], [0, 1, 2, 3], 4)
+    core = np.where(core == start, end, core)
+    power, inverse = _powers_to(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_LOWER[raw] * power[: len(raw)])]
+        h = (sums[core] - sums[start]) * inverse[start]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(_MULTIPLIER)
+    return start, h ^ (h >> np.uint64(29)), case * 51 + np.minimum(_SIGN[raw[end - 1]], 50)
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of each n-gram of the texts. The bytes are gone through in windows, so that little beside the words is held."""
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    whole, at, found = b"\n".join(coded), 0, []
+    while at < len(whole):
+        stop = _SPACE.search(whole, at + WINDOW)
+        upto = stop.end() if stop else len(whole)
+        start, h, shape = words_of(whole[at:upto])
+        found.append((start + at, h, shape))
+        at = upto
+    if not sum(len(f[0]) for f in found):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, n)
-    h, shape, doc = (x >> 8).view(np.uint64), x & 255, np.repeat(np.arange(len(texts)), lengths)
+    start, h, shape = (np.concatenate(x) for x in zip(*found, strict=True))
+    ends = np.cumsum([len(c) + 1 for c in coded])
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.r_[0, ends])))
+    n = len(h)
     for back in (1, 2, 3):
         again = np.zeros(n, bool)
         again[back:] = (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
         shape[again] |= 256
     with np.errstate(over="ignore"):
-        mul = np.uint64(0x9E3779B97F4A7C15)
+        mul = np.uint64(_MULTIPLIER)
         pair = doc[1:] == doc[:-1]
-        one, two = h * mul, (h[:-1] * mul ^ h[1:]) * mul
+        one = h * mul
+        two = (one[:-1] ^ h[1:]) * mul
         form = ((shape[:-1] * 512 + shape[1:]).astype(np.uint64) + np.uint64(1 << 40)) * mul
         bucket = np.concatenate([one, two[pair], form[pair]]) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.concatenate([doc, doc[1:][pair], doc[1:][pair]]), bucket.astype(np.int64)
+    later = doc[1:][pair]
+    return np.concatenate([doc, later, later]), bucket.astype(np.int64)
+
+
+def _in_parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) in parts of bounded length; a longer text is a part of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > PART_CHARS:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(t)
+    if texts:
+        yield first, texts[first:]
 
 
 def label_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -78,13 +125,13 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log p_target - log p_raw for each bucket; all zero without a good label."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, raw, target = WORDS, np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), DOCS_AT_ONCE):
-                part = batch.iloc[at : at + DOCS_AT_ONCE]
-                doc, bucket = ngrams([t or "" for t in part["text"]], words)
+            good = np.array([x is True or x == 1 for x in batch["good"]], bool)
+            for first, texts in _in_parts([t or "" for t in batch["text"]]):
+                doc, bucket = ngrams(texts)
                 raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[np.array([x is True or x == 1 for x in part["good"]], bool)[doc]], minlength=BUCKETS)
+                target += np.bincount(bucket[good[first + doc]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
 
@@ -105,11 +152,10 @@ def _scorer(docs: DataFrame, ratios: np.ndarray, seed: int):
 
     @F.pandas_udf("n_ngrams long, log_weight double, sampling_key double")
     def score(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
-        texts, ids, words = [t or "" for t in text], doc_id.tolist(), _Words()
+        texts, ids = [t or "" for t in text], doc_id.tolist()
         n, w = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for at in range(0, len(texts), DOCS_AT_ONCE):
-            some = texts[at : at + DOCS_AT_ONCE]
-            doc, bucket = ngrams(some, words)
+        for at, some in _in_parts(texts):
+            doc, bucket = ngrams(some)
             n[at : at + len(some)] = np.bincount(doc, minlength=len(some))
             w[at : at + len(some)] = np.bincount(doc, weights=held.value[bucket], minlength=len(some))
         u = np.array([(xxhash.xxh64_intdigest(f"{seed}:{i}:{t}".encode("utf-8", "surrogatepass")) + 0.5) / 2.0**64 for i, t in zip(ids, texts, strict=True)])
