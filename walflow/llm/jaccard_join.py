@@ -9,8 +9,10 @@ depth 1: the subsets alone. Only non-empty subsets are indexed, and a set needs
 depth 2: half as many segments, each indexed by its subset and by every subset with one shingle deleted. Segments may then differ in one shingle.
 
 Equal sets are one class; only class representatives are indexed. Rows of an index bucket are linked to the bucket's smallest class, one partner each is
-verified first, and only buckets whose members are then still in different components are compared in full, in blocks, after exact bounds on sizes and on
-the parity bits of both sets. No link between different sets is lost; the pairs inside a group that is already connected are never made.
+verified first. Buckets whose members are then still in different components are compared in blocks, after exact bounds on sizes and on the parity bits of
+both sets, in two rounds: the first makes no more pairs than would connect the components that meet in a batch of buckets, as a pair of near copies meets in
+many buckets; the last makes all pairs of what is still apart. No link between different sets is lost; the pairs inside a group that is already connected
+are never made.
 """
 
 from __future__ import annotations
@@ -272,33 +274,59 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(near("p_a", "p_b", F.floor((F.col("n_a") + F.col("n_b")) / 9))).select("a", "b")
 
 
-def _close(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-    """Pairs within groups that lie in different components and pass the bounds on sizes and parity bits, found offset by offset."""
-    cid, n, root = (rows[c].to_numpy() for c in ("cid", "n", "root"))
+def _joining(side: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Of pairs (i, j) those that connect sides not connected by the pairs before, and the sides after that."""
+    up = list(range(int(side.max()) + 1))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    used = []
+    for k, (x, y) in enumerate(zip(side[i].tolist(), side[j].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            used.append(k)
+    return used, np.array([top(x) for x in range(len(up))])[side]
+
+
+def _close(rows: pd.DataFrame, group: np.ndarray, forest: bool) -> pd.DataFrame:
+    """Pairs within groups that lie in different components and pass the bounds on sizes and parity bits, found offset by offset.
+
+    With forest only as many as would connect the components.
+    """
+    cid, n = rows["cid"].to_numpy(), rows["n"].to_numpy()
+    side = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
     bits = Parities(rows["parity"].tolist())
     found, step, left = [], 1, np.arange(len(rows) - 1)
     while len(left):
         left = left[left + step < len(rows)]
         left = left[group[left + step] == group[left]]
         i, j = left, left + step
-        ok = (root[i] != root[j]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])
+        ok = (side[i] != side[j]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])
         i, j = i[ok], j[ok]
         near = bits.differ(i, j) <= (n[j] + n[i]) // 9
-        found.append(np.stack([np.minimum(cid[i], cid[j])[near], np.maximum(cid[i], cid[j])[near]], 1))
+        i, j = i[near], j[near]
+        if forest and len(i):
+            used, side = _joining(side, i, j)
+            i, j = i[used], j[used]
+        found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], 1))
         step += 1
     x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
 
 
-def _unsettled(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but, so far, no component."""
+def _unsettled(shared: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes that share a bucket but, so far, no component (see _close()), and the rows of such buckets, which hold all that a later round needs."""
     info = saved(shared.select("cid").distinct().join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "jaccard-rooted")
     placed = shared.select("entry", "cid").join(info, "cid")
     spread = placed.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("entry")
     rows = saved(placed.join(spread, "entry", "left_semi"), "jaccard-unsettled")
     facts = rows.select("cid").distinct().join(classes.select("cid", "n", "parity"), "cid")
     full = blocks(rows, "entry", "cid", BLOCK).join(facts, "cid")
-    return group_pairs(full, ["entry", "lo", "hi"], ["cid"], _close, "a long, b long").distinct()
+    return group_pairs(full, ["entry", "lo", "hi"], ["cid"], lambda x, g: _close(x, g, forest), "a long, b long").distinct(), rows
 
 
 def _thin_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -340,11 +368,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = saved(_plausible(best.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct(), classes), "jaccard-pairs")
     tried = _verified(docs, classes, pairs)
     links = tried.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = _unsettled(shared, components(links), classes)
-    thin = _thin_pairs(docs, classes)
-    more = more if thin is None else more.unionByName(thin).distinct()
-    late = _verified(docs, classes, saved(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"))
-    roots = components(links.unionByName(late.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    roots = components(links)
+    for forest in (True, False):
+        more, shared = _unsettled(shared, roots, classes, forest)
+        thin = None if forest else _thin_pairs(docs, classes)
+        more = more if thin is None else more.unionByName(thin).distinct()
+        pairs = saved(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if pairs.head(1):
+            late = _verified(docs, classes, pairs)
+            tried, links = tried.unionByName(late), links.unionByName(late.filter("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
+            roots = components(links)
     rooted = classes.select("cid", "least_doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least_doc = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = rooted.select("cid", "root").join(least_doc, "root").select("cid", "component_id")
