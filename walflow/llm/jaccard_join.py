@@ -371,6 +371,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links)
     for forest in (True, False):
         more, shared = _unsettled(shared, roots, classes, forest)
+        if forest:  # what else is near in a bucket lies in components that these pairs touch
+            more = saved(more, "jaccard-forest")
+            touched = more.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(shared.select("cid", "root").distinct(), "cid").select("root").distinct()
+            shared = shared.join(touched, "root", "left_semi").select("entry", "cid")
         thin = None if forest else _thin_pairs(docs, classes)
         more = more if thin is None else more.unionByName(thin).distinct()
         pairs = saved(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
