@@ -247,3 +247,16 @@ def test_importance(spark, docs, none):
     d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
     assert {x["doc_id"] for x in resampled(d, labels).collect()} == {i for i in range(400) if i % 4}
     assert keep_good(d, labels).count() == 300 and keep_good(docs, labels.limit(0)).count() == len(ROWS) and resampled(none, labels).count() == 0
+
+
+def test_importance_of_copies(spark):
+    """A good document stays with thousands of unlabelled copies of it, and copies do not change weights."""
+    r = random.Random(9)
+    good, words = ["g%d" % i for i in range(300)], ["BUY%d!!" % i for i in range(300)]
+    rows = [(i, " ".join(r.choice(good if i % 4 else words) for _ in range(60))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    copied = [(1000 + i, rows[1][1] if i % 2 else rows[1][1].replace(" ", "\n ")) for i in range(3000)]
+    few = {x["doc_id"]: x["log_weight"] for x in resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    many = {x["doc_id"]: x["log_weight"] for x in resampled(spark.createDataFrame(rows + copied, "doc_id long, text string").repartition(5), labels).collect()}
+    assert set(few) == {i for i in range(400) if i % 4} and set(many) == set(few) | {i for i, _ in copied}
+    assert all(abs(many[i] - few[i]) < 1e-9 for i in few)

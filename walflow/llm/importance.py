@@ -1,7 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k over the log weights.
 
-The target model counts the n-grams of labelled good documents, a sample of at most SAMPLE labels; the raw model counts those of all documents. A
-document's log weight is the sum over its n-grams of log p_target - log p_raw, with n-grams hashed into BUCKETS: words, pairs of words, and pairs of word
+The target model counts the n-grams of labelled good documents, a sample of at most SAMPLE labels; the raw model counts those of all documents. Both
+count a text once, however many rows hold it (with exact dedup's equality), so that copying a document does not change its weight; in the target model
+a text counts by the share of its labelled rows that are good. Copies are found with exact dedup's Bloom filter, so that only their rows shuffle. A document's log weight is the sum over its n-grams of log p_target - log p_raw, with n-grams hashed into BUCKETS: words, pairs of words, and pairs of word
 shapes (case, last sign, whether the word has just occurred). k documents are drawn without replacement by adding Gumbel noise to the log weights and
 taking the k largest; k is the number of documents whose weight is above the line that best parts the labelled sample.
 
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walflow.llm.common import saved, weighted_cuts
+from walflow.llm.exact_dedup import maybe_repeated, normalised
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
 SMOOTHING = 0.5
+WHOLE = 1 << 16  # the target's counts are whole numbers of 1 / WHOLE, so that sums are the same in any order
 PRIOR = 100_000  # n-grams' worth of the raw model mixed into the target's counts, so that few labels say little about rare n-grams
 PART_CHARS, WINDOW = 2_000_000, 1 << 18
 KEY_BITS, KEY_SCALE = 44, 1 << 16
@@ -121,28 +124,50 @@ def label_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return one.select("doc_id", (F.col("lo") > 0).alias("good"), F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(most).select("doc_id", "good")
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw for each bucket; all zero without a good label."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and 128 bits of hash by which rows hold the same text or not; the n-grams of rows with equal hashes are the same."""
+    same = normalised(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(same).alias("h"), F.xxhash64(F.lit(1), same).alias("h2"))
+
+
+def each_text_once(docs: DataFrame) -> DataFrame:
+    """The column text: one row for each text of docs. Texts whose hash occurs once pass straight through; of the others one row a text and task shuffles."""
+    hashed = _hashed(docs)
+    hashes = saved(hashed.select("h"), "importance-hashes")
+    flagged = hashed.withColumn("maybe", maybe_repeated(hashes, hashes.count()))
+    return flagged.filter(~F.col("maybe")).select("text").unionByName(flagged.filter("maybe").groupBy("h", "h2").agg(F.first("text").alias("text")).select("text"))
+
+
+def _counted(texts: DataFrame) -> dict[int, int]:
+    """Bucket -> number of n-grams of texts (text, weight)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            good = np.array([x is True or x == 1 for x in batch["good"]], bool)
-            for first, texts in _in_parts([t or "" for t in batch["text"]]):
-                doc, bucket = ngrams(texts)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[good[first + doc]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
-
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left").select("text", "good")
-    sums = marked.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most BUCKETS rows
-    raw, target = np.full(BUCKETS, SMOOTHING), np.zeros(BUCKETS)
-    for r in sums:
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
-    if not any(r["target"] for r in sums):
+            weight = batch["weight"].to_numpy(np.int64)
+            for first, some in _in_parts([t or "" for t in batch["text"]]):
+                doc, bucket = ngrams(some)
+                own = weight[first : first + len(some)]
+                for w in np.unique(own):
+                    sums += w * np.bincount(bucket[own[doc] == w], minlength=BUCKETS)
+        found = np.flatnonzero(sums)
+        yield pd.DataFrame({"bucket": found, "n": sums[found]})
+
+    return {r["bucket"]: r["n"] for r in texts.select("text", "weight").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most BUCKETS rows
+
+
+def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+    """log p_target - log p_raw for each bucket; all zero without a good label."""
+    share = F.floor(F.count_if("good") * WHOLE / F.count(F.lit(1))).cast("long")
+    good = _hashed(docs).join(F.broadcast(sample), "doc_id").groupBy("h", "h2").agg(F.first("text").alias("text"), share.alias("weight")).filter("weight > 0")
+    sums = _counted(good)
+    if not sums:
         return np.zeros(BUCKETS)
+    raw, target = np.full(BUCKETS, SMOOTHING), np.zeros(BUCKETS)
+    for bucket, n in _counted(each_text_once(docs).withColumn("weight", F.lit(1).cast("long"))).items():
+        raw[bucket] += n
+    for bucket, n in sums.items():
+        target[bucket] += n / WHOLE
     target += PRIOR * raw / raw.sum()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
