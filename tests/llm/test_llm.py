@@ -260,3 +260,17 @@ def test_importance_of_copies(spark):
     many = {x["doc_id"]: x["log_weight"] for x in resampled(spark.createDataFrame(rows + copied, "doc_id long, text string").repartition(5), labels).collect()}
     assert set(few) == {i for i in range(400) if i % 4} and set(many) == set(few) | {i for i, _ in copied}
     assert all(abs(many[i] - few[i]) < 1e-9 for i in few)
+
+
+def test_importance_line_held_out(spark):
+    """With few labels the line also fits good documents that are not labelled: rare words make the labelled ones' own weights too high."""
+    r = random.Random(10)
+
+    def text(i):
+        return " ".join(r.choice(["g%d" if i % 4 else "b%d", "x%d"]) % r.randrange(2000) for _ in range(80))
+
+    rows = [(i, text(i)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 600, 5)], "doc_id long, quality int")
+    kept = {x["doc_id"] for x in resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    free = [i for i in range(600) if i % 5]
+    assert sum(i in kept for i in free if i % 4) >= 0.85 * sum(i % 4 > 0 for i in free) and sum(i in kept for i in free if i % 4 == 0) <= 0.2 * sum(i % 4 == 0 for i in free)

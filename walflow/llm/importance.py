@@ -4,7 +4,8 @@ The target model counts the n-grams of labelled good documents, a sample of at m
 count a text once, however many rows hold it (with exact dedup's equality), so that copying a document does not change its weight; in the target model
 a text counts by the share of its labelled rows that are good. Copies are found with exact dedup's Bloom filter, so that only their rows shuffle. A document's log weight is the sum over its n-grams of log p_target - log p_raw, with n-grams hashed into BUCKETS: words, pairs of words, and pairs of word
 shapes (case, last sign, whether the word has just occurred). k documents are drawn without replacement by adding Gumbel noise to the log weights and
-taking the k largest; k is the number of documents whose weight is above the line that best parts the labelled sample.
+taking the k largest; k is the number of documents whose weight is above the line that best parts the labelled sample. The line is fitted on weights that
+each labelled text has by a target model without its own fold of the labelled texts, as a text's weight is too high by a model that has counted it.
 
 The noise comes from a hash of the row, so a task that runs again draws the same. The k-th largest key is found from bin counts, without a sort.
 """
@@ -25,6 +26,7 @@ from walflow.llm.exact_dedup import maybe_repeated, normalised
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
+FOLDS = 10
 SMOOTHING = 0.5
 WHOLE = 1 << 16  # the target's counts are whole numbers of 1 / WHOLE, so that sums are the same in any order
 PRIOR = 100_000  # n-grams' worth of the raw model mixed into the target's counts, so that few labels say little about rare n-grams
@@ -138,55 +140,66 @@ def each_text_once(docs: DataFrame) -> DataFrame:
     return flagged.filter(~F.col("maybe")).select("text").unionByName(flagged.filter("maybe").groupBy("h", "h2").agg(F.first("text").alias("text")).select("text"))
 
 
-def _counted(texts: DataFrame) -> dict[int, int]:
-    """Bucket -> number of n-grams of texts (text, weight)."""
+def _counted(texts: DataFrame, kinds: int) -> np.ndarray:
+    """For each kind the number of n-grams by bucket, of texts (text, weight, kind)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(BUCKETS, np.int64)
+        sums = np.zeros((kinds, BUCKETS), np.int64)
         for batch in batches:
-            weight = batch["weight"].to_numpy(np.int64)
+            weight, kind = batch["weight"].to_numpy(np.int64), batch["kind"].to_numpy(np.int64)
             for first, some in _in_parts([t or "" for t in batch["text"]]):
                 doc, bucket = ngrams(some)
-                own = weight[first : first + len(some)]
-                for w in np.unique(own):
-                    sums += w * np.bincount(bucket[own[doc] == w], minlength=BUCKETS)
-        found = np.flatnonzero(sums)
-        yield pd.DataFrame({"bucket": found, "n": sums[found]})
+                for k, w in {(k, w) for k, w in zip(kind[first : first + len(some)].tolist(), weight[first : first + len(some)].tolist(), strict=True)}:
+                    own = (kind[first + doc] == k) & (weight[first + doc] == w)
+                    sums[k] += w * np.bincount(bucket[own], minlength=BUCKETS)
+        found = np.flatnonzero(sums.any(0))
+        yield pd.DataFrame({"bucket": found} | {f"n{k}": sums[k][found] for k in range(kinds)})
 
-    return {r["bucket"]: r["n"] for r in texts.select("text", "weight").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most BUCKETS rows
+    names = [f"n{k}" for k in range(kinds)]
+    parts = texts.select("text", "weight", "kind").mapInPandas(count, ", ".join(f"{c} long" for c in ["bucket", *names]))
+    out = np.zeros((kinds, BUCKETS), np.int64)
+    for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():  # at most BUCKETS rows
+        out[:, r["bucket"]] = r[1:]
+    return out
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw for each bucket; all zero without a good label."""
+def labelled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text, good, h, h2, fold of the rows of docs that the sample labels. Copies of a text are in one fold."""
+    return _hashed(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod("h2", F.lit(FOLDS)).cast("int"))
+
+
+def log_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
+    """log p_target - log p_raw for each bucket, by the target model without fold 0, 1, ..., and last by the whole one; all zero without a good label."""
     share = F.floor(F.count_if("good") * WHOLE / F.count(F.lit(1))).cast("long")
-    good = _hashed(docs).join(F.broadcast(sample), "doc_id").groupBy("h", "h2").agg(F.first("text").alias("text"), share.alias("weight")).filter("weight > 0")
-    sums = _counted(good)
-    if not sums:
-        return np.zeros(BUCKETS)
-    raw, target = np.full(BUCKETS, SMOOTHING), np.zeros(BUCKETS)
-    for bucket, n in _counted(each_text_once(docs).withColumn("weight", F.lit(1).cast("long"))).items():
-        raw[bucket] += n
-    for bucket, n in sums.items():
-        target[bucket] += n / WHOLE
-    target += PRIOR * raw / raw.sum()
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    good = labelled.groupBy("h", "h2").agg(F.first("text").alias("text"), share.alias("weight"), F.first("fold").alias("kind")).filter("weight > 0")
+    sums = _counted(good, FOLDS)
+    ratios = np.zeros((FOLDS + 1, BUCKETS))
+    if not sums.any():
+        return ratios
+    raw = SMOOTHING + _counted(each_text_once(docs).withColumns({"weight": F.lit(1).cast("long"), "kind": F.lit(0)}), 1)[0]
+    for k in range(FOLDS + 1):
+        target = (sums.sum(0) - (sums[k] if k < FOLDS else 0)) / WHOLE
+        if target.any():
+            target = target + PRIOR * raw / raw.sum()
+            ratios[k] = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return ratios
 
 
 def _scorer(docs: DataFrame, ratios: np.ndarray, seed: int):
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("n_ngrams long, log_weight double, sampling_key double")
-    def score(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
-        texts, ids = [t or "" for t in text], doc_id.tolist()
+    def score(doc_id: pd.Series, text: pd.Series, fold: pd.Series) -> pd.DataFrame:
+        texts, ids, folds = [t or "" for t in text], doc_id.tolist(), fold.to_numpy(np.int64)
         n, w = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for at, some in _in_parts(texts):
             doc, bucket = ngrams(some)
             n[at : at + len(some)] = np.bincount(doc, minlength=len(some))
-            w[at : at + len(some)] = np.bincount(doc, weights=held.value[bucket], minlength=len(some))
+            w[at : at + len(some)] = np.bincount(doc, weights=held.value[folds[at + doc], bucket], minlength=len(some))
         u = np.array([(xxhash.xxh64_intdigest(f"{seed}:{i}:{t}".encode("utf-8", "surrogatepass")) + 0.5) / 2.0**64 for i, t in zip(ids, texts, strict=True)])
         return pd.DataFrame({"n_ngrams": n, "log_weight": w, "sampling_key": w - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))})
 
-    return score
+    return lambda doc_id, text, fold=None: score(doc_id, text, F.lit(FOLDS) if fold is None else fold)
 
 
 def dividing_line(weights: np.ndarray, good: np.ndarray) -> float:
@@ -202,11 +215,11 @@ def dividing_line(weights: np.ndarray, good: np.ndarray) -> float:
 
 def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
     """The score function, all rows' scores (saved), and the least sampling key that is drawn."""
-    labelled = saved(label_sample(labels, sample), "importance-labels")
+    labelled = saved(labelled_rows(docs, saved(label_sample(labels, sample), "importance-labels")), "importance-labelled")
     score = _scorer(docs, log_ratios(docs, labelled), seed)
     given = F.col("doc_id").cast("long")
     scores = saved(docs.select(given.alias("doc_id"), score(given, F.col("text")).alias("s")).select("doc_id", "s.*"), "importance-scores")
-    fit = scores.join(F.broadcast(labelled), "doc_id").select("log_weight", "good").limit(4 * sample).toPandas()
+    fit = labelled.select("good", score(F.col("doc_id"), F.col("text"), F.col("fold"))["log_weight"].alias("log_weight")).limit(4 * sample).toPandas()
     line = dividing_line(fit["log_weight"].to_numpy(float), fit["good"].to_numpy(bool))
     k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count() * int(line < 0)
     if not k:
