@@ -274,3 +274,11 @@ def test_importance_line_held_out(spark):
     kept = {x["doc_id"] for x in resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
     free = [i for i in range(600) if i % 5]
     assert sum(i in kept for i in free if i % 4) >= 0.85 * sum(i % 4 > 0 for i in free) and sum(i in kept for i in free if i % 4 == 0) <= 0.2 * sum(i % 4 == 0 for i in free)
+
+
+def test_importance_hot_label(spark):
+    """One labelled doc_id with many rows has one vote and leaves the others theirs."""
+    r = random.Random(11)
+    rows = [(0, " ".join(r.choice(["BUY!!", "NOW!!", "b%d" % (i % 50)]) for _ in range(60))) for i in range(500)] + [(i, " ".join(r.choice(["good", "fine", "text", "and"]) for _ in range(60))) for i in range(1, 100)]
+    labels = spark.createDataFrame([(i, int(i > 0)) for i in range(20)], "doc_id long, quality int")
+    assert {x["doc_id"] for x in resampled(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, sample=20).collect()} == set(range(1, 100))

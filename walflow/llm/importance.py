@@ -219,7 +219,8 @@ def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
     score = _scorer(docs, log_ratios(docs, labelled), seed)
     given = F.col("doc_id").cast("long")
     scores = saved(docs.select(given.alias("doc_id"), score(given, F.col("text")).alias("s")).select("doc_id", "s.*"), "importance-scores")
-    fit = labelled.select("good", score(F.col("doc_id"), F.col("text"), F.col("fold"))["log_weight"].alias("log_weight")).limit(4 * sample).toPandas()
+    own = score(F.col("doc_id"), F.col("text"), F.col("fold"))["log_weight"].cast("decimal(28,6)")  # sums are the same in any order
+    fit = labelled.select("doc_id", "good", own.alias("w")).groupBy("doc_id", "good").agg(F.avg("w").cast("double").alias("log_weight")).toPandas()  # at most `sample` rows
     line = dividing_line(fit["log_weight"].to_numpy(float), fit["good"].to_numpy(bool))
     k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count() * int(line < 0)
     if not k:
