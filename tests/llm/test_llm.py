@@ -282,3 +282,17 @@ def test_importance_hot_label(spark):
     rows = [(0, " ".join(r.choice(["BUY!!", "NOW!!", "b%d" % (i % 50)]) for _ in range(60))) for i in range(500)] + [(i, " ".join(r.choice(["good", "fine", "text", "and"]) for _ in range(60))) for i in range(1, 100)]
     labels = spark.createDataFrame([(i, int(i > 0)) for i in range(20)], "doc_id long, quality int")
     assert {x["doc_id"] for x in resampled(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, sample=20).collect()} == set(range(1, 100))
+
+
+def test_license_spans_verified(spark):
+    """Spans count by distinct places in rising order and with the 2-grams that name the license."""
+    no = ["Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "cc by cc by cc by cc by", "mit license mit license mit license", "4 0 by nc cc by under cc licensed under"]
+    no += ["This work is licensed under the Apache License version 3", "This source code form is subject to the terms of the Eclipse Public License", "cc by nc " + "cc by " * 3000]
+    yes = {"Licensed under CC BY-NC 4.0": ("cc-by-nc-notice", 1.0), "licensed under cc by nc 3.0": ("cc-by-nc-notice", 1.0), "software is released under the very MIT license": ("mit-notice", 1.0)}
+    yes["permission is hereby granted to any person obtaining a copy of this software and its associated documentation files"] = ("mit-text", 14 / 19)
+    texts = [*no, *yes]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    own = {"cc-by-nc-notice", "mit-notice", "mit-text", "gpl-notice", "mpl-notice"}
+    assert not any(set(got[i]["labels"].split(",")) & own for i in range(len(no)))
+    for i, (label, score) in enumerate(yes.values(), len(no)):
+        assert label in got[i]["labels"].split(",") and abs(got[i]["score"] - score) < 1e-9, (texts[i], got[i])
