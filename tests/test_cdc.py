@@ -127,6 +127,29 @@ def test_replay(spark, tmp_path):
     assert n == spark.read.json(f"file://{tmp_path}/out").count() > 0 and r.get("x")["status"] == "completed" and not r.cancel("x")
 
 
+def test_replay_goes_on(spark, tmp_path, monkeypatch):
+    """A session that broke off goes on behind the slices it has sent."""
+    from walflow.operators import replay
+
+    monkeypatch.setattr(replay, "SLICE", 40, raising=False)
+    events = stored(order_changes(spark, SF)).filter("commit_end_lsn <= 10240").cache()
+    r, sent, fail = Replays(ControlStore(spark, f"file://{tmp_path}/c")), [], [True]
+
+    def send(part):
+        rows = [(x["source_id"], x["commit_end_lsn"], x["sequence_number"]) for x in part.select("source_id", "commit_end_lsn", "sequence_number").collect()]
+        if sent and fail:
+            fail.clear()
+            raise OSError("broken off")
+        sent.extend(rows)
+
+    r.create("x")
+    with pytest.raises(OSError):
+        r.run("x", events, send)
+    first = len(sent)
+    assert 0 < first < events.count() and r.get("x")["events_processed"] == first
+    assert r.run("x", events, send) == events.count() - first and len(sent) == len(set(sent)) == events.count() and r.get("x")["status"] == "completed"
+
+
 def test_stream_assembly(spark, tmp_path):
     cols = [{"name": "id", "type_oid": 20, "nullable": False, "position": 1, "is_key": True}, {"name": "item", "type_oid": 25, "nullable": True, "position": 2, "is_key": False}]
     rel = {"oid": 1, "schema_name": "public", "table_name": "t", "columns": cols}

@@ -13,6 +13,9 @@ from walflow.operators.delivery import body
 from walflow.operators.events import replay_range
 
 
+SLICE = 100_000  # events
+
+
 class Replays:
     """Sessions and their states: pending, running, completed, cancelled, failed."""
 
@@ -42,26 +45,48 @@ class Replays:
         return self._move(name, ("pending", "running", "paused"), status="cancelled")
 
     def run(self, name: str, events: DataFrame, send: Callable[[DataFrame], None] | None = None) -> int:
-        """Runs a pending session, or goes on after last_lsn with one that was broken off. Returns the number of events sent."""
+        """Runs a pending session, or goes on with one that was broken off. Returns the number of events sent by this call.
+
+        Events go source by source, in slices of whole positions of about SLICE events; after each slice its source's position is stored in `sent`, and a
+        later run starts behind it. The slice that was broken off is sent again.
+        """
         if not self._move(name, ("pending", "running", "failed"), status="running"):
             raise ValueError(f"{name} is {self.get(name)['status']}")
-        s = self.get(name)
+        s, total = self.get(name), 0
         rows = replay_range(events, s.get("start"), s.get("end"), s.get("schema_filter"), s.get("table_filter"), s.get("operation_filter"), s.get("source_id"))
-        if s["last_lsn"] is not None:
-            rows = rows.filter(F.col("commit_end_lsn") > s["last_lsn"])
+        for source, lsn in s.get("sent", {}).items():
+            rows = rows.filter((F.col("source_id") != source) | (F.col("commit_end_lsn") > lsn))
         try:
-            if send is not None:
-                send(rows)
-            elif s.get("destination") == "jsonl":
-                rows.orderBy("commit_end_lsn", "sequence_number").select(body().alias("value")).write.mode("append").text(s["path"])
-            else:
+            if send is None and s.get("destination") != "jsonl":
                 raise ValueError("a destination is needed")
-            end = rows.agg(F.count(F.lit(1)).alias("n"), F.max("commit_end_lsn").alias("lsn")).first()
+            for source, low, high in self._slices(rows):
+                part = rows.filter((F.col("source_id") == source) & (F.col("commit_end_lsn") <= high) & (F.lit(low is None) | (F.col("commit_end_lsn") > low)))
+                if send is not None:
+                    send(part)
+                else:
+                    part.orderBy("commit_end_lsn", "sequence_number").select(body().alias("value")).write.mode("append").text(s["path"])
+                n = part.count()
+                total += n
+                now = self.get(name)
+                if not self._move(name, ("running",), sent=now.get("sent", {}) | {source: high}, last_lsn=max(high, now["last_lsn"] or high), events_processed=now["events_processed"] + n):
+                    return total  # cancelled
         except Exception as e:
             self._move(name, ("running",), status="failed", error=str(e)[:500])
             raise
-        self._move(name, ("running",), status="completed", events_processed=s["events_processed"] + end["n"], last_lsn=end["lsn"] if end["lsn"] is not None else s["last_lsn"])
-        return end["n"]
+        self._move(name, ("running",), status="completed")
+        return total
+
+    def _slices(self, rows: DataFrame) -> list[tuple[str, int | None, int]]:
+        """source_id, position before and last position of each slice, in order."""
+        held = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max("commit_end_lsn").alias("end")).orderBy("source_id").collect()  # a row a source
+        out = []
+        for r in held:
+            k = -(-r["n"] // SLICE)
+            shares = [i / k for i in range(1, k)]
+            cuts = rows.filter(F.col("source_id") == r["source_id"]).agg(F.percentile_approx("commit_end_lsn", shares, 10 * k)).first()[0] if shares else []
+            ends = sorted({*cuts, r["end"]})
+            out += [(r["source_id"], low, high) for low, high in zip([None, *ends], ends)]
+        return out
 
 
 def as_text(events: DataFrame) -> DataFrame:
