@@ -2,8 +2,9 @@
 
 The target model counts the n-grams of labelled good documents, a sample of at most SAMPLE labels; the raw model counts those of all documents. Both
 count a text once, however many rows hold it (with exact dedup's equality), so that copying a document does not change its weight; in the target model
-a text counts by the share of its labelled rows that are good. Copies are found with exact dedup's Bloom filter, so that only their rows shuffle. A document's log weight is the sum over its n-grams of log p_target - log p_raw, with n-grams hashed into BUCKETS: words, pairs of words, and pairs of word
-shapes (case, last sign, whether the word has just occurred). k documents are drawn without replacement by adding Gumbel noise to the log weights and
+a text counts by the share of its labelled rows that are good. Copies are found with exact dedup's Bloom filter, so that only their rows shuffle. A document's log weight is the
+sum over its n-grams of log p_target - log p_raw, with n-grams hashed into BUCKETS: words, pairs of words, and pairs of word shapes (case, last sign, whether
+the word has just occurred). k documents are drawn without replacement by adding Gumbel noise to the log weights and
 taking the k largest; k is the number of documents whose weight is above the line that best parts the labelled sample. The line is fitted on weights that
 each labelled text has by a target model without its own fold of the labelled texts, as a text's weight is too high by a model that has counted it.
 
@@ -21,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import saved, weighted_cuts
+from walflow.llm.common import named_row, saved, small_batches, unnamed_row, weighted_cuts
 from walflow.llm.exact_dedup import maybe_repeated, normalised
+from walflow.llm.words import MULTIPLIER, edges, in_parts, joined, stretch_hashes, windows
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
@@ -30,25 +32,12 @@ FOLDS = 10
 SMOOTHING = 0.5
 WHOLE = 1 << 16  # the target's counts are whole numbers of 1 / WHOLE, so that sums are the same in any order
 PRIOR = 100_000  # n-grams' worth of the raw model mixed into the target's counts, so that few labels say little about rare n-grams
-PART_CHARS, WINDOW = 2_000_000, 1 << 18
 KEY_BITS, KEY_SCALE = 44, 1 << 16
 
-
-_MULTIPLIER = 0x9E3779B97F4A7C15
 _SPACE = re.compile(rb"[\x09-\x0D\x1C-\x20]")
 #: Of each byte: upper case 1, lower case 2 (and all of other scripts), digit 4, white space 8, anything else 0.
 _KIND = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b > 127 else 4 if 48 <= b <= 57 else 8 if _SPACE.match(bytes([b])) else 0 for b in range(256)], np.uint8)
-_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)  # one more than the lower-case byte, so that none is zero
 _SIGN = np.where(_KIND == 0, np.cumsum(_KIND == 0), 0)  # numbers the signs that may end a word, from 1
-_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """The powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, p, np.uint64)]) for p in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))]
-    return _powers
 
 
 def words_of(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +48,7 @@ def words_of(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     raw = np.frombuffer(window, np.uint8)
     kind = _KIND[raw]
-    edge = np.diff(np.r_[True, kind == 8, True].astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    start, end = edges(kind == 8)
     if not len(start):
         return start, np.zeros(0, np.uint64), start
     core = end.copy()
@@ -69,36 +57,24 @@ def words_of(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = np.bitwise_or.reduceat(kind & 7, start)
     case = np.select([(kinds & 3 == 1) & (core - start > 1), kind[start] == 1, kinds & 3 == 2, kinds == 4], [0, 1, 2, 3], 4)
     core = np.where(core == start, end, core)
-    power, inverse = _powers_to(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(_LOWER[raw] * power[: len(raw)])]
-        h = (sums[core] - sums[start]) * inverse[start]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(_MULTIPLIER)
-    return start, h ^ (h >> np.uint64(29)), case * 51 + np.minimum(_SIGN[raw[end - 1]], 50)
+    return start, stretch_hashes(raw, start, core), case * 51 + np.minimum(_SIGN[raw[end - 1]], 50)
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of each n-gram of the texts. The bytes are gone through in windows, so that little beside the words is held."""
-    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    whole, at, found = b"\n".join(coded), 0, []
-    while at < len(whole):
-        stop = _SPACE.search(whole, at + WINDOW)
-        upto = stop.end() if stop else len(whole)
-        start, h, shape = words_of(whole[at:upto])
-        found.append((start + at, h, shape))
-        at = upto
+    whole, begins = joined(texts)
+    found = [(start + at, h, shape) for at, window in windows(whole, _SPACE) for start, h, shape in [words_of(window)]]
     if not sum(len(f[0]) for f in found):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start, h, shape = (np.concatenate(x) for x in zip(*found, strict=True))
-    ends = np.cumsum([len(c) + 1 for c in coded])
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.r_[0, ends])))
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.r_[begins, len(whole)])))
     n = len(h)
     for back in (1, 2, 3):
         again = np.zeros(n, bool)
         again[back:] = (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
         shape[again] |= 256
     with np.errstate(over="ignore"):
-        mul = np.uint64(_MULTIPLIER)
+        mul = np.uint64(MULTIPLIER)
         pair = doc[1:] == doc[:-1]
         one = h * mul
         two = (one[:-1] ^ h[1:]) * mul
@@ -108,18 +84,6 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, later, later]), bucket.astype(np.int64)
 
 
-def _in_parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(first, texts) in parts of bounded length; a longer text is a part of its own."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and held + len(t) > PART_CHARS:
-            yield first, texts[first:i]
-            first, held = i, 0
-        held += len(t)
-    if texts:
-        yield first, texts[first:]
-
-
 def label_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, good: at most `most` labelled documents, the same whatever the order of the rows. Null and conflicting labels take no part."""
     one = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi")
@@ -147,7 +111,7 @@ def _counted(texts: DataFrame, kinds: int) -> np.ndarray:
         sums = np.zeros((kinds, BUCKETS), np.int64)
         for batch in batches:
             weight, kind = batch["weight"].to_numpy(np.int64), batch["kind"].to_numpy(np.int64)
-            for first, some in _in_parts([t or "" for t in batch["text"]]):
+            for first, some in in_parts([t or "" for t in batch["text"]]):
                 doc, bucket = ngrams(some)
                 for k, w in {(k, w) for k, w in zip(kind[first : first + len(some)].tolist(), weight[first : first + len(some)].tolist(), strict=True)}:
                     own = (kind[first + doc] == k) & (weight[first + doc] == w)
@@ -158,8 +122,9 @@ def _counted(texts: DataFrame, kinds: int) -> np.ndarray:
     names = [f"n{k}" for k in range(kinds)]
     parts = texts.select("text", "weight", "kind").mapInPandas(count, ", ".join(f"{c} long" for c in ["bucket", *names]))
     out = np.zeros((kinds, BUCKETS), np.int64)
-    for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():  # at most BUCKETS rows
-        out[:, r["bucket"]] = r[1:]
+    with small_batches(texts.sparkSession):
+        for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():  # at most BUCKETS rows
+            out[:, r["bucket"]] = r[1:]
     return out
 
 
@@ -192,7 +157,7 @@ def _scorer(docs: DataFrame, ratios: np.ndarray, seed: int):
     def score(doc_id: pd.Series, text: pd.Series, fold: pd.Series) -> pd.DataFrame:
         texts, ids, folds = [t or "" for t in text], doc_id.tolist(), fold.to_numpy(np.int64)
         n, w = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for at, some in _in_parts(texts):
+        for at, some in in_parts(texts):
             doc, bucket = ngrams(some)
             n[at : at + len(some)] = np.bincount(doc, minlength=len(some))
             w[at : at + len(some)] = np.bincount(doc, weights=held.value[folds[at + doc], bucket], minlength=len(some))
@@ -220,7 +185,8 @@ def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
     given = F.col("doc_id").cast("long")
     scores = saved(docs.select(given.alias("doc_id"), score(given, F.col("text")).alias("s")).select("doc_id", "s.*"), "importance-scores")
     own = score(F.col("doc_id"), F.col("text"), F.col("fold"))["log_weight"].cast("decimal(28,6)")  # sums are the same in any order
-    fit = labelled.select("doc_id", "good", own.alias("w")).groupBy("doc_id", "good").agg(F.avg("w").cast("double").alias("log_weight")).toPandas()  # at most `sample` rows
+    with small_batches(docs.sparkSession):
+        fit = labelled.select("doc_id", "good", own.alias("w")).groupBy("doc_id", "good").agg(F.avg("w").cast("double").alias("log_weight")).toPandas()  # at most `sample` rows
     line = dividing_line(fit["log_weight"].to_numpy(float), fit["good"].to_numpy(bool))
     k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count() * int(line < 0)
     if not k:
@@ -242,7 +208,10 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = S
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that are drawn, all columns unchanged; scored again on the way, which spares a join by row."""
+    """The rows of docs that resampled() draws, all columns unchanged, whatever their names; scored again on the way, which spares a join by row.
+
+    Nulls, ties, repeated rows and empty tables are as in resampled().
+    """
     score, _, least = _drawing(docs, labels, seed, sample)
-    named = docs.select(F.struct(*docs.columns).alias("row"))
-    return named.filter(score(F.col("row.doc_id").cast("long"), F.col("row.text"))["sampling_key"] >= least).select("row.*")
+    drawn = named_row(docs).filter(score(F.col("row.doc_id").cast("long"), F.col("row.text"))["sampling_key"] >= least)
+    return unnamed_row(drawn, docs.columns)
