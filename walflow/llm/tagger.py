@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
@@ -37,43 +38,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _lstm(codes: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """codes: batch x time. Returns batch x time x HIDDEN and what the backward pass needs."""
+def _lstm(codes: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """codes: batch x time. Returns batch x time x HIDDEN and, if asked to keep it, what the backward pass needs."""
     n, steps = codes.shape
-    h, c, hs, kept = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), [], []
+    h, c, kept = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), []
+    hs = np.empty((n, steps, HIDDEN), np.float32)
     for t in range(steps):
         z = w[codes[:, t]] + h @ u
-        i, f, o = np.split(_sigmoid(z[:, : 3 * HIDDEN]), 3, 1)
+        gates = _sigmoid(z[:, : 3 * HIDDEN])
+        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         g = np.tanh(z[:, 3 * HIDDEN :])
         before, c = c, f * c + i * g
         tc = np.tanh(c)
-        kept.append((h, before, i, f, o, g, tc))
-        h = o * tc
-        hs.append(h)
-    return np.stack(hs, 1), kept
+        if keep:
+            kept.append((h, before, i, f, o, g, tc))
+        h = hs[:, t] = o * tc
+    return hs, kept
 
 
 def _lstm_back(codes: np.ndarray, u: np.ndarray, kept: list, dhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    dw, du = np.zeros((ALPHABET, 4 * HIDDEN), np.float32), np.zeros_like(u)
+    n, steps = codes.shape
+    dzs, before_h = np.empty((steps, n, 4 * HIDDEN), np.float32), np.stack([k[0] for k in kept])
     dh, dc = np.zeros_like(dhs[:, 0]), np.zeros_like(dhs[:, 0])
-    for t in range(codes.shape[1] - 1, -1, -1):
-        h, before, i, f, o, g, tc = kept[t]
+    for t in range(steps - 1, -1, -1):
+        _, before, i, f, o, g, tc = kept[t]
         d = dh + dhs[:, t]
         dc = dc + d * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), d * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-        np.add.at(dw, codes[:, t], dz)
-        du += h.T @ dz
-        dh, dc = dz @ u.T, dc * f
-    return dw, du
+        dzs[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), d * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+        dh, dc = dzs[t] @ u.T, dc * f
+    flat = dzs.reshape(-1, 4 * HIDDEN)
+    which = (codes.T.reshape(-1, 1) == np.arange(ALPHABET)).astype(np.float32)
+    return which.T @ flat, before_h.reshape(-1, HIDDEN).T @ flat
 
 
-def _scores(p: dict[str, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, tuple]:
-    a, ka = _lstm(codes, p["wf"], p["uf"])
-    b, kb = _lstm(codes[:, ::-1], p["wb"], p["ub"])
+def _scores(p: dict[str, np.ndarray], codes: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+    a, ka = _lstm(codes, p["wf"], p["uf"], keep)
+    b, kb = _lstm(codes[:, ::-1], p["wb"], p["ub"], keep)
     h = np.concatenate([a, b[:, ::-1]], 2)
     return h @ p["v"] + p["e"], (h, ka, kb)
 
 
+def emissions(p: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The scores of the tags at each place of a batch of windows."""
+    return _scores(p, codes, False)[0]
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
@@ -96,48 +105,49 @@ def _crf(s: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, n
     return ds / n, dt / n
 
 
-def decoded(p: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    """The best tag sequences of a batch of windows."""
-    s, _ = _scores(p, codes)
-    best, back = s[:, 0], []
-    for t in range(1, codes.shape[1]):
+def best_tags(p: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
+    """The best tag sequences (batch x time) by scores (batch x time x tags) and transitions, followed by an outside tag."""
+    n, steps, _ = scores.shape
+    best, back = scores[:, 0], np.zeros((steps, n, TAGS), np.int8)
+    for t in range(1, steps):
         x = best[:, :, None] + p["trans"]
-        back.append(x.argmax(1))
-        best = x.max(1) + s[:, t]
-    out = np.zeros(codes.shape, np.int8)
-    out[:, -1] = best.argmax(1)
-    for t in range(codes.shape[1] - 2, -1, -1):
-        out[:, t] = back[t][np.arange(len(out)), out[:, t + 1]]
+        back[t] = x.argmax(1)
+        best = x.max(1) + scores[:, t]
+    out = np.zeros((n, steps), np.int8)
+    out[:, -1] = (best + p["trans"][:, 0]).argmax(1)
+    for t in range(steps - 1, 0, -1):
+        out[:, t - 1] = back[t][np.arange(n), out[:, t]]
     return out
 
 
 def labelled(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A made-up text with its spans (kind, start, end): personal data in several spellings among words, numbers, dates, prices and versions."""
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
-    word = lambda: "".join(pick(["an", "the", "er", "on", "re", "tion", "in", "ed", "st", "ou", "é", "ü", "ß", "o", "a", "ch", "qu"]) for _ in range(int(rng.integers(1, 5))))
-    hexes = lambda n: "".join(pick("0123456789abcdef") for _ in range(n))
-    mixed = lambda n: "".join(pick(LETTERS + LETTERS.upper() + "0123456789") for _ in range(n))
-    name = lambda: "".join(pick(LETTERS) for _ in range(int(rng.integers(2, 9))))
+    r = random.Random(int(rng.integers(1 << 62)))
+    pick, below = r.choice, r.randrange
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    word = lambda: "".join(pick(["an", "the", "er", "on", "re", "tion", "in", "ed", "st", "ou", "é", "ü", "ß", "o", "a", "ch", "qu"]) for _ in range(below(1, 5)))
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(r.choices(LETTERS + LETTERS.upper() + "0123456789", k=n))
+    name = lambda: "".join(r.choices(LETTERS, k=below(2, 9)))
     made = (
         lambda: (0, f"{name()}{pick(['.', '_', '', '-'])}{pick([name(), digits(2), digits(1)])}@{name()}{pick(['', digits(1)])}.{pick(['com', 'org', 'example.com', 'co.uk', 'net'])}"),
-        lambda: (1, ".".join(str(x) for x in rng.integers(0, 256, 4))),
+        lambda: (1, ".".join(str(below(256)) for _ in range(4))),
         lambda: (2, pick([digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4)), digits(15)])),
         lambda: (3, pick(["+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "+1-{}-{}-{}", "{}.{}.{}", "+44 {} {} {}", "{} {} {}"]).format(digits(3), digits(3), digits(4))),
-        lambda: (4, pick([mixed(int(rng.integers(20, 41))), hexes(int(rng.integers(24, 41))), f"AKIA{mixed(16).upper()}", f"ghp_{mixed(36)}"])),
+        lambda: (4, pick([mixed(below(20, 41)), hexes(below(24, 41)), f"AKIA{mixed(16).upper()}", f"ghp_{mixed(36)}"])),
     )
-    plain = (lambda: str(int(rng.integers(1, 3000))), lambda: f"{rng.integers(1, 99)}.", lambda: f"{rng.integers(1990, 2031)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} %%%", lambda: f"#{digits(5)}", lambda: f"{digits(2)}:{digits(2)}", lambda: word().upper() + "!!", lambda: f"{digits(6)} {word()}")
+    plain = (lambda: str(below(1, 3000)), lambda: f"{below(1, 99)}.", lambda: f"{below(1990, 2031)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} %%%", lambda: f"#{digits(5)}", lambda: f"{digits(2)}:{digits(2)}", lambda: word().upper() + "!!", lambda: f"{digits(6)} {word()}")
     text, spans = "", []
-    for _ in range(int(rng.integers(6, 22))):
-        r = rng.random()
-        if r < 0.12:
+    for _ in range(below(6, 22)):
+        u = r.random()
+        if u < 0.12:
             kind, s = pick(made)()
             lead = pick(["token=", "key: ", 'api_key = "', "secret ", ""]) if kind == 4 else pick(["", "", "", "tel: ", "("])
             text += lead
             spans.append((kind, len(text), len(text) + len(s)))
             text += s + pick(["", "", ".", ",", '"', ";"])
         else:
-            text += pick(plain)() if r < 0.3 else pick([word(), word().capitalize(), word() + ",", word() + ".", word() + " |"])
+            text += pick(plain)() if u < 0.3 else pick([word(), word().capitalize(), word() + ",", word() + ".", word() + " |"])
         text += pick([" ", " ", " ", " ", "\n"])
     return text, spans
 
@@ -170,7 +180,7 @@ def trained(steps: int = 260, batch: int = 48, seed: int = 7) -> dict[str, np.nd
             xs.append(px)
             ys.append(py)
         codes, y = np.stack(xs), np.stack(ys)
-        s, (h, ka, kb) = _scores(p, codes)
+        s, (h, ka, kb) = _scores(p, codes, True)
         ds, dt = _crf(s, y, p["trans"])
         ds = ds.astype(np.float32)
         dh = ds @ p["v"].T
