@@ -23,7 +23,7 @@ from walflow.llm.common import numbered, saved
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 900_000
+CACHE_WORDS = 300_000
 DOCS_AT_ONCE = 500
 #: Separators that Python splits at and the tokenizer does not; what is not plain Latin, where only the tokenizer's own lower-casing is used.
 _ODD, _FOREIGN = "\x1c\x1d\x1e\x1f", re.compile("[^\x00-\u024f]|\u0130")
