@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that go to a Python worker at once while a table is saved, as rows may hold whole texts or sets.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Rows and bytes that go to a Python worker at once while a table is made here, as rows may hold whole texts or sets, and the bytes of a row group in a file.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+FILE_BLOCK = 16 << 20
 
 _own_folder: list[str] = []
 
@@ -35,16 +37,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send batches of bounded rows and bytes to Python workers; the session's settings come back after them."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: later stages survive lost executors, and nothing runs twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
+    with small_batches(spark):
+        df.write.option("parquet.block.size", FILE_BLOCK).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +69,26 @@ def dropped(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written where names may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named_row(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that no name in docs meets another."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+
+
+def unnamed_row(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of `row` with text from the column `new`, and n_chars, if there is such a column, to match."""
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns])
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import saved
+from walflow.llm.common import named_row, saved, small_batches, unnamed_row
 
 SEGMENT_BITS = 1 << 20
 MAX_SEGMENTS = 512
@@ -45,7 +45,7 @@ def _bitmap(bits: np.ndarray) -> np.ndarray:
 
 
 def repeat_filter(hashes: DataFrame, segments: int) -> dict[int, np.ndarray]:
-    """Segment -> bits seen again, of a DataFrame with one long column h."""
+    """Segment -> bits seen again, eight to a byte, of a DataFrame with one long column h."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b["h"].to_numpy() for b in batches]
@@ -69,13 +69,14 @@ def repeat_filter(hashes: DataFrame, segments: int) -> dict[int, np.ndarray]:
 
     partials = hashes.mapInPandas(partial, "segment long, seen binary, again binary")
     merged = partials.groupBy("segment").applyInPandas(merge, "segment long, again binary")
-    return {r["segment"]: np.unpackbits(np.frombuffer(zlib.decompress(r["again"]), np.uint8)).astype(bool) for r in merged.collect()}
+    with small_batches(hashes.sparkSession):
+        return {r["segment"]: np.frombuffer(zlib.decompress(r["again"]), np.uint8) for r in merged.collect()}  # at most `segments` rows
 
 
 def maybe_repeated(hashes: DataFrame, rows: int) -> Column:
     """A test for column h: true for every hash that occurs twice in `hashes`, false for nearly all others."""
     segments = int(min(MAX_SEGMENTS, max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))))
-    held = hashes.sparkSession.sparkContext.broadcast({k: np.packbits(v) for k, v in repeat_filter(hashes, segments).items()})
+    held = hashes.sparkSession.sparkContext.broadcast(repeat_filter(hashes, segments))
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
@@ -112,13 +113,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops, all columns kept. Rows whose hash occurs once pass straight through with their text."""
-    named = docs.select(F.struct(*docs.columns).alias("row"))
+    """docs without the rows that exact_duplicates() drops, all columns kept, whatever their names. Rows whose hash occurs once pass straight through.
+
+    Of rows that also share the smallest doc_id one stays, chosen by a hash of the row. Null texts are empty, null doc_ids the largest; empty tables stay empty.
+    """
     sha = F.sha2(normalised(F.col("row.text")), 256)
-    hashed = named.withColumn("sha", sha).withColumn("h", F.xxhash64("sha"))
+    hashed = named_row(docs).withColumn("sha", sha).withColumn("h", F.xxhash64("sha"))
     hashes = saved(hashed.select("h"), "exact-hashes")
     flagged = hashed.withColumn("maybe", maybe_repeated(hashes, hashes.count()))
-    once = flagged.filter(~F.col("maybe")).select("row.*")
+    once = flagged.filter(~F.col("maybe")).select("row")
     order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row"))
-    again = flagged.filter("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row")).select("row.*")
-    return once.unionByName(again)
+    again = flagged.filter("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row")).select("row")
+    return unnamed_row(once.unionByName(again), docs.columns)

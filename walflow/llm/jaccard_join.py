@@ -21,18 +21,17 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from walflow.llm.common import blocks, dropped, group_pairs, saved
+from walflow.llm.common import blocks, dropped, group_pairs, named_row, saved, unnamed_row
 from walflow.llm.components import components
 from walflow.llm.exact_dedup import maybe_repeated
+from walflow.llm.words import in_parts, joined, word_hashes
 
 WORDS = 5
 LEAST_SET = 4  # smaller sets are at 0.8 only if equal
@@ -42,20 +41,6 @@ BLOCK = 1000
 DOCS_AT_ONCE = 200
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-#: One store for all the tasks that a worker process runs.
-HASHES = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,33 +48,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], hashes: dict) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word 5-grams; of all its words if it has fewer; nothing without words.
 
     A-Z are lower-cased, and words end at space, tab, line feed, vertical tab, form feed and carriage return.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = [len(w) for w in words]
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
-    if not len(flat):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    with np.errstate(over="ignore"):
-        grams, mult = np.zeros(len(flat), np.uint64), np.uint64(0x9E3779B97F4A7C15)
-        for k in range(WORDS):
-            grams[: len(flat) - k] = grams[: len(flat) - k] * mult + flat[k:]
-        grams = mixed(grams)
-        out, at = [], 0
-        for n in counts:
-            if n >= WORDS:
-                out.append(np.unique(grams[at : at + n - WORDS + 1]))
-            elif n:
-                x = np.uint64(n)
-                for h in flat[at : at + n]:
-                    x = x * mult + h
-                out.append(mixed(np.array([x], np.uint64)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-            at += n
+    out = []
+    for _, some in in_parts([t or "" for t in texts]):
+        whole, begins = joined(some)
+        start, flat = word_hashes(whole)
+        with np.errstate(over="ignore"):
+            grams, mult = np.zeros(len(flat), np.uint64), np.uint64(0x9E3779B97F4A7C15)
+            for k in range(WORDS):
+                grams[: len(flat) - k] = grams[: len(flat) - k] * mult + flat[k:]
+            grams = mixed(grams)
+            at = np.searchsorted(start, np.r_[begins, len(whole)]).tolist()
+            for a, b in zip(at, at[1:], strict=False):
+                if b - a >= WORDS:
+                    out.append(np.unique(grams[a : b - WORDS + 1]))
+                elif b > a:
+                    x = np.uint64(b - a)
+                    for h in flat[a:b]:
+                        x = x * mult + h
+                    out.append(mixed(np.array([x], np.uint64)))
+                else:
+                    out.append(np.zeros(0, np.uint64))
     return out
 
 
@@ -179,11 +162,10 @@ class Parities:
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = HASHES
     for batch in batches:
         for at in range(0, len(batch), DOCS_AT_ONCE):
             part = batch.iloc[at : at + DOCS_AT_ONCE]
-            sets = shingle_sets(part["text"].tolist(), hashes)
+            sets = shingle_sets(part["text"].tolist())
             made = [entries(x) for x in sets]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "key": part["key"].to_numpy(), "n": [len(x) for x in sets],
@@ -195,30 +177,39 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Index rows. Of a batch's rows with one entry the first is dealt by the entry (up -1, or -2 if there are others); the others point up to it."""
     for batch in batches:
-        e = np.frombuffer(b"".join(batch["entries"]), np.int64) & ((1 << 48) - 1)
+        e = np.frombuffer(b"".join(batch["entries"]), np.uint64)
         cid = np.repeat(batch["cid"].to_numpy(), [len(b) // 8 for b in batch["entries"]])
+        place, e = (e >> np.uint64(48)).astype(np.int32), (e & np.uint64((1 << 48) - 1)).view(np.int64)
         order = np.lexsort((cid, e))
-        e, cid = e[order], cid[order]
+        e, cid, place = e[order], cid[order], place[order]
         if not len(e):
             continue
         new = np.r_[True, e[1:] != e[:-1]]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(e)])
         up = np.repeat(cid[starts], sizes)
-        yield pd.DataFrame({"entry": e, "cid": cid, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
+        yield pd.DataFrame({"entry": e, "cid": cid, "place": place, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
+
+
+def shared_entries(entered: DataFrame) -> DataFrame:
+    """entry, cid, place, up: the entries (48 bits, with a place above them) of rows (cid, entries) that more than one row has; those of one row alone are dropped."""
+    index = entered.mapInPandas(_indexed, "entry long, cid long, place int, up long").withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
+    w = Window.partitionBy("entry", "salt").orderBy("cid")
+    met = index.select("entry", "cid", "place", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after"))
+    return met.filter("up <> -1 or before is not null or after is not null").select("entry", "cid", "place", "up")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """All that was parsed; rows (doc_id, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), both saved; the classes' index entries (cid, entries)."""
+    """All that was parsed; rows (doc_id, key, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), both saved; the classes' index entries (cid, entries)."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
-    keyed = docs.select(*cols).withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(*cols).withColumn("key", _key(F.col("doc_id"), F.col("text")))
     rows = saved(keyed.mapInPandas(_parsed, "doc_id long, key long, n long, sid binary, parity binary, entries binary, thin boolean").withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
     hashes = rows.select(F.xxhash64("sid").alias("h"))
     flagged = rows.withColumn("h", F.xxhash64("sid")).withColumn("maybe", (F.col("n") > 0) & maybe_repeated(hashes, rows.count()))
-    slim = saved(flagged.select("doc_id", "n", "uid", "maybe", F.when(F.col("maybe"), F.col("sid")).alias("sid")), "jaccard-slim")
+    slim = saved(flagged.select("doc_id", "key", "n", "uid", "maybe", F.when(F.col("maybe"), F.col("sid")).alias("sid")), "jaccard-slim")
     groups = slim.filter("maybe").groupBy("sid").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_doc"))
     groups = saved(groups, "jaccard-groups")
-    member = slim.filter("maybe").join(groups, "sid").select("doc_id", "n", "cid").unionByName(slim.filter("not maybe").select("doc_id", "n", F.col("uid").alias("cid")))
+    member = slim.filter("maybe").join(groups, "sid").select("doc_id", "key", "n", "cid").unionByName(slim.filter("not maybe").select("doc_id", "key", "n", F.col("uid").alias("cid")))
     twice = slim.filter("maybe").select("uid").join(groups.select(F.col("cid").alias("uid"), "least_doc"), "uid")
     kept = ["uid", "key", "n", "parity", "thin"]
     entered = flagged.filter("not maybe").select("uid", "entries").unionByName(flagged.filter("maybe").select("uid", "entries").join(twice.select("uid"), "uid", "left_semi"))
@@ -233,15 +224,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     need = saved(need, "jaccard-need")
     twice = need.select(F.col("key").alias("h"))
     test = maybe_repeated(twice.unionByName(twice), 2 * need.count())  # every key twice: the filter then holds them all
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(test)
+    texts = docs.select(_key(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(test)
     texts = texts.join(need.withColumnRenamed("key", "h"), "h").select("cid", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = HASHES
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
-                yield pd.DataFrame({"cid": part["cid"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist(), hashes)]})
+                yield pd.DataFrame({"cid": part["cid"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist())]})
 
     parsed = saved(texts.mapInPandas(sets, "cid long, set binary"), "jaccard-sets")
     held = parsed.dropDuplicates(["cid"])
@@ -336,31 +326,36 @@ def _thin_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         return None
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = HASHES
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
-                sets = shingle_sets(part["text"].tolist(), hashes)
+                sets = shingle_sets(part["text"].tolist())
                 yield pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), [len(x) for x in sets]), "n": np.repeat(part["n"].to_numpy(), [len(x) for x in sets]), "x": np.concatenate(sets).view(np.int64)})
 
-    text = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     of = lambda c: text.join(c.select("cid", "key", "n"), "key").select("cid", "n", "text").mapInPandas(shingles, "cid long, n long, x long").dropDuplicates(["cid", "x"])
     few, every = of(thin), of(classes)
     met = few.select(F.col("cid").alias("p"), F.col("n").alias("np"), "x").join(every, "x").filter("p <> cid and 5 * n >= 4 * np and 5 * np >= 4 * n")
     return met.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct()
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links of 0.8 or more), class_id.
 
     Rows with equal shingle sets share class_id. Null text is empty; texts without words have n_shingles 0 and their own doc_id. Repeated rows are
     copies of each other. Empty tables give empty results; other columns are not read.
     """
+    return _component_rows(docs).drop("key", "root")
+
+
+def _component_rows(docs: DataFrame) -> DataFrame:
+    """jaccard_components() with key, by which the rows of docs are found again, and root, which tells components apart that share their smallest doc_id."""
     rows, members, classes, entered = _classes(docs)
-    index = entered.mapInPandas(_indexed, "entry long, cid long, up long").withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
-    w = Window.partitionBy("entry", "salt").orderBy("cid")
-    met = index.select("entry", "cid", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after")).filter("up <> -1 or before is not null or after is not null")
-    shared = saved(met.select("entry", "cid", "up"), "jaccard-shared")
+    shared = saved(shared_entries(entered).select("entry", "cid", "up"), "jaccard-shared")
     dropped(rows)
     least = shared.filter("up < 0").groupBy("entry").agg(F.min("cid").alias("least"))
     star = shared.filter("up < 0").join(least, "entry").select("cid", F.col("least").alias("to")).unionByName(shared.filter("up >= 0").select("cid", F.col("up").alias("to"))).filter("cid <> to")
@@ -384,21 +379,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             roots = components(links)
     rooted = classes.select("cid", "least_doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least_doc = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = rooted.select("cid", "root").join(least_doc, "root").select("cid", "component_id")
+    named = rooted.select("cid", "root").join(least_doc, "root")
     out = members.join(named, "cid")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"), "key", "root")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Texts without words all stay, and rows without doc_id.
+    """docs with one document of each component: one row of its smallest doc_id; all columns kept, whatever their names.
 
-    Of rows that repeat the doc_id and text that stay, one stays; only these rows shuffle with all their columns.
+    Texts without words all stay, and rows without doc_id. If several rows have a component's smallest doc_id, the text with the least hash stays, and of rows
+    that repeat it one, by a hash of the row; only such repeats shuffle with all their columns a second time. Empty tables stay empty.
     """
-    verdict = saved(jaccard_components(docs), "jaccard-verdict").filter("doc_id = component_id or doc_id is null or n_shingles = 0")
-    ids = verdict.groupBy(F.col("doc_id").alias("_keep")).agg(F.max(F.col("n_shingles") > 0).alias("_full"), F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")))
-    many = (F.col("_rows") > 1) & F.col("_full") & F.col("_keep").isNotNull()
-    once = kept.filter(~many).select(*docs.columns)
-    if not ids.filter(many).head(1):
-        return once
-    return once.unionByName(kept.filter(many).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    rows = saved(_component_rows(docs), "jaccard-verdict")
+    first = rows.filter("n_shingles > 0 and doc_id = component_id").groupBy("root", "key").agg(F.count(F.lit(1)).alias("times"))
+    full = first.groupBy("root").agg(F.min_by(F.struct("key", "times"), "key").alias("k")).select("k.key", "k.times")
+    other = rows.filter("n_shingles = 0 or doc_id is null").select("key", F.lit(1).alias("times")).distinct()
+    stay = saved(full.unionByName(other).withColumnRenamed("key", "kept_key"), "jaccard-kept")
+    kept = named_row(docs).withColumn("key", _key(F.col("row.doc_id"), F.col("row.text"))).join(stay, F.col("key") == F.col("kept_key"))
+    once = kept.filter("times = 1").select("row")
+    if not stay.filter("times > 1").head(1):
+        return unnamed_row(once, docs.columns)
+    again = kept.filter("times > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return unnamed_row(once.unionByName(again), docs.columns)

@@ -1,53 +1,56 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set is its distinct words. Words are ordered by rarity (a table of hashed counts over all documents, of fixed size; ties by hash), and sets with
-Jaccard similarity of at least 0.8 share a word among the first n - ceil(0.8 n) + 1 of each: the prefix filter. Prefix words that occur once in the corpus
-meet nothing and are left out. Where prefixes meet, the length filter, the positional filter and exact bounds from parity bits remain before verification.
-
-A line goes if an earlier line, in order of (doc_id, line number), is similar to it. So one earlier partner is enough: each distinct set names its first
-passing partner, which is verified, and only sets whose partner fails bring up all their others. Equal sets are one class, its first line stays or goes by the
-join and all later ones go.
+A line's set is its distinct words, in order of rarity (by a table of hashed counts over all documents, of bounded size; ties by hash). Sets x, y with Jaccard
+similarity of at least 0.8 have at least need = ceil(4 (|x| + |y|) / 9) words in common. Three filters follow from that before any pair is made:
+
+prefix: common words split the order into gaps, and each word of one line alone breaks at most one gap. So among the first |x| + |y| - 2 need + 1 gaps one is
+    whole: two words that stand side by side in both orders. Only pairs of neighbours within the prefix that this allows are indexed (see prefix_of()).
+rarity: words that occur once in the corpus are in no other line. They are left out of the order, shorten the prefix, and end it where they are too many.
+length, position: lines meet only at fitting sizes, and only if the words before and behind the shared neighbours leave room for `need` in common. Exact bounds
+    from parity bits of both sets come last.
+
+A line goes if an earlier line, in order of (doc_id, line number), is similar to it. So one earlier partner is enough: each distinct set first tries, of the
+earliest lines of its index entries, the one that it shares most entries with; only those whose partner fails meet all earlier lines of their entries. What
+passes the filters is verified on the words. Equal sets are one class: its first line stays or goes by the join and all later ones go.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import blocks, group_pairs, saved
+from walflow.llm.common import dropped, named_row, saved, with_text
 from walflow.llm.exact_dedup import maybe_repeated
-from walflow.llm.jaccard_join import HASHES, mixed
+from walflow.llm.jaccard_join import mixed, shared_entries
+from walflow.llm.words import in_parts, joined, word_hashes
 
 LEAST_SET = 4  # smaller sets are at 0.8 only if equal
-TABLE_BITS, CHUNK_BITS = 23, 16
-PARITY_BITS = 128
-BLOCK = 2000
-DOCS_AT_ONCE = 200
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
+LINES_AT_ONCE = 60_000  # a line's number in its part has 16 bits below
+PART_CHARS = 1_000_000
+PLACE_BITS = 16
+_LAST = (1 << 63) - 1
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often a word occurs, by hash into 2**TABLE_BITS counts; capped at 255 steps of a scale that is exact up to 200. 8 MB, whatever the corpus."""
-    size, chunk = 1 << TABLE_BITS, 1 << CHUNK_BITS
+def word_counts(docs: DataFrame, bits: int) -> np.ndarray:
+    """How often a word occurs, by hash into 2**bits counts: exact up to 200, then on a scale of logarithms. At most 32 MB, whatever the corpus."""
+    size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in batches:
-            for at in range(0, len(batch), 10 * DOCS_AT_ONCE):
-                seen: Counter[bytes] = Counter()
-                for t in batch["text"].iloc[at : at + 10 * DOCS_AT_ONCE]:
-                    seen.update((t or "").encode("utf-8", "surrogatepass").lower().split())
-                x = mixed(np.fromiter(map(HASHES.__getitem__, seen), np.uint64, len(seen)))
-                np.add.at(total, (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
+            for _, some in in_parts([t or "" for t in batch["text"]], PART_CHARS):
+                at, n = np.unique((word_hashes(joined(some)[0])[1] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                total[at] = np.minimum(total[at] + n, 2**30)
         for k in range(size // chunk):
-            part = np.minimum(total[k * chunk : (k + 1) * chunk], 2**31 - 1).astype(np.int32)
+            part = total[k * chunk : (k + 1) * chunk]
             if part.any():
                 yield pd.DataFrame({"k": [k], "n": [zlib.compress(part.tobytes(), 1)]})
 
@@ -59,147 +62,150 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"k": rows["k"][:1], "n": [zlib.compress(scale.tobytes(), 1)]})
 
     out = np.zeros(size, np.uint8)
-    for r in docs.select("text").mapInPandas(count, "k long, n binary").groupBy("k").applyInPandas(add, "k long, n binary").collect():
+    parts = saved(docs.select("text").mapInPandas(count, "k long, n binary").groupBy("k").applyInPandas(add, "k long, n binary"), "lines-counts")
+    for r in parts.toLocalIterator():
         out[r["k"] * chunk : (r["k"] + 1) * chunk] = np.frombuffer(zlib.decompress(r["n"]), np.uint8)
+    dropped(parts)
     return out
 
 
+@lru_cache(maxsize=1 << 17)
+def prefix_of(n: int, once: int) -> int:
+    """How many words of a set's order, without the `once` words that no other line has, the prefix holds; 0 if no set can be at 0.8.
+
+    With m and k words on the two sides alone, the first whole gap is at most the (m + k + 1)-th and has at most m of this side's own words before it.
+    """
+    other = np.arange(-(-4 * n // 5), 5 * n // 4 + 1)
+    need = -(-4 * (n + other) // 9)
+    alone = n - once - need
+    fits = (alone >= 0) & (need <= other)
+    return min(n - once, int((2 * alone + other - need + 2)[fits].max())) if n >= LEAST_SET and fits.any() else 0
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
 
-def _lines(docs: DataFrame, table) -> DataFrame:
-    """A row for each line with words: doc_id, key, line, n, sid, parity, prefix (word hashes) and places (in the rarity order) that may meet another."""
+def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
+    """A row for each line with words: doc_id, key, line, n, kept (n without the words that occur once), sid, p and q (parity bits), entries (place and hash)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = table.value
         for batch in batches:
-            at = 0
-            while at < len(batch):  # by the number of lines, as a line number has 16 bits below
-                own, upto, lines = [], at, 0
-                while upto < len(batch) and upto < at + DOCS_AT_ONCE and (upto == at or lines < 20_000):
-                    own.append([x.split() for x in batch["text"].iloc[upto].encode("utf-8", "surrogatepass").lower().split(b"\n")])
-                    lines += len(own[-1])
-                    upto += 1
-                part = batch.iloc[at:upto]
-                at = upto
-                first = np.r_[0, np.cumsum([len(x) for x in own])[:-1]].astype(np.int64)
-                every = list(chain.from_iterable(own))
-                for low in range(0, len(every), 60_000):
-                    yield from rows(part, first, every[low : low + 60_000], low, counts)
-
-    def rows(part: pd.DataFrame, first: np.ndarray, lines: list[list[bytes]], low: int, counts: np.ndarray) -> Iterator[pd.DataFrame]:
-        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        x = mixed(np.fromiter(map(HASHES.__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum())))
-        if not len(x):
-            return
-        line = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
-        rare = counts[(x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
-        order = np.argsort((line << np.uint64(48)) | (rare << np.uint64(40)) | (x & np.uint64((1 << 40) - 1)))
-        y, line, rare = x[order], line[order].astype(np.int64), rare[order]
-        new = np.r_[True, (y[1:] != y[:-1]) | (line[1:] != line[:-1])]
-        y, line, rare = y[new], line[new], rare[new]
-        starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            ids, keys = batch["doc_id"].to_numpy(), batch["key"].to_numpy()
+            for first, some in in_parts(batch["text"].tolist(), PART_CHARS):
+                whole, begins = joined(some)
+                start, x = word_hashes(whole)
+                ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+                line = np.searchsorted(ends, start)
+                lead = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else []
+                for a in range(0, len(lead), LINES_AT_ONCE):
+                    low, high = lead[a], lead[a + LINES_AT_ONCE] if a + LINES_AT_ONCE < len(lead) else len(x)
+                    made, its = rows(x[low:high], line[low:high], counts)
+                    doc = np.searchsorted(begins, start[lead[a : a + LINES_AT_ONCE]], side="right") - 1
+                    yield pd.DataFrame({"doc_id": ids[first + doc], "key": keys[first + doc], "line": its - np.searchsorted(ends, begins)[doc]} | made)
+
+    def rows(x: np.ndarray, line: np.ndarray, counts: np.ndarray) -> tuple[dict, np.ndarray]:
+        rare = counts[(x >> np.uint64(64 - bits)).astype(np.int64)]
+        number = np.cumsum(np.r_[False, line[1:] != line[:-1]])
+        some = x & np.uint64((1 << 40) - 1)
+        order = np.argsort((number.astype(np.uint64) << np.uint64(48)) | (rare.astype(np.uint64) << np.uint64(40)) | some)
+        if ((some[order][1:] == some[order][:-1]) & (x[order][1:] != x[order][:-1])).any():  # 40 bits do not tell two words apart
+            order = np.lexsort((x, some, rare, number))
+        y, number, rare = x[order], number[order], rare[order]
+        new = np.r_[True, (y[1:] != y[:-1]) | (number[1:] != number[:-1])]
+        y, number, rare = y[new], number[new], rare[new]
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         n = np.diff(np.r_[starts, len(y)])
-        length, place = np.repeat(n, n), np.arange(len(y)) - np.repeat(starts, n)
-        use = (place < length - -(-4 * length // 5) + 1) & (length >= LEAST_SET) & (rare > 1)
-        cut = np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8
-        kept, where = y[use].tobytes(), place[use].astype(np.int32).tobytes()
-        number = np.repeat(np.arange(len(starts)), n)
-        odd = np.bincount(number * PARITY_BITS + (y & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(starts) * PARITY_BITS) & 1
-        odd = np.packbits(odd.astype(np.uint8)).tobytes()
-        doc = np.searchsorted(first, line[starts] + low, side="right") - 1
-        raw, ends, wide = y.tobytes(), (np.r_[starts[1:], len(y)] * 8).tolist(), PARITY_BITS // 8
-        c = cut.tolist()
-        yield pd.DataFrame({
-            "doc_id": part["doc_id"].to_numpy()[doc], "key": part["key"].to_numpy()[doc], "line": line[starts] + low - first[doc], "n": n,
-            "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends, strict=False)],
-            "parity": [odd[wide * i : wide * (i + 1)] for i in range(len(starts))],
-            "prefix": [kept[a:b] for a, b in zip(c, c[1:], strict=False)],
-            "places": [where[a // 2 : b // 2] for a, b in zip(c, c[1:], strict=False)],
-        })
-
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, sid binary, parity binary, prefix binary, places binary")
-
-
-def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        sizes = [len(p) // 8 for p in b["prefix"]]
-        yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), sizes) for c in ("cid", "doc_id", "line", "n", "parity")} | {"word": np.frombuffer(b"".join(b["prefix"]), np.int64), "place": np.frombuffer(b"".join(b["places"]), np.int32)})
-
-
-def _passing(rows: pd.DataFrame, group: np.ndarray, first_only: bool) -> pd.DataFrame:
-    """Pairs (earlier line a, later line b) within groups sorted by position that pass all filters; with first_only the earliest of each b."""
-    n, place = rows["n"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
-    bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    begin = np.repeat(start, np.diff(np.r_[start, len(group)]))
-    asks, out, k = np.flatnonzero(rows["ask"].to_numpy(bool)), [], 0
-    while len(asks):
-        i = begin[asks] + k  # the group's k-th line: the earliest first
-        live = i < asks
-        asks, i = asks[live], i[live]
-        a, b = n[i], n[asks]
-        need = -(-4 * (a + b) // 9)  # words in common at 0.8
-        ok = (5 * a >= 4 * b) & (5 * b >= 4 * a) & (np.minimum(place[i], place[asks]) + np.minimum(a - place[i], b - place[asks]) >= need)
-        w = np.flatnonzero(ok)
-        w = w[np.bitwise_count(bits[i[w]] ^ bits[asks[w]]).sum(1) <= a[w] + b[w] - 2 * need[w]] if len(w) else w
-        out.append(np.stack([i[w], asks[w]], 1))
-        if first_only and len(w):
-            asks = np.delete(asks, w)
-        k += 1
-    p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    cid = rows["cid"].to_numpy()
-    return pd.DataFrame({"a": cid[p[:, 0]], "b": cid[p[:, 1]], "doc": rows["doc_id"].to_numpy()[p[:, 0]], "line": rows["line"].to_numpy()[p[:, 0]]}).drop_duplicates()
-
-
-def _pairs(classes: DataFrame, asking: DataFrame | None) -> DataFrame:
-    """Distinct (a, b): class b may go because of class a. The first passing partner of each class, or all partners of the classes in `asking`."""
-    first_only = asking is None
-    schema = "cid long, doc_id long, line int, n int, parity binary, word long, place int"
-    index = classes.mapInPandas(_indexed, schema)
-    rows = index.withColumn("ask", F.lit(True))
-    if not first_only:  # a Bloom filter of the asking classes' words, so that the rest of the index stays where it is
-        words = saved(classes.join(asking, "cid", "left_semi").mapInPandas(_indexed, schema).select(F.col("word").alias("h")).distinct(), "lines-words")
-        rows = index.withColumn("h", F.col("word")).filter(maybe_repeated(words.unionByName(words), 2 * words.count())).drop("h").join(asking.withColumn("ask", F.lit(True)), "cid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    met = group_pairs(blocks(rows, "word", "cid", BLOCK), ["word", "lo", "hi"], ["doc_id", "line", "cid"], lambda x, g: _passing(x, g, first_only), "a long, b long, doc long, line int")
-    if first_only:  # one partner each, the earliest
-        return met.groupBy("b").agg(F.min_by("a", F.struct("doc", "line", "a")).alias("a")).select("a", "b")
-    return met.select("a", "b").distinct()
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        once = np.add.reduceat((rare == 1).astype(np.int64), starts)
+        pairs, back = np.unique(np.stack([n, once], 1), axis=0, return_inverse=True)
+        prefix = np.array([prefix_of(int(a), int(b)) for a, b in pairs])[back.ravel()]
+        place = np.arange(len(y)) - (starts + once)[number]
+        use = (place >= 0) & (place < prefix[number] - 1)
+        at = np.flatnonzero(use)
+        with np.errstate(over="ignore"):
+            entry = mixed(y[at] * np.uint64(0x9E3779B97F4A7C15) + y[at + 1]) >> np.uint64(PLACE_BITS)
+        entry = (entry | (np.minimum(place[at], (1 << PLACE_BITS) - 1).astype(np.uint64) << np.uint64(64 - PLACE_BITS))).tobytes()
+        bit = np.uint64(1) << (y & np.uint64(63))
+        half = (y >> np.uint64(6)) & np.uint64(1) == 0
+        cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8).tolist(), y.tobytes()
+        edge = (np.r_[starts, len(y)] * 8).tolist()
+        made = {
+            "n": n, "kept": n - once, "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge, edge[1:], strict=False)],
+            "p": np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64), "q": np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), starts).view(np.int64),
+            "entries": [entry[a:b] for a, b in zip(cut, cut[1:], strict=False)],
+        }
+        return made, line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
+
+    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, entries binary")
+
+
+def _position(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}") for c in ("doc_id", "line", "cid")])
+
+
+def _near() -> Column:
+    """Of rows a, b that share an entry: whether a is earlier and sizes, places and parity bits leave room for 0.8."""
+    a, b = F.col("a"), F.col("b")
+    need = F.ceil(4 * (a["n"] + b["n"]) / 9)
+    room = F.least(a["place"], b["place"]) + F.least(a["kept"] - a["place"], b["kept"] - b["place"])
+    odd = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
+    return (_position("a") < _position("b")) & (5 * a["n"] >= 4 * b["n"]) & (5 * b["n"] >= 4 * a["n"]) & (room >= need) & (odd <= a["n"] + b["n"] - 2 * need)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.select("entry", F.struct("cid", "doc_id", "line", "n", "kept", "p", "q", "place").alias("row"))
+
+
+def _first_partners(met: DataFrame) -> DataFrame:
+    """(a, b): for each class the leader, the earliest line of an entry, that passes the filters and shares most entries with it."""
+    leaders = met.groupBy("entry").agg(F.min_by("row", F.struct("row.doc_id", "row.line", "row.cid")).alias("a"))
+    pairs = met.withColumnRenamed("row", "b").join(leaders, "entry").filter(_near())
+    counted = pairs.groupBy(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _all_partners(met: DataFrame, asking: DataFrame) -> DataFrame:
+    """(a, b): all earlier classes a that pass the filters in an entry of an asking class b."""
+    b = met.join(asking, F.col("row.cid") == asking["cid"], "left_semi").withColumnRenamed("row", "b")
+    return met.withColumnRenamed("row", "a").join(b, "entry").filter(_near()).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs with ok: whether their sets are at 0.8 or more. Only documents that hold a line in question are read again."""
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key", "line"), "cid"), "lines-need")
-    keys = saved(need.groupBy("key").agg(F.collect_list(F.struct("cid", "line")).alias("wanted")), "lines-keys")
+    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(rows.select("uid", "key", "line"), "uid"), "lines-need")
+    keys = saved(need.groupBy("key").agg(F.collect_list(F.struct(F.col("uid").alias("cid"), "line")).alias("wanted")), "lines-keys")  # at most a document's lines
     h = keys.select(F.col("key").alias("h"))
     texts = _keyed(docs).select(F.col("key").alias("h"), "text").filter(maybe_repeated(h.unionByName(h), 2 * keys.count())).join(keys.withColumnRenamed("key", "h"), "h")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = HASHES
         for batch in batches:
-            cids, out = [], []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-                for w in wanted:
-                    words = {hashes[x] for x in lines[w["line"]].split()}
-                    cids.append(w["cid"])
-                    out.append(np.array(sorted(words), np.uint64).tobytes())
-            yield pd.DataFrame({"cid": pd.Series(cids, dtype="int64"), "set": out})
+                lines = text.split("\n")
+                cids, some = [w["cid"] for w in wanted], [lines[w["line"]] for w in wanted]
+                for first, part in in_parts(some, PART_CHARS):
+                    whole, begins = joined(part)
+                    start, x = word_hashes(whole)
+                    cut = np.searchsorted(start, np.r_[begins, len(whole)])
+                    yield pd.DataFrame({"cid": cids[first : first + len(part)], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
 
-    held = saved(texts.select("text", "wanted").mapInPandas(sets, "cid long, set binary"), "lines-sets").dropDuplicates(["cid"])
+    held = saved(texts.select("text", "wanted").mapInPandas(sets, "cid long, set binary"), "lines-sets")
+    once = held.dropDuplicates(["cid"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
-            common = len(set(np.frombuffer(x, np.uint64).tolist()).intersection(np.frombuffer(y, np.uint64).tolist()))
+            common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             out.append(100 * common >= 80 * (len(x) // 8 + len(y) // 8 - common))
         return pd.Series(out, dtype=bool)
 
-    both = pairs.join(held.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-    return saved(both.withColumn("ok", similar("x", "y")).select("a", "b", "ok"), "lines-verified")
+    both = pairs.join(once.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(once.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    out = saved(both.withColumn("ok", similar("x", "y")).select("a", "b", "ok"), "lines-verified")
+    for t in (need, keys, held):
+        dropped(t)
+    return out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -208,25 +214,29 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     Lines end at line feeds; words end at white space and A-Z are lower-cased. Lines without words never go. Null text is empty; null doc_ids sort last;
     of rows that repeat doc_id and text, the lines count as one. Empty tables give empty results; other columns are not read.
     """
-    table = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
-    rows = saved(_lines(docs, table).withColumn("uid", F.monotonically_increasing_id()), "lines-rows")
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * docs.count()).bit_length()))
+    table = docs.sparkSession.sparkContext.broadcast(word_counts(docs, bits))
+    rows = saved(_lines(docs, table, bits).withColumn("uid", F.monotonically_increasing_id()), "lines-rows")
     hashed = rows.withColumn("h", F.xxhash64("sid"))
-    marked = hashed.withColumn("maybe", maybe_repeated(hashed.select("h"), rows.count()))
-    flags = saved(marked.select("uid", "doc_id", "key", "line", "sid", "maybe"), "lines-flags")
+    test = maybe_repeated(hashed.select("h"), rows.count())
+    again = saved(hashed.select("uid", "doc_id", "key", "line", "sid", "h").filter(test).drop("h"), "lines-again")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
-    groups = saved(flags.filter("maybe").groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
-    later = flags.filter("maybe").join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line")
-    some = ["uid", "doc_id", "key", "line", "n", "parity", "prefix", "places"]
-    single = marked.filter("not maybe").select(*some)
-    shared = marked.filter("maybe").join(groups.select(F.col("cid").alias("uid")), "uid", "left_semi").select(*some)
-    classes = single.unionByName(shared).filter(F.length("prefix") > 0).withColumnRenamed("uid", "cid").withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    tried = _verified(docs, classes, saved(_pairs(classes, None), "lines-pairs"))
-    failed = saved(tried.filter("not ok").select(F.col("b").alias("cid")).distinct(), "lines-failed")
-    gone = tried.filter("ok").select(F.col("b").alias("cid"))
-    if failed.head(1):
-        rest = saved(_pairs(classes, failed).join(tried, ["a", "b"], "left_anti"), "lines-pairs")
-        gone = gone.unionByName(_verified(docs, classes, rest).filter("ok").select(F.col("b").alias("cid"))).distinct()
-    near = rows.select(F.col("uid").alias("cid"), "doc_id", "key", "line").join(gone, "cid", "left_semi").select("doc_id", "key", "line")
+    groups = saved(again.groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
+    later = saved(again.join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line"), "lines-later")
+    indexed = hashed.filter(F.length("entries") > 0).select("uid", "h", "entries").withColumn("maybe", test)
+    single = indexed.filter("not maybe").select(F.col("uid").alias("cid"), "entries")
+    first = indexed.filter("maybe").join(groups.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "entries")
+    shared = saved(shared_entries(single.unionByName(first)).select("entry", "cid", "place"), "lines-shared")
+    facts = rows.select(F.col("uid").alias("cid"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "n", "kept", "p", "q")
+    met = _met(saved(shared.join(facts, "cid"), "lines-met"))
+    dropped(shared)
+    tried = _verified(docs, rows, saved(_first_partners(met), "lines-pairs"))
+    gone = tried.filter("ok").select(F.col("b").alias("uid"))
+    left = met.select("row.cid").distinct().join(gone.select(F.col("uid").alias("cid")), "cid", "left_anti")
+    rest = saved(_all_partners(met, saved(left, "lines-asking")).join(tried, ["a", "b"], "left_anti"), "lines-pairs")
+    if rest.head(1):
+        gone = gone.unionByName(_verified(docs, rows, rest).filter("ok").select(F.col("b").alias("uid"))).distinct()
+    near = rows.select("uid", "doc_id", "key", "line").join(saved(gone, "lines-gone"), "uid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
 
 
@@ -237,10 +247,11 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with later similar lines taken out of text; n_chars follows. Null text stays null."""
-    gone = repeated_lines(docs).groupBy(F.col("key").alias("_key")).agg(F.collect_list("line").alias("_gone"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    met = docs.join(gone, key == F.col("_key"), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False)))
-    new = met.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
-    return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
+    """docs with later similar lines taken out of text; n_chars follows. Null text stays null; ties, repeats and empty tables are as in repeated_lines().
+
+    Any column names will do, as a row is one column until the end.
+    """
+    gone = repeated_lines(docs).groupBy(F.col("key").alias("gone_key")).agg(F.collect_list("line").alias("gone"))  # at most a document's lines
+    met = named_row(docs).withColumn("key", F.xxhash64(F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text"), F.lit("")))).join(gone, F.col("key") == F.col("gone_key"), "left")
+    left = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone", i.cast("int")), F.lit(False)))
+    return with_text(met.withColumn("new", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))), docs.columns)
