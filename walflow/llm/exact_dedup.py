@@ -11,7 +11,7 @@ past some 30 million rows it fills up gradually, more rows shuffle, and the resu
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,23 +73,31 @@ def repeat_filter(hashes: DataFrame, segments: int) -> dict[int, np.ndarray]:
         return {r["segment"]: np.frombuffer(zlib.decompress(r["again"]), np.uint8) for r in merged.collect()}  # at most `segments` rows
 
 
-def maybe_repeated(hashes: DataFrame, rows: int) -> Column:
-    """A test for column h: true for every hash that occurs twice in `hashes`, false for nearly all others."""
+def repeat_test(hashes: DataFrame, rows: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for use in tasks: of hashes, which are maybe repeated. True for every hash that occurs twice in `hashes`, false for nearly all others."""
     segments = int(min(MAX_SEGMENTS, max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))))
     held = hashes.sparkSession.sparkContext.broadcast(repeat_filter(hashes, segments))
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        segment, bits = _places(h.to_numpy(), segments)
+    def test(h: np.ndarray) -> np.ndarray:
+        segment, bits = _places(h, segments)
         out = np.zeros(len(h), bool)
         for s in np.unique(segment):
             if s in held.value:
                 own, packed = segment == s, held.value[s]
                 b = bits[own]
                 out[own] = (((packed[b >> 3] >> (7 - (b & 7))) & 1) == 1).all(1)
-        return pd.Series(out)
+        return out
+
+    return test
+
 
-    return test("h")
+def as_column(test: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """repeat_test() of the column h. A stage that has other Python work should test there instead, as each Python step of a task has a worker of its own."""
+    return F.pandas_udf(lambda h: pd.Series(test(h.to_numpy())), "boolean")("h")
+
+
+def maybe_repeated(hashes: DataFrame, rows: int) -> Column:
+    return as_column(repeat_test(hashes, rows))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

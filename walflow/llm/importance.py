@@ -14,7 +14,7 @@ The noise comes from a hash of the row, so a task that runs again draws the same
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import named_row, saved, small_batches, unnamed_row, weighted_cuts
-from walflow.llm.exact_dedup import maybe_repeated, normalised
+from walflow.llm.common import dropped, named_row, saved, small_batches, unnamed_row, weighted_cuts
+from walflow.llm.exact_dedup import as_column, normalised, repeat_test
 from walflow.llm.words import MULTIPLIER, edges, in_parts, joined, stretch_hashes, windows
 
 BUCKETS = 1 << 15
@@ -96,20 +96,27 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(same).alias("h"), F.xxhash64(F.lit(1), same).alias("h2"))
 
 
-def each_text_once(docs: DataFrame) -> DataFrame:
-    """The column text: one row for each text of docs. Texts whose hash occurs once pass straight through; of the others one row a text and task shuffles."""
+def raw_counts(docs: DataFrame) -> np.ndarray:
+    """The n-grams of docs by bucket, each text counted once. Texts whose hash occurs once are counted where they are; of the others one row a text and task shuffles."""
     hashed = _hashed(docs)
     hashes = saved(hashed.select("h"), "importance-hashes")
-    flagged = hashed.withColumn("maybe", maybe_repeated(hashes, hashes.count()))
-    return flagged.filter(~F.col("maybe")).select("text").unionByName(flagged.filter("maybe").groupBy("h", "h2").agg(F.first("text").alias("text")).select("text"))
+    test = repeat_test(hashes, hashes.count())
+    one = {"weight": F.lit(1).cast("long"), "kind": F.lit(0)}
+    again = saved(hashed.filter(as_column(test)).groupBy("h", "h2").agg(F.first("text").alias("text")), "importance-copies")
+    out = _counted(hashed.withColumns(one), 1, test)[0] + _counted(again.withColumns(one), 1)[0]
+    dropped(hashes)
+    dropped(again)
+    return out
 
 
-def _counted(texts: DataFrame, kinds: int) -> np.ndarray:
-    """For each kind the number of n-grams by bucket, of texts (text, weight, kind)."""
+def _counted(texts: DataFrame, kinds: int, left_out: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each kind the number of n-grams by bucket, of texts (text, weight, kind, h); without those for whose h left_out is true."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((kinds, BUCKETS), np.int64)
         for batch in batches:
+            if left_out:
+                batch = batch[~left_out(batch["h"].to_numpy())]
             weight, kind = batch["weight"].to_numpy(np.int64), batch["kind"].to_numpy(np.int64)
             for first, some in in_parts([t or "" for t in batch["text"]]):
                 doc, bucket = ngrams(some)
@@ -120,7 +127,7 @@ def _counted(texts: DataFrame, kinds: int) -> np.ndarray:
         yield pd.DataFrame({"bucket": found} | {f"n{k}": sums[k][found] for k in range(kinds)})
 
     names = [f"n{k}" for k in range(kinds)]
-    parts = texts.select("text", "weight", "kind").mapInPandas(count, ", ".join(f"{c} long" for c in ["bucket", *names]))
+    parts = texts.select("text", "weight", "kind", "h").mapInPandas(count, ", ".join(f"{c} long" for c in ["bucket", *names]))
     out = np.zeros((kinds, BUCKETS), np.int64)
     with small_batches(texts.sparkSession):
         for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():  # at most BUCKETS rows
@@ -141,7 +148,7 @@ def log_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
     ratios = np.zeros((FOLDS + 1, BUCKETS))
     if not sums.any():
         return ratios
-    raw = SMOOTHING + _counted(each_text_once(docs).withColumns({"weight": F.lit(1).cast("long"), "kind": F.lit(0)}), 1)[0]
+    raw = SMOOTHING + raw_counts(docs)
     for k in range(FOLDS + 1):
         target = (sums.sum(0) - (sums[k] if k < FOLDS else 0)) / WHOLE
         if target.any():

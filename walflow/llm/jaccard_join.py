@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from walflow.llm.common import blocks, dropped, group_pairs, named_row, saved, unnamed_row
 from walflow.llm.components import components
-from walflow.llm.exact_dedup import maybe_repeated
+from walflow.llm.exact_dedup import as_column, repeat_test
 from walflow.llm.words import in_parts, joined, word_hashes
 
 WORDS = 5
@@ -174,9 +174,11 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
-def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _indexed(batches: Iterator[pd.DataFrame], left_out: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
     """Index rows. Of a batch's rows with one entry the first is dealt by the entry (up -1, or -2 if there are others); the others point up to it."""
     for batch in batches:
+        if left_out:
+            batch = batch[~left_out(batch["h"].to_numpy())]
         e = np.frombuffer(b"".join(batch["entries"]), np.uint64)
         cid = np.repeat(batch["cid"].to_numpy(), [len(b) // 8 for b in batch["entries"]])
         place, e = (e >> np.uint64(48)).astype(np.int32), (e & np.uint64((1 << 48) - 1)).view(np.int64)
@@ -191,31 +193,37 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entry": e, "cid": cid, "place": place, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
 
 
-def shared_entries(entered: DataFrame) -> DataFrame:
-    """entry, cid, place, up: the entries (48 bits, with a place above them) of rows (cid, entries) that more than one row has; those of one row alone are dropped."""
-    index = entered.mapInPandas(_indexed, "entry long, cid long, place int, up long").withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
+def shared_entries(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], others: DataFrame) -> DataFrame:
+    """entry, cid, place, up: the entries (48 bits, with a place above them) that more than one row has; those of one row alone are dropped.
+
+    rows (cid, entries, h) without those for whose h left_out is true, and others (cid, entries).
+    """
+    schema = "entry long, cid long, place int, up long"
+    index = rows.select("cid", "entries", "h").mapInPandas(lambda b: _indexed(b, left_out), schema).unionByName(others.select("cid", "entries").mapInPandas(_indexed, schema)).withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
     w = Window.partitionBy("entry", "salt").orderBy("cid")
     met = index.select("entry", "cid", "place", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after"))
     return met.filter("up <> -1 or before is not null or after is not null").select("entry", "cid", "place", "up")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """All that was parsed; rows (doc_id, key, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), both saved; the classes' index entries (cid, entries)."""
+    """All that was parsed; rows (doc_id, key, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), and what classes share of the index (entry, cid, up), all saved."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
     keyed = docs.select(*cols).withColumn("key", _key(F.col("doc_id"), F.col("text")))
     rows = saved(keyed.mapInPandas(_parsed, "doc_id long, key long, n long, sid binary, parity binary, entries binary, thin boolean").withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
-    hashes = rows.select(F.xxhash64("sid").alias("h"))
-    flagged = rows.withColumn("h", F.xxhash64("sid")).withColumn("maybe", (F.col("n") > 0) & maybe_repeated(hashes, rows.count()))
+    hashed = rows.withColumn("h", F.xxhash64("sid"))
+    test = repeat_test(hashed.select("h"), rows.count())
+    flagged = hashed.withColumn("maybe", (F.col("n") > 0) & as_column(test))
     slim = saved(flagged.select("doc_id", "key", "n", "uid", "maybe", F.when(F.col("maybe"), F.col("sid")).alias("sid")), "jaccard-slim")
     groups = slim.filter("maybe").groupBy("sid").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_doc"))
     groups = saved(groups, "jaccard-groups")
     member = slim.filter("maybe").join(groups, "sid").select("doc_id", "key", "n", "cid").unionByName(slim.filter("not maybe").select("doc_id", "key", "n", F.col("uid").alias("cid")))
     twice = slim.filter("maybe").select("uid").join(groups.select(F.col("cid").alias("uid"), "least_doc"), "uid")
     kept = ["uid", "key", "n", "parity", "thin"]
-    entered = flagged.filter("not maybe").select("uid", "entries").unionByName(flagged.filter("maybe").select("uid", "entries").join(twice.select("uid"), "uid", "left_semi"))
+    repeated = flagged.filter("maybe").select("uid", "entries").join(saved(twice.select("uid"), "jaccard-firsts"), "uid", "left_semi").withColumnRenamed("uid", "cid")
+    shared_rows = shared_entries(hashed.withColumnRenamed("uid", "cid"), test, saved(repeated, "jaccard-repeated"))
     single = flagged.filter("not maybe").select(*kept, F.col("doc_id").alias("least_doc"))
     shared = flagged.filter("maybe").select(*kept).join(twice, "uid").select(*kept, "least_doc")
-    return rows, saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), entered.withColumnRenamed("uid", "cid")
+    return rows, saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), saved(shared_rows.select("entry", "cid", "up"), "jaccard-shared")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -223,17 +231,17 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid")
     need = saved(need, "jaccard-need")
     twice = need.select(F.col("key").alias("h"))
-    test = maybe_repeated(twice.unionByName(twice), 2 * need.count())  # every key twice: the filter then holds them all
-    texts = docs.select(_key(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(test)
-    texts = texts.join(need.withColumnRenamed("key", "h"), "h").select("cid", "text")
+    test = repeat_test(twice.unionByName(twice), 2 * need.count())  # every key twice: the filter then holds them all
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[test(batch["h"].to_numpy())]
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
-                yield pd.DataFrame({"cid": part["cid"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist())]})
+                yield pd.DataFrame({"h": part["h"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist())]})
 
-    parsed = saved(texts.mapInPandas(sets, "cid long, set binary"), "jaccard-sets")
+    found = docs.select(_key(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(sets, "h long, set binary")
+    parsed = saved(found.join(need.withColumnRenamed("key", "h"), "h").select("cid", "set"), "jaccard-sets")
     held = parsed.dropDuplicates(["cid"])
 
     @F.pandas_udf("boolean")
@@ -354,8 +362,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _component_rows(docs: DataFrame) -> DataFrame:
     """jaccard_components() with key, by which the rows of docs are found again, and root, which tells components apart that share their smallest doc_id."""
-    rows, members, classes, entered = _classes(docs)
-    shared = saved(shared_entries(entered).select("entry", "cid", "up"), "jaccard-shared")
+    rows, members, classes, shared = _classes(docs)
     dropped(rows)
     least = shared.filter("up < 0").groupBy("entry").agg(F.min("cid").alias("least"))
     star = shared.filter("up < 0").join(least, "entry").select("cid", F.col("least").alias("to")).unionByName(shared.filter("up >= 0").select("cid", F.col("up").alias("to"))).filter("cid <> to")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walflow.llm.common import dropped, named_row, saved, with_text
-from walflow.llm.exact_dedup import maybe_repeated
+from walflow.llm.exact_dedup import as_column, repeat_test
 from walflow.llm.jaccard_join import mixed, shared_entries
 from walflow.llm.words import in_parts, joined, word_hashes
 
@@ -177,7 +177,8 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     need = saved(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(rows.select("uid", "key", "line"), "uid"), "lines-need")
     keys = saved(need.groupBy("key").agg(F.collect_list(F.struct(F.col("uid").alias("cid"), "line")).alias("wanted")), "lines-keys")  # at most a document's lines
     h = keys.select(F.col("key").alias("h"))
-    texts = _keyed(docs).select(F.col("key").alias("h"), "text").filter(maybe_repeated(h.unionByName(h), 2 * keys.count())).join(keys.withColumnRenamed("key", "h"), "h")
+    test = as_column(repeat_test(h.unionByName(h), 2 * keys.count()))
+    texts = saved(_keyed(docs).select(F.col("key").alias("h"), "text").filter(test).join(keys.withColumnRenamed("key", "h"), "h").select("text", "wanted"), "lines-texts")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,7 +191,8 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                     cut = np.searchsorted(start, np.r_[begins, len(whole)])
                     yield pd.DataFrame({"cid": cids[first : first + len(part)], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
 
-    held = saved(texts.select("text", "wanted").mapInPandas(sets, "cid long, set binary"), "lines-sets")
+    held = saved(texts.mapInPandas(sets, "cid long, set binary"), "lines-sets")
+    dropped(texts)
     once = held.dropDuplicates(["cid"])
 
     @F.pandas_udf("boolean")
@@ -218,15 +220,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(word_counts(docs, bits))
     rows = saved(_lines(docs, table, bits).withColumn("uid", F.monotonically_increasing_id()), "lines-rows")
     hashed = rows.withColumn("h", F.xxhash64("sid"))
-    test = maybe_repeated(hashed.select("h"), rows.count())
-    again = saved(hashed.select("uid", "doc_id", "key", "line", "sid", "h").filter(test).drop("h"), "lines-again")
+    test = repeat_test(hashed.select("h"), rows.count())
+    again = saved(hashed.select("uid", "doc_id", "key", "line", "sid", "h").filter(as_column(test)).drop("h"), "lines-again")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
     groups = saved(again.groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
     later = saved(again.join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line"), "lines-later")
-    indexed = hashed.filter(F.length("entries") > 0).select("uid", "h", "entries").withColumn("maybe", test)
-    single = indexed.filter("not maybe").select(F.col("uid").alias("cid"), "entries")
-    first = indexed.filter("maybe").join(groups.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "entries")
-    shared = saved(shared_entries(single.unionByName(first)).select("entry", "cid", "place"), "lines-shared")
+    indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", "entries")
+    first = saved(indexed.filter(as_column(test)).join(groups.select("cid"), "cid", "left_semi").select("cid", "entries"), "lines-first")
+    shared = saved(shared_entries(indexed, test, first).select("entry", "cid", "place"), "lines-shared")
     facts = rows.select(F.col("uid").alias("cid"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "n", "kept", "p", "q")
     met = _met(saved(shared.join(facts, "cid"), "lines-met"))
     dropped(shared)

@@ -100,10 +100,10 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text.
+def word_tokenizer(path: str) -> tuple[Callable[[str], bytes], Callable[[], None]]:
+    """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text; and what forgets all words.
 
-    Each white-space-free stretch is encoded once and remembered by the worker process, as this tokenizer never looks across white space. Of a lower-case
+    Each white-space-free stretch is encoded once and remembered, as this tokenizer never looks across white space. Of a lower-case
     Latin word with signs behind it the tokenizer makes two parts; these go to its merges directly and are remembered on their own too.
     """
     from tokenizers import Tokenizer, pre_tokenizers
@@ -149,7 +149,12 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
             ids = map(known.__getitem__, words)
         return b"".join(ids)
 
-    return encode
+    def forget() -> None:
+        known.clear()
+        parts.clear()
+        parts[""] = b""
+
+    return encode, forget
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -159,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = word_tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        (encode, forget), end = word_tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 rows = []
@@ -170,6 +175,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                         rows.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        forget()  # the worker process may have other stages' tasks next
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
