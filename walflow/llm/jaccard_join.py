@@ -227,22 +227,23 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of classes those at 0.8 or more. Only the texts of classes in pairs move, found by a Bloom filter and a join."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid")
-    need = saved(need, "jaccard-need")
+    """Of distinct pairs (a, b) of classes those at 0.8 or more. Only the sets of classes in pairs move: once by their key, and once more with a pair."""
+    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid"), "jaccard-need")
+    side = lambda c: need.select(F.col("cid").alias(c), F.col("key").alias(f"key_{c}"))
+    keyed = saved(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-keyed")
     twice = need.select(F.col("key").alias("h"))
     test = repeat_test(twice.unionByName(twice), 2 * need.count())  # every key twice: the filter then holds them all
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[test(batch["h"].to_numpy())]
+            batch = batch[test(batch["h"].to_numpy())].drop_duplicates("h")
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.iloc[at : at + DOCS_AT_ONCE]
                 yield pd.DataFrame({"h": part["h"].to_numpy(), "set": [x.tobytes() for x in shingle_sets(part["text"].tolist())]})
 
     found = docs.select(_key(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(sets, "h long, set binary")
-    parsed = saved(found.join(need.withColumnRenamed("key", "h"), "h").select("cid", "set"), "jaccard-sets")
-    held = parsed.dropDuplicates(["cid"])
+    parsed = saved(found, "jaccard-sets")
+    held = parsed.dropDuplicates(["h"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -253,8 +254,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             out.append(100 * both >= 80 * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    left = pairs.join(held.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
-    out = saved(left.join(held.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b").withColumn("ok", similar("set_a", "set_b")).select("a", "b", "ok"), "jaccard-verified")
+    left = keyed.join(held.select(F.col("h").alias("key_a"), F.col("set").alias("set_a")), "key_a")
+    both = left.join(held.select(F.col("h").alias("key_b"), F.col("set").alias("set_b")), "key_b")
+    out = saved(both.withColumn("ok", similar("set_a", "set_b")).select("a", "b", "ok"), "jaccard-verified")
     dropped(parsed)
     return out
 
