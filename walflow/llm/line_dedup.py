@@ -1,24 +1,24 @@
 """Line deduplication by an exact set-similarity join.
 
 A line's set is its distinct words, in order of rarity (by a table of hashed counts over all documents, of bounded size; ties by hash). Sets x, y with Jaccard
-similarity of at least 0.8 have at least need = ceil(4 (|x| + |y|) / 9) words in common. Three filters follow from that before any pair is made:
+similarity of at least 0.8 have at least need = ceil(4 (|x| + |y|) / 9) words in common. These filters follow from that before any pair is made:
 
 prefix: common words split the order into gaps, and each word of one line alone breaks at most one gap. So among the first |x| + |y| - 2 need + 1 gaps one is
     whole: two words that stand side by side in both orders. Only pairs of neighbours within the prefix that this allows are indexed (see prefix_of()).
 rarity: words that occur once in the corpus are in no other line. They are left out of the order, shorten the prefix, and end it where they are too many.
 length, position: lines meet only at fitting sizes, and only if the words before and behind the shared neighbours leave room for `need` in common. Exact bounds
-    from parity bits of both sets come last.
+    from parity bits of both sets come with them: where an entry's lines meet all of this is known already, so few pairs are ever made.
 
 A line goes if an earlier line, in order of (doc_id, line number), is similar to it. So one earlier partner is enough: each distinct set first tries, of the
-earliest lines of its index entries, the one that it shares most entries with; only those whose partner fails meet all earlier lines of their entries. What
-passes the filters is verified on the words. Equal sets are one class: its first line stays or goes by the join and all later ones go.
+earlier lines of its entries, the one that it shares most entries with, and then all others if that one fails. Entries of more than FEW lines link their lines to one
+of them; lines that are still there after that meet all earlier ones of these entries. What passes the filters is verified on the words. Equal sets are one class: its first line stays or goes by the join and all later ones go.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 
 from walflow.llm.common import dropped, named_row, saved, with_text
 from walflow.llm.exact_dedup import as_column, repeat_test
-from walflow.llm.jaccard_join import mixed, shared_entries
+from walflow.llm.jaccard_join import mixed
 from walflow.llm.words import in_parts, joined, word_hashes
 
 LEAST_SET = 4  # smaller sets are at 0.8 only if equal
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
 LINES_AT_ONCE = 60_000  # a line's number in its part has 16 bits below
 PART_CHARS = 1_000_000
-PLACE_BITS = 16
+PLACE_BITS = 16  # of an entry, above 48 bits of hash; the highest bit marks the line that stands for many others
+MOST_PLACE, MARK = (1 << PLACE_BITS - 1) - 1, np.uint64(1 << 63)
+SKETCH_BITS, MOST_SIZE = 54, (1 << 10) - 1  # of a sketch: parity bits below the set's size
+FEW = 16
+ENTRIES_AT_ONCE, SEGMENT_ENTRIES = 2_000_000, 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -88,7 +92,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
-    """A row for each line with words: doc_id, key, line, n, kept (n without the words that occur once), sid, p and q (parity bits), entries (place and hash)."""
+    """A row for each line with words: doc_id, key, line, n, kept (n without the words that occur once), sid, p and q (parity bits), sketch, entries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = table.value
@@ -126,7 +130,8 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         at = np.flatnonzero(use)
         with np.errstate(over="ignore"):
             entry = mixed(y[at] * np.uint64(0x9E3779B97F4A7C15) + y[at + 1]) >> np.uint64(PLACE_BITS)
-        entry = (entry | (np.minimum(place[at], (1 << PLACE_BITS) - 1).astype(np.uint64) << np.uint64(64 - PLACE_BITS))).tobytes()
+        entry = (entry | (np.minimum(place[at], MOST_PLACE).astype(np.uint64) << np.uint64(64 - PLACE_BITS))).tobytes()
+        odd = np.bitwise_xor.reduceat(np.uint64(1) << (y >> np.uint64(8)) % np.uint64(SKETCH_BITS), starts)
         bit = np.uint64(1) << (y & np.uint64(63))
         half = (y >> np.uint64(6)) & np.uint64(1) == 0
         cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8).tolist(), y.tobytes()
@@ -134,42 +139,134 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         made = {
             "n": n, "kept": n - once, "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge, edge[1:], strict=False)],
             "p": np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64), "q": np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), starts).view(np.int64),
+            "sketch": (odd | (np.minimum(n, MOST_SIZE).astype(np.uint64) << np.uint64(SKETCH_BITS))).view(np.int64),
             "entries": [entry[a:b] for a, b in zip(cut, cut[1:], strict=False)],
         }
         return made, line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, entries binary")
+    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary")
 
 
-def _position(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}") for c in ("doc_id", "line", "cid")])
+_HASH = np.uint64((1 << 48) - 1)
+_PACKED = "segment long, entries binary, cids binary, sketches binary"
 
 
-def _near() -> Column:
-    """Of rows a, b that share an entry: whether a is earlier and sizes, places and parity bits leave room for 0.8."""
-    a, b = F.col("a"), F.col("b")
-    need = F.ceil(4 * (a["n"] + b["n"]) / 9)
-    room = F.least(a["place"], b["place"]) + F.least(a["kept"] - a["place"], b["kept"] - b["place"])
-    odd = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
-    return (_position("a") < _position("b")) & (5 * a["n"] >= 4 * b["n"]) & (5 * b["n"] >= 4 * a["n"]) & (room >= need) & (odd <= a["n"] + b["n"] - 2 * need)
+def _near(e: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of lines that share an entry have sizes, places and parity bits that leave room for 0.8."""
+    place = ((e & ~MARK) >> np.uint64(48)).astype(np.int64)
+    n, odd = (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64), sketch & np.uint64((1 << SKETCH_BITS) - 1)
+    a, b, p, q = n[i], n[j], place[i], place[j]
+    need = -(-4 * (a + b) // 9)
+    room = np.minimum(p, q) + np.minimum(a - p, b - q) >= need
+    size = (5 * a >= 4 * b) & (5 * b >= 4 * a) & (np.bitwise_count(odd[i] ^ odd[j]) <= a + b - 2 * need)
+    return (a == MOST_SIZE) | (b == MOST_SIZE) | (size & (room | (p == MOST_PLACE) | (q == MOST_PLACE)))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    return rows.select("entry", F.struct("cid", "doc_id", "line", "n", "kept", "p", "q", "place").alias("row"))
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted keys where its group begins and how large it is."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[start, len(key)])
+    return np.repeat(start, n), np.repeat(n, n)
 
 
-def _first_partners(met: DataFrame) -> DataFrame:
-    """(a, b): for each class the leader, the earliest line of an entry, that passes the filters and shares most entries with it."""
-    leaders = met.groupBy("entry").agg(F.min_by("row", F.struct("row.doc_id", "row.line", "row.cid")).alias("a"))
-    pairs = met.withColumnRenamed("row", "b").join(leaders, "entry").filter(_near())
-    counted = pairs.groupBy(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+def _paired(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray, all_of: np.ndarray, one_of: np.ndarray) -> np.ndarray:
+    """Near pairs (smaller cid, larger cid), once each, of entries sorted by hash: all pairs of the groups of rows in all_of, those with the first of the group for one_of."""
+    start, n = _groups(e & _HASH)
+    rows = np.flatnonzero(one_of & (start < np.arange(len(e))))
+    found = [(start[rows], rows)]
+    left = np.flatnonzero(all_of)
+    for step in range(1, FEW):
+        left = left[left + step < (start + n)[left]]
+        found.append((left, left + step))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j = (x[_near(e, sketch, i, j) & (cid[i] != cid[j])] for x in (i, j))
+    return np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], 1), axis=0)
 
 
-def _all_partners(met: DataFrame, asking: DataFrame) -> DataFrame:
-    """(a, b): all earlier classes a that pass the filters in an entry of an asking class b."""
-    b = met.join(asking, F.col("row.cid") == asking["cid"], "left_semi").withColumnRenamed("row", "b")
-    return met.withColumnRenamed("row", "a").join(b, "entry").filter(_near()).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], others: DataFrame) -> DataFrame:
+    """Rows (a, b): near pairs of lines that share an entry, each at least once; and rows (a, entry) for the lines of entries with more than FEW, of which
+    only the pairs with one line are made.
+
+    rows (cid, entries, sketch, h) without those for whose h left_out is true, and others (cid, entries, sketch). Entries travel packed, by ranges of their
+    hash. Of an entry that a task holds more than FEW times one copy travels, so that no range grows with a frequent entry.
+    """
+    size = lambda df: df.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
+    segments = 1 + (size(rows) + size(others)) // (8 * SEGMENT_ENTRIES)
+
+    def row(segment: int, *parts: np.ndarray) -> pd.DataFrame:
+        blobs = [x.tobytes() for x in parts]
+        return pd.DataFrame({"segment": [segment - 2 * zlib.crc32(b"".join(blobs)) if segment < 0 else segment], "entries": blobs[:1], "cids": blobs[1:2], "sketches": blobs[2:]})
+
+    def deal(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((cid, e & _HASH))
+        e, cid, sketch = e[order], cid[order], sketch[order]
+        start, n = _groups(e & _HASH)
+        many = n > FEW
+        none = np.zeros(0, np.int64)
+        if many.any():
+            yield row(-1, e[many], cid[many], none)
+            pairs = _paired(e, cid, sketch, np.zeros(len(e), bool), many)
+            yield row(-2, none, pairs[:, 0], pairs[:, 1])
+            e = np.where(many, e | MARK, e)
+        first = ~many | (start == np.arange(len(e)))
+        e, cid, sketch = e[first], cid[first], sketch[first]
+        segment = ((e & _HASH) >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)
+        edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]).tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield row(int(segment[a]), e[a:b], cid[a:b], sketch[a:b])
+
+    def run(batches: Iterator[pd.DataFrame], test: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            batch = batch[~test(batch["h"].to_numpy())] if test else batch
+            sizes = [len(b) // 8 for b in batch["entries"]]
+            held.append((np.frombuffer(b"".join(batch["entries"]), np.uint64), np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(), sizes).view(np.uint64)))
+            n += sum(sizes)
+            if n >= ENTRIES_AT_ONCE:
+                yield from deal(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from deal(*map(np.concatenate, zip(*held, strict=True)))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        kind = rows["segment"].iloc[0]
+        e, cid, sketch = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("entries", np.uint64), ("cids", np.int64), ("sketches", np.uint64)))
+        if kind < 0 and kind % 2 == 0:
+            return pd.DataFrame({"a": cid, "b": sketch.view(np.int64), "entry": pd.array([None] * len(cid), dtype="Int64")})
+        if kind >= 0:
+            order = np.argsort(e & _HASH)
+            e, cid, sketch = e[order], cid[order], sketch[order]
+            start, n = _groups(e & _HASH)
+            marked = np.zeros(len(e), bool)
+            marked[start[e & MARK != 0]] = True
+            many = marked[start] | (n > FEW)
+            pairs = _paired(e, cid, sketch, ~many, many)
+            own = many & (e & MARK == 0)
+            e, cid = e[own], cid[own]
+        else:
+            pairs = np.zeros((0, 2), np.int64)
+        none = pd.array([None] * len(pairs), dtype="Int64")
+        return pd.DataFrame({"a": np.r_[pairs[:, 0], cid], "b": pd.array(np.r_[pairs[:, 1], np.zeros(len(cid), np.int64)], dtype="Int64"), "entry": pd.concat([pd.Series(none), pd.Series((e & _HASH).view(np.int64), dtype="Int64")], ignore_index=True)})
+
+    packed = rows.select("cid", "entries", "sketch", "h").mapInPandas(lambda b: run(b, left_out), _PACKED).unionByName(others.select("cid", "entries", "sketch").mapInPandas(run, _PACKED))
+    return packed.groupBy("segment").applyInPandas(meet, "a long, b long, entry long")
+
+
+_FITS = "5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and bit_count(a.p ^ b.p) + bit_count(a.q ^ b.q) <= a.n + b.n - 2 * ceil(4 * (a.n + b.n) / 9)"
+
+
+def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (a, b, times) with the earlier line as a, without those that all parity bits tell apart."""
+    side = lambda c: facts.select(F.col("at.cid").alias(f"id_{c}"), F.struct("at", "n", "p", "q").alias(c))
+    both = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "times").join(side("a"), "id_a").join(side("b"), "id_b").filter(_FITS)
+    return both.select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
+
+
+def _earlier(large: DataFrame, gone: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): for the lines b of large entries (cid, entry) that are not gone, all earlier ones of these entries that size and parity bits leave."""
+    held = saved(large.join(facts.withColumn("cid", F.col("at.cid")), "cid").select("entry", F.struct("at", "n", "p", "q").alias("a")), "lines-large")
+    there = held.join(gone.select(F.col("b").alias("cid")), F.col("a.at.cid") == F.col("cid"), "left_anti").withColumnRenamed("a", "b")
+    return held.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(F.col("a.at.cid").alias("a"), F.col("b.at.cid").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -225,16 +322,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
     groups = saved(again.groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
     later = saved(again.join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line"), "lines-later")
-    indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", "entries")
-    first = saved(indexed.filter(as_column(test)).join(groups.select("cid"), "cid", "left_semi").select("cid", "entries"), "lines-first")
-    shared = saved(shared_entries(indexed, test, first).select("entry", "cid", "place"), "lines-shared")
-    facts = rows.select(F.col("uid").alias("cid"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "n", "kept", "p", "q")
-    met = _met(saved(shared.join(facts, "cid"), "lines-met"))
-    dropped(shared)
-    tried = _verified(docs, rows, saved(_first_partners(met), "lines-pairs"))
-    gone = tried.filter("ok").select(F.col("b").alias("uid"))
-    left = met.select("row.cid").distinct().join(gone.select(F.col("uid").alias("cid")), "cid", "left_anti")
-    rest = saved(_all_partners(met, saved(left, "lines-asking")).join(tried, ["a", "b"], "left_anti"), "lines-pairs")
+    indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", "entries", "sketch")
+    first = saved(indexed.filter(as_column(test)).join(groups.select("cid"), "cid", "left_semi").select("cid", "entries", "sketch"), "lines-first")
+    met = saved(met_lines(indexed, test, first), "lines-met")
+    dropped(first)
+    facts = rows.select(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", F.col("uid").alias("cid")).alias("at"), "n", "p", "q")
+    pairs = saved(_ordered(met.filter("entry is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), facts), "lines-pairs")
+    tried = _verified(docs, rows, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
+    gone = tried.filter("ok").select("b")
+    large = met.filter("entry is not null").select(F.col("a").alias("cid"), "entry")  # their lines meet all earlier ones, if they are still there
+    if large.head(1):
+        pairs = pairs.select("a", "b").unionByName(_earlier(large, gone, facts)).distinct()
+    rest = saved(pairs.join(gone, "b", "left_anti").select("a", "b").join(tried, ["a", "b"], "left_anti"), "lines-rest")
+    gone = gone.withColumnRenamed("b", "uid")
     if rest.head(1):
         gone = gone.unionByName(_verified(docs, rows, rest).filter("ok").select(F.col("b").alias("uid"))).distinct()
     near = rows.select("uid", "doc_id", "key", "line").join(saved(gone, "lines-gone"), "uid", "left_semi").select("doc_id", "key", "line")
