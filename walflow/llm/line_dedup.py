@@ -10,15 +10,16 @@ length, position: lines meet only at fitting sizes, and only if the words before
     from parity bits of both sets come with them: where an entry's lines meet all of this is known already, so few pairs are ever made.
 
 A line goes if an earlier line, in order of (doc_id, line number), is similar to it. So one earlier partner is enough: each distinct set first tries, of the
-earlier lines of its entries, the one that it shares most entries with, and then all others if that one fails. Entries of more than FEW lines link their lines to one
-of them; lines that are still there after that meet all earlier ones of these entries. What passes the filters is verified on the words. Equal sets are one class: its first line stays or goes by the join and all later ones go.
+earlier lines of its entries, the one that it shares most entries with, and then all others if that one fails. Entries of more than FEW lines link their
+lines to the first LEADERS of them; lines that are still there after that meet all earlier ones of these entries. What passes the filters is verified on the words.
+Equal sets are one class: its first line stays or goes by the join and all later ones go.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,8 @@ LINES_AT_ONCE = 60_000  # a line's number in its part has 16 bits below
 PART_CHARS = 1_000_000
 PLACE_BITS = 16  # of an entry, above 48 bits of hash; the highest bit marks the line that stands for many others
 MOST_PLACE, MARK = (1 << PLACE_BITS - 1) - 1, np.uint64(1 << 63)
-SKETCH_BITS, MOST_SIZE = 54, (1 << 10) - 1  # of a sketch: parity bits below the set's size
-FEW = 16
+SKETCH_BITS, MOST_SIZE = 24, (1 << 8) - 1  # of a sketch: parity bits below the set's size
+FEW, LEADERS = 16, 4
 ENTRIES_AT_ONCE, SEGMENT_ENTRIES = 2_000_000, 1 << 20
 _LAST = (1 << 63) - 1
 
@@ -123,15 +124,15 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         n = np.diff(np.r_[starts, len(y)])
         once = np.add.reduceat((rare == 1).astype(np.int64), starts)
-        pairs, back = np.unique(np.stack([n, once], 1), axis=0, return_inverse=True)
-        prefix = np.array([prefix_of(int(a), int(b)) for a, b in pairs])[back.ravel()]
+        sizes, back = np.unique((n << 32) | once, return_inverse=True)
+        prefix = np.array([prefix_of(x >> 32, x & 0xFFFFFFFF) for x in sizes.tolist()])[back]
         place = np.arange(len(y)) - (starts + once)[number]
         use = (place >= 0) & (place < prefix[number] - 1)
         at = np.flatnonzero(use)
         with np.errstate(over="ignore"):
             entry = mixed(y[at] * np.uint64(0x9E3779B97F4A7C15) + y[at + 1]) >> np.uint64(PLACE_BITS)
         entry = (entry | (np.minimum(place[at], MOST_PLACE).astype(np.uint64) << np.uint64(64 - PLACE_BITS))).tobytes()
-        odd = np.bitwise_xor.reduceat(np.uint64(1) << (y >> np.uint64(8)) % np.uint64(SKETCH_BITS), starts)
+        odd = np.bitwise_xor.reduceat(np.uint32(1) << ((y >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.uint32), starts)
         bit = np.uint64(1) << (y & np.uint64(63))
         half = (y >> np.uint64(6)) & np.uint64(1) == 0
         cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8).tolist(), y.tobytes()
@@ -139,12 +140,12 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         made = {
             "n": n, "kept": n - once, "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge, edge[1:], strict=False)],
             "p": np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64), "q": np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), starts).view(np.int64),
-            "sketch": (odd | (np.minimum(n, MOST_SIZE).astype(np.uint64) << np.uint64(SKETCH_BITS))).view(np.int64),
+            "sketch": (odd | (np.minimum(n, MOST_SIZE).astype(np.uint32) << np.uint32(SKETCH_BITS))).view(np.int32),
             "entries": [entry[a:b] for a, b in zip(cut, cut[1:], strict=False)],
         }
         return made, line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary")
+    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch int, entries binary")
 
 
 _HASH = np.uint64((1 << 48) - 1)
@@ -154,7 +155,7 @@ _PACKED = "segment long, entries binary, cids binary, sketches binary"
 def _near(e: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) of lines that share an entry have sizes, places and parity bits that leave room for 0.8."""
     place = ((e & ~MARK) >> np.uint64(48)).astype(np.int64)
-    n, odd = (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64), sketch & np.uint64((1 << SKETCH_BITS) - 1)
+    n, odd = (sketch >> np.uint32(SKETCH_BITS)).astype(np.int64), sketch & np.uint32((1 << SKETCH_BITS) - 1)
     a, b, p, q = n[i], n[j], place[i], place[j]
     need = -(-4 * (a + b) // 9)
     room = np.minimum(p, q) + np.minimum(a - p, b - q) >= need
@@ -169,23 +170,37 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, n), np.repeat(n, n)
 
 
-def _paired(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray, all_of: np.ndarray, one_of: np.ndarray) -> np.ndarray:
-    """Near pairs (smaller cid, larger cid), once each, of entries sorted by hash: all pairs of the groups of rows in all_of, those with the first of the group for one_of."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second bytes, and so on, which shuffles compress well where the numbers are alike."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(parts: Iterable[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in parts if b)])
+
+
+def _paired(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray, all_of: np.ndarray, some_of: np.ndarray) -> np.ndarray:
+    """Near pairs (smaller cid, larger cid), once each, of entries sorted by hash: all pairs of the groups of rows in all_of, those with the first LEADERS for some_of."""
     start, n = _groups(e & _HASH)
-    rows = np.flatnonzero(one_of & (start < np.arange(len(e))))
-    found = [(start[rows], rows)]
+    rows, found = np.flatnonzero(some_of), []
+    for step in range(LEADERS):
+        rows = rows[start[rows] + step < rows]
+        found.append((start[rows] + step, rows))
     left = np.flatnonzero(all_of)
     for step in range(1, FEW):
         left = left[left + step < (start + n)[left]]
         found.append((left, left + step))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    i, j = (x[_near(e, sketch, i, j) & (cid[i] != cid[j])] for x in (i, j))
-    return np.unique(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], 1), axis=0)
+    near = []
+    for i, j in found:
+        ok = _near(e, sketch, i, j) & (cid[i] != cid[j])
+        near.append(np.stack([np.minimum(cid[i[ok]], cid[j[ok]]), np.maximum(cid[i[ok]], cid[j[ok]])], 1))
+    return np.unique(np.concatenate(near), axis=0)
 
 
 def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], others: DataFrame) -> DataFrame:
     """Rows (a, b): near pairs of lines that share an entry, each at least once; and rows (a, entry) for the lines of entries with more than FEW, of which
-    only the pairs with one line are made.
+    only the pairs with the first LEADERS are made.
 
     rows (cid, entries, sketch, h) without those for whose h left_out is true, and others (cid, entries, sketch). Entries travel packed, by ranges of their
     hash. Of an entry that a task holds more than FEW times one copy travels, so that no range grows with a frequent entry.
@@ -194,7 +209,7 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
     segments = 1 + (size(rows) + size(others)) // (8 * SEGMENT_ENTRIES)
 
     def row(segment: int, *parts: np.ndarray) -> pd.DataFrame:
-        blobs = [x.tobytes() for x in parts]
+        blobs = [_planes(x) for x in parts]
         return pd.DataFrame({"segment": [segment - 2 * zlib.crc32(b"".join(blobs)) if segment < 0 else segment], "entries": blobs[:1], "cids": blobs[1:2], "sketches": blobs[2:]})
 
     def deal(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -220,7 +235,7 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
         for batch in batches:
             batch = batch[~test(batch["h"].to_numpy())] if test else batch
             sizes = [len(b) // 8 for b in batch["entries"]]
-            held.append((np.frombuffer(b"".join(batch["entries"]), np.uint64), np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(), sizes).view(np.uint64)))
+            held.append((np.frombuffer(b"".join(batch["entries"]), np.uint64), np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int32), sizes).view(np.uint32)))
             n += sum(sizes)
             if n >= ENTRIES_AT_ONCE:
                 yield from deal(*map(np.concatenate, zip(*held, strict=True)))
@@ -230,9 +245,10 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         kind = rows["segment"].iloc[0]
-        e, cid, sketch = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("entries", np.uint64), ("cids", np.int64), ("sketches", np.uint64)))
+        e, cid = _from_planes(rows["entries"], np.uint64), _from_planes(rows["cids"], np.int64)
+        sketch = _from_planes(rows["sketches"], np.int64 if kind < 0 else np.uint32)
         if kind < 0 and kind % 2 == 0:
-            return pd.DataFrame({"a": cid, "b": sketch.view(np.int64), "entry": pd.array([None] * len(cid), dtype="Int64")})
+            return pd.DataFrame({"a": cid, "b": sketch, "entry": pd.array([None] * len(cid), dtype="Int64")})
         if kind >= 0:
             order = np.argsort(e & _HASH)
             e, cid, sketch = e[order], cid[order], sketch[order]
@@ -279,14 +295,17 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            cids, some = [], []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 lines = text.split("\n")
-                cids, some = [w["cid"] for w in wanted], [lines[w["line"]] for w in wanted]
-                for first, part in in_parts(some, PART_CHARS):
-                    whole, begins = joined(part)
-                    start, x = word_hashes(whole)
-                    cut = np.searchsorted(start, np.r_[begins, len(whole)])
-                    yield pd.DataFrame({"cid": cids[first : first + len(part)], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
+                for w in wanted:
+                    cids.append(w["cid"])
+                    some.append(lines[w["line"]])
+            for first, part in in_parts(some, PART_CHARS):
+                whole, begins = joined(part)
+                start, x = word_hashes(whole)
+                cut = np.searchsorted(start, np.r_[begins, len(whole)]).tolist()
+                yield pd.DataFrame({"cid": cids[first : first + len(part)], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
 
     held = saved(texts.mapInPandas(sets, "cid long, set binary"), "lines-sets")
     dropped(texts)
@@ -330,14 +349,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     pairs = saved(_ordered(met.filter("entry is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), facts), "lines-pairs")
     tried = _verified(docs, rows, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
     gone = tried.filter("ok").select("b")
+
+    def next_round(pairs: DataFrame) -> None:
+        nonlocal tried, gone
+        rest = saved(pairs.join(gone, "b", "left_anti").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "lines-rest")
+        if rest.head(1):
+            late = _verified(docs, rows, rest)
+            tried, gone = tried.unionByName(late), saved(gone.unionByName(late.filter("ok").select("b")).distinct(), "lines-gone")
+
+    next_round(pairs)
     large = met.filter("entry is not null").select(F.col("a").alias("cid"), "entry")  # their lines meet all earlier ones, if they are still there
     if large.head(1):
-        pairs = pairs.select("a", "b").unionByName(_earlier(large, gone, facts)).distinct()
-    rest = saved(pairs.join(gone, "b", "left_anti").select("a", "b").join(tried, ["a", "b"], "left_anti"), "lines-rest")
+        next_round(_earlier(large, gone, facts))
     gone = gone.withColumnRenamed("b", "uid")
-    if rest.head(1):
-        gone = gone.unionByName(_verified(docs, rows, rest).filter("ok").select(F.col("b").alias("uid"))).distinct()
-    near = rows.select("uid", "doc_id", "key", "line").join(saved(gone, "lines-gone"), "uid", "left_semi").select("doc_id", "key", "line")
+    near = rows.select("uid", "doc_id", "key", "line").join(gone, "uid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
 
 
