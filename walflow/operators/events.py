@@ -84,9 +84,27 @@ def partition_lag(events: DataFrame, offsets: DataFrame, source_id: str, partiti
     return left.groupBy("partition").agg(F.count_if(F.col("_at").isNull() | (F.struct(*POSITION) > F.col("_at"))).alias("behind"), F.max(F.struct(*POSITION)).alias("_end")).select("partition", "behind", format_lsn("_end.commit_end_lsn").alias("end_lsn"))
 
 
+def sequences(events: DataFrame) -> DataFrame:
+    """Each transaction's first and last sequence number, and whether its numbers are 1..n."""
+    by_tx = events.groupBy("source_id", "commit_end_lsn").agg(F.min("sequence_number").alias("low"), F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
+    return by_tx.withColumn("gapless", (F.col("low") == 1) & (F.col("high") == F.col("n")))
+
+
 def sequence_gaps(events: DataFrame) -> DataFrame:
     """Transactions whose sequence numbers are not 1..n."""
-    return events.groupBy("source_id", "commit_end_lsn").agg(F.min("sequence_number").alias("low"), F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> 1 or high <> n")
+    return sequences(events).filter("not gapless").drop("gapless")
+
+
+def source_positions(events: DataFrame, persisted: Column) -> DataFrame:
+    """For each source the last position received, the last that is persisted, and the bytes of log between them."""
+    at = events.groupBy("source_id").agg(F.max("commit_end_lsn").alias("received"), F.max(F.when(persisted, F.col("commit_end_lsn"))).alias("persisted"))
+    return at.withColumn("lag_bytes", F.greatest(F.lit(0), F.col("received") - F.coalesce("persisted", F.lit(0))))
+
+
+def end_offsets(events: DataFrame, partitions: int) -> DataFrame:
+    """The last position of each partition: where a group that has read everything stands."""
+    rows = events.groupBy(partition_of("key_hash", partitions).alias("partition")).agg(F.max(F.struct(*POSITION)).alias("at"))
+    return rows.select("partition", *[F.col(f"at.{c}").alias(c) for c in POSITION])
 
 
 def latest_rows(events: DataFrame, upto_lsn: int | None = None) -> DataFrame:
@@ -108,8 +126,17 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.groupBy("source_id", key, F.session_window(F.col("commit_timestamp").cast("timestamp"), gap).alias("s")).agg(F.count(F.lit(1)).alias("changes")).select("source_id", "row_key", F.col("s.start").alias("session_start"), "changes")
 
 
+RELATIONS_BROADCAST = 100_000
+
+
 def as_of_relation(rows: DataFrame, relations: DataFrame) -> DataFrame:
-    """rows (oid, pos, ...) with the fingerprint of the latest relation (oid, pos, fingerprint) at or before them: an as-of join by union and a window."""
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(relations.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("oid").orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("relation_fingerprint", F.last("fingerprint", ignorenulls=True).over(w)).filter("_kind = 1").drop("_kind", "fingerprint")
+    """rows (oid, pos, ...) with the fingerprint of the latest relation (oid, pos, fingerprint) at or before them, null if there is none.
+
+    Relations become intervals, each up to the next of its oid; relations are few, and so only they are sorted. Rows meet the intervals where they are, if these
+    are at most RELATIONS_BROADCAST, and else by a join on oid, which adaptive execution splits for a hot relation; no task holds a relation's history.
+    """
+    w = Window.partitionBy("oid").orderBy("pos")
+    spans = relations.dropDuplicates(["oid", "pos"]).select(F.col("oid").alias("_oid"), F.col("pos").alias("_from"), F.lead("pos").over(w).alias("_to"), F.col("fingerprint").alias("relation_fingerprint"))
+    few = relations.limit(RELATIONS_BROADCAST + 1).count() <= RELATIONS_BROADCAST
+    inside = (F.col("oid") == F.col("_oid")) & (F.col("pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("pos") < F.col("_to")))
+    return rows.join(F.broadcast(spans) if few else spans, inside, "left").drop("_oid", "_from", "_to")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from walflow.functions.exprs import event_id, fnv1a32, normalized_key, payload_hash
+from walflow.operators.control import Checkpoints
 
 NATURAL_KEY = ["source_id", "commit_end_lsn", "sequence_number"]
 
@@ -47,6 +48,20 @@ def fresh(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.dropDuplicates(NATURAL_KEY).join(store.select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
 
 
+def ingest_fenced(spark: SparkSession, batch: DataFrame, path: str, checkpoints: Checkpoints, source: str, owner: str, generation: int) -> int:
+    """ingest() by the owner of a source's checkpoint, whose positions follow: received before the events are stored, persisted after.
+
+    A caller that has lost the checkpoint gets Fenced. If it loses it while it writes, what it wrote are the same events that the new owner will find stored,
+    and the position stays the new owner's. A batch without events, of transactions without changes, may carry the position alone (see Checkpoints.advance()).
+    """
+    end = batch.agg(F.max("commit_end_lsn")).first()[0]
+    at = checkpoints.get(source)
+    checkpoints.advance(source, owner, generation, received=max(at["received"], end or 0))
+    n = ingest(spark, batch, path)
+    checkpoints.advance(source, owner, generation, persisted=max(checkpoints.get(source)["persisted"], end or 0))
+    return n
+
+
 def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
     """Appends what is new of a batch of events to the Parquet store at path and returns the number of events added.
 
@@ -69,7 +84,8 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
             rows_new = rows.dropDuplicates(NATURAL_KEY).persist()
         n = rows_new.count()
         if n:
-            rows_new.repartition("source_id", "table_name").sortWithinPartitions("commit_end_lsn", "sequence_number").write.mode("append").partitionBy("source_id", "table_name").parquet(path)
+            # by position too, so that a hot table's batch is many tasks' work and files cover narrow ranges of positions
+            rows_new.repartitionByRange("source_id", "table_name", "commit_end_lsn").sortWithinPartitions("source_id", "table_name", "commit_end_lsn", "sequence_number").write.mode("append").partitionBy("source_id", "table_name").parquet(path)
         rows_new.unpersist()
         return n
     finally:
