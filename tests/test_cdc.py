@@ -1,5 +1,9 @@
+import hashlib
+import hmac
+import http.server
 import json
 import os
+import threading
 
 import duckdb
 import pytest
@@ -7,9 +11,10 @@ from pyspark.sql import functions as F
 
 from walflow.functions import crypto, exprs
 from walflow.operators.consumer import ConsumerGroup, OffsetRegression
-from walflow.operators.control import Checkpoints, ControlStore, Fenced, Leases
-from walflow.operators.delivery import delivered, public_address
-from walflow.operators.ingest import HashMismatch, ingest, stored
+from walflow.operators.control import Checkpoints, ControlStore, Fenced, Leases, PositionRegression
+from walflow.operators.delivery import delivered, http_transport, public_address
+from walflow.operators.ingest import HashMismatch, ingest, ingest_fenced, stored
+from walflow.operators.registry import Registry
 from walflow.operators.replay import Replays
 from walflow.plans import catalog
 from walflow.sources import wal
@@ -111,11 +116,145 @@ def test_consumer(spark, tmp_path, poison):
         group.ack(0, "m", b.generation - 1, 10**9, 1)
 
 
-def test_delivery(spark):
+def test_delivery(spark, tmp_path):
     events = stored(order_changes(spark, SF).filter("commit_end_lsn <= 4096"))
     work = events.withColumns({"attempt_id": F.col("commit_end_lsn") * 64 + F.col("sequence_number"), "sink_id": F.lit("s"), "event_id": F.col("id"), "attempt_number": F.lit(1), "max_attempts": F.lit(2), "retry_initial_ms": F.lit(1000), "retry_max_ms": F.lit(5000), "url": F.lit("http://x"), "secret": F.lit(b"k"), "idempotency_key": F.lit("i")})
-    got = delivered(work, lambda u, h, p: (200 if json.loads(p)["table_name"] == "orders" else 500, "", None, False), 1).groupBy("status").count().collect()
-    assert {r["status"] for r in got} == {"success", "retryable"}
+    log = f"{tmp_path}/sent.log"
+
+    def answer(u, h, p):
+        with open(log, "a") as f:
+            f.write(h["X-Event-Id"] + h["X-Attempt"] + "\n")
+        return (200 if json.loads(p)["table_name"] == "orders" else 500), "", None, False
+
+    got = delivered(work, answer, 1, f"file://{tmp_path}/results")
+    assert {r["status"] for r in got.collect()} == {"success", "retryable"} and got.count() == events.count()
+    assert delivered(work, answer, 1, f"file://{tmp_path}/results").count() == len(open(log).read().split()) == events.count()
+
+
+def test_published_hmac(spark):
+    """RFC 4231, test case 2, as the signature's last part."""
+    assert hmac.new(b"Jefe", b"what do ya want for nothing?", hashlib.sha256).hexdigest() == "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"
+    r = one(spark, crypto.signature(F.lit(b"Jefe"), F.lit(5), F.lit(b""), F.lit("p")))
+    assert r[0] == "sha256=" + hmac.new(b"Jefe", b"5.p", hashlib.sha256).hexdigest()
+
+
+@pytest.mark.parametrize("status,headers,want", [(200, {}, (200, None)), (503, {}, (503, None)), (302, {"Location": "/next"}, (None, "too many redirects")), (302, {"Location": "ftp://example.com/"}, (None, "address not allowed"))])
+def test_transport(status, headers, want):
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["X-A"], self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/hook"
+    got = http_transport(url, {"X-A": "1"}, "body", 5, allowed=lambda a: True)
+    assert (got[0], got[2]) == want and seen[0] == ("/hook", "1", b"body")
+    assert http_transport(url, {}, "body", 5)[2] == "address not allowed" and http_transport("file:///etc/hostname", {}, "")[2] == "address not allowed"
+    server.shutdown()
+    assert http_transport(url.replace(str(server.server_port), "9"), {}, "", 2, allowed=lambda a: True)[3]
+
+
+def test_control_after_dead_writer(spark, tmp_path):
+    """A half-written version blocks only as long as its writer may be at work; a slow writer that was passed over starts over."""
+    store = ControlStore(spark, f"file://{tmp_path}/c", grace=0.5)
+    store.change("t", lambda r: r.update(a=1))
+    (tmp_path / "c" / "t.v.2").write_text('{"base": 1, "ro')
+    assert store.read("t")[1] == {"a": 1}
+    store.change("t", lambda r: r.update(b=2))
+    assert store.read("t") == (3, {"a": 1, "b": 2})
+    tries = []
+
+    def slow(rows):
+        tries.append(1)
+        if len(tries) == 1:  # another writer passes this one over: it used the next number and is done before
+            (tmp_path / "c" / "t.v.5").write_text(json.dumps({"base": 3, "rows": rows | {"c": 3}}) + "\n")
+            os.utime(tmp_path / "c" / "t.v.5")
+        rows["d"] = 4
+
+    store.change("t", slow)
+    assert store.read("t")[1] == {"a": 1, "b": 2, "c": 3, "d": 4} and len(tries) == 2
+
+
+def test_fenced_consumer_and_ingestion(spark, tmp_path):
+    now = [0.0]
+    store = ControlStore(spark, f"file://{tmp_path}/c", clock=lambda: now[0])
+    events = stored(order_changes(spark, SF).filter("commit_end_lsn <= 8192")).cache()
+    group = ConsumerGroup(store, "g", "orders", 1, max_attempts=1, lease_seconds=10)
+    old = group.poll(events, "a", 3)
+    now[0] = 20
+    new = group.poll(events, "b", 3)
+    with pytest.raises(Fenced):
+        group.ack(0, "a", old.generation, 10**9, 1)
+    assert group.offset(0) == (None, None) and new.generation == old.generation + 1
+    now[0] = 40
+    g = group.leases.claim("lease/0", "c")
+    with pytest.raises(ValueError):  # issued to b, never polled by c
+        group.nack(0, "c", g, new.issued[0])
+    group.leases.release("lease/0", "c", g)
+    b = group.poll(events, "c", 3)
+    assert group.nack(0, "c", b.generation, b.issued[0]) == "dead_lettered"
+    group.resolve(b.issued[0], "retried")
+    assert group.dead_letters("pending") == [] and [d["status"] for d in group.dead_letters()] == ["retried"]
+    points, path = Checkpoints(store), f"file://{tmp_path}/store"
+    c = points.claim("orders", "a")
+    n = ingest_fenced(spark, order_changes(spark, SF).filter("commit_end_lsn <= 4096"), path, points, "orders", "a", c)
+    assert n > 0 and points.get("orders")["persisted"] == points.get("orders")["received"] == 4096
+    now[0] = 100
+    points.claim("orders", "b")
+    with pytest.raises(Fenced):
+        ingest_fenced(spark, order_changes(spark, SF).filter("commit_end_lsn <= 8192"), path, points, "orders", "a", c)
+    with pytest.raises(PositionRegression):
+        points.advance("orders", "b", c + 1, persisted=1)
+
+
+def test_registry_and_seek(spark, tmp_path):
+    store = ControlStore(spark, f"file://{tmp_path}/c")
+    r = Registry(store)
+    r.add("sinks", "s", url="https://example.com", secret="hidden")
+    r.add("sources", "orders", dsn="hidden")
+    with pytest.raises(ValueError):
+        r.add("sinks", "s", url="x")
+    assert r.update("sinks", "s", enabled=False) and not r.update("sinks", "t", enabled=False)
+    assert r.counts() == {"sinks": 1, "sources": 1, "groups": 0} and "hidden" not in str(r.list("sinks") + r.list("sources")) and r.sinks().first()["secret"] == b"hidden"
+    events = stored(order_changes(spark, SF).filter("commit_end_lsn <= 8192")).cache()
+    group, sessions = ConsumerGroup(store, "g", "orders", 1), Replays(store)
+    b = group.poll(events, "m", 10)
+    group.ack(0, "m", b.generation, 8192, 1)
+    group.leases.release("lease/0", "m", b.generation)
+    sessions.create("x", start={"lsn": 4096}, destination="consumer", source_id="orders")
+    assert sessions.seek("x", events, group, "replayer") == 1 and group.poll(events, "m", 1).events.first()["commit_end_lsn"] == 4096
+    assert [s["name"] for s in sessions.list("orders")] == ["x"] and sessions.list("other") == []
+
+
+def test_limits_and_errors(spark, tmp_path):
+    from walflow.operators.ingest import LimitExceeded, check_open
+    from walflow.sources import scenarios
+
+    open_ones = scenarios.load(spark, "medium", 1).filter("kind <> 'commit' and xid <= 3")
+    assert check_open(open_ones, 3).count() == 3
+    for limit in ({"most_open": 2}, {"most_open": 3, "max_events": 49}, {"most_open": 3, "max_bytes": 100}):
+        with pytest.raises(LimitExceeded):
+            check_open(open_ones, **limit)
+    log = spark.createDataFrame([("s", 1, "truncate")], "source_id string, pos long, kind string")
+    with pytest.raises(Exception, match="message kind truncate at position 1"):
+        wal.checked(log).collect()
+    wide = spark.sql("select array(named_struct('state', 'value', 'text', '1'), named_struct('state', 'value', 'text', '2')) v, array(named_struct('name', 'a', 'type_oid', 20L)) c")
+    with pytest.raises(Exception, match="wider"):
+        wide.select(wal.tuple_image("v", "c")).collect()
+    states = spark.sql("select array(named_struct('state', 'null', 'text', null), named_struct('state', 'unchanged_toast', 'text', null), named_struct('state', 'other', 'text', '2')) v, transform(array('a', 'b', 'c'), x -> named_struct('name', x, 'type_oid', 20L)) c")
+    assert {k: x["_state"] for k, x in states.select(wal.tuple_image("v", "c")).first()[0].items()} == {"a": "null", "b": "unchanged_toast", "c": "absent"}
+    r = one(spark, exprs.truncated(F.lit("é" * 600)), exprs.format_position(F.lit(1 << 33), F.lit(4)))
+    assert len(r[0].encode()) == 1024 and r[1] == "2/0:4"
 
 
 def test_replay(spark, tmp_path):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import http.client
 import ipaddress
 import socket
-import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,29 +25,31 @@ def _open(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(F.col(c)) == "")
 
 
+_FILTERS = {"source_filter": "source_id", "schema_filter": "schema_name", "table_filter": "table_name"}
+
+
 def fan_out(events: DataFrame, sinks: DataFrame) -> DataFrame:
     """Each enabled sink with each event it wants. sinks: sink_id, source_filter, schema_filter, table_filter, operation_filter, enabled, ...
 
-    Null or empty filters mean any; operations are matched exactly. Sinks bound to a source meet events by an equality join; only those open to all sources
-    are tried against every event, and they are broadcast after a check of their number.
+    Null or empty filters mean any; operations are matched exactly. Sinks are told apart by which filters they name, at most eight kinds. An event has one key
+    for each kind that there is, so all sinks meet events by one equality join; sinks are broadcast after a check of their number.
     """
     on = sinks.filter("enabled")
-    rest = (_open("schema_filter") | (F.col("schema_filter") == F.col("schema_name"))) & (_open("table_filter") | (F.col("table_filter") == F.col("table_name"))) & operation_listed("operation", F.col("operation_filter"))
-    bound = on.filter(~_open("source_filter"))
-    free = on.filter(_open("source_filter"))
-    many = free.limit(SINKS_BROADCAST + 1).count() > SINKS_BROADCAST
-    if many:  # by table where the sink names one, and only the rest against all events
-        named = events.join(free.filter(~_open("table_filter")), F.col("table_filter") == F.col("table_name")).filter(rest)
-        wide = events.join(free.filter(_open("table_filter")), rest)
-        open_to_all = named.unionByName(wide)
-    else:
-        open_to_all = events.join(F.broadcast(free), rest)
-    return events.join(bound, F.col("source_filter") == F.col("source_id")).filter(rest).unionByName(open_to_all)
-
-
-def pending(events: DataFrame, sinks: DataFrame, attempts: DataFrame) -> DataFrame:
-    """First attempts for every match that has none yet."""
+    named = sum((F.when(_open(f), 0).otherwise(1 << k) for k, f in enumerate(_FILTERS)), F.lit(0))
+    key = lambda kind, columns: F.to_json(F.struct(*[F.when(kind.bitwiseAND(F.lit(1 << k)) != 0, F.col(c)).alias(f"k{k}") for k, c in enumerate(columns)]))
+    kinds = [r[0] for r in on.select(named).distinct().collect()]  # at most eight
+    wanted = on.withColumn("_kind", named).withColumn("_key", key(F.col("_kind"), _FILTERS))
+    offered = events.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in kinds]).cast("array<int>"))).withColumn("_key", key(F.col("_kind"), _FILTERS.values()))
+    few = on.limit(SINKS_BROADCAST + 1).count() <= SINKS_BROADCAST
+    met = offered.join(F.broadcast(wanted) if few else wanted, ["_kind", "_key"]).drop("_kind", "_key")
+    return met.filter(operation_listed("operation", F.col("operation_filter")))
+
+
+def pending(events: DataFrame, sinks: DataFrame, attempts: DataFrame, most: int | None = None) -> DataFrame:
+    """First attempts for every match that has none yet; with `most` only so many, the oldest positions first."""
     new = fan_out(events, sinks).join(attempts.select("sink_id", F.col("event_id").alias("id")).distinct(), ["sink_id", "id"], "left_anti")
+    if most is not None:
+        new = new.orderBy("commit_end_lsn", "sequence_number", "source_id", "sink_id").limit(most)
     return new.select("sink_id", F.col("id").alias("event_id"), F.lit(1).alias("attempt_number"), F.lit("pending").alias("status"), idempotency_key("sink_id", "id").alias("idempotency_key"), "commit_end_lsn", "sequence_number")
 
 
@@ -64,58 +65,99 @@ def body() -> Column:
     return F.to_json(parts, {"ignoreNullFields": "false"})
 
 
-def public_address(host: str) -> bool:
-    """Whether a host may be called: not loopback, private, link-local, multicast or unspecified, in any of its addresses."""
+def addresses(host: str) -> list[str]:
+    """A host's addresses, itself if it is one."""
     try:
-        found = [ipaddress.ip_address(host)]
+        return [str(ipaddress.ip_address(host))]
     except ValueError:
-        try:
-            found = [ipaddress.ip_address(a[4][0]) for a in socket.getaddrinfo(host, None)]
-        except OSError:
-            return False
-    return bool(found) and all(a.is_global and not (a.is_multicast or a.is_unspecified or a.is_loopback or a.is_link_local or a.is_private) for a in found)
+        pass
+    try:
+        return sorted({a[4][0] for a in socket.getaddrinfo(host, None, type=socket.SOCK_STREAM)})
+    except OSError:
+        return []
+
+
+def public(address: str) -> bool:
+    """Not loopback, private, link-local, multicast or unspecified, nor such an IPv4 address in IPv6 form."""
+    a = ipaddress.ip_address(address.split("%")[0])
+    a = getattr(a, "ipv4_mapped", None) or a
+    return a.is_global and not (a.is_multicast or a.is_unspecified or a.is_loopback or a.is_link_local or a.is_private)
+
+
+def public_address(host: str) -> bool:
+    """Whether a host may be called: all of its addresses are public."""
+    found = addresses(host)
+    return bool(found) and all(map(public, found))
+
+
+class _Plain(http.client.HTTPConnection):
+    """A connection to the address that was judged, whatever the name resolves to by now."""
+
+    address = ""
 
+    def connect(self) -> None:
+        self.sock = socket.create_connection((self.address, self.port), self.timeout)
 
-def http_transport(url: str, headers: dict[str, str], payload: str, seconds: float = 30) -> tuple[int | None, str, str | None, bool]:
-    """A guarded POST: http and https only, public addresses only, at most three redirects."""
+
+class _Secure(http.client.HTTPSConnection):
+    address = ""
+
+    def connect(self) -> None:
+        raw = socket.create_connection((self.address, self.port), self.timeout)
+        self.sock = self._context.wrap_socket(raw, server_hostname=self.host)
+
+
+def http_transport(url: str, headers: dict[str, str], payload: str, seconds: float = 30, allowed: Callable[[str], bool] = public) -> tuple[int | None, str, str | None, bool]:
+    """A guarded POST: http and https only, at most three redirects, and each connection goes to an address that has been judged."""
     for _ in range(4):
         parts = urllib.parse.urlsplit(url)
-        if parts.scheme not in ("http", "https") or not public_address(parts.hostname or ""):
+        found = addresses(parts.hostname or "") if parts.scheme in ("http", "https") else []
+        if not found or not all(map(allowed, found)):
             return None, "", "address not allowed", False
+        link = (_Plain if parts.scheme == "http" else _Secure)(parts.hostname, parts.port, timeout=seconds)
+        link.address = found[0]
         try:
-            opener = urllib.request.build_opener(_NoRedirect)
-            with opener.open(urllib.request.Request(url, payload.encode(), headers, method="POST"), timeout=seconds) as r:
-                return r.status, r.read(4096).decode("utf-8", "replace"), None, False
-        except urllib.error.HTTPError as e:
-            if e.code in (301, 302, 303, 307, 308) and e.headers.get("Location"):
-                url = urllib.parse.urljoin(url, e.headers["Location"])
+            link.request("POST", urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, "")), payload.encode(), headers)
+            r = link.getresponse()
+            to = r.getheader("Location")
+            if r.status in (301, 302, 303, 307, 308) and to:
+                url = urllib.parse.urljoin(url, to)
                 continue
-            return e.code, e.read(4096).decode("utf-8", "replace"), None, False
+            return r.status, r.read(4096).decode("utf-8", "replace"), None, False
         except (TimeoutError, ConnectionError) as e:
             return None, "", repr(e), True
-        except urllib.error.URLError as e:
-            passing = isinstance(e.reason, (TimeoutError, ConnectionError)) or getattr(e.reason, "errno", None) == socket.EAI_AGAIN
-            return None, "", repr(e.reason), passing
+        except (OSError, http.client.HTTPException) as e:
+            return None, "", repr(e), False
+        finally:
+            link.close()
     return None, "", "too many redirects", False
 
 
-class _NoRedirect(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *_: object) -> None:
-        return None
-
-
-def delivered(work: DataFrame, transport: Transport, timestamp: int) -> DataFrame:
-    """work (due attempts with their sink's url, secret, max_attempts, delays and the event) with what came of each: http_status, response_body, error, status, retry_in_ms."""
-    signed = work.withColumn("payload", body()).withColumn("signature", signature(F.col("secret"), F.lit(timestamp), F.col("id"), F.col("payload")))
+def delivered(work: DataFrame, transport: Transport, timestamp: int, folder: str) -> DataFrame:
+    """work (due attempts with their sink's url, secret, max_attempts, delays and the event) with what came of each: http_status, response_body, error, status, retry_in_ms.
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [transport(u, {"Content-Type": "application/json", "X-Signature": s, "X-Timestamp": str(timestamp), "Idempotency-Key": k}, p) for u, s, k, p in zip(b["url"], b["signature"], b["idempotency_key"], b["payload"], strict=True)]
-            yield pd.DataFrame({"attempt_id": b["attempt_id"], "http_status": pd.array([g[0] for g in got], dtype="Int32"), "response_body": [g[1] for g in got], "error": [g[2] for g in got], "passing": [g[3] for g in got]})
-
-    sent = signed.select("attempt_id", "url", "signature", "idempotency_key", "payload").mapInPandas(send, "attempt_id long, http_status int, response_body string, error string, passing boolean")
+    The results are stored below folder under a name made of the attempts, before anything reads them, and found there by a call that repeats: what is done with
+    them sends nothing again. A task that runs again after a lost executor does send again, which receivers tell by the idempotency key.
+    """
+    spark = work.sparkSession
+    digest = work.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("attempt_id", "attempt_number"), F.lit(1 << 40)))).first()
+    path = f"{folder}/sent-{digest[0]}-{digest[1] or 0:x}-{timestamp}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        signed = work.withColumn("payload", body()).withColumn("signature", signature(F.col("secret"), F.lit(timestamp), F.col("id"), F.col("payload"))).withColumn("event", F.lower(F.hex("id")))
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                got = []
+                for w in b.itertuples(index=False):
+                    headers = {"Content-Type": "application/json", "X-Signature": w.signature, "X-Timestamp": str(timestamp), "Idempotency-Key": w.idempotency_key, "X-Event-Id": w.event, "X-Attempt": str(w.attempt_number)}
+                    got.append(transport(w.url, headers, w.payload))
+                yield pd.DataFrame({"attempt_id": b["attempt_id"], "http_status": pd.array([g[0] for g in got], dtype="Int32"), "response_body": [g[1] for g in got], "error": [g[2] for g in got], "passing": [g[3] for g in got]})
+
+        sent = signed.select("attempt_id", "attempt_number", "event", "url", "signature", "idempotency_key", "payload").mapInPandas(send, "attempt_id long, http_status int, response_body string, error string, passing boolean")
+        sent.write.mode("overwrite").parquet(path)
     kept = work.select("attempt_id", "sink_id", "event_id", "attempt_number", "max_attempts", "retry_initial_ms", "retry_max_ms")
-    return settled(sent.join(kept, "attempt_id"))
+    return settled(spark.read.parquet(path).join(kept, "attempt_id"))
 
 
 def settled(results: DataFrame) -> DataFrame:
@@ -138,6 +180,17 @@ def dead_letters(history: DataFrame) -> DataFrame:
     return all_of.filter(F.exists("attempt_history", lambda a: a["status"] == "permanent_failure")).withColumn("status", F.lit("pending"))
 
 
+def dead_letter_list(attempts: DataFrame, most: int = 100) -> DataFrame:
+    """The newest attempts that failed for good."""
+    return attempts.filter("status = 'permanent_failure'").orderBy(F.desc("next_retry_at"), F.desc("attempt_id")).limit(most)
+
+
+def status_counts(attempts: DataFrame) -> DataFrame:
+    """For each sink how many attempts there are, succeeded, wait for another try, and failed for good."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return attempts.groupBy("sink_id").agg(F.count(F.lit(1)).alias("total"), n("success").alias("good"), n("retryable").alias("again"), n("permanent_failure").alias("dead"))
+
+
 def circuit_open(history: DataFrame, failures: int) -> DataFrame:
     """Sinks whose last `failures` finished attempts all failed."""
     last = F.row_number().over(Window.partitionBy("sink_id").orderBy(F.desc("attempt_id")))

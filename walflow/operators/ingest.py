@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from walflow.functions.exprs import event_id, fnv1a32, normalized_key, payload_hash
+from walflow.functions.exprs import estimated_bytes, event_id, fnv1a32, normalized_key, payload_hash
 from walflow.operators.control import Checkpoints
 
 NATURAL_KEY = ["source_id", "commit_end_lsn", "sequence_number"]
@@ -32,6 +32,27 @@ def assembled(messages: DataFrame) -> DataFrame:
     return changes.select("source_id", "xid", F.col("_lsn").alias("commit_end_lsn"), F.col("_at").alias("commit_timestamp"), seq.alias("sequence_number"), "schema_name", "table_name", F.col("kind").alias("operation"), "before", "after", "key_columns")
 
 
+def open_transactions(messages: DataFrame) -> DataFrame:
+    """The transactions of each source that have begun and not ended: xid, first position, changes and estimated bytes so far."""
+    last = F.max(F.when(F.col("kind") == "begin", F.col("pos"))).over(Window.partitionBy("source_id", "xid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = messages.withColumn("first_pos", last).filter("first_pos is not null").withColumn("size", F.when(F.col("kind").isin("insert", "update", "delete"), estimated_bytes()))
+    by_tx = runs.groupBy("source_id", "xid", "first_pos").agg(F.count("size").alias("changes"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("kind").isin("commit", "abort")).alias("ends"))
+    return by_tx.filter("ends = 0").drop("ends")
+
+
+class LimitExceeded(ValueError):
+    """More open transactions, or a larger one, than allowed."""
+
+
+def check_open(messages: DataFrame, most_open: int = 10, max_events: int = 10_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """open_transactions(), after a check that no source has more of them than most_open and none is beyond its limits."""
+    rows = open_transactions(messages).persist()
+    bad = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("open"), F.max("changes").alias("changes"), F.max("bytes").alias("bytes")).filter((F.col("open") > most_open) | (F.col("changes") > max_events) | (F.col("bytes") > max_bytes)).head(1)
+    if bad:
+        raise LimitExceeded(str(bad[0].asDict()))
+    return rows
+
+
 def stored(events: DataFrame) -> DataFrame:
     """Events as the store keeps them: with id, payload hash and the partition hash of the key."""
     return events.withColumns({"id": event_id(), "payload_hash": payload_hash(), "key_hash": fnv1a32(normalized_key("key_columns"))})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.functions.exprs import format_lsn
-from walflow.operators.control import ControlStore
+from walflow.functions.exprs import format_lsn, partition_of
+from walflow.operators.consumer import ConsumerGroup
+from walflow.operators.control import ControlStore, Fenced, Leases
 from walflow.operators.delivery import body
 from walflow.operators.events import replay_range
 
@@ -20,17 +22,18 @@ class Replays:
     """Sessions and their states: pending, running, completed, cancelled, failed."""
 
     def __init__(self, store: ControlStore) -> None:
-        self.store = store
+        self.store, self.leases = store, Leases(store, "replay-leases", 600)
 
     def create(self, name: str, **session: object) -> None:
-        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path) or callback."""
+        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path), consumer (group, see seek()), or callback."""
         self.store.change("replays", lambda s: s.update({name: dict(session) | {"status": "pending", "created_at": self.store.clock(), "last_lsn": None, "events_processed": 0}}))
 
     def get(self, name: str) -> dict:
         return self.store.read("replays")[1][name]
 
-    def list(self) -> list[dict]:
-        return sorted(({"name": k} | v for k, v in self.store.read("replays")[1].items()), key=lambda r: (-r["created_at"], r["name"]))
+    def list(self, source_id: str | None = None) -> list[dict]:
+        """Newest first; of one source, if it is given."""
+        return sorted(({"name": k} | v for k, v in self.store.read("replays")[1].items() if source_id in (None, v.get("source_id"))), key=lambda r: (-r["created_at"], r["name"]))
 
     def _move(self, name: str, before: tuple[str, ...], **change: object) -> bool:
         def step(s: dict) -> bool:
@@ -44,13 +47,39 @@ class Replays:
     def cancel(self, name: str) -> bool:
         return self._move(name, ("pending", "running", "paused"), status="cancelled")
 
-    def run(self, name: str, events: DataFrame, send: Callable[[DataFrame], None] | None = None) -> int:
+    def seek(self, name: str, events: DataFrame, group: ConsumerGroup, member: str) -> int:
+        """Runs a session whose destination is a group: its partitions go back to just before the first event of the range. Returns how many were moved.
+
+        Partitions that another member holds are left alone, and the session then fails; it may be run again.
+        """
+        s = self.get(name)
+        rows = replay_range(events, s.get("start"), s.get("end"), s.get("schema_filter"), s.get("table_filter"), s.get("operation_filter"), group.source_id)
+        place = partition_of("key_hash", group.partitions).alias("partition")
+        firsts = rows.groupBy(place).agg(F.min(F.struct("commit_end_lsn", "sequence_number")).alias("at")).collect()  # a row a partition
+        if not self._move(name, ("pending", "failed"), status="running"):
+            raise ValueError(f"{name} is {self.get(name)['status']}")
+        held = {r["partition"]: group.leases.claim(f"lease/{r['partition']}", member) for r in firsts}
+        for r in firsts:
+            if (g := held[r["partition"]]) is not None:
+                group.seek(r["partition"], member, g, r["at"]["commit_end_lsn"], r["at"]["sequence_number"] - 1)
+                group.leases.release(f"lease/{r['partition']}", member, g)
+        self._move(name, ("running",), status="failed" if None in held.values() else "completed")
+        return sum(g is not None for g in held.values())
+
+    def run(self, name: str, events: DataFrame, send: Callable[[DataFrame], None] | None = None, owner: str | None = None) -> int:
         """Runs a pending session, or goes on with one that was broken off. Returns the number of events sent by this call.
 
+        A session runs under a lease, so a second caller gets Fenced while the first one works.
+
         Events go source by source, in slices of whole positions of about SLICE events; after each slice its source's position is stored in `sent`, and a
         later run starts behind it. The slice that was broken off is sent again.
         """
+        owner = owner or uuid.uuid4().hex
+        generation = self.leases.claim(name, owner)
+        if generation is None:
+            raise Fenced(f"{name} is being run")
         if not self._move(name, ("pending", "running", "failed"), status="running"):
+            self.leases.release(name, owner, generation)
             raise ValueError(f"{name} is {self.get(name)['status']}")
         s, total = self.get(name), 0
         rows = replay_range(events, s.get("start"), s.get("end"), s.get("schema_filter"), s.get("table_filter"), s.get("operation_filter"), s.get("source_id"))
@@ -61,6 +90,8 @@ class Replays:
                 raise ValueError("a destination is needed")
             for source, low, high in self._slices(rows):
                 part = rows.filter((F.col("source_id") == source) & (F.col("commit_end_lsn") <= high) & (F.lit(low is None) | (F.col("commit_end_lsn") > low)))
+                if not self.leases.heartbeat(name, owner, generation):
+                    raise Fenced(f"{name} was taken over")
                 if send is not None:
                     send(part)
                 else:
@@ -73,6 +104,8 @@ class Replays:
         except Exception as e:
             self._move(name, ("running",), status="failed", error=str(e)[:500])
             raise
+        finally:
+            self.leases.release(name, owner, generation)
         self._move(name, ("running",), status="completed")
         return total
 

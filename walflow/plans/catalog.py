@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,12 @@ from pyspark.sql.window import Window
 
 from walflow.functions import crypto, exprs
 from walflow.operators import delivery, events as ev, ingest
+from walflow.operators.consumer import ConsumerGroup
+from walflow.operators.control import ControlStore
+from walflow.operators.cycle import Deliveries
+from walflow.operators.registry import Registry
+from walflow.operators.replay import Replays
+from walflow.sources import scenarios
 from walflow.sources.commerce import activity_changes, changes, order_changes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +108,7 @@ def _(spark, d):
 
 @query("tx_sequence", "SELECT source_id, commit_end_lsn, min(sequence_number) AS low, max(sequence_number) AS high, count(*) AS n, min(sequence_number) = 1 AND max(sequence_number) = count(*) AS gapless FROM ev GROUP BY ALL")
 def _(spark, d):
-    return changes(spark, d).groupBy("source_id", "commit_end_lsn").agg(F.min("sequence_number").alias("low"), F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n")).withColumn("gapless", (F.col("low") == 1) & (F.col("high") == F.col("n")))
+    return ev.sequences(changes(spark, d))
 
 
 def _messages(spark, d):
@@ -218,12 +227,12 @@ def _(spark, d):
 
 @query("dlq_list", "SELECT attempt_id, sink_id, attempt_number FROM att WHERE status = 'permanent_failure' ORDER BY next_retry_at DESC, attempt_id DESC LIMIT 100")
 def _(spark, d):
-    return attempts(spark, d).filter("status = 'permanent_failure'").orderBy(F.desc("next_retry_at"), F.desc("attempt_id")).limit(100).select("attempt_id", "sink_id", "attempt_number")
+    return delivery.dead_letter_list(attempts(spark, d)).select("attempt_id", "sink_id", "attempt_number")
 
 
 @query("dlq_depth", "SELECT count(*) AS depth FROM att WHERE status = 'permanent_failure'")
 def _(spark, d):
-    return attempts(spark, d).filter("status = 'permanent_failure'").agg(F.count(F.lit(1)).alias("depth"))
+    return delivery.status_counts(attempts(spark, d)).agg(F.sum("dead").alias("depth"))
 
 
 @query("stats_overview", f"SELECT count(*) AS events, count(*) FILTER (WHERE commit_timestamp > TIMESTAMP '{_AS_OF}' - INTERVAL 1 MINUTE AND commit_timestamp <= TIMESTAMP '{_AS_OF}') / 60.0 AS events_per_second, CAST(CAST(epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(max(commit_timestamp)) AS DOUBLE) / 1e6 AS DOUBLE) AS lag_seconds FROM ev")
@@ -233,12 +242,12 @@ def _(spark, d):
 
 @query("lag_bytes", "SELECT source_id, max(commit_end_lsn) AS received, max(commit_end_lsn) FILTER (WHERE xid % 7 <> 0) AS persisted, max(commit_end_lsn) - max(commit_end_lsn) FILTER (WHERE xid % 7 <> 0) AS lag_bytes FROM ev GROUP BY source_id")
 def _(spark, d):
-    return changes(spark, d).groupBy("source_id").agg(F.max("commit_end_lsn").alias("received"), F.max(F.when(F.col("xid") % 7 != 0, F.col("commit_end_lsn"))).alias("persisted")).withColumn("lag_bytes", F.col("received") - F.col("persisted"))
+    return ev.source_positions(changes(spark, d), F.col("xid") % 7 != 0)
 
 
 @query("attempt_status_pivot", "SELECT sink_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS good, count(*) FILTER (WHERE status = 'retryable') AS again FROM att GROUP BY sink_id")
 def _(spark, d):
-    return attempts(spark, d).groupBy("sink_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("good"), F.count_if(F.col("status") == "retryable").alias("again"))
+    return delivery.status_counts(attempts(spark, d)).select("sink_id", "total", "good", "again")
 
 
 @query("consumer_lag", f"SELECT p AS partition, count(*) FILTER (WHERE NOT (p <= 3 AND (commit_end_lsn, sequence_number) <= (512000, 2))) AS behind FROM (SELECT *, CAST(key_hash % {_PARTS} AS INTEGER) AS p FROM ek WHERE source_id = 'orders') GROUP BY p")
@@ -267,8 +276,7 @@ def _(spark, d):
 
 @query("offset_advance", f"SELECT CAST(key_hash % {_PARTS} AS INTEGER) AS partition, max(commit_end_lsn) AS commit_end_lsn, CAST(arg_max(sequence_number, commit_end_lsn * 64 + sequence_number) AS INTEGER) AS sequence_number FROM ek WHERE source_id = 'orders' GROUP BY 1")
 def _(spark, d):
-    rows = keyed(order_changes(spark, d)).groupBy(exprs.partition_of("key_hash", _PARTS).alias("partition")).agg(F.max(exprs.position()).alias("at"))
-    return rows.select("partition", F.col("at.lsn").alias("commit_end_lsn"), F.col("at.seq").alias("sequence_number"))
+    return ev.end_offsets(keyed(order_changes(spark, d)), _PARTS)
 
 
 @query("lease_takeover", "SELECT user_id, ts AS claimed_at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events", plain=True)
@@ -308,10 +316,14 @@ def _(spark, d):
     return attempts(spark, d).filter("status = 'pending'").join(sinks(spark), "sink_id").join(e, "k").select("attempt_id", "sink_id", F.col("operation"), exprs.normalized_key("key_columns").alias("key_text"))
 
 
-@query("signed_payloads")
+#: HMAC by its definition: the key padded to 64 bytes and combined with two fixed bytes, around two rounds of SHA-256.
+_PAD = {k: "unhex('" + bytes(x ^ k for x in b"secret".ljust(64, b"\0")).hex() + "')" for k in (0x36, 0x5C)}
+
+
+@query("signed_payloads", f"SELECT commit_end_lsn, 'sha256=' || sha256({_PAD[0x5C]} || unhex(sha256({_PAD[0x36]} || encode('1700000000.') || unhex(substr(sha256(source_id || '|' || commit_end_lsn || '|' || sequence_number), 1, 32)) || encode(key_text)))) AS signature FROM ev WHERE source_id = 'activity'")
 def _(spark, d):
-    rows = activity_changes(spark, d).withColumn("id", exprs.event_id())
-    return rows.withColumn("payload", delivery.body()).select("commit_end_lsn", crypto.signature(F.lit(b"secret"), F.lit(1700000000), F.col("id"), F.col("payload")).alias("signature"))
+    rows = activity_changes(spark, d).withColumn("id", exprs.event_id()).withColumn("payload", exprs.normalized_key("key_columns"))
+    return rows.select("commit_end_lsn", crypto.signature(F.lit(b"secret"), F.lit(1700000000), F.col("id"), F.col("payload")).alias("signature"))
 
 
 @query("aes_roundtrip", "SELECT c_custkey, true AS opens, true AS wrong_context_is_null FROM customer", plain=True)
@@ -320,3 +332,97 @@ def _(spark, d):
     box = crypto.enveloped(F.encode("c_name", "UTF-8"), data, key, F.lit("k1"), F.lit("customer"))
     keys = {"k0": b"f" * 32, "k1": b"0123456789abcdef0123456789abcdef"}
     return table(spark, d, "customer").withColumn("box", box).select("c_custkey", (F.decode(crypto.unwrapped(F.col("box"), keys, F.lit("customer")), "UTF-8") == F.col("c_name")).alias("opens"), crypto.unwrapped(F.col("box"), keys, F.lit("other")).isNull().alias("wrong_context_is_null"))
+
+
+@query("open_transactions", "SELECT xid, min(commit_end_lsn) * 64 AS first_pos, count(*) AS changes, CAST(sum(size) AS BIGINT) AS bytes FROM ev WHERE source_id = 'orders' AND xid % 7 = 0 GROUP BY xid")
+def _(spark, d):
+    return ingest.open_transactions(_messages(spark, d)).select("xid", "first_pos", "changes", "bytes")
+
+
+@query("load_scenario", "SELECT p + 1 AS xid, CAST(1 AS INTEGER) AS low, CAST(50 AS INTEGER) AS high, CAST(50 AS BIGINT) AS n FROM range(1000) t(p)", plain=True)
+def _(spark, d):
+    by_tx = ingest.assembled(scenarios.load(spark, "medium", 1)).groupBy("xid")
+    return by_tx.agg(F.min("sequence_number").alias("low"), F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+@query("burst_assembly", "SELECT CAST(1 AS BIGINT) AS xid, CAST(100000 AS INTEGER) AS high, CAST(100000 AS BIGINT) AS n", plain=True)
+def _(spark, d):
+    return ingest.assembled(scenarios.burst(spark)).groupBy("xid").agg(F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+@query("dead_letter_history", "SELECT sink_id, k, repeat('retryable,', attempt_number - 1) || 'permanent_failure' AS tries, 'pending' AS status FROM att WHERE k % 2 = 0")
+def _(spark, d):
+    tries = attempts(spark, d).withColumn("last", F.col("attempt_number")).withColumn("attempt_number", F.explode(F.sequence(F.lit(1), "last")))
+    ended = F.when(F.col("attempt_number") < F.col("last"), "retryable").when(F.col("k") % 2 == 0, "permanent_failure").otherwise("success")
+    history = tries.withColumns({"status": ended, "event_id": F.col("k"), "error": F.lit(None).cast("string")})
+    return delivery.dead_letters(history).select("sink_id", F.col("event_id").alias("k"), F.array_join(F.transform("attempt_history", lambda a: a["status"]), ",").alias("tries"), "status")
+
+
+@query("next_attempts", "SELECT sink_id, k, CAST(attempt_number + 1 AS INTEGER) AS attempt_number, true AS in_bounds FROM att WHERE status = 'retryable'")
+def _(spark, d):
+    given = attempts(spark, d).withColumn("event_id", F.encode(F.col("k").cast("string"), "UTF-8"))
+    delay = exprs.backoff_ms("attempt_number", F.lit(1000), F.lit(300_000), exprs.idempotency_key("sink_id", "event_id"))
+    planned = delivery.next_attempts(given.withColumn("retry_in_ms", delay), _AS_OF)
+    waits = F.unix_millis("next_retry_at") - F.unix_millis(F.lit(_AS_OF).cast("timestamp"))
+    base = F.lit(1000) * F.pow(F.lit(2), F.col("attempt_number") - 2)
+    return planned.select("sink_id", F.decode("event_id", "UTF-8").cast("long").alias("k"), "attempt_number", ((waits >= F.floor(base * 0.75)) & (waits <= base * 1.25)).alias("in_bounds"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder among the shared ones; a temporary one only in local mode without that setting."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-walflow-')}/cdc-{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The events stored twice, of which the second time adds nothing, and read back."""
+    path = _folder(spark)
+    if not ingest.ingest(spark, events, path) or ingest.ingest(spark, events, path):
+        raise AssertionError("a batch that is stored again adds nothing")
+    return spark.read.parquet(path)
+
+
+@query("stored_events", "SELECT source_id, table_name, operation, count(*) AS n, CAST(sum(key_hash) AS BIGINT) AS hashes FROM ek GROUP BY ALL")
+def _(spark, d):
+    return _store(spark, changes(spark, d)).groupBy("source_id", "table_name", "operation").agg(F.count(F.lit(1)).alias("n"), F.sum("key_hash").alias("hashes"))
+
+
+@query("consumer_offsets_after_ack", "SELECT p AS partition, commit_end_lsn, sequence_number FROM (SELECT CAST(key_hash % 3 AS INTEGER) AS p, commit_end_lsn, sequence_number, row_number() OVER (PARTITION BY key_hash % 3 ORDER BY commit_end_lsn, sequence_number) AS r FROM ek WHERE source_id = 'orders') WHERE r = 100")
+def _(spark, d):
+    events, folder = _store(spark, order_changes(spark, d)), _folder(spark)
+    group, found = ConsumerGroup(ControlStore(spark, folder), "readers", "orders", 3), []
+    for k in range(3):
+        b = group.poll(events, f"member{k}")
+        last = b.events.agg(F.max(exprs.position()).alias("at")).first()["at"]
+        group.ack(b.partition, f"member{k}", b.generation, last["lsn"], last["seq"])
+        found.append((b.partition, *group.offset(b.partition)))
+    return spark.createDataFrame(found, "partition int, commit_end_lsn long, sequence_number int")
+
+
+@query("replay_jsonl", f"SELECT {_FMT} AS commit_end_lsn, sequence_number, operation FROM ev WHERE source_id = 'orders' AND commit_end_lsn BETWEEN 102400 AND 1024000 AND operation IN ('update', 'delete')")
+def _(spark, d):
+    folder = _folder(spark)
+    sessions = Replays(ControlStore(spark, f"{folder}/control"))
+    sessions.create("again", start={"lsn": 102400}, end={"lsn": 1024000}, operation_filter="update, delete", source_id="orders", destination="jsonl", path=f"{folder}/lines")
+    sessions.run("again", order_changes(spark, d).withColumn("id", exprs.event_id()))
+    return spark.read.schema("commit_end_lsn string, sequence_number int, operation string").json(f"{folder}/lines")
+
+
+def _answer(url: str, headers: dict[str, str], payload: str) -> tuple[int, str, None, bool]:
+    """A receiver that takes orders and refuses items."""
+    return (500 if json.loads(payload)["table_name"] == "lineitem" else 200), "", None, False
+
+
+@query("delivery_cycle", "SELECT sequence_number, t.n AS attempt_number, CASE WHEN table_name = 'orders' THEN 'success' WHEN t.n = 1 THEN 'retryable' ELSE 'permanent_failure' END AS status FROM ev, (VALUES (CAST(1 AS INTEGER)), (2)) t(n) WHERE source_id = 'orders' AND commit_end_lsn = 10240 AND (table_name = 'lineitem' OR t.n = 1)")
+def _(spark, d):
+    events, folder = ingest.stored(order_changes(spark, d).filter("commit_end_lsn = 10240")), _folder(spark)
+    store = ControlStore(spark, f"{folder}/control")
+    registry = Registry(store)
+    registry.add("sinks", "s", url="memory:", secret="k", max_attempts=2, retry_initial_ms=1000, retry_max_ms=1000)
+    work = Deliveries(spark, folder, store)
+    for minute in range(10):
+        if not work.tick(events, registry.sinks(), _answer, f"2024-01-01 00:0{minute}:00"):
+            break
+    return work.attempts().join(events.select(F.col("id").alias("event_id"), "sequence_number"), "event_id").select("sequence_number", "attempt_number", "status")
