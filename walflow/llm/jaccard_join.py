@@ -179,30 +179,29 @@ def _indexed(batches: Iterator[pd.DataFrame], left_out: Callable[[np.ndarray], n
     for batch in batches:
         if left_out:
             batch = batch[~left_out(batch["h"].to_numpy())]
-        e = np.frombuffer(b"".join(batch["entries"]), np.uint64)
+        e = np.frombuffer(b"".join(batch["entries"]), np.int64)
         cid = np.repeat(batch["cid"].to_numpy(), [len(b) // 8 for b in batch["entries"]])
-        place, e = (e >> np.uint64(48)).astype(np.int32), (e & np.uint64((1 << 48) - 1)).view(np.int64)
         order = np.lexsort((cid, e))
-        e, cid, place = e[order], cid[order], place[order]
+        e, cid = e[order], cid[order]
         if not len(e):
             continue
         new = np.r_[True, e[1:] != e[:-1]]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(e)])
         up = np.repeat(cid[starts], sizes)
-        yield pd.DataFrame({"entry": e, "cid": cid, "place": place, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
+        yield pd.DataFrame({"entry": e, "cid": cid, "up": np.where(new, np.where(np.repeat(sizes > 1, sizes), -2, -1), up)})
 
 
 def shared_entries(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], others: DataFrame) -> DataFrame:
-    """entry, cid, place, up: the entries (48 bits, with a place above them) that more than one row has; those of one row alone are dropped.
+    """entry, cid, up: the entries that more than one row has; those of one row alone are dropped.
 
     rows (cid, entries, h) without those for whose h left_out is true, and others (cid, entries).
     """
-    schema = "entry long, cid long, place int, up long"
+    schema = "entry long, cid long, up long"
     index = rows.select("cid", "entries", "h").mapInPandas(lambda b: _indexed(b, left_out), schema).unionByName(others.select("cid", "entries").mapInPandas(_indexed, schema)).withColumn("salt", F.when(F.col("up") >= 0, F.col("cid")).otherwise(-1))
     w = Window.partitionBy("entry", "salt").orderBy("cid")
-    met = index.select("entry", "cid", "place", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after"))
-    return met.filter("up <> -1 or before is not null or after is not null").select("entry", "cid", "place", "up")
+    met = index.select("entry", "cid", "up", F.lag("cid").over(w).alias("before"), F.lead("cid").over(w).alias("after"))
+    return met.filter("up <> -1 or before is not null or after is not null").select("entry", "cid", "up")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -223,7 +222,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     shared_rows = shared_entries(hashed.withColumnRenamed("uid", "cid"), test, saved(repeated, "jaccard-repeated"))
     single = flagged.filter("not maybe").select(*kept, F.col("doc_id").alias("least_doc"))
     shared = flagged.filter("maybe").select(*kept).join(twice, "uid").select(*kept, "least_doc")
-    return rows, saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), saved(shared_rows.select("entry", "cid", "up"), "jaccard-shared")
+    return rows, saved(member, "jaccard-members"), saved(single.unionByName(shared).withColumnRenamed("uid", "cid"), "jaccard-classes"), saved(shared_rows, "jaccard-shared")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
