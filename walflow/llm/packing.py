@@ -13,6 +13,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from walflow.llm.common import numbered, saved
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS, KEPT_WORDS = 300_000, 60_000
 DOCS_AT_ONCE = 500
 #: Separators that Python splits at and the tokenizer does not; what is not plain Latin, where only the tokenizer's own lower-casing is used.
 _ODD, _FOREIGN = "\x1c\x1d\x1e\x1f", re.compile("[^\x00-\u024f]|\u0130")
@@ -101,7 +102,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> tuple[Callable[[str], bytes], Callable[[], None]]:
-    """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text; and what forgets all words.
+    """text -> its ids as little-endian unsigned 32-bit numbers, equal to the tokenizer file's own encoding of the whole text; and what forgets all but KEPT_WORDS words.
 
     Each white-space-free stretch is encoded once and remembered, as this tokenizer never looks across white space. Of a lower-case
     Latin word with signs behind it the tokenizer makes two parts; these go to its merges directly and are remembered on their own too.
@@ -150,9 +151,10 @@ def word_tokenizer(path: str) -> tuple[Callable[[str], bytes], Callable[[], None
         return b"".join(ids)
 
     def forget() -> None:
-        known.clear()
-        parts.clear()
-        parts[""] = b""
+        for held in (known, parts):  # the words met first are mostly frequent ones
+            first = list(islice(held.items(), KEPT_WORDS))
+            held.clear()
+            held.update(first)
 
     return encode, forget
 
