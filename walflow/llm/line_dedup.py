@@ -37,6 +37,7 @@ LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
 LINES_AT_ONCE = 60_000  # a line's number in its part has 16 bits below
 PART_CHARS = 1_000_000
 PLACE_BITS = 16  # of an entry, above 48 bits of hash; the highest bit marks the line that stands for many others
+ENTRY_BYTES = 6  # of a hash; in a line's row its place is where it stands
 MOST_PLACE, MARK = (1 << PLACE_BITS - 1) - 1, np.uint64(1 << 63)
 SKETCH_BITS, MOST_SIZE = 24, (1 << 8) - 1  # of a sketch: parity bits below the set's size
 FEW, LEADERS = 16, 4
@@ -131,11 +132,11 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         at = np.flatnonzero(use)
         with np.errstate(over="ignore"):
             entry = mixed(y[at] * np.uint64(0x9E3779B97F4A7C15) + y[at + 1]) >> np.uint64(PLACE_BITS)
-        entry = (entry | (np.minimum(place[at], MOST_PLACE).astype(np.uint64) << np.uint64(64 - PLACE_BITS))).tobytes()
+        entry = np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :ENTRY_BYTES]).tobytes()
         odd = np.bitwise_xor.reduceat(np.uint32(1) << ((y >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.uint32), starts)
         bit = np.uint64(1) << (y & np.uint64(63))
         half = (y >> np.uint64(6)) & np.uint64(1) == 0
-        cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * 8).tolist(), y.tobytes()
+        cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * ENTRY_BYTES).tolist(), y.tobytes()
         edge = (np.r_[starts, len(y)] * 8).tolist()
         made = {
             "n": n, "kept": n - once, "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge, edge[1:], strict=False)],
@@ -152,6 +153,15 @@ _HASH = np.uint64((1 << 48) - 1)
 _PACKED = "segment long, entries binary, cids binary, sketches binary"
 
 
+def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of lines, hash and place in one number, and how many each line has."""
+    n = np.array([len(b) // ENTRY_BYTES for b in blobs], np.int64)
+    wide = np.zeros((int(n.sum()), 8), np.uint8)
+    wide[:, :ENTRY_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, ENTRY_BYTES)
+    place = np.arange(len(wide)) - np.repeat(np.cumsum(n) - n, n)
+    return wide.view(np.uint64).ravel() | (np.minimum(place, MOST_PLACE).astype(np.uint64) << np.uint64(64 - PLACE_BITS)), n
+
+
 def _near(e: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) of lines that share an entry have sizes, places and parity bits that leave room for 0.8."""
     place = ((e & ~MARK) >> np.uint64(48)).astype(np.int64)
@@ -206,7 +216,7 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
     hash. Of an entry that a task holds more than FEW times one copy travels, so that no range grows with a frequent entry.
     """
     size = lambda df: df.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
-    segments = 1 + (size(rows) + size(others)) // (8 * SEGMENT_ENTRIES)
+    segments = 1 + (size(rows) + size(others)) // (ENTRY_BYTES * SEGMENT_ENTRIES)
 
     def row(segment: int, *parts: np.ndarray) -> pd.DataFrame:
         blobs = [_planes(x) for x in parts]
@@ -234,9 +244,9 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
         held, n = [], 0
         for batch in batches:
             batch = batch[~test(batch["h"].to_numpy())] if test else batch
-            sizes = [len(b) // 8 for b in batch["entries"]]
-            held.append((np.frombuffer(b"".join(batch["entries"]), np.uint64), np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int32), sizes).view(np.uint32)))
-            n += sum(sizes)
+            e, sizes = _entries(batch["entries"].tolist())
+            held.append((e, np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int32), sizes).view(np.uint32)))
+            n += len(e)
             if n >= ENTRIES_AT_ONCE:
                 yield from deal(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
@@ -268,40 +278,46 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
     return packed.groupBy("segment").applyInPandas(meet, "a long, b long, entry long")
 
 
+def _facts_of(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """cid, doc_id, key, line, n, p and q of the lines that met others: all that is read of a line from there on."""
+    ids = saved(met.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "lines-ids")  # written, so that the join's plan knows its size
+    return rows.select(F.col("uid").alias("cid"), "doc_id", "key", "line", "n", "p", "q").join(ids, "cid", "left_semi")
+
+
+def _place() -> Column:
+    """Where a line stands in the order of all lines."""
+    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "cid").alias("at")
+
+
 _FITS = "5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and bit_count(a.p ^ b.p) + bit_count(a.q ^ b.q) <= a.n + b.n - 2 * ceil(4 * (a.n + b.n) / 9)"
 
 
 def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """pairs (a, b, times) with the earlier line as a, without those that all parity bits tell apart."""
-    side = lambda c: facts.select(F.col("at.cid").alias(f"id_{c}"), F.struct("at", "n", "p", "q").alias(c))
+    side = lambda c: facts.select(F.col("cid").alias(f"id_{c}"), F.struct(_place(), "n", "p", "q").alias(c))
     both = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "times").join(side("a"), "id_a").join(side("b"), "id_b").filter(_FITS)
     return both.select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
 
 
 def _earlier(large: DataFrame, gone: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b): for the lines b of large entries (cid, entry) that are not gone, all earlier ones of these entries that size and parity bits leave."""
-    held = saved(large.join(facts.withColumn("cid", F.col("at.cid")), "cid").select("entry", F.struct("at", "n", "p", "q").alias("a")), "lines-large")
+    held = saved(large.join(facts, "cid").select("entry", F.struct(_place(), "n", "p", "q").alias("a")), "lines-large")
     there = held.join(gone.select(F.col("b").alias("cid")), F.col("a.at.cid") == F.col("cid"), "left_anti").withColumnRenamed("a", "b")
     return held.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(F.col("a.at.cid").alias("a"), F.col("b.at.cid").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs with ok: whether their sets are at 0.8 or more. Only documents that hold a line in question are read again."""
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(rows.select("uid", "key", "line"), "uid"), "lines-need")
-    keys = saved(need.groupBy("key").agg(F.collect_list(F.struct(F.col("uid").alias("cid"), "line")).alias("wanted")), "lines-keys")  # at most a document's lines
-    h = keys.select(F.col("key").alias("h"))
-    test = as_column(repeat_test(h.unionByName(h), 2 * keys.count()))
-    texts = saved(_keyed(docs).select(F.col("key").alias("h"), "text").filter(test).join(keys.withColumnRenamed("key", "h"), "h").select("text", "wanted"), "lines-texts")
+def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with ok: whether their sets are at 0.8 or more. Only documents that hold a line in question are read again, and only these lines are kept."""
+    need = saved(facts.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", F.col("key").alias("h"), "line"), "lines-need")
+    keys = need.select("h").distinct()
+    test = as_column(repeat_test(keys.unionByName(keys), 2 * need.count()))
+    lines = _keyed(docs).select(F.col("key").alias("h"), "text").filter(test).select("h", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    texts = saved(lines.join(need, ["h", "line"]).select("cid", "text"), "lines-texts")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cids, some = [], []
-            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                lines = text.split("\n")
-                for w in wanted:
-                    cids.append(w["cid"])
-                    some.append(lines[w["line"]])
-            for first, part in in_parts(some, PART_CHARS):
+            cids = batch["cid"].to_numpy()
+            for first, part in in_parts(batch["text"].tolist(), PART_CHARS):
                 whole, begins = joined(part)
                 start, x = word_hashes(whole)
                 cut = np.searchsorted(start, np.r_[begins, len(whole)]).tolist()
@@ -321,7 +337,7 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     both = pairs.join(once.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(once.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
     out = saved(both.withColumn("ok", similar("x", "y")).select("a", "b", "ok"), "lines-verified")
-    for t in (need, keys, held):
+    for t in (need, held):
         dropped(t)
     return out
 
@@ -341,28 +357,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
     groups = saved(again.groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
     later = saved(again.join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line"), "lines-later")
+    dropped(again)
     indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", "entries", "sketch")
     first = saved(indexed.filter(as_column(test)).join(groups.select("cid"), "cid", "left_semi").select("cid", "entries", "sketch"), "lines-first")
     met = saved(met_lines(indexed, test, first), "lines-met")
-    dropped(first)
-    facts = rows.select(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", F.col("uid").alias("cid")).alias("at"), "n", "p", "q")
+    for t in (first, groups):
+        dropped(t)
+    facts = saved(_facts_of(rows, met), "lines-facts")
+    dropped(rows)
     pairs = saved(_ordered(met.filter("entry is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), facts), "lines-pairs")
-    tried = _verified(docs, rows, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
+    tried = _verified(docs, facts, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
     gone = tried.filter("ok").select("b")
 
     def next_round(pairs: DataFrame) -> None:
         nonlocal tried, gone
         rest = saved(pairs.join(gone, "b", "left_anti").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "lines-rest")
         if rest.head(1):
-            late = _verified(docs, rows, rest)
+            late = _verified(docs, facts, rest)
             tried, gone = tried.unionByName(late), saved(gone.unionByName(late.filter("ok").select("b")).distinct(), "lines-gone")
 
     next_round(pairs)
     large = met.filter("entry is not null").select(F.col("a").alias("cid"), "entry")  # their lines meet all earlier ones, if they are still there
     if large.head(1):
         next_round(_earlier(large, gone, facts))
-    gone = gone.withColumnRenamed("b", "uid")
-    near = rows.select("uid", "doc_id", "key", "line").join(gone, "uid", "left_semi").select("doc_id", "key", "line")
+    near = facts.join(gone.withColumnRenamed("b", "cid"), "cid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
 
 
