@@ -39,7 +39,7 @@ PART_CHARS = 1_000_000
 PLACE_BITS = 16  # of an entry, above 48 bits of hash; the highest bit marks the line that stands for many others
 ENTRY_BYTES = 6  # of a hash; in a line's row its place is where it stands
 MOST_PLACE, MARK = (1 << PLACE_BITS - 1) - 1, np.uint64(1 << 63)
-SKETCH_BITS, MOST_SIZE = 24, (1 << 8) - 1  # of a sketch: parity bits below the set's size
+SKETCH_BITS, MOST_SIZE = 32, (1 << 8) - 1  # of a sketch: parity bits below the set's size
 FEW, LEADERS = 16, 4
 ENTRIES_AT_ONCE, SEGMENT_ENTRIES = 2_000_000, 1 << 20
 _LAST = (1 << 63) - 1
@@ -133,7 +133,7 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         with np.errstate(over="ignore"):
             entry = mixed(y[at] * np.uint64(0x9E3779B97F4A7C15) + y[at + 1]) >> np.uint64(PLACE_BITS)
         entry = np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :ENTRY_BYTES]).tobytes()
-        odd = np.bitwise_xor.reduceat(np.uint32(1) << ((y >> np.uint64(8)) % np.uint64(SKETCH_BITS)).astype(np.uint32), starts)
+        odd = np.bitwise_xor.reduceat(np.uint64(1) << ((y >> np.uint64(8)) % np.uint64(SKETCH_BITS)), starts)
         bit = np.uint64(1) << (y & np.uint64(63))
         half = (y >> np.uint64(6)) & np.uint64(1) == 0
         cut, raw = (np.r_[0, np.cumsum(use)][np.r_[starts, len(y)]] * ENTRY_BYTES).tolist(), y.tobytes()
@@ -141,12 +141,12 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         made = {
             "n": n, "kept": n - once, "sid": [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edge, edge[1:], strict=False)],
             "p": np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64), "q": np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), starts).view(np.int64),
-            "sketch": (odd | (np.minimum(n, MOST_SIZE).astype(np.uint32) << np.uint32(SKETCH_BITS))).view(np.int32),
+            "sketch": (odd | (np.minimum(n, MOST_SIZE).astype(np.uint64) << np.uint64(SKETCH_BITS))).view(np.int64),
             "entries": [entry[a:b] for a, b in zip(cut, cut[1:], strict=False)],
         }
         return made, line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch int, entries binary")
+    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary")
 
 
 _HASH = np.uint64((1 << 48) - 1)
@@ -165,7 +165,7 @@ def _entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _near(e: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) of lines that share an entry have sizes, places and parity bits that leave room for 0.8."""
     place = ((e & ~MARK) >> np.uint64(48)).astype(np.int64)
-    n, odd = (sketch >> np.uint32(SKETCH_BITS)).astype(np.int64), sketch & np.uint32((1 << SKETCH_BITS) - 1)
+    n, odd = (sketch >> np.uint64(SKETCH_BITS)).astype(np.int64), sketch & np.uint64((1 << SKETCH_BITS) - 1)
     a, b, p, q = n[i], n[j], place[i], place[j]
     need = -(-4 * (a + b) // 9)
     room = np.minimum(p, q) + np.minimum(a - p, b - q) >= need
@@ -245,7 +245,7 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
         for batch in batches:
             batch = batch[~test(batch["h"].to_numpy())] if test else batch
             e, sizes = _entries(batch["entries"].tolist())
-            held.append((e, np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int32), sizes).view(np.uint32)))
+            held.append((e, np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int64), sizes).view(np.uint64)))
             n += len(e)
             if n >= ENTRIES_AT_ONCE:
                 yield from deal(*map(np.concatenate, zip(*held, strict=True)))
@@ -256,7 +256,7 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         kind = rows["segment"].iloc[0]
         e, cid = _from_planes(rows["entries"], np.uint64), _from_planes(rows["cids"], np.int64)
-        sketch = _from_planes(rows["sketches"], np.int64 if kind < 0 else np.uint32)
+        sketch = _from_planes(rows["sketches"], np.int64 if kind < 0 else np.uint64)
         if kind < 0 and kind % 2 == 0:
             return pd.DataFrame({"a": cid, "b": sketch, "entry": pd.array([None] * len(cid), dtype="Int64")})
         if kind >= 0:
@@ -293,10 +293,15 @@ _FITS = "5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and bit_count(a.p ^ b.p) + bi
 
 
 def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """pairs (a, b, times) with the earlier line as a, without those that all parity bits tell apart."""
-    side = lambda c: facts.select(F.col("cid").alias(f"id_{c}"), F.struct(_place(), "n", "p", "q").alias(c))
-    both = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "times").join(side("a"), "id_a").join(side("b"), "id_b").filter(_FITS)
-    return both.select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
+    """pairs (a, b), a pair once for each entry, as (a, b, times) with the earlier line as a, without those that all parity bits tell apart.
+
+    Only sizes and parity bits go with all pairs; they are ordered when few are left.
+    """
+    side = lambda c, *values: facts.select(F.col("cid").alias(f"id_{c}"), F.struct(*values).alias(c))
+    both = lambda df, *values: df.join(side("a", *values), "id_a").join(side("b", *values), "id_b")
+    counted = pairs.groupBy(F.col("a").alias("id_a"), F.col("b").alias("id_b")).agg(F.count(F.lit(1)).alias("times"))
+    near = saved(both(counted, "n", "p", "q").filter(_FITS).select("id_a", "id_b", "times"), "lines-near")
+    return both(near, _place()).select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
 
 
 def _earlier(large: DataFrame, gone: DataFrame, facts: DataFrame) -> DataFrame:
@@ -365,7 +370,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         dropped(t)
     facts = saved(_facts_of(rows, met), "lines-facts")
     dropped(rows)
-    pairs = saved(_ordered(met.filter("entry is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), facts), "lines-pairs")
+    pairs = saved(_ordered(met.filter("entry is null").select("a", "b"), facts), "lines-pairs")
     tried = _verified(docs, facts, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
     gone = tried.filter("ok").select("b")
 
