@@ -11,7 +11,8 @@ length, position: lines meet only at fitting sizes, and only if the words before
 
 A line goes if an earlier line, in order of (doc_id, line number), is similar to it. So one earlier partner is enough: each distinct set first tries, of the
 earlier lines of its entries, the one that it shares most entries with, and then all others if that one fails. Entries of more than FEW lines link their
-lines to the first LEADERS of them; lines that are still there after that meet all earlier ones of these entries. What passes the filters is verified on the words.
+lines to LEADERS of them. Lines that are still there after that meet all earlier ones of the smallest of their entries, and those still there then all earlier ones
+of all these entries, so that pairs that share many are mostly made once. What passes the filters is verified on the words.
 Equal sets are one class: its first line stays or goes by the join and all later ones go.
 """
 
@@ -304,11 +305,21 @@ def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both(near, _place()).select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
 
 
-def _earlier(large: DataFrame, gone: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b): for the lines b of large entries (cid, entry) that are not gone, all earlier ones of these entries that size and parity bits leave."""
-    held = saved(large.join(facts, "cid").select("entry", F.struct(_place(), "n", "p", "q").alias("a")), "lines-large")
-    there = held.join(gone.select(F.col("b").alias("cid")), F.col("a.at.cid") == F.col("cid"), "left_anti").withColumnRenamed("a", "b")
-    return held.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(F.col("a.at.cid").alias("a"), F.col("b.at.cid").alias("b")).distinct()
+def _held(large: DataFrame, facts: DataFrame) -> DataFrame:
+    """entry, and as a all facts of a line, for the lines of large entries (cid, entry)."""
+    return saved(large.join(facts, "cid").select("entry", F.struct(_place(), "n", "p", "q").alias("a")), "lines-large")
+
+
+def _once(held: DataFrame) -> DataFrame:
+    """Each line of held once, with the smallest of its large entries."""
+    of_entry = held.groupBy("entry").agg(F.count(F.lit(1)).alias("size"))
+    return held.join(of_entry, "entry").groupBy("a.at.cid").agg(F.min(F.struct("size", "entry", "a")).alias("x")).select("x.entry", "x.a")
+
+
+def _earlier(others: DataFrame, held: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b): for the lines b in held that are not gone, the earlier ones of the same entry in others that size and parity bits leave."""
+    there = held.join(gone.select(F.col("b").alias("cid")), F.col("a.at.cid") == F.col("cid"), "left_anti").select("entry", F.col("a").alias("b"))
+    return others.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(F.col("a.at.cid").alias("a"), F.col("b.at.cid").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -384,7 +395,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     next_round(pairs)
     large = met.filter("entry is not null").select(F.col("a").alias("cid"), "entry")  # their lines meet all earlier ones, if they are still there
     if large.head(1):
-        next_round(_earlier(large, gone, facts))
+        held = _held(large, facts)
+        next_round(_earlier(held, _once(held), gone))
+        next_round(_earlier(held, held, gone))
     near = facts.join(gone.withColumnRenamed("b", "cid"), "cid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
 
