@@ -89,6 +89,17 @@ def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns])
 
 
+def whole_id(docs: DataFrame) -> list[Column]:
+    """doc_id without nulls and, as no_id, where there was none, for steps in Python: pandas turns whole numbers beside a null into floats, which tell no ids above 2**53 apart."""
+    given = docs["doc_id"].cast("long")
+    return [F.coalesce(given, F.lit(0).cast("long")).alias("doc_id"), given.isNull().alias("no_id")]
+
+
+def own_id(rows: DataFrame) -> DataFrame:
+    """rows with the doc_ids that whole_id() made, null again where there was none."""
+    return rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

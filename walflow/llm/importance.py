@@ -8,7 +8,8 @@ the word has just occurred). k documents are drawn without replacement by adding
 taking the k largest; k is the number of documents whose weight is above the line that best parts the labelled sample. The line is fitted on weights that
 each labelled text has by a target model without its own fold of the labelled texts, as a text's weight is too high by a model that has counted it.
 
-The noise comes from a hash of the row, so a task that runs again draws the same. The k-th largest key is found from bin counts, without a sort.
+The noise comes from a hash of doc_id and text that Spark makes, so a row has the same wherever and beside whatever it is drawn. The k-th largest key is found
+from bin counts, without a sort.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walflow.llm.common import dropped, named_row, saved, small_batches, unnamed_row, weighted_cuts
@@ -32,7 +32,7 @@ FOLDS = 10
 SMOOTHING = 0.5
 WHOLE = 1 << 16  # the target's counts are whole numbers of 1 / WHOLE, so that sums are the same in any order
 PRIOR = 100_000  # n-grams' worth of the raw model mixed into the target's counts, so that few labels say little about rare n-grams
-KEY_BITS, KEY_SCALE = 44, 1 << 16
+KEY_BITS, KEY_SCALE, REST_BITS = 44, 1 << 16, 40  # keys are ordered by whole parts of 1 / KEY_SCALE, and within one of these by REST_BITS more
 
 _SPACE = re.compile(rb"[\x09-\x0D\x1C-\x20]")
 #: Of each byte: upper case 1, lower case 2 (and all of other scripts), digit 4, white space 8, anything else 0.
@@ -161,17 +161,18 @@ def _scorer(docs: DataFrame, ratios: np.ndarray, seed: int):
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("n_ngrams long, log_weight double, sampling_key double")
-    def score(doc_id: pd.Series, text: pd.Series, fold: pd.Series) -> pd.DataFrame:
-        texts, ids, folds = [t or "" for t in text], doc_id.tolist(), fold.to_numpy(np.int64)
+    def score(noise: pd.Series, text: pd.Series, fold: pd.Series) -> pd.DataFrame:
+        texts, folds = [t or "" for t in text], fold.to_numpy(np.int64)
         n, w = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for at, some in in_parts(texts):
             doc, bucket = ngrams(some)
             n[at : at + len(some)] = np.bincount(doc, minlength=len(some))
             w[at : at + len(some)] = np.bincount(doc, weights=held.value[folds[at + doc], bucket], minlength=len(some))
-        u = np.array([(xxhash.xxh64_intdigest(f"{seed}:{i}:{t}".encode("utf-8", "surrogatepass")) + 0.5) / 2.0**64 for i, t in zip(ids, texts, strict=True)])
+        u = (noise.to_numpy(np.int64).view(np.uint64).astype(np.float64) + 0.5) / 2.0**64
         return pd.DataFrame({"n_ngrams": n, "log_weight": w, "sampling_key": w - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))})
 
-    return lambda doc_id, text, fold=None: score(doc_id, text, F.lit(FOLDS) if fold is None else fold)
+    noise = lambda doc_id, text: F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id.cast("long"), F.coalesce(text, F.lit("")))
+    return lambda doc_id, text, fold=None: score(noise(doc_id, text), text, F.lit(FOLDS) if fold is None else fold)
 
 
 def dividing_line(weights: np.ndarray, good: np.ndarray) -> float:
@@ -185,8 +186,16 @@ def dividing_line(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[cut - 1] + w[cut]) / 2) if 0 < cut < len(w) else (-np.inf if cut == 0 else np.inf)
 
 
+def _key_parts(key: Column) -> tuple[Column, Column]:
+    """A sampling key as two whole numbers, each from 0 and the smaller the larger the key; both steps are exact, being by powers of two."""
+    half = 1 << (KEY_BITS - 1)
+    whole = F.greatest(F.least(F.floor(key * KEY_SCALE), F.lit(half - 1)), F.lit(1 - half))
+    rest = F.greatest(F.least(F.floor((key * KEY_SCALE - whole) * (1 << REST_BITS)), F.lit((1 << REST_BITS) - 1)), F.lit(0))
+    return (F.lit(half) - whole).cast("long"), (F.lit((1 << REST_BITS) - 1) - rest).cast("long")
+
+
 def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
-    """The score function, all rows' scores (saved), and the least sampling key that is drawn."""
+    """The score function, all rows' scores (saved), and which sampling keys are drawn."""
     labelled = saved(labelled_rows(docs, saved(label_sample(labels, sample), "importance-labels")), "importance-labelled")
     score = _scorer(docs, log_ratios(docs, labelled), seed)
     given = F.col("doc_id").cast("long")
@@ -197,11 +206,16 @@ def _drawing(docs: DataFrame, labels: DataFrame, seed: int, sample: int):
     line = dividing_line(fit["log_weight"].to_numpy(float), fit["good"].to_numpy(bool))
     k = scores.filter(F.col("log_weight") > line).count() if np.isfinite(line) else scores.count() * int(line < 0)
     if not k:
-        return score, scores, float("inf")
-    half = 1 << (KEY_BITS - 1)
-    whole = F.greatest(F.least(F.floor(F.col("sampling_key") * KEY_SCALE), F.lit(half - 1)), F.lit(1 - half))
-    cut = weighted_cuts(scores, F.lit(0), (F.lit(half) - whole).cast("long"), F.lit(1), {0: k}, KEY_BITS + 1)[0][0]
-    return score, scores, (half - cut) / KEY_SCALE
+        return score, scores, lambda key: F.lit(False)
+    whole, rest = _key_parts(F.col("sampling_key"))
+    cut, above, _ = weighted_cuts(scores, F.lit(0), whole, F.lit(1), {0: k}, KEY_BITS + 1)[0]
+    last = weighted_cuts(scores.filter(whole == cut), F.lit(0), rest, F.lit(1), {0: k - above}, REST_BITS)[0][0]
+
+    def drawn(key: Column) -> Column:
+        whole, rest = _key_parts(key)
+        return (whole < cut) | ((whole == cut) & (rest <= last))
+
+    return score, scores, drawn
 
 
 def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
@@ -210,8 +224,8 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = S
     Null text is empty and weighs 0, like a text of unknown worth. Rows with the same doc_id and text have the same key and are drawn together, as are rows
     tied with the k-th. Without labels of both kinds every row is drawn. Empty tables give empty results. Only text, doc_id and labels are read.
     """
-    _, scores, least = _drawing(docs, labels, seed, sample)
-    return scores.filter(F.col("sampling_key") >= least).withColumn("kept", F.lit(True))
+    _, scores, drawn = _drawing(docs, labels, seed, sample)
+    return scores.filter(drawn(F.col("sampling_key"))).withColumn("kept", F.lit(True))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
@@ -219,6 +233,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, sample: int = S
 
     Nulls, ties, repeated rows and empty tables are as in resampled().
     """
-    score, _, least = _drawing(docs, labels, seed, sample)
-    drawn = named_row(docs).filter(score(F.col("row.doc_id").cast("long"), F.col("row.text"))["sampling_key"] >= least)
-    return unnamed_row(drawn, docs.columns)
+    score, _, drawn = _drawing(docs, labels, seed, sample)
+    keyed = named_row(docs).withColumn("key", score(F.col("row.doc_id").cast("long"), F.col("row.text"))["sampling_key"])
+    return unnamed_row(keyed.filter(drawn(F.col("key"))), docs.columns)

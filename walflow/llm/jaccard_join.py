@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from walflow.llm.common import blocks, dropped, group_pairs, named_row, saved, unnamed_row
+from walflow.llm.common import blocks, dropped, group_pairs, named_row, own_id, saved, unnamed_row, whole_id
 from walflow.llm.components import components
 from walflow.llm.exact_dedup import as_column, repeat_test
 from walflow.llm.words import in_parts, joined, word_hashes
@@ -168,7 +168,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = shingle_sets(part["text"].tolist())
             made = [entries(x) for x in sets]
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "key": part["key"].to_numpy(), "n": [len(x) for x in sets],
+                "doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(), "key": part["key"].to_numpy(), "n": [len(x) for x in sets],
                 "sid": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], "parity": [parity(x) for x in sets],
                 "entries": [e.tobytes() for e, _ in made], "thin": [t for _, t in made],
             })
@@ -206,9 +206,8 @@ def shared_entries(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray]
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All that was parsed; rows (doc_id, key, n, cid) and classes of equal sets (cid, key, n, parity, thin, least_doc), and what classes share of the index (entry, cid, up), all saved."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
-    keyed = docs.select(*cols).withColumn("key", _key(F.col("doc_id"), F.col("text")))
-    rows = saved(keyed.mapInPandas(_parsed, "doc_id long, key long, n long, sid binary, parity binary, entries binary, thin boolean").withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
+    keyed = docs.select(*whole_id(docs), F.coalesce(F.col("text"), F.lit("")).alias("text"), _key(F.col("doc_id"), F.col("text")).alias("key"))
+    rows = saved(own_id(keyed.mapInPandas(_parsed, "doc_id long, no_id boolean, key long, n long, sid binary, parity binary, entries binary, thin boolean")).withColumn("uid", F.monotonically_increasing_id()), "jaccard-rows")
     hashed = rows.withColumn("h", F.xxhash64("sid"))
     test = repeat_test(hashed.select("h"), rows.count())
     flagged = hashed.withColumn("maybe", (F.col("n") > 0) & as_column(test))

@@ -114,7 +114,7 @@ def _visits(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if len(tree) and len(own):
             t = pickle.loads(tree["tree"].iloc[0])
             for i, v, least in zip(own["vec_id"], own["vec"], own["least"], strict=True):
-                out += [(i, x, s) for s, x in t.search(int(i), np.frombuffer(v, np.int64), k, None if pd.isna(least) else int(least))]
+                out += [(i, x, s) for s, x in t.search(int(i), np.frombuffer(v, np.int64), k, int(least))]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     blocks = queries.groupBy(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("block").alias("b")).count()
@@ -129,17 +129,17 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     never compared. A query's own rows are those with its vec_id; repeated rows of other vec_ids are each a candidate, those of a query one query. A score
     that does not fit 64 bits is an error. Empty tables give empty results; other columns are not read.
     """
-    rows = saved(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_whole, "vec_id long, dim int, vec binary").withColumn("uid", F.monotonically_increasing_id()), "kd-vectors")
+    rows = saved(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null").mapInPandas(_whole, "vec_id long, dim int, vec binary").withColumn("uid", F.monotonically_increasing_id()), "kd-vectors")
     sizes = saved(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("shards")), "kd-sizes")
     placed = rows.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "uid"), F.col("shards")))
     trees = saved(placed.groupBy("dim", "shard").applyInPandas(_plant, "dim int, shard long, tree binary"), "kd-trees")
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).drop("uid")
     count = F.lit(max(1, -(-asked.count() // QUERY_ROWS)))
     asked = asked.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), count)).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("shards")))
-    none = F.lit(None).cast("long")
+    none = F.lit(-(2**63 - 1)).cast("long")  # a number, as pandas turns whole numbers beside a null into floats
     first = saved(_visits(trees, asked.withColumn("shard", F.col("home")).withColumn("least", none), k), "kd-first")
-    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).select("vec_id", F.when(F.col("n") >= k, F.col("s")).alias("least"))
-    rest = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).filter("shard <> home")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).select("vec_id", F.when(F.col("n") >= k, F.col("s")).otherwise(none).alias("least"))
+    rest = asked.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", none)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).filter("shard <> home")
     hits = first.unionByName(_visits(trees, rest, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

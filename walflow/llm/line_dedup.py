@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import dropped, named_row, saved, with_text
+from walflow.llm.common import dropped, named_row, own_id, saved, whole_id, with_text
 from walflow.llm.exact_dedup import as_column, repeat_test
 from walflow.llm.jaccard_join import mixed
 from walflow.llm.words import in_parts, joined, word_hashes
@@ -91,7 +91,7 @@ def prefix_of(n: int, once: int) -> int:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
+    return docs.select(*whole_id(docs), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
 
 def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = table.value
         for batch in batches:
-            ids, keys = batch["doc_id"].to_numpy(), batch["key"].to_numpy()
+            ids, none, keys = (batch[c].to_numpy() for c in ("doc_id", "no_id", "key"))
             for first, some in in_parts(batch["text"].tolist(), PART_CHARS):
                 whole, begins = joined(some)
                 start, x = word_hashes(whole)
@@ -111,7 +111,7 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
                     low, high = lead[a], lead[a + LINES_AT_ONCE] if a + LINES_AT_ONCE < len(lead) else len(x)
                     made, its = rows(x[low:high], line[low:high], counts)
                     doc = np.searchsorted(begins, start[lead[a : a + LINES_AT_ONCE]], side="right") - 1
-                    yield pd.DataFrame({"doc_id": ids[first + doc], "key": keys[first + doc], "line": its - np.searchsorted(ends, begins)[doc]} | made)
+                    yield pd.DataFrame({"doc_id": ids[first + doc], "no_id": none[first + doc], "key": keys[first + doc], "line": its - np.searchsorted(ends, begins)[doc]} | made)
 
     def rows(x: np.ndarray, line: np.ndarray, counts: np.ndarray) -> tuple[dict, np.ndarray]:
         rare = counts[(x >> np.uint64(64 - bits)).astype(np.int64)]
@@ -147,7 +147,7 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
         }
         return made, line[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])]
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary")
+    return own_id(_keyed(docs).mapInPandas(run, "doc_id long, no_id boolean, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary"))
 
 
 _HASH = np.uint64((1 << 48) - 1)

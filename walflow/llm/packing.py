@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import numbered, saved
+from walflow.llm.common import numbered, own_id, saved, whole_id
 
 CAPACITY = 2048
 END_ID = 0
@@ -170,16 +170,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 rows = []
-                for doc, text in zip(batch["doc_id"].tolist()[at : at + DOCS_AT_ONCE], batch["text"].tolist()[at : at + DOCS_AT_ONCE], strict=True):
+                for doc, none, text in zip(*(batch[c].tolist()[at : at + DOCS_AT_ONCE] for c in ("doc_id", "no_id", "text")), strict=True):
                     ids = encode(text or "") + end
                     for k in range(0, len(ids), 4 * capacity):
                         part = ids[k : k + 4 * capacity]
-                        rows.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                        rows.append((doc, none, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
         forget()  # the worker process may have other stages' tasks next
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own_id(docs.select(*whole_id(docs), "text").mapInPandas(cut, "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

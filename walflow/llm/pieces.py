@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from walflow.llm.common import own_id, whole_id
+
 SPACE = "▁"
 CACHE = 1_000_000  # words that a worker remembers, some 200 bytes each
 WORDS_AT_ONCE = 20_000
@@ -228,9 +230,9 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
                 texts = [t or "" for t in part["text"]]
                 ids = pieces.encode(texts)
                 back = pieces.decode(ids)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "n_ids": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": [a == b for a, b in zip(texts, back, strict=True)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "ids": ids, "n_ids": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": [a == b for a, b in zip(texts, back, strict=True)]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary, n_ids long, ids_crc32 long, round_trip boolean")
+    return own_id(docs.select(*whole_id(docs), "text").mapInPandas(run, "doc_id long, no_id boolean, ids binary, n_ids long, ids_crc32 long, round_trip boolean"))
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
@@ -239,6 +241,6 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": pieces.decode([x or b"" for x in batch["ids"]])})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "text": pieces.decode([x or b"" for x in batch["ids"]])})
 
-    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return own_id(rows.select(*whole_id(rows), "ids").mapInPandas(run, "doc_id long, no_id boolean, text string"))

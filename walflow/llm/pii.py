@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walflow.llm.common import named_row, with_text
+from walflow.llm.common import named_row, own_id, whole_id, with_text
 from walflow.llm.tagger import CODES, KINDS, PAD, TAGS, WINDOW, best_tags, emissions, encoded, trained
 from walflow.llm.words import in_parts
 
@@ -177,9 +177,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = all_spans([t or "" for t in batch["text"]], weights.value)
             counts = {f"n_{k}": [sum(s[0] == i for s in b) for b, _ in found] for i, k in enumerate(KINDS[:4])}
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **counts, "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], "spans": [joined(a) for _, a in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], **counts, "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], "spans": [joined(a) for _, a in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return own_id(docs.select(*whole_id(docs), "text").mapInPandas(scan, "doc_id long, no_id boolean, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))
 
 
 def without_pii(docs: DataFrame) -> DataFrame:
