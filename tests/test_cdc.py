@@ -19,7 +19,6 @@ from walflow.operators.replay import Replays
 from walflow.plans import catalog
 from walflow.sources import wal
 from walflow.sources.commerce import order_changes
-from walflow.streaming.assembly import run_capture
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -287,22 +286,3 @@ def test_replay_goes_on(spark, tmp_path, monkeypatch):
     first = len(sent)
     assert 0 < first < events.count() and r.get("x")["events_processed"] == first
     assert r.run("x", events, send) == events.count() - first and len(sent) == len(set(sent)) == events.count() and r.get("x")["status"] == "completed"
-
-
-def test_stream_assembly(spark, tmp_path):
-    cols = [{"name": "id", "type_oid": 20, "nullable": False, "position": 1, "is_key": True}, {"name": "item", "type_oid": 25, "nullable": True, "position": 2, "is_key": False}]
-    rel = {"oid": 1, "schema_name": "public", "table_name": "t", "columns": cols}
-    m = lambda pos, kind, xid, **k: {"source_id": "s", "pos": pos, "kind": kind, "xid": xid} | k
-    new = lambda i, t: {"new": [{"state": "value", "text": str(i)}, {"state": "value", "text": t}]} | rel
-    first = [m(1, "begin", 1), m(2, "insert", 1, **new(1, "a")), m(3, "begin", 2), m(4, "insert", 2, **new(2, "b")), m(5, "update", 1, **new(1, "c"))]
-    second = [m(6, "commit", 1, commit_end_lsn=100, commit_timestamp="2024-01-01T00:00:00Z"), m(7, "abort", 2), m(8, "begin", 3), m(9, "insert", 3, **new(3, "d"))]
-    log, store, check = f"{tmp_path}/log", f"{tmp_path}/store", f"{tmp_path}/check"
-    os.makedirs(log)
-    for k, batch in enumerate((first, second)):
-        with open(f"{log}/{k}.json", "w") as f:
-            f.writelines(json.dumps(x) + "\n" for x in batch)
-        q = run_capture(spark, wal.read_stream(spark, log), store, check)
-        q.awaitTermination()
-        assert q.exception() is None
-    rows = spark.read.parquet(store).orderBy("sequence_number").collect()
-    assert [(r["sequence_number"], r["operation"], r["after"]["item"]["value"], r["key_columns"]["id"]) for r in rows] == [(1, "insert", '"a"', "1"), (2, "update", '"c"', "1")]

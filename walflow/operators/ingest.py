@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +14,9 @@ from walflow.operators.control import Checkpoints
 NATURAL_KEY = ["source_id", "commit_end_lsn", "sequence_number"]
 
 
+MISMATCH = "two payloads under the natural key "
+
+
 class HashMismatch(ValueError):
     """A replayed event differs from the one that is stored under its natural key."""
 
@@ -40,17 +45,44 @@ def open_transactions(messages: DataFrame) -> DataFrame:
     return by_tx.filter("ends = 0").drop("ends")
 
 
+ENDS = ("commit", "abort", "abandoned")
+
+
 class LimitExceeded(ValueError):
     """More open transactions, or a larger one, than allowed."""
 
 
+def first_beyond(markers: DataFrame, opened: DataFrame, most_open: int) -> Row | None:
+    """The first marker, in the order of each source's log, at which a transaction is too large or a source has more than most_open open ones.
+
+    opened (source_id, xid): those open before. The markers of one micro-batch: a source's are added up in one task.
+    """
+    own = Window.partitionBy("source_id", "xid").orderBy("pos")
+    was = opened.select("source_id", "xid", F.lit(1).alias("was"))
+    steps = markers.filter(F.col("what").isin("begin", "large", *ENDS)).join(F.broadcast(was), ["source_id", "xid"], "left")  # at most most_open rows a source
+    before = F.coalesce(F.when(F.lag("what").over(own).isin("begin", "large"), 1).when(F.lag("what").over(own).isNotNull(), 0), F.col("was"), F.lit(0))
+    delta = F.when(F.col("what") == "begin", 1 - before).when(F.col("what").isin(*ENDS), -before).otherwise(0)
+    base = opened.groupBy("source_id").agg(F.count(F.lit(1)).alias("base"))
+    counted = steps.withColumn("delta", delta).join(F.broadcast(base), "source_id", "left")
+    open_now = F.coalesce("base", F.lit(0)) + F.sum("delta").over(Window.partitionBy("source_id").orderBy("pos"))
+    bad = counted.withColumn("open", open_now).filter((F.col("what") == "large") | ((F.col("what") == "begin") & (F.col("open") > most_open)))
+    return (bad.orderBy("pos", "source_id").select("source_id", "xid", "pos", "what", "open", "changes", "bytes").head(1) or [None])[0]
+
+
 def check_open(messages: DataFrame, most_open: int = 10, max_events: int = 10_000, max_bytes: int = 256 << 20) -> DataFrame:
-    """open_transactions(), after a check that no source has more of them than most_open and none is beyond its limits."""
-    rows = open_transactions(messages).persist()
-    bad = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("open"), F.max("changes").alias("changes"), F.max("bytes").alias("bytes")).filter((F.col("open") > most_open) | (F.col("changes") > max_events) | (F.col("bytes") > max_bytes)).head(1)
-    if bad:
-        raise LimitExceeded(str(bad[0].asDict()))
-    return rows
+    """open_transactions(), after a check of the limits in the order of each source's log. Raises LimitExceeded with the first message beyond them, the one at which the stream stops too."""
+    by_xid = Window.partitionBy("source_id", "xid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    change = F.col("kind").isin("insert", "update", "delete")
+    runs = messages.withColumns({"first_pos": F.max(F.when(F.col("kind") == "begin", F.col("pos"))).over(by_xid), "closed": F.max(F.when(F.col("kind").isin("commit", "abort"), F.col("pos"))).over(by_xid)})
+    inside = change & F.col("first_pos").isNotNull() & (F.col("closed").isNull() | (F.col("closed") < F.col("first_pos")))
+    tx = Window.partitionBy("source_id", "xid", "first_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.when(inside, estimated_bytes())
+    counted = runs.withColumns({"changes": F.count(size).over(tx), "bytes": F.coalesce(F.sum(size).over(tx), F.lit(0))})
+    large = inside & ((F.col("changes") > max_events) | (F.col("bytes") > max_bytes))
+    markers = counted.withColumn("what", F.when(large, "large").when(F.col("kind").isin("begin", "commit", "abort"), F.col("kind"))).filter("what is not null")
+    if bad := first_beyond(markers.select("what", "source_id", "xid", "pos", "changes", "bytes"), messages.select("source_id", "xid").limit(0), most_open):
+        raise LimitExceeded(f"at position {bad['pos']}: {json.dumps(bad.asDict())}")
+    return open_transactions(messages)
 
 
 def stored(events: DataFrame) -> DataFrame:
@@ -65,10 +97,42 @@ def mismatches(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def fresh(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows of the batch that are not stored yet, once each. The store is read only between the batch's first and last position."""
+    """Rows of the batch that are not stored yet, once each, without a look at payloads."""
     return batch.dropDuplicates(NATURAL_KEY).join(store.select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
 
 
+def settled(batch: DataFrame, store: DataFrame | None) -> DataFrame:
+    """The rows of a batch, as stored() makes them, that are not in the store yet, once each. The query fails where one natural key has two payloads, in the batch or in the store.
+
+    One aggregation by natural key and one join, both dealt by that key, so the batch moves once. store: natural key and payload_hash; None for an empty one.
+    """
+    others = [c for c in batch.columns if c not in NATURAL_KEY]
+    keyed = batch.groupBy(*NATURAL_KEY).agg(F.min("payload_hash").alias("_low"), F.max("payload_hash").alias("_high"), F.first(F.struct(*others)).alias("_row"))
+    differs = F.col("_low") != F.col("_high")
+    if store is not None:
+        have = store.select(*NATURAL_KEY, F.col("payload_hash").alias("_stored")).dropDuplicates(NATURAL_KEY)
+        keyed = keyed.join(have, NATURAL_KEY, "left")
+        differs = differs | F.coalesce(F.col("_stored") != F.col("_low"), F.lit(False))
+    text = F.concat(F.lit(MISMATCH), F.to_json(F.struct(*NATURAL_KEY)))
+    checked = keyed.filter(F.when(differs, F.raise_error(text).cast("boolean")).otherwise(F.col("_stored").isNull() if store is not None else F.lit(True)))
+    return checked.select(*NATURAL_KEY, *[F.col("_row")[c].alias(c) for c in others]).select(*batch.columns)
+
+
+def written(rows: DataFrame, path: str, mode: str = "append") -> int:
+    """Writes events by source and table, in files of narrow ranges of positions, and returns their number. Raises HashMismatch, with nothing written, for settled()'s failure."""
+    seen = Observation()
+    # by position too, so that a hot table's batch is many tasks' work
+    dealt = rows.repartitionByRange("source_id", "table_name", "commit_end_lsn").sortWithinPartitions("source_id", "table_name", "commit_end_lsn", "sequence_number")
+    ordered = dealt.observe(seen, F.count(F.lit(1)).alias("n"))  # behind the ranges, whose cuts are found by a pass over the rows of its own
+    try:
+        ordered.write.mode(mode).partitionBy("source_id", "table_name").parquet(path)
+    except Exception as e:
+        if MISMATCH in str(e):
+            raise HashMismatch(str(e).split(MISMATCH, 1)[1].split("}")[0] + "}") from e
+        raise
+    return seen.get["n"]
+
+
 def ingest_fenced(spark: SparkSession, batch: DataFrame, path: str, checkpoints: Checkpoints, source: str, owner: str, generation: int) -> int:
     """ingest() by the owner of a source's checkpoint, whose positions follow: received before the events are stored, persisted after.
 
@@ -86,28 +150,13 @@ def ingest_fenced(spark: SparkSession, batch: DataFrame, path: str, checkpoints:
 def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
     """Appends what is new of a batch of events to the Parquet store at path and returns the number of events added.
 
-    Safe to repeat: stored events are recognised by their natural key. Raises HashMismatch, and adds nothing, if one of them differs.
+    Safe to repeat: stored events are recognised by their natural key. Raises HashMismatch, and adds nothing, if one of them differs, or if the batch itself
+    has two versions of an event. The store is read between the batch's first and last position.
     """
-    rows = stored(batch).persist()
-    try:
-        span = rows.agg(F.min("commit_end_lsn").alias("low"), F.max("commit_end_lsn").alias("high")).first()
-        if span["low"] is None:
-            return 0
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-            store = spark.read.parquet(path).filter(F.col("commit_end_lsn").between(span["low"], span["high"]))
-            if bad := mismatches(rows, store).select(*NATURAL_KEY).head(1):
-                raise HashMismatch(f"stored event differs: {bad[0].asDict()}")
-            if bad := rows.groupBy(*NATURAL_KEY).agg(F.count_distinct("payload_hash").alias("n")).filter("n > 1").head(1):
-                raise HashMismatch(f"the batch holds two versions of {bad[0].asDict()}")
-            rows_new = fresh(rows, store).persist()
-        else:
-            rows_new = rows.dropDuplicates(NATURAL_KEY).persist()
-        n = rows_new.count()
-        if n:
-            # by position too, so that a hot table's batch is many tasks' work and files cover narrow ranges of positions
-            rows_new.repartitionByRange("source_id", "table_name", "commit_end_lsn").sortWithinPartitions("source_id", "table_name", "commit_end_lsn", "sequence_number").write.mode("append").partitionBy("source_id", "table_name").parquet(path)
-        rows_new.unpersist()
-        return n
-    finally:
-        rows.unpersist()
+    span = batch.agg(F.min("commit_end_lsn").alias("low"), F.max("commit_end_lsn").alias("high")).first()
+    if span["low"] is None:
+        return 0
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    store = spark.read.parquet(path).filter(F.col("commit_end_lsn").between(span["low"], span["high"])) if there else None
+    return written(settled(stored(batch), store), path)
