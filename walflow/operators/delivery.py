@@ -5,13 +5,13 @@ from __future__ import annotations
 import http.client
 import ipaddress
 import socket
+import time
 import urllib.parse
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from walflow.functions.crypto import signature
 from walflow.functions.exprs import backoff_ms, format_lsn, idempotency_key, operation_listed, outcome, truncated
@@ -108,13 +108,16 @@ class _Secure(http.client.HTTPSConnection):
 
 
 def http_transport(url: str, headers: dict[str, str], payload: str, seconds: float = 30, allowed: Callable[[str], bool] = public) -> tuple[int | None, str, str | None, bool]:
-    """A guarded POST: http and https only, at most three redirects, and each connection goes to an address that has been judged."""
+    """A guarded POST: http and https only, at most three redirects, and each connection goes to an address that has been judged. seconds: for all of it."""
+    end = time.monotonic() + seconds
     for _ in range(4):
+        if (left := end - time.monotonic()) <= 0:
+            return None, "", "out of time", True
         parts = urllib.parse.urlsplit(url)
         found = addresses(parts.hostname or "") if parts.scheme in ("http", "https") else []
         if not found or not all(map(allowed, found)):
             return None, "", "address not allowed", False
-        link = (_Plain if parts.scheme == "http" else _Secure)(parts.hostname, parts.port, timeout=seconds)
+        link = (_Plain if parts.scheme == "http" else _Secure)(parts.hostname, parts.port, timeout=left)
         link.address = found[0]
         try:
             link.request("POST", urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, "")), payload.encode(), headers)
@@ -133,29 +136,35 @@ def http_transport(url: str, headers: dict[str, str], payload: str, seconds: flo
     return None, "", "too many redirects", False
 
 
+def sent(work: DataFrame, transport: Transport, timestamp: int, kept: list[str]) -> DataFrame:
+    """What came of sending each row of work (due attempts with their sink's url and secret, and the event): the columns `kept`, http_status, response_body, error, passing."""
+    signed = work.withColumn("payload", body()).withColumn("signature", signature(F.col("secret"), F.lit(timestamp), F.col("id"), F.col("payload"))).withColumn("event", F.lower(F.hex("id")))
+    what = F.struct("url", "event", "attempt_number", "signature", "idempotency_key", "payload")
+
+    @F.pandas_udf("http_status int, response_body string, error string, passing boolean")
+    def send(rows: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        for w in rows.itertuples(index=False):
+            headers = {"Content-Type": "application/json", "X-Signature": w.signature, "X-Timestamp": str(timestamp), "Idempotency-Key": w.idempotency_key, "X-Event-Id": w.event, "X-Attempt": str(w.attempt_number)}
+            got.append(transport(w.url, headers, w.payload))
+        return pd.DataFrame({"http_status": pd.array([g[0] for g in got], dtype="Int32"), "response_body": [g[1] for g in got], "error": [g[2] for g in got], "passing": [g[3] for g in got]})
+
+    # each row must be sent once, so nothing may be moved below the call or evaluate it again
+    return signed.select(*kept, send.asNondeterministic()(what).alias("came")).select(*kept, "came.*")
+
+
 def delivered(work: DataFrame, transport: Transport, timestamp: int, folder: str) -> DataFrame:
-    """work (due attempts with their sink's url, secret, max_attempts, delays and the event) with what came of each: http_status, response_body, error, status, retry_in_ms.
+    """work (due attempts with attempt_id, their sink's url, secret, max_attempts, delays and the event) with what came of each: http_status, response_body, error, status, retry_in_ms.
 
-    The results are stored below folder under a name made of the attempts, before anything reads them, and found there by a call that repeats: what is done with
+    The results are stored below folder under a name made of the attempts alone, before anything reads them, and found there by a call that repeats, at any later time: what is done with
     them sends nothing again. A task that runs again after a lost executor does send again, which receivers tell by the idempotency key.
     """
     spark = work.sparkSession
     digest = work.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("attempt_id", "attempt_number"), F.lit(1 << 40)))).first()
-    path = f"{folder}/sent-{digest[0]}-{digest[1] or 0:x}-{timestamp}"
+    path = f"{folder}/sent-{digest[0]}-{digest[1] or 0:x}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        signed = work.withColumn("payload", body()).withColumn("signature", signature(F.col("secret"), F.lit(timestamp), F.col("id"), F.col("payload"))).withColumn("event", F.lower(F.hex("id")))
-
-        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                got = []
-                for w in b.itertuples(index=False):
-                    headers = {"Content-Type": "application/json", "X-Signature": w.signature, "X-Timestamp": str(timestamp), "Idempotency-Key": w.idempotency_key, "X-Event-Id": w.event, "X-Attempt": str(w.attempt_number)}
-                    got.append(transport(w.url, headers, w.payload))
-                yield pd.DataFrame({"attempt_id": b["attempt_id"], "http_status": pd.array([g[0] for g in got], dtype="Int32"), "response_body": [g[1] for g in got], "error": [g[2] for g in got], "passing": [g[3] for g in got]})
-
-        sent = signed.select("attempt_id", "attempt_number", "event", "url", "signature", "idempotency_key", "payload").mapInPandas(send, "attempt_id long, http_status int, response_body string, error string, passing boolean")
-        sent.write.mode("overwrite").parquet(path)
+        sent(work, transport, timestamp, ["attempt_id"]).write.mode("overwrite").parquet(path)
     kept = work.select("attempt_id", "sink_id", "event_id", "attempt_number", "max_attempts", "retry_initial_ms", "retry_max_ms")
     return settled(spark.read.parquet(path).join(kept, "attempt_id"))
 
@@ -167,10 +176,10 @@ def settled(results: DataFrame) -> DataFrame:
     return done.withColumn("retry_in_ms", F.when(F.col("status") == "retryable", backoff_ms("attempt_number", "retry_initial_ms", "retry_max_ms", idempotency_key("sink_id", "event_id"))))
 
 
-def next_attempts(results: DataFrame, as_of: str) -> DataFrame:
+def next_attempts(results: DataFrame, as_of: str, kept: list[str] | None = None) -> DataFrame:
     again = results.filter(F.col("status") == "retryable")
     at = F.timestamp_micros(F.unix_micros(F.lit(as_of).cast("timestamp")) + F.col("retry_in_ms") * 1000)
-    return again.select("sink_id", "event_id", (F.col("attempt_number") + 1).alias("attempt_number"), F.lit("pending").alias("status"), at.alias("next_retry_at"), idempotency_key("sink_id", "event_id").alias("idempotency_key"))
+    return again.select(*(kept or []), "sink_id", "event_id", (F.col("attempt_number") + 1).alias("attempt_number"), F.lit("pending").alias("status"), at.alias("next_retry_at"), idempotency_key("sink_id", "event_id").alias("idempotency_key"))
 
 
 def dead_letters(history: DataFrame) -> DataFrame:
@@ -191,8 +200,20 @@ def status_counts(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("sink_id").agg(F.count(F.lit(1)).alias("total"), n("success").alias("good"), n("retryable").alias("again"), n("permanent_failure").alias("dead"))
 
 
-def circuit_open(history: DataFrame, failures: int) -> DataFrame:
-    """Sinks whose last `failures` finished attempts all failed."""
-    last = F.row_number().over(Window.partitionBy("sink_id").orderBy(F.desc("attempt_id")))
-    recent = history.filter(F.col("status") != "pending").withColumn("_r", last).filter(F.col("_r") <= failures)
-    return recent.groupBy("sink_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("good")).filter((F.col("n") == failures) & (F.col("good") == 0)).select("sink_id")
+def circuit_counts(history: DataFrame, order: list[str]) -> DataFrame:
+    """For each sink whether any of its finished attempts succeeded, and how many failed after the last that did. order: columns in which attempts finished."""
+    ended = history.filter("status <> 'pending'").select("sink_id", F.struct(*order, "attempt_number").alias("at"), (F.col("status") == "success").alias("good"))
+    last = ended.groupBy("sink_id").agg(F.max(F.when(F.col("good"), F.col("at"))).alias("last"))
+    after = ended.join(last, "sink_id").filter(F.col("last").isNull() | (F.col("at") >= F.col("last")))
+    return after.groupBy("sink_id").agg(F.count_if(~F.col("good")).alias("failures"), F.bool_or("good").alias("succeeded"))
+
+
+def circuit_states(history: DataFrame, failures: int, pause_ms: int, as_of: str) -> DataFrame:
+    """Each sink's circuit: closed; open, from its `failures`-th failure in a row for pause_ms; half_open from then on, when one trial may go, until that succeeds (closed) or fails (open).
+
+    history: attempts with finished_at. As nothing but trials goes out while a circuit is open, failures in a row and the time of the last tell its state.
+    """
+    last = history.filter("status <> 'pending'").groupBy("sink_id").agg(F.max("finished_at").alias("at"))
+    waits = F.unix_millis(F.lit(as_of).cast("timestamp")) - F.unix_millis(F.col("at").cast("timestamp"))
+    state = F.when(F.col("failures") < failures, "closed").when(waits < pause_ms, "open").otherwise("half_open")
+    return circuit_counts(history, ["finished_at"]).join(last, "sink_id").select("sink_id", "failures", state.alias("state"))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from walflow.operators.control import ControlStore
 
 SECRETS = ("secret", "password", "dsn", "credentials")
-SINK = "sink_id string, url string, secret binary, source_filter string, schema_filter string, table_filter string, operation_filter string, enabled boolean, max_attempts int, retry_initial_ms long, retry_max_ms long"
-DEFAULTS = {"sinks": {"enabled": True, "max_attempts": 5, "retry_initial_ms": 1000, "retry_max_ms": 300_000}, "sources": {"status": "active"}, "groups": {"partitions": 1, "max_attempts": 5, "poison": "dlq"}}
+SINK = "sink_id string, url string, secret binary, source_filter string, schema_filter string, table_filter string, operation_filter string, enabled boolean, max_attempts int, retry_initial_ms long, retry_max_ms long, circuit_failures int, circuit_pause_ms long"
+DEFAULTS = {"sinks": {"enabled": True, "max_attempts": 5, "retry_initial_ms": 1000, "retry_max_ms": 300_000, "circuit_failures": 0, "circuit_pause_ms": 60_000}, "sources": {"status": "active"}, "groups": {"partitions": 1, "max_attempts": 5, "poison": "dlq"}}
 KINDS = tuple(DEFAULTS)
 
 

@@ -16,10 +16,12 @@ from walflow.operators import delivery, events as ev, ingest
 from walflow.operators.consumer import ConsumerGroup
 from walflow.operators.control import ControlStore
 from walflow.operators.cycle import Deliveries
+from walflow.operators.publish import EventLog
 from walflow.operators.registry import Registry
 from walflow.operators.replay import Replays
-from walflow.sources import scenarios
-from walflow.sources.commerce import activity_changes, changes, order_changes, table
+from walflow.sources import scenarios, wal
+from walflow.sources.commerce import activity_changes, changes, order_changes, order_messages, table
+from walflow.streaming.assembly import run_capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -415,14 +417,59 @@ def _answer(url: str, headers: dict[str, str], payload: str) -> tuple[int, str,
     return (500 if json.loads(payload)["table_name"] == "lineitem" else 200), "", None, False
 
 
-@query("delivery_cycle", "SELECT sequence_number, t.n AS attempt_number, CASE WHEN table_name = 'orders' THEN 'success' WHEN t.n = 1 THEN 'retryable' ELSE 'permanent_failure' END AS status FROM ev, (VALUES (CAST(1 AS INTEGER)), (2)) t(n) WHERE source_id = 'orders' AND commit_end_lsn = 10240 AND (table_name = 'lineitem' OR t.n = 1)")
+@query("delivery_cycle", """SELECT s.id AS sink_id, table_name, t.n AS attempt_number, count(*) AS attempts,
+    CASE WHEN s.id = 'gone' THEN 'permanent_failure' WHEN s.id = 'off' THEN 'pending' WHEN table_name = 'orders' THEN 'success' WHEN t.n = 1 THEN 'retryable' ELSE 'permanent_failure' END AS status
+    FROM ev, (VALUES (CAST(1 AS INTEGER)), (2)) t(n), (VALUES ('on'), ('gone'), ('off')) s(id)
+    WHERE source_id = 'orders' AND (s.id = 'on' OR operation <> 'insert') AND (t.n = 1 OR (s.id = 'on' AND table_name = 'lineitem')) GROUP BY ALL""")
 def _(spark, d):
-    events, folder = ingest.stored(order_changes(spark, d).filter("commit_end_lsn = 10240")), _folder(spark)
-    store = ControlStore(spark, f"{folder}/control")
+    folder = _folder(spark)
+    store, rows = ControlStore(spark, f"{folder}/control"), order_changes(spark, d)
+    log = EventLog(spark, f"{folder}/events", store, seconds=3600)
+    log.publish(rows, {"orders": rows.agg(F.max("commit_end_lsn")).first()[0]}, {}, "derived", 0, "catalog", log.claim("catalog"))
     registry = Registry(store)
-    registry.add("sinks", "s", url="memory:", secret="k", max_attempts=2, retry_initial_ms=1000, retry_max_ms=1000)
-    work = Deliveries(spark, folder, store)
+    for name, wanted in (("on", None), ("gone", "update, delete"), ("off", "update, delete")):
+        registry.add("sinks", name, url="memory:", secret="k", operation_filter=wanted, max_attempts=2, retry_initial_ms=1000, retry_max_ms=1000)
+    all_of = 10_000_000
+    work = Deliveries(spark, f"{folder}/deliveries", store, log, enqueued=all_of, most=all_of)
+    work.enqueue(registry.sinks(), "catalog")
+    registry.update("sinks", "off", enabled=False)
+    sinks = registry.sinks().filter("sink_id <> 'gone'")
     for minute in range(10):
-        if not work.tick(events, registry.sinks(), _answer, f"2024-01-01 00:0{minute}:00"):
+        if not work.tick(sinks, _answer, f"2024-01-01 00:0{minute}:00", "catalog", work.slots):
             break
-    return work.attempts().join(events.select(F.col("id").alias("event_id"), "sequence_number"), "event_id").select("sequence_number", "attempt_number", "status")
+    names = log.read().select(F.col("id").alias("event_id"), "table_name")
+    return work.attempts().join(names, "event_id").groupBy("sink_id", "table_name", "attempt_number", "status").agg(F.count(F.lit(1)).alias("attempts"))
+
+
+_FAILED = "e.value < 80"
+
+
+@query("circuit_states", f"""WITH h AS (SELECT CAST(user_id % 40 AS VARCHAR) AS sink_id, ts, event_id, NOT ({_FAILED}) AS good FROM events e),
+    l AS (SELECT sink_id, max(event_id) FILTER (WHERE good) AS last, max(ts) AS at FROM h GROUP BY sink_id),
+    c AS (SELECT sink_id, count(*) FILTER (WHERE NOT good AND (last IS NULL OR event_id > last)) AS failures, any_value(at) AS at FROM h JOIN l USING (sink_id) GROUP BY sink_id)
+    SELECT sink_id, failures, CASE WHEN failures < 3 THEN 'closed' WHEN epoch_ms(TIMESTAMP '2024-01-30 23:59:00') - epoch_ms(at) < 600000 THEN 'open' ELSE 'half_open' END AS state FROM c""")
+def _(spark, d):
+    failed = F.expr(_FAILED.replace("e.", ""))
+    history = table(spark, d, "events").select((F.col("user_id") % 40).cast("string").alias("sink_id"), F.when(failed, "retryable").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"), F.col("event_id").alias("attempt_number"))
+    return delivery.circuit_states(history, 3, 600_000, "2024-01-30 23:59:00")
+
+
+_RELATION = """substring(sha256('public' || '{}' || {}), 1, 32)"""
+_ORDER_COLUMNS = "'o_orderkey:20:false:1;o_custkey:20:true:2;o_orderstatus:1043:true:3;o_totalprice:701:true:4;o_orderdate:1114:true:5;{}:1043:true:6;'"
+_ITEM_COLUMNS = "'l_orderkey:20:false:1;l_partkey:20:true:2;l_suppkey:20:true:3;l_linenumber:23:false:4;l_quantity:701:true:5;l_extendedprice:701:true:6;l_discount:701:true:7;l_tax:701:true:8;l_returnflag:1043:true:9;l_linestatus:1043:true:10;l_shipdate:1114:true:11;'"
+
+
+@query("stream_capture", f"""SELECT table_name, operation, relation_fingerprint, count(*) AS n, CAST(sum(commit_end_lsn) AS BIGINT) AS positions, CAST(sum(sequence_number) AS BIGINT) AS places, CAST(sum(length(key_text)) AS BIGINT) AS key_letters FROM (
+    SELECT *, CASE WHEN table_name = 'lineitem' THEN {_RELATION.format("lineitem", _ITEM_COLUMNS)} WHEN xid >= 2 * ((SELECT max(o_orderkey) FROM orders) // 2 + 1) THEN {_RELATION.format("orders", _ORDER_COLUMNS.format("o_priority"))}
+        ELSE {_RELATION.format("orders", _ORDER_COLUMNS.format("o_orderpriority"))} END AS relation_fingerprint FROM ev WHERE source_id = 'orders') GROUP BY ALL""")
+def _(spark, d):
+    """The order log as files, streamed in two parts, the second by another owner from the same checkpoint, with a relation that changes on the way."""
+    folder, messages = _folder(spark), order_messages(spark, d)
+    log = EventLog(spark, f"{folder}/events", ControlStore(spark, f"{folder}/control"), seconds=3600)
+    cut = messages.agg(F.max("pos")).first()[0] // 2
+    for part, owner in ((messages.filter(F.col("pos") <= cut), "first"), (messages.filter(F.col("pos") > cut), "second")):
+        wal.write_log(part, f"{folder}/log", 8)
+        run_capture(spark, wal.read_stream(spark, f"{folder}/log"), log, f"{folder}/checkpoint", owner).awaitTermination()
+        log.release()
+    counted = log.read().withColumn("key_text", exprs.normalized_key("key_columns")).groupBy("table_name", "operation", "relation_fingerprint")
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("commit_end_lsn").alias("positions"), F.sum("sequence_number").alias("places"), F.sum(F.length("key_text")).alias("key_letters"))
