@@ -445,9 +445,9 @@ _FAILED = "e.value < 80"
 
 
 @query("circuit_states", f"""WITH h AS (SELECT CAST(user_id % 40 AS VARCHAR) AS sink_id, ts, event_id, NOT ({_FAILED}) AS good FROM events e),
-    l AS (SELECT sink_id, max(event_id) FILTER (WHERE good) AS last, max(ts) AS at FROM h GROUP BY sink_id),
-    c AS (SELECT sink_id, count(*) FILTER (WHERE NOT good AND (last IS NULL OR event_id > last)) AS failures, any_value(at) AS at FROM h JOIN l USING (sink_id) GROUP BY sink_id)
-    SELECT sink_id, failures, CASE WHEN failures < 3 THEN 'closed' WHEN epoch_ms(TIMESTAMP '2024-01-30 23:59:00') - epoch_ms(at) < 600000 THEN 'open' ELSE 'half_open' END AS state FROM c""")
+    l AS (SELECT sink_id, max(event_id) FILTER (WHERE good) AS good_id, max(ts) AS ended FROM h GROUP BY sink_id),
+    c AS (SELECT sink_id, count(*) FILTER (WHERE NOT good AND (good_id IS NULL OR event_id > good_id)) AS failures, any_value(ended) AS ended FROM h JOIN l USING (sink_id) GROUP BY sink_id)
+    SELECT sink_id, failures, CASE WHEN failures < 3 THEN 'closed' WHEN epoch_ms(TIMESTAMP '2024-01-30 23:59:00') - epoch_ms(ended) < 600000 THEN 'open' ELSE 'half_open' END AS state FROM c""", plain=True)
 def _(spark, d):
     failed = F.expr(_FAILED.replace("e.", ""))
     history = table(spark, d, "events").select((F.col("user_id") % 40).cast("string").alias("sink_id"), F.when(failed, "retryable").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"), F.col("event_id").alias("attempt_number"))
