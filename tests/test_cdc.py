@@ -4,6 +4,7 @@ import http.server
 import json
 import os
 import threading
+import time
 
 import duckdb
 import pytest
@@ -218,7 +219,9 @@ def test_fenced_consumer_and_ingestion(spark, tmp_path):
 
 def test_registry_and_seek(spark, tmp_path):
     store = ControlStore(spark, f"file://{tmp_path}/c")
-    r = Registry(store)
+    with pytest.raises(ValueError):
+        Registry(store).add("sinks", "s", url="https://example.com", secret="hidden")
+    r = Registry(store, {"old": b"o" * 32}, "old")
     r.add("sinks", "s", url="https://example.com", secret="hidden")
     r.add("sources", "orders", dsn="hidden")
     with pytest.raises(ValueError):
@@ -286,3 +289,113 @@ def test_replay_goes_on(spark, tmp_path, monkeypatch):
     first = len(sent)
     assert 0 < first < events.count() and r.get("x")["events_processed"] == first
     assert r.run("x", events, send) == events.count() - first and len(sent) == len(set(sent)) == events.count() and r.get("x")["status"] == "completed"
+
+
+def test_sealed_registry(spark, tmp_path):
+    store = ControlStore(spark, f"file://{tmp_path}/c")
+    one_key = Registry(store, {"old": b"o" * 32}, "old")
+    one_key.add("sinks", "a", url="u", secret="clear-text")
+    one_key.add("sources", "db", dsn="postgres://clear-text")
+    files = lambda: "".join(open(f"{tmp_path}/c/{n}", "rb").read().decode("latin-1") for n in os.listdir(f"{tmp_path}/c") if ".v." in n)
+    assert "clear-text" not in files() and "clear-text" not in str(one_key.get("sources", "db")) and "dsn" not in one_key.list("sources")[0]
+    both = Registry(store, {"old": b"o" * 32, "new": b"n" * 32}, "new")
+    assert both.reveal("sources", "db", "dsn") == b"postgres://clear-text" and both.reveal("sources", "x", "dsn") is None
+    assert both.rotate() == 2 and both.rotate() == 0
+    after = Registry(store, {"new": b"n" * 32}, "new")
+    assert after.reveal("sources", "db", "dsn") == b"postgres://clear-text" and after.sinks().first()["secret"] == b"clear-text"
+    assert one_key.reveal("sources", "db", "dsn") is None and one_key.sinks().first()["secret"] is None
+    store.change("sinks", lambda rows: rows.update(b=dict(rows["a"])))
+    assert after.reveal("sinks", "b", "secret") is None, "an envelope opens under its own name alone"
+    assert after.remove("sinks", "a") and not after.remove("sinks", "a") and "clear-text" not in files()
+
+
+def test_passed_over_writer(spark, tmp_path, monkeypatch):
+    """A writer that finishes while its successor's file is still empty does not lose its rows, whether that successor finishes or not."""
+    for finishes in (True, False):
+        store = ControlStore(spark, f"file://{tmp_path}/{finishes}", grace=1.0)
+        store.change("t", lambda rows: rows.update(n=1))
+        folder, steps = f"{tmp_path}/{finishes}", []
+
+        def successor():
+            open(f"{folder}/t.v.3", "w").close()
+
+        def finish():
+            time.sleep(0.3)
+            with open(f"{folder}/t.v.3", "w") as f:
+                f.write(json.dumps({"base": 1, "rows": {"n": 1, "other": 1}}) + "\n")
+
+        def step(rows):
+            if not steps:
+                successor()
+                if finishes:
+                    threading.Thread(target=finish).start()
+            steps.append(1)
+            rows["n"] += 1
+
+        store.change("t", step)
+        assert store.read("t")[1] == ({"n": 2, "other": 1} if finishes else {"n": 2})
+        assert len(steps) == (2 if finishes else 1)
+        if not finishes:
+            finish()
+            assert store.read("t")[1] == {"n": 2}, "a dead writer that comes back replaces nothing"
+
+
+def test_replay_names(spark, tmp_path):
+    r = Replays(ControlStore(spark, f"file://{tmp_path}/c"))
+    r.create("x", destination="jsonl", path="p")
+    with pytest.raises(ValueError):
+        r.create("x", destination="jsonl", path="q")
+    assert r.get("x")["path"] == "p"
+
+
+def test_seek_again(spark, tmp_path):
+    """A seek that broke off may run again; two at a time may not."""
+    store = ControlStore(spark, f"file://{tmp_path}/c")
+    r, events = Replays(store), stored(order_changes(spark, SF).filter("commit_end_lsn <= 20480"))
+    group = ConsumerGroup(store, "g", "orders", 2)
+    r.create("x", start={"lsn": 5120}, destination="consumer")
+    seek, group.seek = group.seek, lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        r.seek("x", events, group, "m")
+    group.seek = seek
+    held = r.leases.claim("x", "other")
+    with pytest.raises(Fenced):
+        r.seek("x", events, group, "m")
+    r.leases.release("x", "other", held)
+    assert r.seek("x", events, group, "m") == 2 and r.get("x")["status"] == "completed"
+
+
+def test_fenced_nack_leaves_no_letter(spark, tmp_path, monkeypatch):
+    now = [0.0]
+    store = ControlStore(spark, f"file://{tmp_path}/c", clock=lambda: now[0])
+    events = stored(order_changes(spark, SF).filter("commit_end_lsn <= 4096"))
+    group = ConsumerGroup(store, "g", "orders", 1, max_attempts=1)
+    b = group.poll(events, "m", 2)
+    now[0] = 1000
+    group.poll(events, "other", 2)
+    with pytest.raises(Fenced):
+        group.nack(b.partition, "m", b.generation, b.issued[0])
+    assert group.dead_letters() == []
+    again = group.poll(events, "other", 2)
+    monkeypatch.setattr(group, "_note", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        group.nack(again.partition, "other", again.generation, again.issued[0])
+    monkeypatch.undo()
+    assert [d["event_id"] for d in group.dead_letters()] == [again.issued[0]], "a letter waits until it is stored"
+
+
+def test_relations_of_two_sources(spark):
+    from walflow.operators.events import as_of_relation
+
+    rows = spark.createDataFrame([("a", 1, 10), ("b", 1, 10), ("b", 1, 3)], "source_id string, oid long, pos long")
+    relations = spark.createDataFrame([("a", 1, 5, "fa"), ("b", 1, 4, "fb")], "source_id string, oid long, pos long, fingerprint string")
+    assert {tuple(r) for r in as_of_relation(rows, relations).collect()} == {("a", 1, 10, "fa"), ("b", 1, 10, "fb"), ("b", 1, 3, None)}
+    bad = spark.createDataFrame([("relation", "nothing"), ("relation", "full"), ("insert", "nothing")], "kind string, replica_identity string")
+    assert wal.validated_identity(bad).count() == 1
+
+
+def test_first_batch_of_two_versions(spark, tmp_path):
+    events = order_changes(spark, SF).filter("commit_end_lsn <= 2048")
+    with pytest.raises(HashMismatch):
+        ingest(spark, events.unionByName(events.withColumn("operation", F.lit("delete"))), f"file://{tmp_path}/s")
+    assert ingest(spark, events.unionByName(events), f"file://{tmp_path}/s") == events.count()

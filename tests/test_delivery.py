@@ -22,7 +22,7 @@ class World:
         self.generation, self.batch = self.log.claim("capture"), -1
         self.upto = 0
         self.publish(upto)
-        self.registry = Registry(self.store)
+        self.registry = Registry(self.store, {"k1": b"1" * 32}, "k1")
         self.work = self.worker(**given)
 
     def worker(self, **given):

@@ -130,13 +130,13 @@ RELATIONS_BROADCAST = 100_000
 
 
 def as_of_relation(rows: DataFrame, relations: DataFrame) -> DataFrame:
-    """rows (oid, pos, ...) with the fingerprint of the latest relation (oid, pos, fingerprint) at or before them, null if there is none.
+    """rows (source_id, oid, pos, ...) with the fingerprint of the source's latest relation (source_id, oid, pos, fingerprint) at or before them, null if there is none.
 
     Relations become intervals, each up to the next of its oid; relations are few, and so only they are sorted. Rows meet the intervals where they are, if these
     are at most RELATIONS_BROADCAST, and else by a join on oid, which adaptive execution splits for a hot relation; no task holds a relation's history.
     """
-    w = Window.partitionBy("oid").orderBy("pos")
-    spans = relations.dropDuplicates(["oid", "pos"]).select(F.col("oid").alias("_oid"), F.col("pos").alias("_from"), F.lead("pos").over(w).alias("_to"), F.col("fingerprint").alias("relation_fingerprint"))
+    w = Window.partitionBy("source_id", "oid").orderBy("pos")
+    spans = relations.dropDuplicates(["source_id", "oid", "pos"]).select(F.col("source_id").alias("_source"), F.col("oid").alias("_oid"), F.col("pos").alias("_from"), F.lead("pos").over(w).alias("_to"), F.col("fingerprint").alias("relation_fingerprint"))
     few = relations.limit(RELATIONS_BROADCAST + 1).count() <= RELATIONS_BROADCAST
-    inside = (F.col("oid") == F.col("_oid")) & (F.col("pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("pos") < F.col("_to")))
-    return rows.join(F.broadcast(spans) if few else spans, inside, "left").drop("_oid", "_from", "_to")
+    inside = (F.col("source_id") == F.col("_source")) & (F.col("oid") == F.col("_oid")) & (F.col("pos") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("pos") < F.col("_to")))
+    return rows.join(F.broadcast(spans) if few else spans, inside, "left").drop("_source", "_oid", "_from", "_to")

@@ -25,8 +25,14 @@ class Replays:
         self.store, self.leases = store, Leases(store, "replay-leases", 600)
 
     def create(self, name: str, **session: object) -> None:
-        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path), consumer (group, see seek()), or callback."""
-        self.store.change("replays", lambda s: s.update({name: dict(session) | {"status": "pending", "created_at": self.store.clock(), "last_lsn": None, "events_processed": 0}}))
+        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path), consumer (group, see seek()), or callback. ValueError if the name is taken."""
+
+        def step(s: dict) -> None:
+            if name in s:
+                raise ValueError(f"{name} exists")
+            s[name] = dict(session) | {"status": "pending", "created_at": self.store.clock(), "last_lsn": None, "events_processed": 0}
+
+        self.store.change("replays", step)
 
     def get(self, name: str) -> dict:
         return self.store.read("replays")[1][name]
@@ -50,13 +56,23 @@ class Replays:
     def seek(self, name: str, events: DataFrame, group: ConsumerGroup, member: str) -> int:
         """Runs a session whose destination is a group: its partitions go back to just before the first event of the range. Returns how many were moved.
 
-        Partitions that another member holds are left alone, and the session then fails; it may be run again.
+        Partitions that another member holds are left alone, and the session then fails; it may be run again, as may one that was broken off. It runs under a lease,
+        so a second caller gets Fenced while the first one works.
         """
+        lease = self.leases.claim(name, member)
+        if lease is None:
+            raise Fenced(f"{name} is being run")
+        try:
+            return self._seek(name, events, group, member)
+        finally:
+            self.leases.release(name, member, lease)
+
+    def _seek(self, name: str, events: DataFrame, group: ConsumerGroup, member: str) -> int:
         s = self.get(name)
         rows = replay_range(events, s.get("start"), s.get("end"), s.get("schema_filter"), s.get("table_filter"), s.get("operation_filter"), group.source_id)
         place = partition_of("key_hash", group.partitions).alias("partition")
         firsts = rows.groupBy(place).agg(F.min(F.struct("commit_end_lsn", "sequence_number")).alias("at")).collect()  # a row a partition
-        if not self._move(name, ("pending", "failed"), status="running"):
+        if not self._move(name, ("pending", "running", "failed"), status="running"):
             raise ValueError(f"{name} is {self.get(name)['status']}")
         held = {r["partition"]: group.leases.claim(f"lease/{r['partition']}", member) for r in firsts}
         for r in firsts:

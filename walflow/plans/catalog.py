@@ -180,11 +180,19 @@ def _(spark, d):
     return ingest.mismatches(again, once).agg(F.count(F.lit(1)).alias("unstable"))
 
 
-@query("relation_asof", "SELECT xid AS oid_row, (SELECT max(v) FROM (VALUES (0, 'v0'), (200000, 'v1'), (900000, 'v2')) r(p, v) WHERE p <= commit_end_lsn) AS relation_fingerprint FROM ev WHERE source_id = 'orders' AND table_name = 'orders'")
+_RELATION = """substring(sha256('public' || '{}' || {}), 1, 32)"""
+_ORDER_COLUMNS = "'o_orderkey:20:false:1;o_custkey:20:true:2;o_orderstatus:1043:true:3;o_totalprice:701:true:4;o_orderdate:1114:true:5;{}:1043:true:6;'"
+_ITEM_COLUMNS = "'l_orderkey:20:false:1;l_partkey:20:true:2;l_suppkey:20:true:3;l_linenumber:23:false:4;l_quantity:701:true:5;l_extendedprice:701:true:6;l_discount:701:true:7;l_tax:701:true:8;l_returnflag:1043:true:9;l_linestatus:1043:true:10;l_shipdate:1114:true:11;'"
+
+
+@query("relation_asof", f"""SELECT xid, sequence_number, table_name AS relation, CASE WHEN table_name = 'lineitem' THEN {_RELATION.format("lineitem", _ITEM_COLUMNS)}
+    WHEN xid >= 2 * ((SELECT max(o_orderkey) FROM orders) // 2 + 1) THEN {_RELATION.format("orders", _ORDER_COLUMNS.format("o_priority"))} ELSE {_RELATION.format("orders", _ORDER_COLUMNS.format("o_orderpriority"))} END AS relation_fingerprint
+    FROM ev WHERE source_id = 'orders'""")
 def _(spark, d):
-    rows = order_changes(spark, d).filter("table_name = 'orders'").select(F.lit(1).alias("oid"), F.col("commit_end_lsn").alias("pos"), F.col("xid").alias("oid_row"))
-    relations = spark.createDataFrame([(1, 0, "v0"), (1, 200000, "v1"), (1, 900000, "v2")], "oid int, pos long, fingerprint string")
-    return ev.as_of_relation(rows, relations).select("oid_row", "relation_fingerprint")
+    log = order_messages(spark, d)
+    relations = log.filter("kind = 'relation'").select("source_id", "oid", "pos", exprs.relation_fingerprint("schema_name", "table_name", "columns").alias("fingerprint"))
+    rows = log.filter("kind in ('insert', 'update', 'delete')")
+    return ev.as_of_relation(rows, relations).select("xid", (F.col("pos") - 64 * F.col("xid")).cast("int").alias("sequence_number"), F.when(F.col("oid") == 1, "orders").otherwise("lineitem").alias("relation"), "relation_fingerprint")
 
 
 @query("relation_fingerprint", "SELECT n_nationkey, substr(sha256('public' || n_name || 'id:20:false:1;' || 'note:25:true:2;'), 1, 32) AS fingerprint FROM nation", plain=True)
@@ -426,7 +434,7 @@ def _(spark, d):
     store, rows = ControlStore(spark, f"{folder}/control"), order_changes(spark, d)
     log = EventLog(spark, f"{folder}/events", store, seconds=3600)
     log.publish(rows, {"orders": rows.agg(F.max("commit_end_lsn")).first()[0]}, {}, "derived", 0, "catalog", log.claim("catalog"))
-    registry = Registry(store)
+    registry = Registry(store, {"main": bytes(range(32))}, "main")
     for name, wanted in (("on", None), ("gone", "update, delete"), ("off", "update, delete")):
         registry.add("sinks", name, url="memory:", secret="k", operation_filter=wanted, max_attempts=2, retry_initial_ms=1000, retry_max_ms=1000)
     all_of = 10_000_000
@@ -454,11 +462,6 @@ def _(spark, d):
     return delivery.circuit_states(history, 3, 600_000, "2024-01-30 23:59:00")
 
 
-_RELATION = """substring(sha256('public' || '{}' || {}), 1, 32)"""
-_ORDER_COLUMNS = "'o_orderkey:20:false:1;o_custkey:20:true:2;o_orderstatus:1043:true:3;o_totalprice:701:true:4;o_orderdate:1114:true:5;{}:1043:true:6;'"
-_ITEM_COLUMNS = "'l_orderkey:20:false:1;l_partkey:20:true:2;l_suppkey:20:true:3;l_linenumber:23:false:4;l_quantity:701:true:5;l_extendedprice:701:true:6;l_discount:701:true:7;l_tax:701:true:8;l_returnflag:1043:true:9;l_linestatus:1043:true:10;l_shipdate:1114:true:11;'"
-
-
 @query("stream_capture", f"""SELECT table_name, operation, relation_fingerprint, count(*) AS n, CAST(sum(commit_end_lsn) AS BIGINT) AS positions, CAST(sum(sequence_number) AS BIGINT) AS places, CAST(sum(length(key_text)) AS BIGINT) AS key_letters FROM (
     SELECT *, CASE WHEN table_name = 'lineitem' THEN {_RELATION.format("lineitem", _ITEM_COLUMNS)} WHEN xid >= 2 * ((SELECT max(o_orderkey) FROM orders) // 2 + 1) THEN {_RELATION.format("orders", _ORDER_COLUMNS.format("o_priority"))}
         ELSE {_RELATION.format("orders", _ORDER_COLUMNS.format("o_orderpriority"))} END AS relation_fingerprint FROM ev WHERE source_id = 'orders') GROUP BY ALL""")
