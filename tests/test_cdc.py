@@ -399,3 +399,35 @@ def test_first_batch_of_two_versions(spark, tmp_path):
     with pytest.raises(HashMismatch):
         ingest(spark, events.unionByName(events.withColumn("operation", F.lit("delete"))), f"file://{tmp_path}/s")
     assert ingest(spark, events.unionByName(events), f"file://{tmp_path}/s") == events.count()
+
+
+def test_replay_to_webhook(spark, tmp_path, monkeypatch):
+    from walflow.operators import replay
+
+    monkeypatch.setattr(replay, "SLICE", 7)
+    monkeypatch.setattr(replay, "WAVE", 3)
+    store, log = ControlStore(spark, f"file://{tmp_path}/c"), f"{tmp_path}/posted.log"
+    registry = Registry(store, {"k": b"k" * 32}, "k")
+    registry.add("sinks", "s", url="http://x", secret="key")
+    events = stored(order_changes(spark, SF).filter("commit_end_lsn <= 20480"))
+    r = Replays(store)
+    r.create("again", end={"lsn": 18432}, destination="webhook", sink="s", path=f"file://{tmp_path}/results")
+    r.create("lost", destination="webhook", sink="none", path=f"file://{tmp_path}/other")
+    r.create("lines", destination="jsonl", path=f"file://{tmp_path}/lines")
+
+    def answer(url, headers, payload):
+        with open(log, "a") as f:
+            f.write(f"{headers['Idempotency-Key']} {headers['X-Signature'][:7]}\n")
+        return (200 if json.loads(payload)["table_name"] == "orders" else 410), "", None, False
+
+    n = r.run("again", events, sinks=registry.sinks(), transport=answer)
+    wanted = events.filter("commit_end_lsn <= 18432")
+    sent = open(log).read().split("\n")[:-1]
+    assert n == wanted.count() == len(sent) == len(set(sent)) > 21 and all(x.startswith("replay-again:") and x.endswith("sha256=") for x in sent)
+    bad = wanted.filter("table_name <> 'orders'").count()
+    results = spark.read.parquet(f"{tmp_path}/results")
+    assert r.get("again")["failed"] == bad == results.filter("status = 'permanent_failure'").count() and r.get("again")["status"] == "completed" and results.count() == n
+    with pytest.raises(ValueError):
+        r.run("lost", events, sinks=registry.sinks(), transport=answer)
+    assert r.run("lines", events) == events.count() == spark.read.text(f"{tmp_path}/lines").distinct().count() and r.get("lines")["last_lsn"] == events.agg(F.max("commit_end_lsn")).first()[0]
+    assert replay.as_text(events).filter("line like '%public.orders insert {%}'").count() == events.filter("operation = 'insert' and table_name = 'orders'").count()

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from walflow.functions.exprs import format_lsn, partition_of
+from walflow.functions.exprs import format_lsn, outcome, partition_of
 from walflow.operators.consumer import ConsumerGroup
 from walflow.operators.control import ControlStore, Fenced, Leases
-from walflow.operators.delivery import body
+from walflow.operators.delivery import Transport, body, http_transport
+from walflow.operators.delivery import sent as posted
 from walflow.operators.events import replay_range
 
 
 SLICE = 100_000  # events
+WAVE = 16  # slices that are sent together, a task each
 
 
 class Replays:
@@ -25,7 +28,7 @@ class Replays:
         self.store, self.leases = store, Leases(store, "replay-leases", 600)
 
     def create(self, name: str, **session: object) -> None:
-        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path), consumer (group, see seek()), or callback. ValueError if the name is taken."""
+        """start, end, source_id, schema_filter, table_filter, operation_filter; destination jsonl (path), webhook (sink, and path for the results), consumer (group, see seek()), or callback. ValueError if the name is taken."""
 
         def step(s: dict) -> None:
             if name in s:
@@ -82,13 +85,14 @@ class Replays:
         self._move(name, ("running",), status="failed" if None in held.values() else "completed")
         return sum(g is not None for g in held.values())
 
-    def run(self, name: str, events: DataFrame, send: Callable[[DataFrame], None] | None = None, owner: str | None = None) -> int:
+    def run(self, name: str, events: DataFrame, send: Callable[[DataFrame], None] | None = None, owner: str | None = None, sinks: DataFrame | None = None, transport: Transport = http_transport) -> int:
         """Runs a pending session, or goes on with one that was broken off. Returns the number of events sent by this call.
 
         A session runs under a lease, so a second caller gets Fenced while the first one works.
 
-        Events go source by source, in slices of whole positions of about SLICE events; after each slice its source's position is stored in `sent`, and a
-        later run starts behind it. The slice that was broken off is sent again.
+        Events go source by source, in slices of whole positions of about SLICE events, WAVE of them at once, and each event's row is read once; after each wave its
+        source's position is stored in `sent`, and a later run starts behind it. The wave that was broken off is sent again. A webhook's results are kept at the
+        session's path (event_id, http_status, error, status, ...) and the events that it did not take are counted in `failed`; receivers tell a repeated one by its idempotency key.
         """
         owner = owner or uuid.uuid4().hex
         generation = self.leases.claim(name, owner)
@@ -102,20 +106,22 @@ class Replays:
         for source, lsn in s.get("sent", {}).items():
             rows = rows.filter((F.col("source_id") != source) | (F.col("commit_end_lsn") > lsn))
         try:
-            if send is None and s.get("destination") != "jsonl":
+            if send is None and s.get("destination") not in ("jsonl", "webhook"):
                 raise ValueError("a destination is needed")
-            for source, low, high in self._slices(rows):
-                part = rows.filter((F.col("source_id") == source) & (F.col("commit_end_lsn") <= high) & (F.lit(low is None) | (F.col("commit_end_lsn") > low)))
+            for source, low, ends in self._waves(rows, 1 if send is not None else WAVE):
+                part = rows.filter((F.col("source_id") == source) & (F.col("commit_end_lsn") <= ends[-1]) & (F.lit(low is None) | (F.col("commit_end_lsn") > low)))
                 if not self.leases.heartbeat(name, owner, generation):
                     raise Fenced(f"{name} was taken over")
+                failed = 0
                 if send is not None:
                     send(part)
+                    n = part.count()
                 else:
-                    part.orderBy("commit_end_lsn", "sequence_number").select(body().alias("value")).write.mode("append").text(s["path"])
-                n = part.count()
+                    n, failed = self._sent(name, s, part, ends, sinks, transport)
                 total += n
                 now = self.get(name)
-                if not self._move(name, ("running",), sent=now.get("sent", {}) | {source: high}, last_lsn=max(high, now["last_lsn"] or high), events_processed=now["events_processed"] + n):
+                after = {"sent": now.get("sent", {}) | {source: ends[-1]}, "last_lsn": max(ends[-1], now["last_lsn"] or ends[-1])}
+                if not self._move(name, ("running",), **after, events_processed=now["events_processed"] + n, failed=now.get("failed", 0) + failed):
                     return total  # cancelled
         except Exception as e:
             self._move(name, ("running",), status="failed", error=str(e)[:500])
@@ -125,6 +131,34 @@ class Replays:
         self._move(name, ("running",), status="completed")
         return total
 
+    def _sent(self, name: str, session: dict, part: DataFrame, ends: list[int], sinks: DataFrame | None, transport: Transport) -> tuple[int, int]:
+        """Writes or posts the slices of a wave, a task each and in order within; returns how many events there were, and how many a webhook did not take."""
+        of = reduce(lambda c, i: F.when(F.col("commit_end_lsn") <= ends[i], i).otherwise(c), range(len(ends) - 1, -1, -1), F.lit(len(ends)))
+        placed = part.withColumn("_slice", of).repartition(len(ends), "_slice").sortWithinPartitions("_slice", "commit_end_lsn", "sequence_number")
+        seen = Observation()
+        if session["destination"] == "jsonl":
+            placed.observe(seen, F.count(F.lit(1)).alias("n")).select(body().alias("value")).write.mode("append").text(session["path"])
+            return seen.get["n"], 0
+        sink = sinks.filter(F.col("sink_id") == session["sink"]).select("url", "secret").head(1) if sinks is not None else None
+        if not sink:
+            raise ValueError(f"no sink {session.get('sink')}")
+        at = int(self.store.clock())
+        work = placed.withColumns({"url": F.lit(sink[0]["url"]), "secret": F.lit(sink[0]["secret"]), "attempt_number": F.lit(1), "idempotency_key": F.concat_ws(":", F.lit(f"replay-{name}"), F.lower(F.hex("id")))})
+        results = posted(work, transport, at, ["id", "source_id", "commit_end_lsn", "sequence_number"]).withColumnRenamed("id", "event_id").withColumn("status", outcome("http_status", F.lit(1), F.lit(1)))
+        counts = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "success").alias("failed")]
+        results.observe(seen, *counts).write.mode("append").parquet(session["path"])
+        return seen.get["n"], seen.get["failed"]
+
+    def _waves(self, rows: DataFrame, most: int) -> list[tuple[str, int | None, list[int]]]:
+        """source_id, position before, and the last positions of up to `most` slices in a row of that source."""
+        out: list[tuple[str, int | None, list[int]]] = []
+        for source, low, high in self._slices(rows):
+            if out and out[-1][0] == source and len(out[-1][2]) < most:
+                out[-1][2].append(high)
+            else:
+                out.append((source, low, [high]))
+        return out
+
     def _slices(self, rows: DataFrame) -> list[tuple[str, int | None, int]]:
         """source_id, position before and last position of each slice, in order."""
         held = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max("commit_end_lsn").alias("end")).orderBy("source_id").collect()  # a row a source
