@@ -82,24 +82,27 @@ def license_scan(docs: DataFrame) -> DataFrame:
     each. Empty tables give empty results; other columns are not read.
     """
     words = F.filter(F.split(lower_az(F.col("text")), NOT_WORD, -1), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).withColumn("uid", F.monotonically_increasing_id())
-    grams = rows.select("uid", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice(F.col("words"), F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("at", "g"))
-    grams = grams.select("uid", "at", F.col("g.a").alias("w1"), F.col("g.b").alias("w2"))
-    votes = grams.join(F.broadcast(templates(docs.sparkSession)), ["w1", "w2"]).groupBy("uid", "label", "base", "grams", "must", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
-    whole = votes.filter("base and bit_count(places) = grams").groupBy("uid").agg(F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
-    w = Window.partitionBy("uid", "label").orderBy("diagonal")
+    # rows are known by their content, which is the same however often they are read; rows alike in both have the same result
+    key = [F.xxhash64(F.lit(k), F.col("doc_id").cast("long"), F.col("text")).alias(f"k{k}") for k in (1, 2)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, words.alias("words"))
+    uid = ["k1", "k2"]
+    grams = rows.select(*uid, F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice(F.col("words"), F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("at", "g"))
+    grams = grams.select(*uid, "at", F.col("g.a").alias("w1"), F.col("g.b").alias("w2"))
+    votes = grams.join(F.broadcast(templates(docs.sparkSession)), ["w1", "w2"]).groupBy(*uid, "label", "base", "grams", "must", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
+    whole = votes.filter("base and bit_count(places) = grams").groupBy(*uid).agg(F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
+    w = Window.partitionBy(*uid, "label").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > NEIGHBOURS, F.lit(True)).cast("int")
     spans = votes.filter("not base").withColumn("apart", apart).withColumn("span", F.sum("apart").over(w))
-    spans = spans.groupBy("uid", "label", "grams", "must", "span").agg(F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("found"))
+    spans = spans.groupBy(*uid, "label", "grams", "must", "span").agg(F.bit_or("places").alias("places"), F.collect_list(F.struct("diagonal", "places")).alias("found"))
     likely = spans.filter((F.bit_count("places") >= ENOUGH * F.col("grams")) & (F.col("places").bitwiseAND(F.col("must")) == F.col("must")))
     chains = likely.withColumn("weight", heaviest_chain()).withColumn("share", (F.col("weight") % HEAVY) / F.col("grams"))
     spans = chains.filter((F.floor(F.col("weight") / HEAVY) >= F.bit_count("must")) & (F.col("share") >= ENOUGH))
-    own = spans.groupBy("uid").agg(F.collect_set("label").alias("own_set"), F.max("share").alias("share"))
-    found = whole.join(own, "uid", "full_outer")
+    own = spans.groupBy(*uid).agg(F.collect_set("label").alias("own_set"), F.max("share").alias("share"))
+    found = whole.join(own, uid, "full_outer")
     none = F.array().cast("array<string>")
     base, more = F.coalesce("base_set", none), F.coalesce("own_set", none)
     return (
-        rows.select("doc_id", "uid", F.size("words").cast("long").alias("n_words")).join(found, "uid", "left")
+        rows.select("doc_id", *uid, F.size("words").cast("long").alias("n_words")).join(found, uid, "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
             F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
