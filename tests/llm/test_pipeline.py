@@ -190,8 +190,6 @@ def test_resampling_by_hand(spark):
     """Log weights, counts and the drawn set against sums in plain Python over the operator's own features."""
     import random
 
-    import xxhash
-
     from walflow.llm.importance import BUCKETS, FOLDS, PRIOR, SMOOTHING, WHOLE, ngrams
 
     r = random.Random(14)
@@ -215,13 +213,13 @@ def test_resampling_by_hand(spark):
     target = [g + PRIOR * x / n for g, x in zip(good, raw, strict=True)]
     ratio = np.log(np.array(target) / (total + PRIOR)) - np.log(np.array(raw) / n)
     weight = [float(sum(ratio[b] for b in g)) for g in grams]
-    key = [w - np.log(-np.log((xxhash.xxh64_intdigest(f"1:{'nan' if i is None else i}:{t or ''}".encode()) + 0.5) / 2.0**64)) for w, (i, t) in zip(weight, rows, strict=True)]
+    hashed = {(r[0], r[1]): r[2] % 2**64 for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(1, doc_id is null, doc_id, coalesce(text, ''))").collect()}
+    key = [w - np.log(-np.log((hashed[x] + 0.5) / 2.0**64)) for w, x in zip(weight, rows, strict=True)]
     drawn = {(i, round(w, 6)) for w, (i, _) in zip(weight, rows, strict=True)} & set(got)
     assert len(drawn) == len(got) and FOLDS > 1
     least = min(x["sampling_key"] for x in got.values())
     for w, k, (i, _) in zip(weight, key, rows, strict=True):
-        if i is not None:
-            assert (k >= least - 1e-4) == ((i, round(w, 6)) in got)
+        assert (k >= least - 1e-4) == ((i, round(w, 6)) in got)
 
 
 def test_pipeline(spark, odd, tmp_path):
