@@ -67,13 +67,18 @@ def replay_range(events: DataFrame, start: dict | None = None, end: dict | None
     return out
 
 
+def lag_text() -> Column:
+    """lag_seconds with one decimal; n/a where there are no events."""
+    return F.when(F.col("lag_seconds").isNull(), "n/a").otherwise(F.format_string("%.1fs", "lag_seconds"))
+
+
 def statistics(events: DataFrame, as_of: str) -> DataFrame:
     """Events, events a second over the minute before as_of, and the age of the newest event, as seconds and as text."""
     t = F.lit(as_of).cast("timestamp")
     at = F.col("commit_timestamp").cast("timestamp")
     return events.agg(
         F.count(F.lit(1)).alias("events"), (F.count_if((at > t - F.expr("interval 1 minute")) & (at <= t)) / 60.0).alias("events_per_second"), ((F.unix_micros(t) - F.unix_micros(F.max(at))) / 1e6).alias("lag_seconds")
-    ).withColumn("lag_text", F.coalesce(F.format_string("%.1fs", "lag_seconds"), F.lit("n/a")))
+    ).withColumn("lag_text", lag_text())
 
 
 def partition_lag(events: DataFrame, offsets: DataFrame, source_id: str, partitions: int) -> DataFrame:

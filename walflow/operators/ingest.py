@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from walflow.functions.exprs import estimated_bytes, event_id, fnv1a32, normalized_key, payload_hash
@@ -133,6 +134,14 @@ def written(rows: DataFrame, path: str, mode: str = "append") -> int:
     return seen.get["n"]
 
 
+def read_events(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """Stored events. Sources and tables are texts as they were given, though folder names such as 007 look like numbers."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    events = reader.parquet(*paths)
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("source_id", "table_name") else f.dataType) for f in events.schema])
+    return events if events.schema == texts else reader.schema(texts).parquet(*paths)
+
+
 def ingest_fenced(spark: SparkSession, batch: DataFrame, path: str, checkpoints: Checkpoints, source: str, owner: str, generation: int) -> int:
     """ingest() by the owner of a source's checkpoint, whose positions follow: received before the events are stored, persisted after.
 
@@ -158,5 +167,5 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
         return 0
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    store = spark.read.parquet(path).filter(F.col("commit_end_lsn").between(span["low"], span["high"])) if there else None
+    store = read_events(spark, path).filter(F.col("commit_end_lsn").between(span["low"], span["high"])) if there else None
     return written(settled(stored(batch), store), path)

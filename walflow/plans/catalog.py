@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from walflow.operators import delivery, events as ev, ingest
 from walflow.operators.consumer import ConsumerGroup
 from walflow.operators.control import ControlStore
 from walflow.operators.cycle import Deliveries
+from walflow.operators.followers import PositionIndex, RunningStatistics
 from walflow.operators.publish import EventLog
 from walflow.operators.registry import Registry
 from walflow.operators.replay import Replays
@@ -476,3 +478,39 @@ def _(spark, d):
         log.release()
     counted = log.read().withColumn("key_text", exprs.normalized_key("key_columns")).groupBy("table_name", "operation", "relation_fingerprint")
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("commit_end_lsn").alias("positions"), F.sum("sequence_number").alias("places"), F.sum(F.length("key_text")).alias("key_letters"))
+
+
+def _published(spark: SparkSession, d: str, cuts: int) -> EventLog:
+    """A log of all events, published in batches of consecutive positions."""
+    folder, rows = _folder(spark), changes(spark, d)
+    log = EventLog(spark, f"{folder}/events", ControlStore(spark, f"{folder}/control"), seconds=3600)
+    generation = log.claim("catalog")
+    ends = {r["source_id"]: r["at"] for r in rows.groupBy("source_id").agg(F.max("commit_end_lsn").alias("at")).collect()}
+    for k in range(cuts):
+        part, at = F.lit(False), {}
+        for source, end in ends.items():
+            low, at[source] = end * k // cuts, end * (k + 1) // cuts
+            part = part | ((F.col("source_id") == source) & (F.col("commit_end_lsn") > low) & (F.col("commit_end_lsn") <= at[source]))
+        log.publish(rows.filter(part), at, {}, "derived", k, "catalog", generation)
+    return log
+
+
+@query("poll_indexed", f"SELECT p, commit_end_lsn, sequence_number, table_name, operation, key_text FROM (SELECT *, CAST(key_hash % {_PARTS} AS INTEGER) AS p, row_number() OVER (PARTITION BY key_hash % {_PARTS} ORDER BY commit_end_lsn, sequence_number) AS r FROM ek WHERE source_id = 'orders' AND (commit_end_lsn, sequence_number) > (102400, 2)) WHERE r <= 500")
+def _(spark, d):
+    """The next 500 events of every partition after an offset; the last of the log's three batches is not in the index."""
+    log = _published(spark, d, 3)
+    index = PositionIndex(log, f"{log.folder}/index", rows_a_file=50_000)
+    index.advance(1)
+    index.advance(1)
+    polled = [index.poll("orders", _PARTS, p, 102400, 2, 500).withColumn("p", F.lit(p)) for p in range(_PARTS)]
+    rows = reduce(DataFrame.unionByName, polled)
+    return rows.select("p", "commit_end_lsn", "sequence_number", "table_name", "operation", exprs.normalized_key("key_columns").alias("key_text"))
+
+
+@query("stats_running", f"SELECT source_id, count(*) AS events, count(*) FILTER (WHERE commit_timestamp > TIMESTAMP '{_AS_OF}' - INTERVAL 1 MINUTE AND commit_timestamp <= TIMESTAMP '{_AS_OF}') / 60.0 AS events_per_second, CAST(CAST(epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(max(commit_timestamp)) AS DOUBLE) / 1e6 AS DOUBLE) AS lag_seconds, printf('%.1fs', CAST(epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(max(commit_timestamp)) AS DOUBLE) / 1e6) AS lag_text FROM ev GROUP BY source_id")
+def _(spark, d):
+    log = _published(spark, d, 3)
+    running = RunningStatistics(log, f"{log.folder}/statistics")
+    while running.advance(1):
+        pass
+    return running.look(_AS_OF, by_source=True)
