@@ -21,7 +21,7 @@ from walflow.operators.followers import PositionIndex, RunningStatistics
 from walflow.operators.publish import EventLog
 from walflow.operators.registry import Registry
 from walflow.operators.replay import Replays
-from walflow.sources import scenarios, wal
+from walflow.sources import binlog, scenarios, wal
 from walflow.sources.commerce import activity_changes, changes, order_changes, order_messages, table
 from walflow.streaming.assembly import run_capture
 
@@ -476,6 +476,10 @@ def _(spark, d):
         wal.write_log(part, f"{folder}/log", 8)
         run_capture(spark, wal.read_stream(spark, f"{folder}/log"), log, f"{folder}/checkpoint", owner).awaitTermination()
         log.release()
+    return _captured(log)
+
+
+def _captured(log: EventLog) -> DataFrame:
     counted = log.read().withColumn("key_text", exprs.normalized_key("key_columns")).groupBy("table_name", "operation", "relation_fingerprint")
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("commit_end_lsn").alias("positions"), F.sum("sequence_number").alias("places"), F.sum(F.length("key_text")).alias("key_letters"))
 
@@ -514,3 +518,16 @@ def _(spark, d):
     while running.advance(1):
         pass
     return running.look(_AS_OF, by_source=True)
+
+
+@query("binary_capture", ORACLE_SQL["stream_capture"], plain=True)
+def _(spark, d):
+    """The order log as the bytes that the database sends, recorded in two parts; the second is streamed by another owner, from the same checkpoint."""
+    folder, messages = _folder(spark), order_messages(spark, d)
+    log = EventLog(spark, f"{folder}/events", ControlStore(spark, f"{folder}/control"), seconds=3600)
+    cut = (messages.agg(F.max("xid")).first()[0] // 2) * 64  # between two transactions
+    for part, owner in ((messages.filter(F.col("pos") < cut), "first"), (messages.filter(F.col("pos") >= cut), "second")):
+        binlog.record(part, f"{folder}/log", 8)
+        run_capture(spark, binlog.read_stream(spark, f"{folder}/log"), log, f"{folder}/checkpoint", owner).awaitTermination()
+        log.release()
+    return _captured(log)
