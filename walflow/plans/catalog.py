@@ -146,9 +146,11 @@ def _(spark, d):
     return keyed(changes(spark, d)).select("source_id", "commit_end_lsn", "sequence_number", "key_text", "key_hash")
 
 
-@query("partition_assignment", "SELECT CAST(p AS INTEGER) AS partition, (['a', 'b', 'c'])[p % 3 + 1] AS member FROM range(8) t(p)", plain=True)
+@query("partition_assignment", f"SELECT CAST(key_hash % {_PARTS} AS INTEGER) AS partition, (['a', 'b', 'c'])[key_hash % {_PARTS} % 3 + 1] AS member, count(*) AS events FROM ek GROUP BY ALL")
 def _(spark, d):
-    return spark.range(_PARTS).select(F.col("id").cast("int").alias("partition"), exprs.assigned_member("id", F.array(F.lit("c"), F.lit("a"), F.lit("b"))).alias("member"))
+    """How many of the log's events each member of a group of three gets, by partition."""
+    placed = keyed(changes(spark, d)).groupBy(exprs.partition_of("key_hash", _PARTS).alias("partition")).agg(F.count(F.lit(1)).alias("events"))
+    return placed.withColumn("member", exprs.assigned_member("partition", F.array(F.lit("c"), F.lit("a"), F.lit("b"))))
 
 
 @query("poll_page", f"SELECT commit_end_lsn, sequence_number, table_name, operation, key_text FROM ek WHERE source_id = 'orders' AND key_hash % {_PARTS} = 3 ORDER BY commit_end_lsn, sequence_number LIMIT 100")
@@ -232,9 +234,11 @@ def _(spark, d):
     return attempts(spark, d).select("attempt_id", exprs.outcome("http_status", "attempt_number", "max_attempts").alias("outcome"))
 
 
-@query("backoff_schedule", "SELECT CAST(n AS INTEGER) AS attempt, CAST(least(1000 * pow(2, n - 1), 300000) AS BIGINT) AS delay_ms FROM range(1, 21) t(n)", plain=True)
+@query("backoff_schedule", "SELECT event_id, attempt, CAST(least(1000 * pow(2, least(attempt, 40) - 1), 300000) AS BIGINT) AS delay_ms FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt FROM events)", plain=True)
 def _(spark, d):
-    return spark.range(1, 21).select(F.col("id").cast("int").alias("attempt"), exprs.backoff_ms("id", F.lit(1000), F.lit(300_000)).alias("delay_ms"))
+    """Each user's events as the attempts of one delivery."""
+    attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_id", attempt.alias("attempt")).withColumn("delay_ms", exprs.backoff_ms("attempt", F.lit(1000), F.lit(300_000)))
 
 
 @query("dlq_list", "SELECT attempt_id, sink_id, attempt_number FROM att WHERE status = 'permanent_failure' ORDER BY next_retry_at DESC, attempt_id DESC LIMIT 100")
@@ -351,15 +355,17 @@ def _(spark, d):
     return ingest.open_transactions(_messages(spark, d)).select("xid", "first_pos", "changes", "bytes")
 
 
-@query("load_scenario", "SELECT p + 1 AS xid, CAST(1 AS INTEGER) AS low, CAST(50 AS INTEGER) AS high, CAST(50 AS BIGINT) AS n FROM range(1000) t(p)", plain=True)
+@query("load_scenario", "SELECT o_orderkey + 1 AS xid, CAST(1 AS INTEGER) AS low, CAST(count(*) AS INTEGER) AS high, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", plain=True)
 def _(spark, d):
-    by_tx = ingest.assembled(scenarios.load(spark, "medium", 1)).groupBy("xid")
+    """The orders' transactions put together again from a log in which ten of them run side by side."""
+    by_tx = ingest.assembled(scenarios.interleaved(table(spark, d, "orders"), table(spark, d, "lineitem"), 10)).groupBy("xid")
     return by_tx.agg(F.min("sequence_number").alias("low"), F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
-@query("burst_assembly", "SELECT CAST(1 AS BIGINT) AS xid, CAST(100000 AS INTEGER) AS high, CAST(100000 AS BIGINT) AS n", plain=True)
+@query("burst_assembly", "SELECT l_suppkey + 1 AS xid, CAST(count(*) AS INTEGER) AS high, count(*) AS n FROM lineitem GROUP BY l_suppkey", plain=True)
 def _(spark, d):
-    return ingest.assembled(scenarios.burst(spark)).groupBy("xid").agg(F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
+    """Each supplier's items as one large transaction."""
+    return ingest.assembled(scenarios.bursts(table(spark, d, "lineitem"))).groupBy("xid").agg(F.max("sequence_number").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
 @query("dead_letter_history", "SELECT sink_id, k, repeat('retryable,', attempt_number - 1) || 'permanent_failure' AS tries, 'pending' AS status FROM att WHERE k % 2 = 0")
