@@ -175,3 +175,20 @@ def test_circuit(spark, tmp_path):
     assert w.states()["good", "success"] == n and w.states()["bad", "success"] > first
     history = w.work.attempts()
     assert [r["state"] for r in delivery.circuit_states(history.filter("sink_id = 'bad' and finished_at <= '2024-01-01 00:03:00'"), 3, 120_000, "2024-01-01 00:04:00").collect()] == ["open"]
+
+
+def test_place_far_down(spark):
+    """A place far down the order is found where the rows are, and is the one that a sort in the driver finds."""
+    from walflow.operators import cycle
+
+    k = F.col("id")
+    places = spark.range(0, 3000, 1, 5).select((k % 3).cast("int").alias("batch"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("commit_end_lsn"), (k % 7).cast("int").alias("sequence_number"), F.lit("s").alias("source_id"))
+    want = sorted(tuple(r) for r in places.collect())
+    had, cycle.DRIVER_ROWS = cycle.DRIVER_ROWS, 10
+    try:
+        assert [tuple(cycle._place_of(places, n)[0]) for n in (1, 11, 1500, 3000)] == [want[n - 1] for n in (1, 11, 1500, 3000)]
+        assert cycle._place_of(places, 3001) == []
+    finally:
+        cycle.DRIVER_ROWS = had
+    work = cycle.Deliveries(spark, "unused", None, None, enqueued=None, most=None)
+    assert work.enqueued is None and work.seconds > 0

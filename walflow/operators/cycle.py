@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,8 +24,11 @@ from walflow.operators.delivery import SINKS_BROADCAST, Transport, circuit_count
 from walflow.operators.publish import EventLog
 
 SLOTS, SHARE = 8, 4
+SLOT_PARTS = 16  # tasks that write a slot's queue
 ENQUEUED, SENT = 500, 10
 SEND_SECONDS = 30
+ALL_SECONDS = 24 * 3600
+DRIVER_ROWS = 10_000  # a place further down an order is not looked up in the driver
 QUEUE = "slot int, sink_id string, event_id binary, batch int, commit_end_lsn long, sequence_number int, source_id string, attempt_number int, status string, next_retry_at timestamp"
 DONE = QUEUE + ", http_status int, error string, finished_at timestamp"
 PLACE = ["batch", "commit_end_lsn", "sequence_number", "source_id"]
@@ -33,12 +36,29 @@ _END = 2**63 - 1
 _cols = lambda schema: [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
+def _place_of(places: DataFrame, n: int) -> list[Row]:
+    """The n-th smallest place, as a list; empty if there are fewer. Far down the order, places are sorted in ranges; the driver sees how many are in each, and the one row."""
+    if n <= DRIVER_ROWS:
+        return places.orderBy(*PLACE).offset(n - 1).head(1)
+    ranged = places.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("_row", F.monotonically_increasing_id()).persist()
+    try:
+        part = F.shiftright("_row", 33)
+        for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+            if n <= r["n"]:
+                return ranged.filter(F.col("_row") == (r["part"] << 33) + n - 1).select(*PLACE).head(1)
+            n -= r["n"]
+        return []
+    finally:
+        ranged.unpersist()
+
+
 class Deliveries:
     """Attempts for the events of a log, under a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, store: ControlStore, log: EventLog, slots: int = SLOTS, enqueued: int = ENQUEUED, most: int = SENT) -> None:
+    def __init__(self, spark: SparkSession, folder: str, store: ControlStore, log: EventLog, slots: int = SLOTS, enqueued: int | None = ENQUEUED, most: int | None = SENT) -> None:
+        """enqueued, most: see enqueue() and tick(); None for all there is."""
         self.spark, self.folder, self.store, self.log, self.slots, self.enqueued, self.most = spark, folder.rstrip("/"), store, log, slots, enqueued, most
-        self.seconds = SEND_SECONDS * most + 60  # longer than all of a slot's sends can take one after another
+        self.seconds = SEND_SECONDS * most + 60 if most else ALL_SECONDS  # longer than all of a slot's sends can take one after another
 
     # rows with an owner
 
@@ -117,7 +137,7 @@ class Deliveries:
             self._set("marks", owner, row)
             return 0
         found = fan_out(events, sinks).filter(F.array_contains("_for", F.col("sink_id")))
-        last = found.select(*PLACE).orderBy(*PLACE).offset(self.enqueued - 1).head(1)
+        last = _place_of(found.select(*PLACE), self.enqueued) if self.enqueued else []
         if last:
             found = found.filter(F.struct(*PLACE) <= F.struct(*[F.lit(v).cast(found.schema[c].dataType) for c, v in zip(PLACE, last[0], strict=True)]))
         mark = list(last[0]) if last else [number, _END, 0, ""]
@@ -202,7 +222,7 @@ class Deliveries:
             if tried_now:
                 ready = ready.withColumn("first", first).filter(~F.col("sink_id").isin(tried_now) | (F.col("first") == 1)).drop("first")
             place = F.row_number().over(Window.partitionBy("slot").orderBy("turn", *PLACE, "sink_id"))
-            due = ready.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= self.most).drop("turn", "place")
+            due = ready.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= self.most).drop("turn", "place") if self.most else ready
             have = {k: f"{self.folder}/sent/slot={k}/version={r['version']}" for k, r in rows.items()}
             to_send = [k for k in rows if not self._exists(have[k])]
             tried.update(tried_now)
@@ -242,7 +262,7 @@ class Deliveries:
         key = ["sink_id", "event_id", "attempt_number"]
         left = queue.join(done.select(*key), key, "left_anti").select(*_cols(QUEUE)).unionByName(again)
         token = uuid.uuid4().hex
-        left.repartition("slot").write.partitionBy("slot").parquet(f"{self.folder}/queues/{token}")
+        left.repartition("slot", F.pmod(F.xxhash64("event_id"), F.lit(SLOT_PARTS))).write.partitionBy("slot").parquet(f"{self.folder}/queues/{token}")
         done.write.partitionBy("slot").parquet(f"{self.folder}/_staged/done-{token}")
         for k, r in rows.items():
             try:
