@@ -13,6 +13,8 @@ from walflow.functions.exprs import estimated_bytes, event_id, fnv1a32, normaliz
 from walflow.operators.control import Checkpoints
 
 NATURAL_KEY = ["source_id", "commit_end_lsn", "sequence_number"]
+#: Whole rows are sorted in so many times as many parts as Spark's other shuffles have.
+FINER = 4
 
 
 MISMATCH = "two payloads under the natural key "
@@ -22,6 +24,11 @@ class HashMismatch(ValueError):
     """A replayed event differs from the one that is stored under its natural key."""
 
 
+def _finely(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys, before a step that sorts whole rows by them; the step needs no shuffle of its own."""
+    return rows.repartition(FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def assembled(messages: DataFrame) -> DataFrame:
     """WAL messages (source_id, pos, kind, xid, commit_end_lsn, commit_timestamp, schema_name, table_name, before, after, key_columns) -> committed events.
 
@@ -29,12 +36,12 @@ def assembled(messages: DataFrame) -> DataFrame:
     commit, or with an abort, are left out; sequence numbers count a transaction's changes from 1 in the order of the log.
     """
     by_xid = Window.partitionBy("source_id", "xid").orderBy("pos")
-    numbered = messages.withColumn("_begin", F.max(F.when(F.col("kind") == "begin", F.col("pos"))).over(by_xid.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    tx = Window.partitionBy("source_id", "xid", "_begin")
-    ended = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).over(tx)
+    numbered = _finely(messages, "source_id", "xid").withColumn("_begin", F.max(F.when(F.col("kind") == "begin", F.col("pos"))).over(by_xid.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tx = Window.partitionBy("source_id", "xid", "_begin").orderBy("pos")  # one order for all of it, so that rows are sorted once
+    ended = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).over(tx.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     closed = numbered.withColumns({"_lsn": ended("commit", "commit_end_lsn"), "_at": ended("commit", "commit_timestamp"), "_abort": ended("abort", "pos")})
     changes = closed.filter(F.col("kind").isin("insert", "update", "delete") & F.col("_lsn").isNotNull() & F.col("_abort").isNull())
-    seq = F.row_number().over(Window.partitionBy("source_id", "xid", "_begin").orderBy("pos"))
+    seq = F.row_number().over(tx)
     return changes.select("source_id", "xid", F.col("_lsn").alias("commit_end_lsn"), F.col("_at").alias("commit_timestamp"), seq.alias("sequence_number"), "schema_name", "table_name", F.col("kind").alias("operation"), "before", "after", "key_columns")
 
 
