@@ -106,7 +106,8 @@ def mismatches(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 def fresh(batch: DataFrame, store: DataFrame) -> DataFrame:
     """Rows of the batch that are not stored yet, once each, without a look at payloads."""
-    return batch.dropDuplicates(NATURAL_KEY).join(store.select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
+    have = _finely(store.select(*NATURAL_KEY), *NATURAL_KEY)
+    return _finely(batch, *NATURAL_KEY).dropDuplicates(NATURAL_KEY).join(have, NATURAL_KEY, "left_anti")
 
 
 def settled(batch: DataFrame, store: DataFrame | None) -> DataFrame:
