@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walflow.functions.exprs import after, partition_of
+from walflow.functions.exprs import after, event_id, partition_of, payload_hash
 from walflow.operators.events import POSITION, lag_text
 from walflow.operators.publish import EventLog
 
@@ -78,7 +78,7 @@ class PositionIndex(Follower):
     """The log's events once more, ordered by source, bucket of the key's hash and position, with a zone map: for each file and bucket its first and last position.
 
     A consumer group of n partitions needs the buckets that are its partition's number modulo gcd(n, buckets), so `buckets` should have many divisors; any n is answered
-    exactly. Files hold at most `rows_a_file` rows.
+    exactly. Files hold at most `rows_a_file` rows. Ids and payload hashes, the longest part of an event, follow from its other columns, so polls compute them for the rows they return.
     """
 
     def __init__(self, log: EventLog, folder: str, name: str = "positions", buckets: int = 48, rows_a_file: int = 1_000_000) -> None:
@@ -86,12 +86,12 @@ class PositionIndex(Follower):
         self.buckets, self.rows_a_file = buckets, rows_a_file
 
     def prepared(self, events: DataFrame) -> DataFrame:
-        return events.drop("batch").withColumn("bucket", F.pmod("key_hash", F.lit(self.buckets)).cast("int"))
+        return events.drop("batch", "id", "payload_hash").withColumn("bucket", F.pmod("key_hash", F.lit(self.buckets)).cast("int"))
 
     def write(self, rows: DataFrame, part: str) -> None:
         order = ["source_id", "bucket", *POSITION]
         path = f"{self.folder}/{part}/data"
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", self.rows_a_file).parquet(path)
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", self.rows_a_file).option("compression", "zstd").parquet(path)
         at = F.struct(*POSITION)
         zones = self.spark.read.parquet(path).groupBy("source_id", "bucket", F.col("_metadata.file_path").alias("file")).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count(F.lit(1)).alias("n"))
         flat = zones.select("source_id", "bucket", "file", "n", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("low", "high") for c in POSITION])
@@ -128,7 +128,7 @@ class PositionIndex(Follower):
                 take *= 2
             beyond = near[take] if len(near) > take else None
             files = sorted({z["file"] for z in near[:take]})
-            found = self.spark.read.parquet(*files).filter(mine & F.col("bucket").isin(sorted({z["bucket"] for z in near[:take]}))).drop("bucket") if files else None
+            found = self.spark.read.parquet(*files).filter(mine & F.col("bucket").isin(sorted({z["bucket"] for z in near[:take]}))).drop("bucket").withColumns({"id": event_id(), "payload_hash": payload_hash()}) if files else None
             if found is None:
                 found = tail if tail is not None else self.log.read().filter(F.lit(False))
             elif tail is not None:
