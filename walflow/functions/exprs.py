@@ -88,7 +88,7 @@ def assigned_member(partition: ColumnOrName, members: ColumnOrName) -> Column:
 
 
 def sorted_map(m: ColumnOrName) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(_c(m))))
+    return F.when(F.size(_c(m)) <= 1, _c(m)).otherwise(F.map_from_entries(F.array_sort(F.map_entries(_c(m)))))
 
 
 def payload_hash() -> Column:
