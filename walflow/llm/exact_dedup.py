@@ -10,11 +10,11 @@ past some 30 million rows it fills up gradually, more rows shuffle, and the resu
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,8 @@ def _bitmap(bits: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def repeat_filter(hashes: DataFrame, segments: int) -> dict[int, np.ndarray]:
-    """Segment -> bits seen again, eight to a byte, of a DataFrame with one long column h."""
+def repeat_filter(hashes: DataFrame, segments: int, least: int = 2) -> dict[int, np.ndarray]:
+    """Segment -> bits seen again (with least 1, seen at all), eight to a byte, of a DataFrame with one long column h."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b["h"].to_numpy() for b in batches]
@@ -57,26 +57,26 @@ def repeat_filter(hashes: DataFrame, segments: int) -> dict[int, np.ndarray]:
         segment, bits, n = segment[order], bits[order], n[order]
         starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else []
         for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
-            yield pd.DataFrame({"segment": [segment[a]], "seen": [zlib.compress(_bitmap(bits[a:b]).tobytes(), 1)], "again": [zlib.compress(_bitmap(bits[a:b][n[a:b] > 1]).tobytes(), 1)]})
+            yield pd.DataFrame({"segment": [segment[a]], "seen": [zstandard.compress(_bitmap(bits[a:b]).tobytes(), 1)], "again": [zstandard.compress(_bitmap(bits[a:b][n[a:b] >= least]).tobytes(), 1)]})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         seen, again = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)
         for s, a in zip(rows["seen"], rows["again"], strict=True):
-            s = np.frombuffer(zlib.decompress(s), np.uint8)
-            again |= np.frombuffer(zlib.decompress(a), np.uint8) | (seen & s)
+            s = np.frombuffer(zstandard.decompress(s), np.uint8)
+            again |= np.frombuffer(zstandard.decompress(a), np.uint8) | (seen & s)
             seen |= s
-        return pd.DataFrame({"segment": rows["segment"][:1], "again": [zlib.compress(again.tobytes(), 1)]})
+        return pd.DataFrame({"segment": rows["segment"][:1], "again": [zstandard.compress(again.tobytes(), 1)]})
 
     partials = hashes.mapInPandas(partial, "segment long, seen binary, again binary")
     merged = partials.groupBy("segment").applyInPandas(merge, "segment long, again binary")
     with small_batches(hashes.sparkSession):
-        return {r["segment"]: np.frombuffer(zlib.decompress(r["again"]), np.uint8) for r in merged.collect()}  # at most `segments` rows
+        return {r["segment"]: np.frombuffer(zstandard.decompress(r["again"]), np.uint8) for r in merged.collect()}  # at most `segments` rows
 
 
-def repeat_test(hashes: DataFrame, rows: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A function for use in tasks: of hashes, which are maybe repeated. True for every hash that occurs twice in `hashes`, false for nearly all others."""
+def repeat_test(hashes: DataFrame, rows: int, least: int = 2) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for use in tasks: of hashes, which are maybe repeated. True for every hash that occurs twice in `hashes` (with least 1, once), false for nearly all others."""
     segments = int(min(MAX_SEGMENTS, max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))))
-    held = hashes.sparkSession.sparkContext.broadcast(repeat_filter(hashes, segments))
+    held = hashes.sparkSession.sparkContext.broadcast(repeat_filter(hashes, segments, least))
 
     def test(h: np.ndarray) -> np.ndarray:
         segment, bits = _places(h, segments)

@@ -229,8 +229,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     need = saved(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid"), "jaccard-need")
     side = lambda c: need.select(F.col("cid").alias(c), F.col("key").alias(f"key_{c}"))
     keyed = saved(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-keyed")
-    twice = need.select(F.col("key").alias("h"))
-    test = repeat_test(twice.unionByName(twice), 2 * need.count())  # every key twice: the filter then holds them all
+    test = repeat_test(need.select(F.col("key").alias("h")), need.count(), 1)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -395,16 +394,20 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: one row of its smallest doc_id; all columns kept, whatever their names.
 
     Texts without words all stay, and rows without doc_id. If several rows have a component's smallest doc_id, the text with the least hash stays, and of rows
-    that repeat it one, by a hash of the row; only such repeats shuffle with all their columns a second time. Empty tables stay empty.
+    that repeat it one, by a hash of the row. Rows that stay and are told from all others by their key pass straight through a Bloom filter of the rest, so only rows that
+    go, repeats and false alarms shuffle with all their columns. Empty tables stay empty.
     """
     rows = saved(_component_rows(docs), "jaccard-verdict")
     first = rows.filter("n_shingles > 0 and doc_id = component_id").groupBy("root", "key").agg(F.count(F.lit(1)).alias("times"))
     full = first.groupBy("root").agg(F.min_by(F.struct("key", "times"), "key").alias("k")).select("k.key", "k.times")
     other = rows.filter("n_shingles = 0 or doc_id is null").select("key", F.lit(1).alias("times")).distinct()
     stay = saved(full.unionByName(other).withColumnRenamed("key", "kept_key"), "jaccard-kept")
-    kept = named_row(docs).withColumn("key", _key(F.col("row.doc_id"), F.col("row.text"))).join(stay, F.col("key") == F.col("kept_key"))
-    once = kept.filter("times = 1").select("row")
+    sure = stay.filter("times = 1").select(F.col("kept_key").alias("key"))
+    open_keys = saved(rows.select("key").join(sure, "key", "left_anti").select(F.col("key").alias("h")), "jaccard-open")
+    flagged = named_row(docs).withColumn("h", _key(F.col("row.doc_id"), F.col("row.text"))).withColumn("maybe", as_column(repeat_test(open_keys, open_keys.count(), 1)))
+    kept = flagged.filter("maybe").join(stay, F.col("h") == F.col("kept_key"))
+    once = flagged.filter(~F.col("maybe")).select("row").unionByName(kept.filter("times = 1").select("row"))
     if not stay.filter("times > 1").head(1):
         return unnamed_row(once, docs.columns)
-    again = kept.filter("times > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    again = kept.filter("times > 1").groupBy("h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return unnamed_row(once.unionByName(again), docs.columns)
