@@ -7,6 +7,7 @@ from contextlib import contextmanager
 import pytest
 
 from walflow.llm.jaccard_join import keep_one_each
+from walflow.llm.line_dedup import repeated_lines
 
 
 @pytest.fixture
@@ -47,3 +48,15 @@ def test_kept_texts_stay_where_they_are(spark, no_broadcast):
         got = Counter(map(tuple, keep_one_each(docs).collect()))
     assert got == Counter(rows[:60] + [(101, "a b c d e f"), (None, rows[1][1]), (103, ""), (104, None)])
     assert moved[0] < sum(len((t or "").encode()) for _, t in rows) / 4
+
+
+def test_only_lines_in_question_move(spark, no_broadcast):
+    """Of a document with one similar line the other lines are not shuffled."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, "\n".join([noise(r, 20_000), " ".join([*words[:11], f"u{i}"]), noise(r, 20_000)])) for i in range(40)]
+    docs, moved = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint(), []
+    with shuffled(spark, moved):
+        got = sorted((x["doc_id"], x["line"]) for x in repeated_lines(docs).collect())
+    assert got == [(i, 1) for i in range(1, 40)]
+    assert moved[0] < sum(len(t.encode()) for _, t in rows) / 4

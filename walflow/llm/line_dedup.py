@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,12 @@ LEAST_SET = 4  # smaller sets are at 0.8 only if equal
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 25, 16
 LINES_AT_ONCE = 60_000  # a line's number in its part has 16 bits below
 PART_CHARS = 1_000_000
-PLACE_BITS = 16  # of an entry, above 48 bits of hash; the highest bit marks the line that stands for many others
-ENTRY_BYTES = 6  # of a hash; in a line's row its place is where it stands
+PLACE_BITS = 16  # of an entry, above its hash; the highest bit marks the line that stands for many others
+ENTRY_BYTES = 5  # of a hash; in a line's row its place is where it stands
 MOST_PLACE, MARK = (1 << PLACE_BITS - 1) - 1, np.uint64(1 << 63)
 SKETCH_BITS, MOST_SIZE = 32, (1 << 8) - 1  # of a sketch: parity bits below the set's size
 FEW, LEADERS = 16, 4
-ENTRIES_AT_ONCE, SEGMENT_ENTRIES = 2_000_000, 1 << 20
+ENTRIES_AT_ONCE, SEGMENT_ENTRIES, ORDER_BITS = 2_000_000, 1 << 20, 24
 _LAST = (1 << 63) - 1
 
 
@@ -51,20 +52,24 @@ def word_counts(docs: DataFrame, bits: int) -> np.ndarray:
     size, chunk = 1 << bits, 1 << min(bits, CHUNK_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int32)
+        total, n = np.zeros(size, np.uint32), 0
         for batch in batches:
             for _, some in in_parts([t or "" for t in batch["text"]], PART_CHARS):
-                at, n = np.unique((word_hashes(joined(some)[0])[1] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                total[at] = np.minimum(total[at] + n, 2**30)
+                at = (word_hashes(joined(some)[0])[1] >> np.uint64(64 - bits)).astype(np.int64)
+                n += len(at)
+                if n > 2**30:
+                    total, n = np.minimum(total, np.uint32(2**30)), len(at)
+                np.add.at(total, at, np.uint32(1))
+        total = np.minimum(total, np.uint32(2**30))
         for k in range(size // chunk):
             part = total[k * chunk : (k + 1) * chunk]
             if part.any():
-                yield pd.DataFrame({"k": [k], "n": [zlib.compress(part.tobytes(), 1)]})
+                yield pd.DataFrame({"k": [k], "n": [zstandard.compress(part.tobytes(), 1)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(chunk, np.int64)
         for b in rows["n"]:
-            total += np.frombuffer(zlib.decompress(b), np.int32)
+            total += np.frombuffer(zstandard.decompress(b), np.uint32)
         scale = np.where(total <= 200, total, np.minimum(255, 200 + np.log2(np.maximum(total, 1)) * 2 - 15)).astype(np.uint8)
         return pd.DataFrame({"k": rows["k"][:1], "n": [zlib.compress(scale.tobytes(), 1)]})
 
@@ -150,7 +155,7 @@ def _lines(docs: DataFrame, table, bits: int) -> DataFrame:
     return own_id(_keyed(docs).mapInPandas(run, "doc_id long, no_id boolean, key long, line int, n int, kept int, sid binary, p long, q long, sketch long, entries binary"))
 
 
-_HASH = np.uint64((1 << 48) - 1)
+_HASH = np.uint64((1 << 8 * ENTRY_BYTES) - 1)
 _PACKED = "segment long, entries binary, cids binary, sketches binary"
 
 
@@ -181,14 +186,33 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, n), np.repeat(n, n)
 
 
+def _by_hash(e: np.ndarray) -> np.ndarray:
+    """The order of entries by their hash."""
+    h = e & _HASH
+    if len(e) >= 1 << ORDER_BITS:
+        return np.argsort(h)
+    return (np.sort((h << np.uint64(ORDER_BITS)) | np.arange(len(e), dtype=np.uint64)) & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as their first bytes, then their second bytes, and so on, which shuffles compress well where the numbers are alike."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Numbers as their first bytes, then their second bytes, and so on, which compress well where the numbers are alike."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
-def _from_planes(parts: Iterable[bytes], kind: type) -> np.ndarray:
+def _from_planes(parts: Iterable[bytes], kind: type) -> Iterator[np.ndarray]:
     width = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in parts if b)])
+    for b in parts:
+        yield np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(e: np.ndarray) -> np.ndarray:
+    """Entries in order of their hash as places and the steps from one hash to the next, of which little but the low bytes is left."""
+    h = e & _HASH
+    return np.diff(h, prepend=h[:1] * 0) | (e & ~_HASH)
+
+
+def _from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x & _HASH, dtype=np.uint64) | (x & ~_HASH)
 
 
 def _paired(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray, all_of: np.ndarray, some_of: np.ndarray) -> np.ndarray:
@@ -209,42 +233,39 @@ def _paired(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray, all_of: np.ndarr
     return np.unique(np.concatenate(near), axis=0)
 
 
-def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], others: DataFrame) -> DataFrame:
+def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Rows (a, b): near pairs of lines that share an entry, each at least once; and rows (a, entry) for the lines of entries with more than FEW, of which
     only the pairs with the first LEADERS are made.
 
-    rows (cid, entries, sketch, h) without those for whose h left_out is true, and others (cid, entries, sketch). Entries travel packed, by ranges of their
-    hash. Of an entry that a task holds more than FEW times one copy travels, so that no range grows with a frequent entry.
+    rows (cid, entries, sketch, h, own) without those for whose h and own left_out is true. Entries travel packed, by ranges of their hash. Of an entry that a task
+    holds more than FEW times one copy travels, so that no range grows with a frequent entry.
     """
-    size = lambda df: df.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
-    segments = 1 + (size(rows) + size(others)) // (ENTRY_BYTES * SEGMENT_ENTRIES)
+    segments = 1 + (rows.agg(F.sum(F.octet_length("entries"))).first()[0] or 0) // (ENTRY_BYTES * SEGMENT_ENTRIES)
 
-    def row(segment: int, *parts: np.ndarray) -> pd.DataFrame:
-        blobs = [_planes(x) for x in parts]
+    def row(segment: int, *blobs: bytes) -> pd.DataFrame:
         return pd.DataFrame({"segment": [segment - 2 * zlib.crc32(b"".join(blobs)) if segment < 0 else segment], "entries": blobs[:1], "cids": blobs[1:2], "sketches": blobs[2:]})
 
     def deal(e: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> Iterator[pd.DataFrame]:
-        order = np.lexsort((cid, e & _HASH))
+        order = _by_hash(e)
         e, cid, sketch = e[order], cid[order], sketch[order]
         start, n = _groups(e & _HASH)
         many = n > FEW
-        none = np.zeros(0, np.int64)
         if many.any():
-            yield row(-1, e[many], cid[many], none)
+            yield row(-1, _planes(_steps(e[many])), _planes(cid[many]), b"")
             pairs = _paired(e, cid, sketch, np.zeros(len(e), bool), many)
-            yield row(-2, none, pairs[:, 0], pairs[:, 1])
+            yield row(-2, b"", _planes(pairs[:, 0]), _planes(pairs[:, 1]))
             e = np.where(many, e | MARK, e)
         first = ~many | (start == np.arange(len(e)))
         e, cid, sketch = e[first], cid[first], sketch[first]
-        segment = ((e & _HASH) >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)
+        segment = ((e & _HASH) >> np.uint64(8 * ENTRY_BYTES - 32)) * np.uint64(segments) >> np.uint64(32)
         edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]).tolist()
         for a, b in zip(edge, edge[1:], strict=False):
-            yield row(int(segment[a]), e[a:b], cid[a:b], sketch[a:b])
+            yield row(int(segment[a]), _planes(_steps(e[a:b])), _planes(cid[a:b]), _planes(sketch[a:b]))
 
-    def run(batches: Iterator[pd.DataFrame], test: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for batch in batches:
-            batch = batch[~test(batch["h"].to_numpy())] if test else batch
+            batch = batch[~left_out(batch["h"].to_numpy(), batch["own"].to_numpy())]
             e, sizes = _entries(batch["entries"].tolist())
             held.append((e, np.repeat(batch["cid"].to_numpy(), sizes), np.repeat(batch["sketch"].to_numpy(np.int64), sizes).view(np.uint64)))
             n += len(e)
@@ -256,12 +277,13 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         kind = rows["segment"].iloc[0]
-        e, cid = _from_planes(rows["entries"], np.uint64), _from_planes(rows["cids"], np.int64)
-        sketch = _from_planes(rows["sketches"], np.int64 if kind < 0 else np.uint64)
+        cid = np.concatenate(list(_from_planes(rows["cids"], np.int64)))
         if kind < 0 and kind % 2 == 0:
-            return pd.DataFrame({"a": cid, "b": sketch, "entry": pd.array([None] * len(cid), dtype="Int64")})
+            return pd.DataFrame({"a": cid, "b": np.concatenate(list(_from_planes(rows["sketches"], np.int64))), "entry": pd.array([None] * len(cid), dtype="Int64")})
+        e = np.concatenate(list(map(_from_steps, _from_planes(rows["entries"], np.uint64))))
         if kind >= 0:
-            order = np.argsort(e & _HASH)
+            sketch = np.concatenate(list(_from_planes(rows["sketches"], np.uint64)))
+            order = _by_hash(e)
             e, cid, sketch = e[order], cid[order], sketch[order]
             start, n = _groups(e & _HASH)
             marked = np.zeros(len(e), bool)
@@ -275,26 +297,30 @@ def met_lines(rows: DataFrame, left_out: Callable[[np.ndarray], np.ndarray], oth
         none = pd.array([None] * len(pairs), dtype="Int64")
         return pd.DataFrame({"a": np.r_[pairs[:, 0], cid], "b": pd.array(np.r_[pairs[:, 1], np.zeros(len(cid), np.int64)], dtype="Int64"), "entry": pd.concat([pd.Series(none), pd.Series((e & _HASH).view(np.int64), dtype="Int64")], ignore_index=True)})
 
-    packed = rows.select("cid", "entries", "sketch", "h").mapInPandas(lambda b: run(b, left_out), _PACKED).unionByName(others.select("cid", "entries", "sketch").mapInPandas(run, _PACKED))
-    return packed.groupBy("segment").applyInPandas(meet, "a long, b long, entry long")
+    return rows.select("cid", "entries", "sketch", "h", "own").mapInPandas(run, _PACKED).groupBy("segment").applyInPandas(meet, "a long, b long, entry long")
 
 
-def _facts_of(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """cid, doc_id, key, line, n, p and q of the lines that met others: all that is read of a line from there on."""
-    ids = saved(met.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "lines-ids")  # written, so that the join's plan knows its size
-    return rows.select(F.col("uid").alias("cid"), "doc_id", "key", "line", "n", "p", "q").join(ids, "cid", "left_semi")
+def _facts_of(rows: DataFrame, met: DataFrame, most: int) -> DataFrame:
+    """cid, doc_id, key, line, n, p and q of the lines that met others, and by false alarm of a few more: all that is read of a line from there on."""
+    ids = met.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").select(F.xxhash64("id").alias("h"))
+    return rows.withColumn("h", F.xxhash64("uid")).filter(as_column(repeat_test(ids, min(most, 2 * met.count()), 1))).select(F.col("uid").alias("cid"), "doc_id", "key", "line", "n", "p", "q")
 
 
 def _place() -> Column:
-    """Where a line stands in the order of all lines."""
-    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "cid").alias("at")
+    """Where a line stands in the order of all lines, and the key by which its text is found."""
+    return F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "line", "cid", "key").alias("at")
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    """The columns of a pair of places: cids, keys and lines of both."""
+    return [x[c].alias(name) for x, names in ((a, ("a", "key_a", "line_a")), (b, ("b", "key_b", "line_b"))) for c, name in zip(("cid", "key", "line"), names, strict=True)]
 
 
 _FITS = "5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and bit_count(a.p ^ b.p) + bit_count(a.q ^ b.q) <= a.n + b.n - 2 * ceil(4 * (a.n + b.n) / 9)"
 
 
 def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """pairs (a, b), a pair once for each entry, as (a, b, times) with the earlier line as a, without those that all parity bits tell apart.
+    """pairs (a, b), a pair once for each entry, as _pair() and times with the earlier line as a, without those that all parity bits tell apart.
 
     Only sizes and parity bits go with all pairs; they are ordered when few are left.
     """
@@ -302,7 +328,7 @@ def _ordered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     both = lambda df, *values: df.join(side("a", *values), "id_a").join(side("b", *values), "id_b")
     counted = pairs.groupBy(F.col("a").alias("id_a"), F.col("b").alias("id_b")).agg(F.count(F.lit(1)).alias("times"))
     near = saved(both(counted, "n", "p", "q").filter(_FITS).select("id_a", "id_b", "times"), "lines-near")
-    return both(near, _place()).select(F.least("a.at", "b.at")["cid"].alias("a"), F.greatest("a.at", "b.at")["cid"].alias("b"), "times")
+    return both(near, _place()).select(*_pair(F.least("a.at", "b.at"), F.greatest("a.at", "b.at")), "times")
 
 
 def _held(large: DataFrame, facts: DataFrame) -> DataFrame:
@@ -317,31 +343,39 @@ def _once(held: DataFrame) -> DataFrame:
 
 
 def _earlier(others: DataFrame, held: DataFrame, gone: DataFrame) -> DataFrame:
-    """(a, b): for the lines b in held that are not gone, the earlier ones of the same entry in others that size and parity bits leave."""
+    """_pair(): for the lines b in held that are not gone, the earlier ones of the same entry in others that size and parity bits leave."""
     there = held.join(gone.select(F.col("b").alias("cid")), F.col("a.at.cid") == F.col("cid"), "left_anti").select("entry", F.col("a").alias("b"))
-    return others.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(F.col("a.at.cid").alias("a"), F.col("b.at.cid").alias("b")).distinct()
+    return others.join(there, "entry").filter(F.col("a.at") < F.col("b.at")).filter(_FITS).select(*_pair(F.col("a.at"), F.col("b.at"))).distinct()
+
+
+def _spots(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).view(np.int64)
 
 
-def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs with ok: whether their sets are at 0.8 or more. Only documents that hold a line in question are read again, and only these lines are kept."""
-    need = saved(facts.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", F.col("key").alias("h"), "line"), "lines-need")
-    keys = need.select("h").distinct()
-    test = as_column(repeat_test(keys.unionByName(keys), 2 * need.count()))
-    lines = _keyed(docs).select(F.col("key").alias("h"), "text").filter(test).select("h", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    texts = saved(lines.join(need, ["h", "line"]).select("cid", "text"), "lines-texts")
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (see _pair()) as (a, b, ok): whether their sets are at 0.8 or more. Only documents that hold a line in question are read again, and only these lines' sets move."""
+    sides = pairs.select(F.explode(F.array(*[F.struct(F.col(f"key_{c}").alias("key"), F.col(f"line_{c}").alias("line")) for c in "ab"])).alias("x")).select("x.*")
+    most = 2 * pairs.count()
+    test = as_column(repeat_test(sides.select(F.col("key").alias("h")), most, 1))
+    asked = repeat_test(sides.select(F.pandas_udf(lambda key, line: pd.Series(_spots(key.to_numpy(), line.to_numpy())), "long")("key", "line").alias("h")), most, 1)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cids = batch["cid"].to_numpy()
-            for first, part in in_parts(batch["text"].tolist(), PART_CHARS):
+            lines = [t.split("\n") for t in batch["text"]]
+            n = np.array([len(x) for x in lines], np.int64)
+            key, line = np.repeat(batch["h"].to_numpy(), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.flatnonzero(asked(_spots(key, line)))
+            flat = [x for some in lines for x in some]
+            for first, part in in_parts([flat[k] for k in own], PART_CHARS):
+                at = own[first : first + len(part)]
                 whole, begins = joined(part)
                 start, x = word_hashes(whole)
                 cut = np.searchsorted(start, np.r_[begins, len(whole)]).tolist()
-                yield pd.DataFrame({"cid": cids[first : first + len(part)], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
+                yield pd.DataFrame({"h": key[at], "line": line[at], "set": [np.unique(x[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
 
-    held = saved(texts.mapInPandas(sets, "cid long, set binary"), "lines-sets")
-    dropped(texts)
-    once = held.dropDuplicates(["cid"])
+    held = saved(_keyed(docs).select(F.col("key").alias("h"), "text").filter(test).mapInPandas(sets, "h long, line int, set binary"), "lines-sets")
+    once = held.dropDuplicates(["h", "line"])
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -351,10 +385,10 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
             out.append(100 * common >= 80 * (len(x) // 8 + len(y) // 8 - common))
         return pd.Series(out, dtype=bool)
 
-    both = pairs.join(once.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(once.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    side = lambda c, name: once.select(F.col("h").alias(f"key_{c}"), F.col("line").alias(f"line_{c}"), F.col("set").alias(name))
+    both = pairs.join(side("a", "x"), ["key_a", "line_a"]).select("a", "b", "key_b", "line_b", "x").join(side("b", "y"), ["key_b", "line_b"])
     out = saved(both.withColumn("ok", similar("x", "y")).select("a", "b", "ok"), "lines-verified")
-    for t in (need, held):
-        dropped(t)
+    dropped(held)
     return out
 
 
@@ -368,36 +402,38 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(word_counts(docs, bits))
     rows = saved(_lines(docs, table, bits).withColumn("uid", F.monotonically_increasing_id()), "lines-rows")
     hashed = rows.withColumn("h", F.xxhash64("sid"))
-    test = repeat_test(hashed.select("h"), rows.count())
+    n_rows = rows.count()
+    test = repeat_test(hashed.select("h"), n_rows)
     again = saved(hashed.select("uid", "doc_id", "key", "line", "sid", "h").filter(as_column(test)).drop("h"), "lines-again")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "line", "uid")
     groups = saved(again.groupBy("sid").agg(F.min(order).getField("uid").alias("cid"), F.count(F.lit(1)).alias("times")), "lines-groups")
     later = saved(again.join(groups, "sid").filter("uid <> cid").select("doc_id", "key", "line"), "lines-later")
     dropped(again)
-    indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", "entries", "sketch")
-    first = saved(indexed.filter(as_column(test)).join(groups.select("cid"), "cid", "left_semi").select("cid", "entries", "sketch"), "lines-first")
-    met = saved(met_lines(indexed, test, first), "lines-met")
-    for t in (first, groups):
-        dropped(t)
-    facts = saved(_facts_of(rows, met), "lines-facts")
+    first = repeat_test(groups.select(F.xxhash64("cid").alias("h")), groups.count(), 1)  # a later line that it lets pass is a class of its own, which goes anyway
+    dropped(groups)
+    indexed = hashed.filter(F.length("entries") > 0).select(F.col("uid").alias("cid"), "h", F.xxhash64("uid").alias("own"), "entries", "sketch")
+    met = saved(met_lines(indexed, lambda h, own: test(h) & ~first(own)), "lines-met")
+    facts = saved(_facts_of(rows, met, n_rows), "lines-facts")
     dropped(rows)
     pairs = saved(_ordered(met.filter("entry is null").select("a", "b"), facts), "lines-pairs")
-    tried = _verified(docs, facts, saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "lines-first-pairs"))
+    columns = [c for c in pairs.columns if c != "times"]
+    tried = _verified(docs, saved(pairs.groupBy("b").agg(F.max_by(F.struct(*columns), F.struct("times", -F.col("a"))).alias("x")).select("x.*"), "lines-first-pairs"))
     gone = tried.filter("ok").select("b")
 
     def next_round(pairs: DataFrame) -> None:
         nonlocal tried, gone
-        rest = saved(pairs.join(gone, "b", "left_anti").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "lines-rest")
+        rest = saved(pairs.join(gone, "b", "left_anti").join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*columns), "lines-rest")
         if rest.head(1):
-            late = _verified(docs, facts, rest)
+            late = _verified(docs, rest)
             tried, gone = tried.unionByName(late), saved(gone.unionByName(late.filter("ok").select("b")).distinct(), "lines-gone")
 
-    next_round(pairs)
     large = met.filter("entry is not null").select(F.col("a").alias("cid"), "entry")  # their lines meet all earlier ones, if they are still there
     if large.head(1):
         held = _held(large, facts)
-        next_round(_earlier(held, _once(held), gone))
+        next_round(pairs.select(*columns).unionByName(_earlier(held, _once(held), gone)).distinct())
         next_round(_earlier(held, held, gone))
+    else:
+        next_round(pairs)
     near = facts.join(gone.withColumnRenamed("b", "cid"), "cid", "left_semi").select("doc_id", "key", "line")
     return later.unionByName(near).distinct()
 
