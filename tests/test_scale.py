@@ -73,3 +73,37 @@ def test_sorted_map_of_one(spark):
     df = spark.createDataFrame([({"b": "1", "a": "2"},), ({"x": "1"},), ({},), (None,)], "m map<string,string>")
     assert [list(r[0].items()) if r[0] is not None else None for r in df.select(exprs.sorted_map("m")).collect()] == [[("a", "2"), ("b", "1")], [("x", "1")], [], None]
     assert "CASE WHEN (size(m" in plan(df.select(exprs.sorted_map("m")))
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_ingest_leaves_no_shuffle_files(spark, tmp_path):
+    """A batch's shuffle files go with it, its hashes move as bytes, and its ranges are as fine as other parts of whole rows."""
+    events = spark.read.parquet(_saved(order_changes(spark, SF), f"{tmp_path}/events"))
+    n, before = events.count(), _shuffle_files(spark)
+    assert ingest.ingest(spark, events, f"file://{tmp_path}/store") == n
+    assert not {f for f in _shuffle_files(spark) - before if f.endswith(".data")}
+    settled = ingest.settled(events, ingest.read_events(spark, f"file://{tmp_path}/store"))
+    parts = ingest.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = plan(settled)
+    assert re.search(rf"rangepartitioning\(.*, {parts}\)", text) and "unhex(payload_hash" in text.split("rangepartitioning", 1)[1]
+    assert settled.count() == 0
+    kept = {"payload_hash": F.lit("no hash")}
+    try:
+        ingest.settled(events, ingest.read_events(spark, f"file://{tmp_path}/store").withColumns(kept)).count()
+        raise AssertionError("what is no hash equals none")
+    except Exception as e:
+        assert ingest.MISMATCH in str(e)
+
+
+def test_an_empty_batch_and_remains_of_a_failed_one(spark, tmp_path):
+    events = order_changes(spark, SF).filter("commit_end_lsn <= 2048")
+    path = f"file://{tmp_path}/s"
+    (tmp_path / "s").mkdir()
+    assert ingest.ingest(spark, events.limit(0), path) == 0
+    n = events.count()
+    assert ingest.ingest(spark, events, path) == n and ingest.ingest(spark, events, path) == 0 and ingest.ingest(spark, events.limit(0), path) == 0
+    assert ingest.read_events(spark, path).count() == n

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from walflow.functions.exprs import estimated_bytes, event_id, fnv1a32, normalized_key, payload_hash
+from walflow.functions.session import shuffles_dropped
 from walflow.operators.control import Checkpoints
 
 NATURAL_KEY = ["source_id", "commit_end_lsn", "sequence_number"]
@@ -27,7 +28,11 @@ class HashMismatch(ValueError):
 
 def finely(rows: DataFrame, *keys: str) -> DataFrame:
     """Dealt by keys, before a step that sorts whole rows by them; the step needs no shuffle of its own."""
-    return rows.repartition(FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(_fine(rows.sparkSession), *keys)
+
+
+def _fine(spark: SparkSession) -> int:
+    return FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def assembled(messages: DataFrame) -> DataFrame:
@@ -123,28 +128,35 @@ def settled(events: DataFrame, store: DataFrame | None) -> DataFrame:
     """Events of a batch that are not in the store yet, once each and as stored() makes them. The query fails where one natural key has two payloads, in the batch or in the store.
 
     The batch moves once, before anything is computed of it, by ranges of the natural key; the store's keys and hashes (store: natural key and payload_hash; None for an
-    empty one) are dealt with it, each in front of the events of its key. So rows of one key follow each other and are compared with the one before them.
+    empty one) are dealt with it, each in front of the events of its key. So rows of one key follow each other and are compared with the one before them. Hashes move as bytes,
+    since hexadecimal digits take twice the room, which Spark's shuffles do not win back. As whole rows are sorted, ranges are as fine as finely() deals.
     """
-    rows = events.withColumn("_stored", F.lit(None).cast("string"))
+    rows = events.withColumn("_stored", F.lit(None).cast("binary"))
     if store is not None:
-        rows = rows.unionByName(store.select(*NATURAL_KEY, F.col("payload_hash").alias("_stored")), allowMissingColumns=True)
+        kept = F.coalesce(F.unhex("payload_hash"), F.encode("payload_hash", "UTF-8"))  # what is no hash equals none
+        rows = rows.unionByName(store.select(*NATURAL_KEY, kept.alias("_stored")), allowMissingColumns=True)
     order = [*NATURAL_KEY, F.col("_stored").desc_nulls_last()]
-    dealt = rows.repartitionByRange(*NATURAL_KEY).sortWithinPartitions(*order)
-    hashed = dealt.withColumn("payload_hash", F.when(F.col("_stored").isNull(), payload_hash()).otherwise(F.col("_stored")))
+    dealt = rows.repartitionByRange(_fine(rows.sparkSession), *NATURAL_KEY).sortWithinPartitions(*order)
+    hashed = dealt.withColumn("_hash", F.when(F.col("_stored").isNull(), F.unhex(payload_hash())).otherwise(F.col("_stored")))
     by_key = Window.partitionBy(*NATURAL_KEY).orderBy(F.col("_stored").desc_nulls_last())
-    placed = hashed.withColumns({"_before": F.lag("payload_hash").over(by_key), "_n": F.row_number().over(by_key)})
+    placed = hashed.withColumns({"_before": F.lag("_hash").over(by_key), "_n": F.row_number().over(by_key)})
     text = F.concat(F.lit(MISMATCH), F.to_json(F.struct(*NATURAL_KEY)))
-    new = placed.filter(F.when(F.col("_before") != F.col("payload_hash"), F.raise_error(text).cast("boolean")).otherwise((F.col("_n") == 1) & F.col("_stored").isNull()))
-    return new.withColumns({"id": event_id(), "key_hash": fnv1a32(normalized_key("key_columns"))}).select(*events.columns, "id", "payload_hash", "key_hash")
+    new = placed.filter(F.when(F.col("_before") != F.col("_hash"), F.raise_error(text).cast("boolean")).otherwise((F.col("_n") == 1) & F.col("_stored").isNull()))
+    given = {"id": event_id(), "payload_hash": F.lower(F.hex("_hash")), "key_hash": fnv1a32(normalized_key("key_columns"))}
+    return new.withColumns(given).select(*events.columns, *given)
 
 
 def written(rows: DataFrame, path: str, mode: str = "append") -> int:
-    """Writes what settled() gives by source and table, in files of narrow ranges of positions, and returns its number. Raises HashMismatch, with nothing written, for settled()'s failure."""
+    """Writes what settled() gives by source and table, in files of narrow ranges of positions, and returns its number. Raises HashMismatch, with nothing written, for settled()'s failure.
+
+    Ids, which compression cannot shorten, are left out: they follow from the natural key, and read_events() gives them.
+    """
     seen = Observation()
     # the ranges are settled()'s, so that a hot table's batch is many tasks' work
     ordered = rows.sortWithinPartitions("source_id", "table_name", "commit_end_lsn", "sequence_number").observe(seen, F.count(F.lit(1)).alias("n"))
     try:
-        ordered.write.mode(mode).option("compression", "zstd").partitionBy("source_id", "table_name").parquet(path)
+        with shuffles_dropped(rows.sparkSession):
+            ordered.drop("id").write.mode(mode).option("compression", "zstd").partitionBy("source_id", "table_name").parquet(path)
     except Exception as e:
         if MISMATCH in str(e):
             raise HashMismatch(str(e).split(MISMATCH, 1)[1].split("}")[0] + "}") from e
@@ -153,11 +165,12 @@ def written(rows: DataFrame, path: str, mode: str = "append") -> int:
 
 
 def read_events(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
-    """Stored events. Sources and tables are texts as they were given, though folder names such as 007 look like numbers."""
+    """Stored events with their ids. Sources and tables are texts as they were given, though folder names such as 007 look like numbers."""
     reader = spark.read.option("basePath", base) if base else spark.read
     events = reader.parquet(*paths)
     texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("source_id", "table_name") else f.dataType) for f in events.schema])
-    return events if events.schema == texts else reader.schema(texts).parquet(*paths)
+    events = events if events.schema == texts else reader.schema(texts).parquet(*paths)
+    return events if "id" in events.columns else events.withColumn("id", event_id())
 
 
 def ingest_fenced(spark: SparkSession, batch: DataFrame, path: str, checkpoints: Checkpoints, source: str, owner: str, generation: int) -> int:
@@ -180,10 +193,14 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
     Safe to repeat: stored events are recognised by their natural key. Raises HashMismatch, and adds nothing, if one of them differs, or if the batch itself
     has two versions of an event. The store is read between the batch's first and last position.
     """
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    if not _holds_events(spark, path):  # nor do the remains of a first batch that failed
+        return written(settled(batch, None), path)
     span = batch.agg(F.min("commit_end_lsn").alias("low"), F.max("commit_end_lsn").alias("high")).first()
     if span["low"] is None:
         return 0
-    store = read_events(spark, path).filter(F.col("commit_end_lsn").between(span["low"], span["high"])) if there else None
-    return written(settled(batch, store), path)
+    return written(settled(batch, read_events(spark, path).filter(F.col("commit_end_lsn").between(span["low"], span["high"]))), path)
+
+
+def _holds_events(spark: SparkSession, path: str) -> bool:
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/source_id=*")
+    return len(parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(parts) or []) > 0

@@ -399,7 +399,7 @@ def _store(spark: SparkSession, events: DataFrame) -> DataFrame:
     path = _folder(spark)
     if not ingest.ingest(spark, events, path) or ingest.ingest(spark, events, path):
         raise AssertionError("a batch that is stored again adds nothing")
-    return spark.read.parquet(path)
+    return ingest.read_events(spark, path)
 
 
 @query("stored_events", "SELECT source_id, table_name, operation, count(*) AS n, CAST(sum(key_hash) AS BIGINT) AS hashes FROM ek GROUP BY ALL")
