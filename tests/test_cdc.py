@@ -431,3 +431,19 @@ def test_replay_to_webhook(spark, tmp_path, monkeypatch):
         r.run("lost", events, sinks=registry.sinks(), transport=answer)
     assert r.run("lines", events) == events.count() == spark.read.text(f"{tmp_path}/lines").distinct().count() and r.get("lines")["last_lsn"] == events.agg(F.max("commit_end_lsn")).first()[0]
     assert replay.as_text(events).filter("line like '%public.orders insert {%}'").count() == events.filter("operation = 'insert' and table_name = 'orders'").count()
+
+
+def test_places_of_items_need_few_columns(spark):
+    """Only the columns that decide an item's event move, and events are those of the order by all columns."""
+    from pyspark.sql.window import Window
+
+    items = spark.read.parquet(f"{SF}/lineitem.parquet")
+    items = items.unionByName(items.filter("l_orderkey % 5 = 0").withColumn("l_quantity", F.col("l_quantity") + 1))
+    place = 1 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items.columns))
+    key = ["l_orderkey", "l_partkey", "l_linenumber"]
+    want = items.withColumn("n", place).select("n", *key)
+    few = 1 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    assert sorted(items.withColumn("n", few).select("n", *key).collect()) == sorted(want.collect())
+    changes = order_changes(spark, SF)
+    text = changes._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" in text and "l_extendedprice" not in text

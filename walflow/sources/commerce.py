@@ -39,8 +39,9 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = orders.filter(F.col("o_orderstatus").isin("F", "P")).select(
         *base(2 * (k + 1) + 1, 1024 * (k + 1) + 512, F.lit(1), "orders", F.when(F.col("o_orderstatus") == "F", "update").otherwise("delete"), F.when(F.col("o_orderstatus") == "P", row), F.when(F.col("o_orderstatus") == "F", row), key)
     )
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items.columns))
-    numbered = items.withColumn("place", place).select("l_orderkey", "l_partkey", "l_linenumber", "place").join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == k)
+    # items alike in these columns make the same events, whichever comes first, so the columns behind them decide nothing and need not move
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    numbered = items.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").withColumn("place", place).join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == k)
     text = lambda c: F.col(c).cast("string")
     item = image(l_orderkey=text("l_orderkey"), l_partkey=text("l_partkey"), l_linenumber=text("l_linenumber"))
     item_key = F.create_map(F.lit("l_orderkey"), text("l_orderkey"), F.lit("l_linenumber"), text("l_linenumber"))
