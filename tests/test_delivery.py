@@ -192,3 +192,20 @@ def test_place_far_down(spark):
         cycle.DRIVER_ROWS = had
     work = cycle.Deliveries(spark, "unused", None, None, enqueued=None, most=None)
     assert work.enqueued is None and work.seconds > 0
+
+
+def test_all_without_limits_is_not_kept_in_memory(spark, tmp_path, monkeypatch):
+    """Without limits a tick reads queues and results from their tables, and returns how many it sent."""
+    w = World(spark, tmp_path, enqueued=None, most=None)
+    w.sink("a", table_filter="orders")
+    w.sink("off", operation_filter="update, delete", enabled=True)
+    w.work.enqueue(w.registry.sinks(), "w")
+    w.registry.update("sinks", "off", enabled=False)
+    with monkeypatch.context() as c:
+        for name in ("persist", "cache"):
+            c.setattr(type(w.events), name, lambda *a, **k: pytest.fail("kept in memory"))
+        n = w.tick(lambda url, body: 500)
+        assert n == w.log.read().filter("table_name = 'orders'").count() == len(w.sent()) == len(set(w.sent()))
+        assert w.tick(at=1) == n and w.tick(at=2) == 0
+    waits = w.log.read().filter("operation <> 'insert'").count()
+    assert w.states() == {("a", "retryable"): n, ("a", "success"): n, ("off", "pending"): waits}

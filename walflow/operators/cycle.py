@@ -7,6 +7,8 @@ Attempts of a removed sink end as permanent failures; those of a disabled sink w
 
 Everything that a step changes becomes visible by one compare and set of its row in the control store: the rows of marks and queues hold the names of the folders that count. What was
 sent is stored under the slot and the version of its queue before anything is recorded, and looked up there first, so a worker that dies between sending and recording makes nobody send again.
+
+Queues and what was sent are tables of narrow rows, and each step reads them there; none is kept in the executors' memory, which without a limit on what is enqueued and sent would not hold them.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from walflow.functions.exprs import idempotency_key
+from walflow.functions.session import shuffles_dropped
 from walflow.operators.control import ControlStore, Fenced
 from walflow.operators.delivery import SINKS_BROADCAST, Transport, circuit_counts, dead_letters, fan_out, next_attempts, sent, settled
+from walflow.operators.ingest import NATURAL_KEY
 from walflow.operators.publish import EventLog
 
 SLOTS, SHARE = 8, 4
@@ -31,6 +35,7 @@ ALL_SECONDS = 24 * 3600
 DRIVER_ROWS = 10_000  # a place further down an order is not looked up in the driver
 QUEUE = "slot int, sink_id string, event_id binary, batch int, commit_end_lsn long, sequence_number int, source_id string, attempt_number int, status string, next_retry_at timestamp"
 DONE = QUEUE + ", http_status int, error string, finished_at timestamp"
+_SENT = ["schema_name", "table_name", "operation", "before", "after", "key_columns"]  # of an event, besides what its queue's row has
 PLACE = ["batch", "commit_end_lsn", "sequence_number", "source_id"]
 _END = 2**63 - 1
 _cols = lambda schema: [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -144,7 +149,8 @@ class Deliveries:
         slot = F.pmod(F.xxhash64("sink_id", "id"), F.lit(self.slots)).cast("int").alias("slot")
         rows = found.select(slot, "sink_id", F.col("id").alias("event_id"), *PLACE, F.lit(1).alias("attempt_number"), F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("next_retry_at"))
         token = f"new-{uuid.uuid4().hex}"
-        rows.write.partitionBy("slot").parquet(f"{self.folder}/_staged/{token}")
+        with shuffles_dropped(self.spark):
+            rows.write.partitionBy("slot").parquet(f"{self.folder}/_staged/{token}")
         ahead = {s: (marks[s] if s in marks and tuple(marks[s]) > tuple(mark) else mark) for s in on}
         self._set("marks", owner, row, marks={s: m for s, m in marks.items() if s not in ahead and s in self._names(sinks)} | ahead, staged=token)
         self._move(token, f"{self.folder}/new/number={row['version'] + 1}")
@@ -205,53 +211,55 @@ class Deliveries:
     def _serve(self, rows: dict[int, dict], sinks: DataFrame, transport: Transport, as_of: str, owner: str, tried: set[str]) -> int:
         at = self.spark.range(1).select(F.unix_timestamp(F.lit(as_of).cast("timestamp"))).first()[0]
         now = F.timestamp_seconds(F.lit(at))
-        queue = self._queued(rows).persist()
-        try:
-            if not queue.head(1):
-                for k, r in rows.items():
-                    self._set(f"slot_{k}", owner, r)
-                return 0
-            shut, trial = self._circuits(sinks, at, owner)
-            shut, tried_now = shut + [s for s in trial if s in tried], [s for s in trial if s not in tried]
-            of = sinks.select("sink_id", "url", "secret", "max_attempts", "retry_initial_ms", "retry_max_ms", "enabled")
-            few = sinks.limit(SINKS_BROADCAST + 1).count() <= SINKS_BROADCAST
-            known = queue.join(F.broadcast(of) if few else of, "sink_id", "left")
-            ready = known.filter(F.col("enabled") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)) & ~F.col("sink_id").isin(shut))
-            turn = F.row_number().over(Window.partitionBy("slot", "sink_id").orderBy(*PLACE, "attempt_number"))
-            first = F.row_number().over(Window.partitionBy("sink_id").orderBy(*PLACE, "attempt_number"))
-            if tried_now:
-                ready = ready.withColumn("first", first).filter(~F.col("sink_id").isin(tried_now) | (F.col("first") == 1)).drop("first")
-            place = F.row_number().over(Window.partitionBy("slot").orderBy("turn", *PLACE, "sink_id"))
-            due = ready.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= self.most).drop("turn", "place") if self.most else ready
-            have = {k: f"{self.folder}/sent/slot={k}/version={r['version']}" for k, r in rows.items()}
-            to_send = [k for k in rows if not self._exists(have[k])]
-            tried.update(tried_now)
-            n = self._send(due.filter(F.col("slot").isin(to_send)), {k: rows[k]["version"] for k in to_send}, transport, at) if to_send else 0
-            return n + self._record(queue, known, rows, [have[k] for k in rows if self._exists(have[k])], as_of, now, at, owner)
-        finally:
-            queue.unpersist()
+        queue = self._queued(rows)
+        if not queue.head(1):
+            for k, r in rows.items():
+                self._set(f"slot_{k}", owner, r)
+            return 0
+        shut, trial = self._circuits(sinks, at, owner)
+        shut, tried_now = shut + [s for s in trial if s in tried], [s for s in trial if s not in tried]
+        of = sinks.select("sink_id", "url", "secret", "max_attempts", "retry_initial_ms", "retry_max_ms", "enabled")
+        few = sinks.limit(SINKS_BROADCAST + 1).count() <= SINKS_BROADCAST
+        known = queue.join(F.broadcast(of) if few else of, "sink_id", "left")
+        ready = known.filter(F.col("enabled") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)) & ~F.col("sink_id").isin(shut))
+        turn = F.row_number().over(Window.partitionBy("slot", "sink_id").orderBy(*PLACE, "attempt_number"))
+        first = F.row_number().over(Window.partitionBy("sink_id").orderBy(*PLACE, "attempt_number"))
+        if tried_now:
+            ready = ready.withColumn("first", first).filter(~F.col("sink_id").isin(tried_now) | (F.col("first") == 1)).drop("first")
+        place = F.row_number().over(Window.partitionBy("slot").orderBy("turn", *PLACE, "sink_id"))
+        due = ready.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= self.most).drop("turn", "place") if self.most else ready
+        have = {k: f"{self.folder}/sent/slot={k}/version={r['version']}" for k, r in rows.items()}
+        to_send = [k for k in rows if not self._exists(have[k])]
+        tried.update(tried_now)
+        n = self._send(due.filter(F.col("slot").isin(to_send)), {k: rows[k]["version"] for k in to_send}, transport, at) if to_send else 0
+        return n + self._record(queue, known, rows, [have[k] for k in rows if self._exists(have[k])], as_of, now, at, owner)
 
     def _send(self, due: DataFrame, versions: dict[int, int], transport: Transport, at: int) -> int:
-        due = due.persist()
+        due = due.persist() if self.most else due  # at most `most` a slot; without that limit it is what the queues' tables hold
         try:
-            batches = [r[0] for r in due.select("batch").distinct().collect()]  # at most `most` a slot
+            batches = [r[0] for r in due.select("batch").distinct().collect()]  # a row a batch of the log
             if not batches:
                 return 0
-            events = self.log.read(batches=(min(batches), max(batches))).filter(F.col("batch").isin(batches)).drop("batch", "xid", "commit_timestamp")
-            work = due.drop("commit_end_lsn", "sequence_number", "source_id").join(events, F.col("event_id") == F.col("id")).withColumn("idempotency_key", idempotency_key("sink_id", "event_id"))
+            events = self.log.read(batches=(min(batches), max(batches))).filter(F.col("batch").isin(batches)).select(*NATURAL_KEY, *_SENT)
+            same = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) if c == "source_id" else F.col(f"d.{c}") == F.col(f"e.{c}") for c in NATURAL_KEY]
+            work = due.alias("d").join(events.alias("e"), same).select("d.*", *_SENT, F.col("event_id").alias("id"), idempotency_key("sink_id", "event_id").alias("idempotency_key"))
             version = F.element_at(F.create_map(*[F.lit(x) for k, v in versions.items() for x in (k, v)]), F.col("slot")).alias("version")
             keep = ["slot", "sink_id", "event_id", "batch", *PLACE[1:], "attempt_number", "max_attempts", "retry_initial_ms", "retry_max_ms"]
-            sent(work, transport, at, keep).select("*", version).write.mode("append").partitionBy("slot", "version").parquet(f"{self.folder}/sent")
-            return due.count()
+            seen = Observation()
+            came = sent(work, transport, at, keep).select("*", version).observe(seen, F.count(F.lit(1)).alias("n"))
+            with shuffles_dropped(self.spark):
+                came.write.mode("append").partitionBy("slot", "version").parquet(f"{self.folder}/sent")
+            return seen.get["n"]
         finally:
-            due.unpersist()
+            if self.most:
+                due.unpersist()
 
     def _record(self, queue: DataFrame, known: DataFrame, rows: dict[int, dict], paths: list[str], as_of: str, now: Column, at: int, owner: str) -> int:
         """Moves what is finished out of the queues, and puts next attempts in; all of a slot becomes visible with its row."""
         done = known.filter("url is null and enabled is null").select(*_cols(QUEUE)).withColumns({"status": F.lit("permanent_failure"), "http_status": F.lit(None).cast("int"), "error": F.lit("sink removed"), "finished_at": now})
         again = self.spark.createDataFrame([], QUEUE)
         if paths:
-            results = settled(self.spark.read.option("basePath", f"{self.folder}/sent").parquet(*paths)).persist()
+            results = settled(self.spark.read.option("basePath", f"{self.folder}/sent").parquet(*paths))
             self._counted(results, at)
             done = done.unionByName(results.withColumn("finished_at", now).withColumn("next_retry_at", F.lit(None).cast("timestamp")).select(*_cols(DONE)))
             again = next_attempts(results, as_of, ["slot", *PLACE]).select(*_cols(QUEUE))
@@ -262,16 +270,15 @@ class Deliveries:
         key = ["sink_id", "event_id", "attempt_number"]
         left = queue.join(done.select(*key), key, "left_anti").select(*_cols(QUEUE)).unionByName(again)
         token = uuid.uuid4().hex
-        left.repartition("slot", F.pmod(F.xxhash64("event_id"), F.lit(SLOT_PARTS))).write.partitionBy("slot").parquet(f"{self.folder}/queues/{token}")
-        done.write.partitionBy("slot").parquet(f"{self.folder}/_staged/done-{token}")
+        with shuffles_dropped(self.spark):
+            left.repartition("slot", F.pmod(F.xxhash64("event_id"), F.lit(SLOT_PARTS))).write.partitionBy("slot").parquet(f"{self.folder}/queues/{token}")
+            done.write.partitionBy("slot").parquet(f"{self.folder}/_staged/done-{token}")
         for k, r in rows.items():
             try:
                 self._set(f"slot_{k}", owner, r, queue=token, staged=f"done-{token}/slot={k}", consumed=r["seen"])
                 self._move(f"done-{token}/slot={k}", f"{self.folder}/done/slot={k}/version={r['version'] + 1}")
             except Fenced:
                 continue  # another worker has the slot, and finds there what was sent
-        if paths:
-            results.unpersist()
         return 0
 
     def tick(self, sinks: DataFrame, transport: Transport, as_of: str, owner: str = "worker", share: int = SHARE) -> int:

@@ -453,8 +453,8 @@ def _(spark, d):
     for minute in range(10):
         if not work.tick(sinks, _answer, f"2024-01-01 00:0{minute}:00", "catalog", work.slots):
             break
-    names = log.read().select(F.col("id").alias("event_id"), "table_name")
-    return work.attempts().join(names, "event_id").groupBy("sink_id", "table_name", "attempt_number", "status").agg(F.count(F.lit(1)).alias("attempts"))
+    names = log.read().select(*ingest.NATURAL_KEY, "table_name")
+    return work.attempts().join(names, ingest.NATURAL_KEY).groupBy("sink_id", "table_name", "attempt_number", "status").agg(F.count(F.lit(1)).alias("attempts"))
 
 
 _FAILED = "e.value < 80"
